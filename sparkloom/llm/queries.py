@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm.bpe import op3_bpe
 from sparkloom.llm.sharding import op1_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_bpe": op3_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
