@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.bpe import op3_bpe
+from sparkloom.llm.licenses import op10_licenses
 from sparkloom.llm.sharding import op1_sharding
+from sparkloom.llm.tokens import op4_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_bpe": op3_bpe,
+    "op4_token_output": op4_token_output,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {}
