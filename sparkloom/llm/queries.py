@@ -12,12 +12,14 @@ from sparkloom.llm.sharding import op1_sharding
 from sparkloom.llm.simhash import op8_simhash
 from sparkloom.llm.suffixes import op6_suffixes
 from sparkloom.llm.tokens import op4_token_output
+from sparkloom.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_bpe": op3_bpe,
     "op4_token_output": op4_token_output,
     "op6_suffixes": op6_suffixes,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op10_licenses": op10_licenses,
 }
