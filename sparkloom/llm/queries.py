@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm.bpe import op3_bpe
 from sparkloom.llm.licenses import op10_licenses
+from sparkloom.llm.lm import op9_lm_scores
 from sparkloom.llm.sharding import op1_sharding
 from sparkloom.llm.simhash import op8_simhash
 from sparkloom.llm.suffixes import op6_suffixes
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffixes": op6_suffixes,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
+    "op9_lm_scores": op9_lm_scores,
     "op10_licenses": op10_licenses,
 }
 
