@@ -6,7 +6,9 @@ back, so that a lost executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +49,12 @@ class Workspace:
             p.getFileSystem(conf).delete(p, True)
 
     def release_shuffles(self) -> None:
-        """Let Spark's cleaner remove shuffle files whose plans are no longer referenced."""
-        import gc
-
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Let Spark's cleaner remove shuffle files whose plans are no longer referenced.
+
+        The cleaner works in the background on what the driver's collectors report,
+        and a plan is only reported once the objects that hold it are.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
