@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm.ann import op5_neighbours
 from sparkloom.llm.bpe import op3_bpe
+from sparkloom.llm.decontaminate import op2_decontamination
 from sparkloom.llm.licenses import op10_licenses
 from sparkloom.llm.lm import op9_lm_scores
 from sparkloom.llm.sharding import op1_sharding
@@ -17,8 +19,10 @@ from sparkloom.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_decontamination": op2_decontamination,
     "op3_bpe": op3_bpe,
     "op4_token_output": op4_token_output,
+    "op5_neighbours": op5_neighbours,
     "op6_suffixes": op6_suffixes,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
