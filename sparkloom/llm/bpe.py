@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkloom.llm.common import documents, id_text, map_batches, small_batches
+from sparkloom.llm.common import documents, id_text, map_batches, small_batches, tokens_digest
 
 #: Entries that a worker remembers: chunks and words (in each of two generations) and token pairs.
 CHUNKS_KEPT, WORDS_KEPT, PAIRS_KEPT = 100_000, 200_000, 300_000
@@ -239,15 +238,7 @@ def encode_and_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
     return map_batches(id_text(df, id_col, text_col), "doc_id long, ids array<int>, decoded string", make)
 
 
-def digest(coded: DataFrame) -> DataFrame:
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
-
-
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and decoded texts of all documents."""
-    return digest(encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+    coded = encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", *tokens_digest())

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch: documents may be long, so batches hold few of them.
 ARROW_ROWS = 256
@@ -26,7 +27,7 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
+def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
     """``mapInArrow`` with a function made once for each task; batches that give None are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,3 +51,12 @@ def annotate(df: DataFrame, name: str, kind: str, make: Callable[[], Callable[[l
             yield pa.RecordBatch.from_arrays([*b.columns, f(b.column(at).to_pylist())], [*b.schema.names, name])
 
     return df.mapInArrow(run, df.withColumn(name, F.lit(None).cast(kind)).schema)
+
+
+def tokens_digest() -> list[Column]:
+    """Digests of the columns ids and decoded."""
+    return [
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    ]

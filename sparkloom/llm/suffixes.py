@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkloom.llm.common import documents, id_text, map_batches, small_batches
+from sparkloom.llm.common import documents, map_batches, small_batches
 from sparkloom.storage import Workspace
 
 WINDOW, GRAM = 100, 32
@@ -292,24 +293,26 @@ def ordered(docs: DataFrame, work: Workspace) -> DataFrame:
     """Documents with ``ord``, unique and in order: the id itself where ids are unique and not null."""
     again = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if not again:
-        return docs.select("doc_id", F.col("doc_id").alias("ord"), "text")
+        return docs.select("doc_id", F.col("doc_id").alias("ord"), "text", "record")
     sort = docs.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-    return work.put(sort.select("doc_id", F.monotonically_increasing_id().alias("ord"), "text"), "ordered")
+    return work.put(sort.select("doc_id", F.monotonically_increasing_id().alias("ord"), "text", "record"), "ordered")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, spans (removed runs of bytes as array<struct<start,end>>) and kept (the bytes left) for each row.
+    """doc_id, text, spans (removed runs of bytes as array<struct<start,end>>), kept (the bytes left) and record for each row.
 
     A byte is removed if a WINDOW-byte string that covers it also starts earlier:
     in a document with a smaller id, or before in the same document. Matches
     never cross documents, and are judged on the input. A null text is empty.
     Rows with null ids come first; rows with equal ids are documents of their
-    own, ordered by a hash of their texts. Other columns are left out.
+    own, ordered by a hash of their texts. All other columns are in the struct record.
     """
     spark = df.sparkSession
     small_batches(spark)
     work = Workspace(spark, "suffixes")
-    docs = ordered(id_text(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))), work)
+    others = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)] or [F.lit(None).cast("string").alias("none")]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    docs = ordered(df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.struct(*others).alias("record")), work)
     texts = docs.select("ord", "text").where(F.octet_length("text") >= WINDOW)
     cuts = sampled_splitters(texts, PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -328,7 +331,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     del windows, open_runs
     work.release_shuffles()
     marks = found.where("not open").select("ord", "lo", "end").unionByName(later).groupBy("ord").agg(F.collect_list(F.struct("lo", "end")).alias("marks"))
-    joined = docs.join(marks, "ord", "left").select("doc_id", "text", "marks")
+    joined = docs.join(marks, "ord", "left").select("doc_id", "text", "marks", "record")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -341,17 +344,19 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 _, s, e = merged(np.zeros(len(m), np.int64), m[:, 0], m[:, 1])
                 spans.append([{"start": a, "end": b} for a, b in zip(s.tolist(), e.tolist())])
                 kept.append(b"".join(data[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(data)])))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "text", "spans", "kept"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind), pa.array(kept, pa.binary()), batch.column(3)], ["doc_id", "text", "spans", "kept", "record"])
 
         return run
 
-    return map_batches(joined, "doc_id long, text string, spans array<struct<start:int,end:int>>, kept binary", make)
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    fields = [("doc_id", T.LongType()), ("text", T.StringType()), ("spans", spans), ("kept", T.BinaryType()), ("record", docs.schema["record"].dataType)]
+    return map_batches(joined, T.StructType([T.StructField(n, t) for n, t in fields]), make)
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is removed from all documents, and a digest of what is left."""
     n = F.octet_length("text").cast("long")
-    return repeated_spans(documents(spark, sf_dir)).select(
+    return repeated_spans(documents(spark, sf_dir).select("doc_id", "text")).select(
         "doc_id",
         n.alias("n_bytes"),
         (n - F.octet_length("kept")).cast("long").alias("n_removed"),

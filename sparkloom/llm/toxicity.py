@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import documents, id_text, map_batches, small_batches
+from sparkloom.llm.common import annotate, documents, id_text, small_batches
 from sparkloom.storage import Workspace
 
 #: Labelled rows of each class that the classifier is fitted on at most.
@@ -344,21 +344,21 @@ def fit(df: DataFrame, labels: DataFrame, train: Callable[[str], object], id_col
     return Classifier(chosen, logistic(np.array([x for _, x in sample]), np.array([y for y, _ in sample], float)), grams_known)
 
 
-def score_texts(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) for each row; a null text is an empty one; other columns are left out."""
-    spark = df.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by the rows that it was fitted on
+def with_score(df: DataFrame, model: Classifier, name: str = "score", text_col: str = "text") -> DataFrame:
+    """``df`` with the score (0 to 1) of each row's text under ``name``; a null text is an empty one. All rows and columns stay."""
+    small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the rows that it was fitted on
 
-    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def make() -> Callable[[list[str | None]], pa.Array]:
         score = shared.value.scorer()
+        return lambda texts: pa.array([score(t or "") for t in texts], pa.float64())
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+    return annotate(df, name, "double", make, text_col)
 
-        return run
 
-    return map_batches(id_text(df, id_col, text_col), "doc_id long, score double", make)
+def score_texts(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score for each row, repeated ones too; other columns are left out."""
+    return with_score(id_text(df, id_col, text_col), model).select("doc_id", "score")
 
 
 def remainder(doc_id: object, n: int) -> object:
