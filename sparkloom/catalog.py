@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom import registry
-from sparkloom.plans import text_queries  # noqa: F401  registers its queries
+from sparkloom.plans import knowledge_queries, search_queries, text_queries  # noqa: F401  they register their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
