@@ -210,12 +210,16 @@ def with_hits(df: DataFrame, benchmark: DataFrame, name: str = "hits", threshold
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     n = rows.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
     blocks = -(-n // BLOCK_WORDS)
-    if blocks > 1:  # passes over the corpus, each with a part of the items that fits in memory
-        names = [f"{name}_{k}" for k in range(blocks)]
-        for k, part in enumerate(names):
-            df = with_hits(df, rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), part, threshold, text_col)
-        return df.withColumn(name, F.flatten(F.array(*names))).drop(*names)
-    items = spark.sparkContext.broadcast(prepare([(r["item_id"], r["text"]) for r in rows.collect()]))
+    if blocks <= 1:
+        return with_block(df, rows, name, threshold, text_col)
+    names = [f"{name}_{k}" for k in range(blocks)]
+    for k, part in enumerate(names):  # passes over the corpus, each with a part of the items that fits in memory
+        df = with_block(df, rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), part, threshold, text_col)
+    return df.withColumn(name, F.flatten(F.array(*names))).drop(*names)
+
+
+def with_block(df: DataFrame, rows: DataFrame, name: str, threshold: float, text_col: str) -> DataFrame:
+    items = df.sparkSession.sparkContext.broadcast(prepare([(r["item_id"], r["text"]) for r in rows.collect()]))
 
     def make() -> Callable[[list[str | None]], pa.Array]:
         sieve = items.value.sieve()
