@@ -12,7 +12,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -157,10 +158,11 @@ def unpack(segment: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     return ids, np.split(flat, ends[:-1]) if n_docs else []
 
 
-#: Chunks that a worker remembers.
-CHUNKS_KEPT = 400_000
-ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z|\0")
+#: Chunks that a worker remembers, in each of two generations.
+CHUNKS_KEPT = 600_000
+RARE = re.compile("[\0\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SAFE = re.compile(r"(?<=\S)(?= \S)")
+SIMPLE = re.compile(r" ?\S+")
 PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
 
 
@@ -177,27 +179,56 @@ class ChunkEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # A line break between chunks is a token of its own, which no chunk without white space has.
+        self.line = self.ids("\n")
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
     def chunks(self, text: str) -> list[str]:
-        if ODD.search(text):
-            return SAFE.split(text)
+        if RARE.search(text) or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+            return SAFE.split(text)  # other white space than single spaces and line breaks between other characters
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of unsigned 32-bit integers."""
         cut = [self.chunks(t) if t else [] for t in texts]
-        wanted = set().union(*cut) if cut else set()
-        if len(self.known) + len(wanted) > CHUNKS_KEPT:
-            self.known = {c: v for c in wanted if (v := self.known.get(c)) is not None}
+        if len(self.known) > CHUNKS_KEPT:
+            self.old, self.known = self.known, {}
         known = self.known
-        plain = {c: m for c in wanted if c not in known and (m := PLAIN.fullmatch(c))}
-        missing = list({p for m in plain.values() for p in m.groups() if p not in known} | {c for c in wanted if c not in known and c not in plain})
-        for c, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False)):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-        for c, m in plain.items():
-            known[c] = known[m[1]] + known[m[2]]
+        missing: set[str] = set()
+        for c in cut:
+            missing.update(filterfalse(known.__contains__, c))
+        for c in [c for c in missing if c in self.old]:
+            known[c] = self.old[c]
+            missing.discard(c)
+        plain = [(c, m[1], m[2]) for c in missing if (m := PLAIN.fullmatch(c))]
+        missing.difference_update(c for c, _, _ in plain)
+        for _, word, marks in plain:
+            for c in (word, marks):
+                if c not in known:
+                    missing.add(c)
+        self.learn(list(missing))
+        for c, word, marks in plain:
+            known[c] = known[word] + known[marks]
         return [b"".join(map(known.__getitem__, c)) for c in cut]
 
+    def learn(self, chunks: list[str]) -> None:
+        """Encode chunks, those without white space inside all in one text of a line each."""
+        lines = [c for c in chunks if SIMPLE.fullmatch(c)]
+        for c in set(chunks).difference(lines):
+            self.known[c] = self.ids(c).tobytes()
+        if lines:
+            ids = self.ids("\n".join(lines))
+            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
+            if len(self.line) != 1 or len(ends) != len(lines):
+                raise ValueError("this tokenizer joins line breaks with other text")
+            data, start = ids.tobytes(), 0
+            for c, end in zip(lines, (4 * ends).tolist()):
+                self.known[c] = data[start:end]
+                start = end + 4
+
 
 _made: dict[str, ChunkEncoder] = {}
 
