@@ -65,3 +65,12 @@ def test_the_stream_gives_what_the_table_gives(spark, tmp_path):
     q = jobs.ingest(jobs.landed(spark, f"{tmp_path}/in/*", rows.schema, 1), f"{tmp_path}/out", f"{tmp_path}/ck", lambda b: b.where("state = 'done'"))
     q.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 20 and re.match(r"\d+", str(q.lastProgress["batchId"]))
+
+
+def test_export_and_import(spark, tmp_path):
+    from sparkloom.sources.export import export_tables, read_table
+
+    rows = spark.createDataFrame([(1, "a", 5), (2, None, 7), (3, "ü\n", 9)], "id long, v string, rev long")
+    manifest = export_tables({"units": rows, "tombstones": rows.limit(1).select("id")}, f"{tmp_path}/x", {"units": "rev"}, since=7, device="d1")
+    assert [tuple(r) for r in manifest.orderBy("place").collect()] == [(0, "tombstones", 1), (1, "units", 2)]
+    assert sorted(map(tuple, read_table(spark, f"{tmp_path}/x/device=d1", "units", rows.schema).collect())) == [(2, None, 7), (3, "ü\n", 9)]
