@@ -21,10 +21,10 @@ from sparkloom.storage import Workspace
 #: Vectors, chosen by a hash of their ids, that centroids and codes are fitted on at most.
 FIT_ROWS = 20_000
 #: Vectors of a list on average, lists at most, and the share of lists that a query looks into.
-LIST_ROWS, MOST_LISTS, PROBED = 256, 4096, 0.6
+LIST_ROWS, MOST_LISTS, PROBED = 256, 4096, 0.75
 SUBSPACES, CODES = 16, 256
 #: Candidates of each list (or block of a large list) that are measured exactly; ties of the last one are too.
-RERANKED = 64
+RERANKED = 96
 #: Vectors and queries that meet in one task's group: larger lists and query sets are dealt out in blocks.
 BLOCK_ROWS, BLOCK_QUERIES = 2048, 2048
 
