@@ -159,7 +159,7 @@ def unpack(segment: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 
 
 #: Chunks that a worker remembers, in each of two generations.
-CHUNKS_KEPT = 600_000
+CHUNKS_KEPT = 900_000
 RARE = re.compile("[\0\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 SIMPLE = re.compile(r" ?\S+")
