@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from sparkloom.llm import decontaminate, toxicity
+from sparkloom.llm.nearcopies import near_copy_groups
 from tests.llm.test_llm import fingerprint, linked, removed
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +72,43 @@ def test_stages_of_an_empty_table(spark, docs):
     for name, stage in pipeline.STAGES:
         none = stage(spark, none, SF)
         assert none.count() == 0, name
+
+
+def test_near_copies_are_all_linked(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    base = [f"w{i}" for i in range(300)]
+    # A chain of copies, each a word further from the first, and a group with more members than SMALL.
+    chain = [(90000 + k, " ".join(base[: 100 + k])) for k in range(0, 60, 10)]
+    group = [(91000 + k, " ".join([*base[200:260], f"x{k}"])) for k in range(40)]
+    odd = [(92000, None), (92001, ""), (92002, "a b"), (92003, "A  b"), (92004, "a b c")]
+    rows = rows.unionByName(spark.createDataFrame(chain + group + odd, rows.schema))
+    texts = sorted((r["doc_id"], r["text"]) for r in rows.collect())
+    sets = []
+    for _, t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders = {}
+    for i, s in enumerate(sets):
+        near = set().union(*(holders.get(x, ()) for x in s))
+        for j in near:
+            common = len(s & sets[j])
+            if 5 * common >= 4 * (len(s) + len(sets[j]) - common):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    want = {d: texts[find(i)][0] for i, (d, _) in enumerate(texts)}
+    got = {r["doc_id"]: r["component_id"] for r in near_copy_groups(rows).collect()}
+    assert got == want
+    assert got[90050] == 90000 and len({got[d] for d, _ in group}) == 1 and [got[d] for d, _ in odd] == [got[92000], got[92000], 92002, 92002, 92004]
+    stage = dict(pipeline.STAGES)["simhash"]
+    columns = [F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), F.length("text").alias("n_chars")]
+    kept = stage(spark, rows.select("*", *columns), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
