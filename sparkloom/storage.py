@@ -6,55 +6,55 @@ back, so that a lost executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where none is (tests)."""
+    """The folder in ``spark.checkpoint.dir``; where none is set, a temporary one on the one machine of a local master.
+
+    On a cluster each executor would write to its own disk, so there a missing setting is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = set_already.get() if set_already.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 class Workspace:
-    """Scratch tables of one run: ``put`` writes and rereads, ``drop`` deletes."""
+    """Scratch tables of one run: ``put`` writes and rereads, ``drop`` deletes. What is left goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        root, files = self._open(self.root)
+        files.mkdirs(root)
+        files.deleteOnExit(root)
+
+    def _open(self, path: str) -> tuple[object, object]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def put(self, df: DataFrame, table: str, codec: str = "zstd") -> DataFrame:
-        df.write.mode("overwrite").option("compression", codec).parquet(self.path(table))
-        return self.spark.read.schema(df.schema).parquet(self.path(table))
+    def put(self, df: DataFrame, table: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+        """The rows of ``df`` from a written table, in folders by the values of a column if one is named."""
+        writer = df.write.mode("overwrite").option("compression", codec)
+        (writer.partitionBy(by) if by else writer).parquet(self.path(table))
+        return self.spark.read.schema(df.schema).parquet(self.path(table)).select(df.columns)
 
     def drop(self, *tables: str) -> None:
         """Delete these tables (all of the run's if none is named)."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for t in tables or ("",):
-            p = jvm.org.apache.hadoop.fs.Path(self.path(t) if t else self.root)
-            p.getFileSystem(conf).delete(p, True)
-
-    def release_shuffles(self) -> None:
-        """Let Spark's cleaner remove shuffle files whose plans are no longer referenced.
-
-        The cleaner works in the background on what the driver's collectors report,
-        and a plan is only reported once the objects that hold it are.
-        """
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.5)
+            p, files = self._open(self.path(t) if t else self.root)
+            files.delete(p, True)
