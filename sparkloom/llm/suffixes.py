@@ -2,20 +2,22 @@
 
 Every window of WINDOW bytes is assigned to one suffix inside it: the one whose
 first GRAM bytes hash least. Equal windows get equal suffixes at equal places,
-so it is enough to sort these suffixes, about one in 35. Neighbouring windows of
-one suffix form a run. Sampled splitters deal the suffixes out by their leading
-bytes into ranges; each range is sorted by one key after another (leading bytes,
-the gram, the run's whole context). Runs with equal context repeat each other.
-Suffixes that share the gram but not the context, and those at a splitter, whose
-equals may lie across the boundary, are compared window by window.
+so it is enough to sort these suffixes, about one in 38; with each go the bytes
+of all windows assigned to it. Sampled splitters deal the suffixes out by their
+leading bytes into ranges. In a range a multikey quicksort puts them in order by
+their bytes, and windows of suffixes that begin alike are compared. Windows that
+may go on beyond a splitter, because they share its leading bytes as far as they
+reach, are compared across the ranges afterwards.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,41 +26,34 @@ from sparkloom.llm.common import documents, map_batches, small_batches
 from sparkloom.storage import Workspace
 
 WINDOW, GRAM = 100, 32
-#: Bytes of text handled at once.
-CHUNK = 1 << 21
-#: Documents whose suffixes are sampled for the splitters; splitters for each shuffle partition.
-SAMPLED, PER_PARTITION = 2000, 4
+#: Bytes before a suffix that its windows may reach.
+LEFT = WINDOW - GRAM
+#: Bytes of text that are hashed at once, and whose suffixes leave a task together.
+CHUNK, FLUSH = 1 << 21, 1 << 23
+#: Text of a range on average, ranges for each shuffle partition at least, and splitters (100 bytes each) at most.
+RANGE_BYTES, PER_PARTITION, MOST_SPLITTERS = 8 << 20, 4, 200_000
+#: Documents sampled for each splitter (SAMPLED at least), and suffixes of them.
+SAMPLED, DOCS_EACH, KEYS_EACH = 2000, 2, 10
+#: Suffixes of a range after which equal ones are joined before more are read.
+HELD = 400_000
+#: A suffix as a row of bytes: from its start to its last window's end, before its start, and where its windows lie.
+RIGHT_AT, LEFT_AT, PLACE_AT, ROW = 0, 104, 176, 184
+WORDS, GRAM_WORDS = ROW // 8, GRAM // 8
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-TABLES = _rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+TABLE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
 
 
-def powers(which: int) -> tuple[np.ndarray, np.ndarray]:
+def powers() -> tuple[np.ndarray, np.ndarray]:
     """The base's powers and their inverses modulo 2**64, for a chunk."""
-    if which not in _powers:
-        base = int(BASES[which])
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
+    if not _powers:
+        for b in (BASE, pow(BASE, -1, 1 << 64)):
             p = np.ones(CHUNK + 1, np.uint64)
             p[1:] = np.uint64(b)
-            out.append(np.multiply.accumulate(p))
-        _powers[which] = (out[0], out[1])
-    return _powers[which]
-
-
-class Hashes:
-    """Hashes of any substrings of one chunk."""
-
-    def __init__(self, data: np.ndarray, which: int = 0) -> None:
-        up, self.down = powers(which)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(TABLES[which][data] * up[: len(data)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
-        """Hashes of [start, end) for index arrays, or for the slices that select the starts and the ends."""
-        return mixed((self.sums[end] - self.sums[start]) * self.down[start])
+            _powers.append(np.multiply.accumulate(p))
+    return _powers[0], _powers[1]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -97,39 +92,6 @@ def pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield chunk()
 
 
-def runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The runs of a chunk: first and last window, leading bytes, gram hash, context hash."""
-    n = len(data)
-    h = Hashes(data)
-    bits = np.uint64(CHUNK.bit_length())
-    keys = h.of(slice(0, n - GRAM + 1), slice(GRAM, n + 1))
-    keys = (keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64)
-    width, least = 1, keys
-    while width * 2 <= WINDOW - GRAM + 1:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    rest = WINDOW - GRAM + 1 - width
-    if rest:
-        least = np.minimum(least[:-rest], least[rest:])
-    inside = np.ones(len(least), bool)  # windows that lie in one piece
-    for s in starts[1:]:
-        inside[max(0, s - WINDOW + 1) : s] = False
-    window = np.flatnonzero(inside)
-    anchor = (least[window] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-    lo, hi, at = window[first], window[np.append(first[1:], len(window)) - 1], anchor[first]
-    lead = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        lead = lead << np.uint64(8) | data[at + k].astype(np.uint64)
-    place = (at - lo).astype(np.uint64) << np.uint64(32) | (hi - lo).astype(np.uint64)
-    return lo, hi, lead, h.of(at, at + GRAM), mixed(h.of(lo, hi + WINDOW) ^ mixed(place + np.uint64(1)))
-
-
-def signed(x: np.ndarray) -> np.ndarray:
-    """Unsigned keys as longs in the same order."""
-    return (x ^ np.uint64(1 << 63)).view(np.int64)
-
-
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Intervals of documents, overlapping and touching ones joined."""
     if len(doc) == 0:
@@ -143,150 +105,246 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[new], start[new], reach[np.append(np.flatnonzero(new)[1:], len(doc)) - 1]
 
 
-SUFFIXES = "bucket int, lead long, gram long, context long, ord long, lo int, size int"
-
-
-def bucket_of(keys: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray:
-    """How many splitters (tuples in order, one array for each key) each tuple of keys reaches."""
-    left, right = np.searchsorted(splitters[0], keys[0], "left"), np.searchsorted(splitters[0], keys[0], "right")
-    out = right
-    if len(keys) > 1:
-        for s in np.unique(left[left < right]):
-            rows = np.flatnonzero((left == s) & (left < right))
-            e = right[rows[0]]
-            out[rows] = s + bucket_of([k[rows] for k in keys[1:]], [x[s:e] for x in splitters[1:]])
+def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of a chunk that have windows: first and last window, and where the suffix starts."""
+    n = len(data)
+    up, down = powers()
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(TABLE[data] * up[:n], out=sums[1:])
+    bits = np.uint64(CHUNK.bit_length())
+    keys = mixed((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
+    keys = (keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64)
+    width, least = 1, keys
+    while width * 2 <= LEFT + 1:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if rest := LEFT + 1 - width:
+        least = np.minimum(least[:-rest], least[rest:])
+    inside = np.ones(len(least), bool)  # windows that lie in one piece
+    for s in starts[1:]:
+        inside[max(0, s - WINDOW + 1) : s] = False
+    window = np.flatnonzero(inside)
+    anchor = (least[window] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    return window[first], window[np.append(first[1:], len(window)) - 1], anchor[first]
+
+
+def suffix_rows(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bytes of suffixes as rows; what no window of a suffix covers is zero."""
+    padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(WINDOW, np.uint8)])
+    around = np.lib.stride_tricks.sliding_window_view(padded, LEFT + WINDOW)[at]
+    out = np.zeros((len(at), ROW), np.uint8)
+    right, left = np.arange(WINDOW), np.arange(LEFT)
+    out[:, RIGHT_AT : RIGHT_AT + WINDOW] = around[:, LEFT:] * (right < (hi + WINDOW - at)[:, None])
+    out[:, LEFT_AT : LEFT_AT + LEFT] = around[:, :LEFT] * (left >= (LEFT - at + lo)[:, None])
+    out[:, PLACE_AT], out[:, PLACE_AT + 1] = at - lo, at - hi
     return out
 
 
-def suffix_rows(batch: pa.RecordBatch, splitters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Runs of a batch with their buckets; of those with equal context in a chunk, the first, and marks (size < 0) for the rest."""
-    for data, starts, order, place in pieces(batch):
-        lo, hi, lead, gram, context = runs(data, starts)
-        piece = np.searchsorted(starts, lo, "right") - 1
-        doc, size = order[piece], (hi - lo).astype(np.int32)
-        lo = lo - starts[piece] + place[piece]
-        lead, gram, context = signed(lead), signed(gram), signed(context)
-        o = np.lexsort((lo, doc, context, gram, lead))
-        same = np.append(False, (lead[o][1:] == lead[o][:-1]) & (gram[o][1:] == gram[o][:-1]) & (context[o][1:] == context[o][:-1]))
-        again, o = o[same], o[~same]
-        bucket = bucket_of([lead[o], gram[o], context[o]], splitters).astype(np.int32)
-        d, s, e = merged(doc[again], lo[again], lo[again] + size[again] + WINDOW)
-        zero = np.zeros(len(d), np.int64)
-        cols = [
-            np.append(bucket, (d % (len(splitters[0]) + 1)).astype(np.int32)), np.append(lead[o], zero), np.append(gram[o], zero), np.append(context[o], zero),
-            np.append(doc[o], d), np.append(lo[o], s).astype(np.int32), np.append(size[o], s - e).astype(np.int32),
-        ]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "lead", "gram", "context", "ord", "lo", "size"])
-
-
-def sampled_splitters(docs: DataFrame, n: int) -> list[np.ndarray]:
-    """Up to n tuples (lead, gram, context) that cut the suffixes of a bounded sample of documents evenly."""
-    total = max(1, docs.count())
-    sample = docs if total <= SAMPLED else docs.sample(fraction=min(1.0, SAMPLED / total), seed=7).limit(2 * SAMPLED)
-    empty = [np.zeros(0, np.int64)] * 3
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield from suffix_rows(b, empty)
-
-    # At most a few hundred suffixes of each task of the sample reach the driver.
-    rows = sample.mapInArrow(run, SUFFIXES).where("size >= 0").select("lead", "gram", "context").sample(fraction=0.2, seed=7).limit(20 * n + 1000).toArrow()
-    keys = [rows.column(i).to_numpy() for i in range(3)]
-    o = np.lexsort(keys[::-1])
-    at = o[(np.arange(1, n + 1) * len(o)) // (n + 1)] if len(o) else o
-    return [k[at] for k in keys]
-
+def multikey_quicksort(words: np.ndarray, last: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of words (then of ``last``), and how many leading words each shares with the row before it.
 
-def compare(batches: Iterator[pa.RecordBatch], splitters: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes to marks (ord, lo, end, open false) and runs left to compare (open true)."""
-    edge = set(zip(splitters[0].tolist(), splitters[1].tolist()))
-    edge_leads = np.unique(splitters[0])
-    before: tuple[int, int, int] | None = None
-    waiting: tuple[int, int, int] | None = None  # the only context of its group so far
+    Rows are put in order by one word; only runs of equal rows go on to the next.
+    """
+    n, columns = words.shape
+    order, depth = np.arange(n), np.zeros(n, np.int16)
+    at, group = np.arange(n), np.zeros(n, np.int64)
+    for k in range(columns + len(last)):
+        if len(at) == 0:
+            break
+        rows = order[at]
+        v = words[rows, k].astype(np.uint64) if k < columns else last[k - columns][rows]
+        o = np.lexsort((v, group)) if k else np.argsort(v, kind="quicksort")
+        order[at], v = rows[o], v[o]
+        same = np.append(False, (group[1:] == group[:-1]) & (v[1:] == v[:-1]))
+        depth[at[same]] = k + 1
+        tied = same | np.append(same[1:], False)
+        at, group = at[tied], np.cumsum(~same)[tied]
+    return order, depth
+
+
+class Suffixes:
+    """Rows of suffixes with their documents and starts, kept in order without repeats."""
+
+    def __init__(self, rows: np.ndarray, doc: np.ndarray, at: np.ndarray) -> None:
+        order, depth = multikey_quicksort(rows.view(">u8"), (doc, at))
+        again, new = order[depth >= WORDS], depth < WORDS
+        #: Intervals of those that an earlier suffix equals in all its windows.
+        self.marks = merged(doc[again], at[again] - rows[again, PLACE_AT], at[again] - rows[again, PLACE_AT + 1] + WINDOW)
+        order = order[new]
+        self.rows, self.doc, self.at = rows[order], doc[order], at[order]
+        #: One number for all suffixes that begin with the same GRAM bytes.
+        self.gram = np.cumsum(depth < GRAM_WORDS)[new]
+
+    def leading(self) -> np.ndarray:
+        return np.ascontiguousarray(self.rows[:, RIGHT_AT : RIGHT_AT + WINDOW]).view(f"S{WINDOW}").reshape(-1)
+
+    def pack(self, s: int, e: int) -> bytes:
+        part = self.rows[s:e].tobytes() + self.doc[s:e].astype("<i8").tobytes() + self.at[s:e].astype("<i4").tobytes()
+        return struct.pack("<I", e - s) + zstandard.ZstdCompressor(1).compress(part)
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    (n,) = struct.unpack_from("<I", blob)
+    data = zstandard.ZstdDecompressor().decompress(blob[4:])
+    return np.frombuffer(data, np.uint8, n * ROW).reshape(n, ROW), np.frombuffer(data, "<i8", n, n * ROW), np.frombuffer(data, "<i4", n, n * (ROW + 8)).astype(np.int64)
+
+
+def chunk_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[Suffixes]:
+    """The suffixes of texts (order key, text), those of about FLUSH bytes together."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+    for b in batches:
+        for data, starts, order, place in pieces(b):
+            lo, hi, at = anchors(data, starts)
+            piece = np.searchsorted(starts, lo, "right") - 1
+            held.append((suffix_rows(data, lo, hi, at), order[piece], at - starts[piece] + place[piece]))
+            size += len(data)
+            if size >= FLUSH:
+                yield Suffixes(*(np.concatenate(x) for x in zip(*held)))
+                held, size = [], 0
+    if held:
+        yield Suffixes(*(np.concatenate(x) for x in zip(*held)))
+
+
+DEALT = "bucket int, data binary, ord long, lo int, end int"
+
+
+def deal(batches: Iterator[pa.RecordBatch], splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Packs of suffixes for each range, and marks (with no data) in any range."""
+    names = ["bucket", "data", "ord", "lo", "end"]
+    for s in chunk_suffixes(batches):
+        bucket = np.searchsorted(splitters, s.leading(), "right")
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        packs = [s.pack(a, e) for a, e in zip(cuts[:-1], cuts[1:])]
+        none = pa.nulls(len(packs), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(packs, pa.binary()), none, none.cast(pa.int32()), none.cast(pa.int32())], names)
+        doc, lo, end = s.marks
+        bucket = (doc % (len(splitters) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(len(doc), pa.binary()), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(end.astype(np.int32))], names)
+
+
+def sampled_splitters(texts: DataFrame, n: int, total: int) -> np.ndarray:
+    """Up to n leading bytes that cut the suffixes of a bounded sample of documents evenly."""
+    wanted = max(SAMPLED, DOCS_EACH * n)
+    sample = texts if total <= wanted else texts.sample(fraction=min(1.0, wanted / total), seed=7).limit(2 * wanted)
 
-    def out(ord_: np.ndarray, lo: np.ndarray, end: np.ndarray, open_: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ord_, pa.int64()), pa.array(lo, pa.int32()), pa.array(end, pa.int32()), pa.array(np.full(len(ord_), open_))], ["ord", "lo", "end", "open"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in chunk_suffixes(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(s.leading().tolist(), pa.binary())], ["key"])
+
+    keys = sample.mapInArrow(run, "key binary").sample(fraction=0.2, seed=7).limit(KEYS_EACH * n + 1000).toArrow().column(0).to_pylist()
+    keys = np.sort(np.array(keys, f"S{WINDOW}"))
+    return np.unique(keys[(np.arange(1, n + 1) * len(keys)) // (n + 1)]) if len(keys) else keys
+
+
+def shared_bytes(rows: np.ndarray, splitter: bytes) -> np.ndarray:
+    """How many leading bytes of suffixes are those of a splitter."""
+    same = rows[:, RIGHT_AT : RIGHT_AT + WINDOW] == np.frombuffer(splitter.ljust(WINDOW, b"\0"), np.uint8)
+    return np.where(same.all(axis=1), WINDOW, same.argmin(axis=1))
+
+
+def compare(s: Suffixes, edges: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Of the suffixes of a range the later ones of equal windows (as intervals), and the first ones that may go on beyond its edges."""
+    # A window reaches beyond a splitter only if it shares the splitter's bytes from its suffix to its own end.
+    limit = np.max([shared_bytes(s.rows, e) for e in edges], axis=0) - GRAM if edges else np.full(len(s.doc), -1)
+    open_ = (np.bincount(s.gram)[s.gram] > 1) | (limit >= 0)
+    rows, doc, at, gram, limit = s.rows[open_], s.doc[open_], s.at[open_], s.gram[open_], limit[open_]
+    o = np.lexsort((at, doc))
+    rows, doc, at, gram, limit = rows[o], doc[o], at[o], gram[o], limit[o]
+    around = np.concatenate([rows[:, LEFT_AT : LEFT_AT + LEFT], rows[:, RIGHT_AT : RIGHT_AT + WINDOW]], axis=1)
+    first, last = LEFT - rows[:, PLACE_AT].astype(int), LEFT - rows[:, PLACE_AT + 1].astype(int)
+    salt = mixed(gram.astype(np.uint64))
+    up, down = powers()
+    sums = np.zeros(len(doc), np.uint64)
+    for p in range(WINDOW):
+        sums += TABLE[around[:, p]] * up[p]
+    marks, beyond = [], []
+    for p in range(LEFT + 1):
+        there = np.flatnonzero((first <= p) & (p <= last))
+        key = mixed(sums[there] * down[p]) ^ salt[there]
+        later = repeats(key, gram[there], around[there, p : p + WINDOW])
+        start = at[there] + p - LEFT
+        marks.append((doc[there[later]], start[later], start[later] + WINDOW))
+        on = ~later & (limit[there] >= p)
+        if on.any():
+            beyond.append((np.ascontiguousarray(around[there[on], p : p + WINDOW]), doc[there[on]], start[on]))
+        if p < LEFT:
+            sums += TABLE[around[:, p + WINDOW]] * up[p + WINDOW] - TABLE[around[:, p]] * up[p]
+    return merged(*(np.concatenate(x) for x in zip(*marks))), beyond
+
+
+def repeats(key: np.ndarray, gram: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which rows equal an earlier one in gram and text; equal ones have equal keys."""
+    o = np.argsort(key, kind="stable")
+    new = np.append(True, key[o][1:] != key[o][:-1])[: len(o)]
+    of = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
+    i, f = o[~new], of[~new]
+    later = np.zeros(len(key), bool)
+    later[i] = (gram[i] == gram[f]) & (text[i] == text[f]).all(axis=1)
+    odd = np.unique(key[i[~later[i]]])
+    if len(odd):  # different rows with one key
+        seen = set()
+        for k in np.flatnonzero(np.isin(key, odd)):
+            row = (int(gram[k]), text[k].tobytes())
+            later[k] = row in seen
+            seen.add(row)
+    return later
+
+
+FOUND = "ord long, lo int, end int, window binary"
+
+
+def found(doc: np.ndarray, lo: np.ndarray, end: np.ndarray, window: np.ndarray | None = None) -> pa.RecordBatch:
+    text = pa.nulls(len(doc), pa.binary()) if window is None else pa.array([w.tobytes() for w in window], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo.astype(np.int32)), pa.array(end.astype(np.int32)), text], ["ord", "lo", "end", "window"])
+
+
+def solve(batches: Iterator[pa.RecordBatch], splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Ranges in order of their number to marks, and to windows (with their text) to compare with other ranges."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size, bucket = 0, -1
+
+    def joined() -> Suffixes:
+        return Suffixes(*(np.concatenate(x) for x in zip(*held)))
+
+    def close() -> Iterator[pa.RecordBatch]:
+        s = joined()
+        yield found(*s.marks)
+        edges = [bytes(splitters[k]) for k in (bucket - 1, bucket) if 0 <= k < len(splitters)]
+        marks, beyond = compare(s, edges)
+        yield found(*marks)
+        for window, doc, lo in beyond:
+            yield found(doc, lo, lo + WINDOW, window)
 
     for b in batches:
-        lead, gram, context, doc, lo, size = (b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7))
-        if (marks := size < 0).any():
-            yield out(doc[marks], lo[marks], lo[marks] - size[marks], False)
-            lead, gram, context, doc, lo, size = (x[~marks] for x in (lead, gram, context, doc, lo, size))
-        if len(lead) == 0:
-            continue
-        p = before or (int(lead[0]) ^ 1, 0, 0)
-        group = (lead != np.append(p[0], lead[:-1])) | (gram != np.append(p[1], gram[:-1]))
-        first = group | (context != np.append(p[2], context[:-1]))
-        if not first.all():
-            again = ~first
-            yield out(doc[again], lo[again], lo[again] + size[again] + WINDOW, False)
-        at = np.flatnonzero(first)
-        if len(at):
-            if waiting and not group[at[0]]:
-                yield out(*(np.array([x]) for x in waiting), True)
-            waiting = None
-            more = np.append(~group[at[1:]], False)
-            at_edge = np.isin(lead[at], edge_leads)
-            if at_edge.any():
-                at_edge &= np.array([(x, y) in edge for x, y in zip(lead[at].tolist(), gram[at].tolist())])
-            left = at[~group[at] | more | at_edge]
-            if len(left):
-                yield out(doc[left], lo[left], lo[left] + size[left], True)
-            if group[at[-1]] and not at_edge[-1]:
-                k = at[-1]
-                waiting = int(doc[k]), int(lo[k]), int(lo[k] + size[k])
-        before = int(lead[-1]), int(gram[-1]), int(context[-1])
-
-
-def open_windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The windows of the runs (ord, text, runs) left to compare: of equal ones in a chunk the first, and marks (end > 0) for the rest."""
-    wanted = {o: r for o, r in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())}
-    for data, starts, order, place in pieces(batch):
-        at = []
-        for s, o, p, e in zip(starts, order, place, np.append(starts[1:], len(data))):
-            r = np.array([(x["lo"], x["end"]) for x in wanted[int(o)]])
-            lo, end = np.maximum(r[:, 0], p), np.minimum(r[:, 1], p + (e - s) - WINDOW)
-            lo, n = lo[end >= lo], (end - lo + 1)[end >= lo]
-            if len(n):
-                at.append(np.repeat(lo - p + s - np.cumsum(n) + n, n) + np.arange(n.sum()))
-        if not at:
-            continue
-        w = np.unique(np.concatenate(at))
-        h1, h2 = (signed(Hashes(data, k).of(w, w + WINDOW)) for k in (0, 1))
-        piece = np.searchsorted(starts, w, "right") - 1
-        doc, lo = order[piece], w - starts[piece] + place[piece]
-        o = np.lexsort((lo, doc, h2, h1))
-        same = np.append(False, (h1[o][1:] == h1[o][:-1]) & (h2[o][1:] == h2[o][:-1]))
-        again, o = o[same], o[~same]
-        d, s, e = merged(doc[again], lo[again], lo[again] + WINDOW)
-        cols = [np.append(h1[o], d), np.append(h2[o], s), np.append(doc[o], d), np.append(lo[o], s).astype(np.int32), np.append(np.zeros(len(o), np.int32), e).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h1", "h2", "ord", "lo", "end"])
-
-
-def later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows sorted by hash, document and place to marks for all but the first of each."""
-    p = None
+        marks = np.array(b.column(1).is_null())
+        if marks.any():
+            yield found(*(b.column(k).filter(pa.array(marks)).to_numpy() for k in (2, 3, 4)))
+        for k in np.flatnonzero(~marks).tolist():
+            if held and b.column(0)[k].as_py() != bucket:
+                yield from close()
+                held, size = [], 0
+            bucket = b.column(0)[k].as_py()
+            held.append(unpack(b.column(1)[k].as_py()))
+            size += len(held[-1][1])
+            if size > HELD and len(held) > 1:
+                s = joined()
+                yield found(*s.marks)
+                held, size = [(s.rows, s.doc, s.at)], 0
+    if held:
+        yield from close()
+
+
+def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows in order of text, document and start to marks for all but the first of equal ones."""
+    before = None
     for b in batches:
-        h1, h2, doc, lo, end = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        mark = end > 0
-        d, s, e = doc[mark], lo[mark], end[mark]
-        h1, h2, doc, lo = (x[~mark] for x in (h1, h2, doc, lo))
-        if len(h1):
-            p = p or (int(h1[0]) ^ 1, 0)
-            same = (h1 == np.append(p[0], h1[:-1])) & (h2 == np.append(p[1], h2[:-1]))
-            d, s, e = np.append(d, doc[same]), np.append(s, lo[same]), np.append(e, lo[same] + WINDOW)
-            p = int(h1[-1]), int(h2[-1])
-        d, s, e = merged(d, s.astype(np.int64), e.astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["ord", "lo", "end"])
-
-
-def each(f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield from f(b)
-
-    return run
+        text = b.column(3).to_pylist()
+        again = np.array([t == u for t, u in zip(text, [before, *text[:-1]])], bool)
+        doc, lo, end = (b.column(k).to_numpy(zero_copy_only=False)[again] for k in (0, 1, 2))
+        yield found(*merged(doc, lo.astype(np.int64), end.astype(np.int64)))
+        before = text[-1] if text else before
 
 
 def ordered(docs: DataFrame, work: Workspace) -> DataFrame:
@@ -314,23 +372,14 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = ordered(df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.struct(*others).alias("record")), work)
     texts = docs.select("ord", "text").where(F.octet_length("text") >= WINDOW)
-    cuts = sampled_splitters(texts, PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def sort_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield from suffix_rows(b, cuts)
-
-    suffixes = texts.mapInArrow(sort_keys, SUFFIXES).repartition("bucket").sortWithinPartitions("lead", "gram", "context", "ord", "lo")
-    found = work.put(suffixes.mapInArrow(lambda b: compare(b, cuts), "ord long, lo int, end int, open boolean"), "compared")
-    del suffixes
-    work.release_shuffles()
-    open_runs = found.where("open").groupBy("ord").agg(F.collect_list(F.struct("lo", "end")).alias("runs"))
-    windows = texts.join(open_runs, "ord").select("ord", "text", "runs").mapInArrow(each(open_windows), "h1 long, h2 long, ord long, lo int, end int")
-    later = work.put(windows.repartition("h1").sortWithinPartitions("h1", "h2", "ord", "lo").mapInArrow(later_windows, "ord long, lo int, end int"), "later")
-    del windows, open_runs
-    work.release_shuffles()
-    marks = found.where("not open").select("ord", "lo", "end").unionByName(later).groupBy("ord").agg(F.collect_list(F.struct("lo", "end")).alias("marks"))
+    size = texts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    ranges = max(PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), (size["bytes"] or 0) // RANGE_BYTES)
+    cuts = spark.sparkContext.broadcast(sampled_splitters(texts, min(ranges, MOST_SPLITTERS), size["n"]))
+    dealt = texts.mapInArrow(lambda b: deal((x for x in b if x.num_rows), cuts.value), DEALT)
+    sorted_ = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: solve(b, cuts.value), FOUND)
+    solved = work.put(sorted_, "found")
+    beyond = solved.where("window is not null").repartition("window").sortWithinPartitions("window", "ord", "lo").mapInArrow(across, FOUND)
+    marks = solved.where("window is null").unionByName(beyond).groupBy("ord").agg(F.collect_list(F.struct("lo", "end")).alias("marks"))
     joined = docs.join(marks, "ord", "left").select("doc_id", "text", "marks", "record")
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
