@@ -1,23 +1,28 @@
 """Language-model scores by a weighted backoff automaton.
 
-Words, pairs and triples whose share of the training tokens reaches a fixed
-threshold become states, so their number is bounded by its inverse at any size
-of the corpus. An arc carries the discounted log-probability of a word after the
-state's words; a failure arc carries the backoff weight to the state of a shorter
-history. One pass from left to right carries the state. Words below the
-threshold are scored after the empty history by their exact counts, which are
-joined to the rare words of the documents and never gathered in one place.
+States are the empty history and every word of the training texts. An arc leads
+from a word's state over each pair of words that occurs MIN_COUNT times or more
+and carries its discounted, interpolated log-probability; a failure arc leads to
+the empty state, whose arcs are the smoothed words, and carries the backoff
+weight. One pass from left to right carries the state and adds up the weights.
+All words and pairs of the corpus are counted, so the automaton grows with it.
+
+The automaton is never in one place. Texts are taken in parts of a few megabytes;
+each part sends its different pairs and words to buckets by their hashes, with
+its counts; a bucket adds up what all parts sent and answers each part in the
+order of its question. So a part gets just the slice of the automaton that its
+texts walk on. What is sent are packs of numbers, one for each part and bucket.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import struct
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,228 +31,275 @@ from sparkloom.llm.common import documents, small_batches
 from sparkloom.llm.toxicity import remainder
 from sparkloom.storage import Workspace
 
-#: Least share of the training tokens of a word, and of a pair or triple, in the automaton: at most 1 / share of them.
-WORD_SHARE, GRAM_SHARE = 1e-6, 5e-6
-DISCOUNT = 0.5
-#: The token that ends each document (no word is empty).
-END = ""
-#: Entries that a counting task holds before it hands them on.
-HELD = 300_000
+#: Occurrences in the training texts that make an arc of a pair, and what is taken off each arc's count.
+MIN_COUNT, DISCOUNT = 2, 0.5
+#: Text of a part (a longer document is a part of its own), and buckets for each shuffle partition.
+PART_BYTES, BUCKETS_EACH = 8 << 20, 2
+#: Kinds of packs: the words of a part's texts, pairs, words, and sums over the arcs of a state.
+TEXTS, PAIRS, WORDS, SUMS = range(4)
+PACKS = "kind int, part long, bucket int, data binary, docs array<long>, n long, kinds long"
+NAMES = ["kind", "part", "bucket", "data", "docs", "n", "kinds"]
+TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
 
 
-def words_of(text: str | None) -> list[str]:
+def words_of(text: str | None) -> list[bytes]:
     """Words of a text with A-Z in lower case, cut at ASCII white space only."""
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    c: Counter[bytes] = Counter()
+def squeeze(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays as one compressed pack."""
+    parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
+    return struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + zstandard.ZstdCompressor(1).compress(b"".join(parts))
 
-    def out() -> pa.RecordBatch:
-        words = pa.array(list(c), pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([words, pa.array(list(c.values()), pa.int64())], ["word", "n"])
+
+def spread(pack: bytes) -> list[bytes]:
+    (n,) = struct.unpack_from("<I", pack)
+    sizes = struct.unpack_from(f"<{n}Q", pack, 4)
+    data, out, at = zstandard.ZstdDecompressor().decompress(pack[4 + 8 * n :], max_output_size=max(1, sum(sizes))), [], 0
+    for s in sizes:
+        out.append(data[at : at + s])
+        at += s
+    return out
+
+
+def packs(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * len(NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, TYPES)], NAMES)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(mixed(first) * np.uint64(0x9E3779B97F4A7C15) + second)
+
+
+class Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+class Walk:
+    """The tokens of a part: words by number (0 ends a document, and so stands before the next), their hashes, their pairs."""
+
+    def __init__(self, ids: np.ndarray, hashes: np.ndarray, buckets: int) -> None:
+        self.ids, self.hashes = ids, hashes
+        self.state = np.append(0, ids[:-1]).astype(np.int64) if len(ids) else ids.astype(np.int64)
+        keys, self.pair = np.unique(self.state * len(hashes) + ids, return_inverse=True)
+        self.first, self.second = np.divmod(keys, max(1, len(hashes)))
+        bucket = (pair_hash(hashes[self.first], hashes[self.second]) >> np.uint64(20)) % np.uint64(buckets)
+        self.by_bucket, self.pair_cuts = grouped(bucket, buckets)
+        self.words_by_bucket, self.word_cuts = grouped(word_bucket(hashes, buckets), buckets)
+
+
+def word_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(hashes) >> np.uint64(20)) % np.uint64(buckets)
+
+
+def grouped(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes in order of bucket, and where each bucket's begin."""
+    o = np.argsort(bucket, kind="stable")
+    return o, np.searchsorted(bucket[o], np.arange(buckets + 1, dtype=np.uint64))
+
+
+def ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, train) to packs: the texts as numbers, and the pairs and words of each part for each bucket with their training counts."""
+    made = 0
+    docs: list[int | None] = []
+    numbers, flat, lengths, learnt, size = Numbers({b"": 0}), [], [], [], 0
+
+    def close() -> Iterator[pa.RecordBatch]:
+        part = (TaskContext.get().partitionId() << 32) + made
+        ids = np.concatenate(flat)
+        words = list(numbers)
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        walk = Walk(ids, hashes, buckets)
+        teaches = np.repeat(np.array(learnt, bool), lengths)
+        pair_counts = np.bincount(walk.pair[teaches], minlength=len(walk.first))
+        word_counts = np.bincount(ids[teaches], minlength=len(words))
+        yield packs([(TEXTS, part, 0, squeeze(ids.astype("<i4"), hashes, np.array(lengths, "<i8")), docs, None, None)])
+        out = []
+        for k in range(buckets):
+            p = walk.by_bucket[walk.pair_cuts[k] : walk.pair_cuts[k + 1]]
+            if len(p):
+                out.append((PAIRS, part, k, squeeze(hashes[walk.first[p]], hashes[walk.second[p]], pair_counts[p].astype("<i8")), None, None, None))
+            w = walk.words_by_bucket[walk.word_cuts[k] : walk.word_cuts[k + 1]]
+            if len(w):
+                out.append((WORDS, part, k, squeeze(b"\n".join([words[x] for x in w]), word_counts[w].astype("<i8")), None, None, None))
+        yield packs(out)
 
     for b in batches:
-        for text in b.column(0).to_pylist():
-            c.update(words_of(text))
-        c[END.encode()] += b.num_rows
-        if len(c) > HELD:
-            yield out()
-            c.clear()
-    if c:
-        yield out()
-
-
-def id_arrays(batch: pa.RecordBatch, ids: dict[bytes, int], end: int) -> np.ndarray:
-    """The ids of a batch's tokens in a row (-1: not in ids), an end before and after each document, and -1 between documents."""
-    flat: list[int] = []
-    get = ids.get
-    for text in batch.column(0).to_pylist():
-        flat.append(end)
-        flat += [get(w, -1) for w in words_of(text)]
-        flat += (end, -1)
-    return np.array(flat, np.int64)
-
-
-def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-    keys, n = np.unique(np.concatenate(parts), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
-
-
-def count_grams(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int], pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Keys of pairs of known words, or of triples whose two pairs are both in ``pairs``, with counts."""
-    end, size, parts, held = ids[END.encode()], np.int64(len(ids)), [], 0
+        for doc, text, train in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            tokens = words_of(text.as_py())
+            flat.append(np.array([*map(numbers.__getitem__, tokens), 0], np.int64))
+            docs.append(doc)
+            lengths.append(len(tokens) + 1)
+            learnt.append(train)
+            size += 1 + len(text.as_py() or "")
+            if size >= PART_BYTES:
+                yield from close()
+                made += 1
+                docs, numbers, flat, lengths, learnt, size = [], Numbers({b"": 0}), [], [], [], 0
+    if docs:
+        yield from close()
+
+
+def by_key(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, list[dict]]]:
+    """Rows in order of a column, those of one value together."""
+    held: list[dict] = []
     for b in batches:
-        x = id_arrays(b, ids, end)
-        known = (x[:-1] >= 0) & (x[1:] >= 0)
-        keys = x[:-1] * size + x[1:]
-        if pairs is None:
-            keys = keys[known]
-        else:
-            kept = known & np.isin(keys, pairs)
-            at = np.flatnonzero(kept[:-1] & kept[1:])
-            keys = keys[at] * size + x[at + 2]
-        parts.append(keys)
-        held += len(keys)
-        if held > 4 * HELD:
-            yield counted(parts)
-            parts, held = [], 0
+        for k in range(b.num_rows):
+            row = {n: b.column(i)[k].as_py() for i, n in enumerate(NAMES[:5])}
+            if held and row[NAMES[column]] != held[0][NAMES[column]]:
+                yield held[0][NAMES[column]], held
+                held = []
+            held.append(row)
     if held:
-        yield counted(parts)
-
-
-@dataclass
-class Automaton:
-    """States are numbered from 0, the empty history; ``start`` is the history of a document's first word."""
-
-    words: list[str]
-    log_count: np.ndarray  # log10(c + 0.5) of each word
-    arcs: dict[int, int]  # state * len(words) + word -> arc
-    weight: list[float]
-    target: list[int]
-    back: list[float]
-    fail: list[int]
-    start: int
-    log_total: float
-
-    def scorer(self) -> Callable[[list[bytes]], tuple[float, float, list[bytes]]]:
-        """For the tokens of a document but its end: the model's and the base's sums over known words and the end, and the rare words."""
-        ids = {w.encode(): i for i, w in enumerate(self.words)}
-        end, size = ids[END.encode()], len(ids)
-        arc, weight, target, back, fail, get = self.arcs.get, self.weight, self.target, self.back, self.fail, ids.get
-        log_count, log_total = self.log_count.tolist(), self.log_total
-
-        def score(tokens: list[bytes]) -> tuple[float, float, list[bytes]]:
-            state, total, base, rare = self.start, 0.0, 0.0, []
-            for w in [*tokens, None]:
-                i = end if w is None else get(w)
-                if i is None:
-                    while state:
-                        total += back[state]
-                        state = fail[state]
-                    rare.append(w)
-                    continue
-                base += log_count[i] - log_total
-                while (a := arc(state * size + i)) is None:
-                    total += back[state]
-                    state = fail[state]
-                total += weight[a]
-                state = target[a]
-            return total, base, rare
-
-        return score
-
-
-def build(words: list[str], counts: np.ndarray, pairs: dict[int, int], triples: dict[int, int], n_words: int, total: int, kinds: int) -> Automaton:
-    """The automaton. Pairs and triples are between the first ``n_words`` words: keys in base n_words."""
-    size, m = len(words), n_words
-    log_total = math.log10(total + 0.5 * (kinds + 1))
-    uni = (counts + 0.5) / (total + 0.5 * (kinds + 1))
-    after: dict[int, list[tuple[int, float]]] = {}
-    for key, n in pairs.items():
-        h, w = divmod(key, m)
-        after.setdefault(h, []).append((w, (n - DISCOUNT) / counts[h]))
-    after2: dict[int, list[tuple[int, float]]] = {}
-    for key, n in triples.items():
-        h, w = divmod(key, m)
-        after2.setdefault(h, []).append((w, (n - DISCOUNT) / pairs[h]))
-    # States: 0, then single words with successors or that start a kept pair's history, then pairs with successors.
-    one = {h: k + 1 for k, h in enumerate(sorted(after))}
-    two = {h: len(one) + 1 + k for k, h in enumerate(sorted(after2))}
-    back, fail = [0.0] * (1 + len(one) + len(two)), [0] * (1 + len(one) + len(two))
-    arcs: dict[int, int] = {}
-    weight: list[float] = []
-    target: list[int] = []
-
-    def add(state: int, w: int, p: float, to: int) -> None:
-        arcs[state * size + w] = len(weight)
-        weight.append(math.log10(p))
-        target.append(to)
-
-    for w in range(size):
-        add(0, w, uni[w], one.get(w, 0))
-    bigram: dict[int, float] = {}
-    for h, succ in after.items():
-        left = max(1e-12, 1 - sum(p for _, p in succ)) / max(1e-12, 1 - sum(uni[w] for w, _ in succ))
-        back[one[h]] = math.log10(left)
-        for w, p in succ:
-            bigram[h * m + w] = p
-            add(one[h], w, p, two.get(h * m + w, one.get(w, 0)))
-    for h, succ in after2.items():
-        v = h % m
-        left = max(1e-12, 1 - sum(p for _, p in succ)) / max(1e-12, 1 - sum(bigram[v * m + w] for w, _ in succ))
-        back[two[h]], fail[two[h]] = math.log10(left), one[v]
-        for w, p in succ:
-            add(two[h], w, p, two.get(v * m + w, one.get(w, 0)))
-    return Automaton(words, np.log10(counts + 0.5), arcs, weight, target, back, fail, one.get(words.index(END), 0), log_total)
-
-
-def score_documents(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        yield held[0][NAMES[column]], held
+
+
+def summed(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each entry the sum of n over its equals; one entry of each kind; the sums of these."""
+    h = pair_hash(first, second)
+    o = np.argsort(h)
+    new = lambda: np.append(True, (first[o][1:] != first[o][:-1]) | (second[o][1:] != second[o][:-1]))
+    cut = new()
+    if (cut[1:] & (h[o][1:] == h[o][:-1])).any():  # different pairs with one hash
+        o = np.lexsort((second, first))
+        cut = new()
+    at = np.flatnonzero(cut)
+    sums = np.add.reduceat(n[o], at)
+    out = np.empty(len(n), np.int64)
+    out[o] = np.repeat(sums, np.diff(np.append(at, len(n))))
+    return out, o[at], sums
+
+
+def answer_pairs(batches: Iterator[pa.RecordBatch], buckets: int, least: int, discount: float) -> Iterator[pa.RecordBatch]:
+    """Packs of pairs in order of bucket to their counts (0 for those without an arc) in the same order, and what the arcs of each state add up to."""
+    for bucket, rows in by_key(batches, 2):
+        parts = [spread(r["data"]) for r in rows]
+        first, second, n = (np.concatenate([np.frombuffer(p[k], t) for p in parts]) for k, t in ((0, "<u8"), (1, "<u8"), (2, "<i8")))
+        sums, kinds, of_kind = summed(first, second, n)
+        sums[sums < least] = 0
+        out, at = [], 0
+        for r, p in zip(rows, parts):
+            size = len(p[2]) // 8
+            out.append((PAIRS, r["part"], bucket, squeeze(sums[at : at + size].astype("<i8")), None, None, None))
+            at += size
+        arcs = of_kind >= least
+        state, which = np.unique(first[kinds[arcs]], return_inverse=True)
+        mass = np.bincount(which, of_kind[arcs] - discount, len(state))
+        o, cuts = grouped(word_bucket(state, buckets), buckets)
+        for k in range(buckets):
+            if cuts[k] < cuts[k + 1]:
+                mine = o[cuts[k] : cuts[k + 1]]
+                out.append((SUMS, None, k, squeeze(state[mine], mass[mine]), None, None, None))
+        yield packs(out)
+
+
+def answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs of words and of sums in order of bucket to counts and sums of the words in the same order, and totals."""
+    for bucket, rows in by_key(batches, 2):
+        number = Numbers()
+        asked, counts = [], []
+        states, masses = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for r in rows:
+            a, n = spread(r["data"])
+            if r["kind"] == SUMS:
+                states.append(np.frombuffer(a, "<u8"))
+                masses.append(np.frombuffer(n, "<f8"))
+            else:
+                asked.append((r["part"], np.array([number[w] for w in a.split(b"\n")], np.int64)))
+                counts.append(np.frombuffer(n, "<i8"))
+        total = np.zeros(len(number), np.int64)
+        for (_, ids), n in zip(asked, counts):
+            np.add.at(total, ids, n)
+        state, which = np.unique(np.concatenate(states), return_inverse=True)
+        mass = np.bincount(which, np.concatenate(masses), len(state))
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in number], np.uint64)
+        at = np.minimum(np.searchsorted(state, hashes), max(0, len(state) - 1))
+        arcs = np.where(state[at] == hashes, mass[at], 0.0) if len(state) else np.zeros(len(hashes))
+        out = [(WORDS, part, bucket, squeeze(total[ids], arcs[ids]), None, None, None) for part, ids in asked]
+        yield packs([*out, (WORDS, None, bucket, None, None, int(total.sum()), int((total > 0).sum()))])
+
+
+SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def traverse(walk: Walk, counts: np.ndarray, words: np.ndarray, arcs: np.ndarray, total: int, kinds: int, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Known words, base and model log-probabilities of each token, read from left to right.
+
+    The state before a token is that of the word before it, so the states of all tokens of a part are carried as one vector.
+    """
+    empty = np.log10(words + 0.5) - np.log10(total + 0.5 * (kinds + 1))  # arcs of the empty state
+    share = np.divide(arcs, words, out=np.zeros(len(words)), where=words > 0)
+    fail = np.log10(np.maximum(1e-300, 1 - share))  # weights of the failure arcs
+    at, to = walk.first, walk.second
+    with np.errstate(divide="ignore"):
+        arc = np.log10(np.maximum(0.0, counts - discount) / np.maximum(1, words[at]) + 10 ** (fail[at] + empty[to]))
+    step = np.where(counts > 0, arc, fail[at] + empty[to])
+    return words[walk.ids] > 0, empty[walk.ids], step[walk.pair]
+
+
+def score_parts(batches: Iterator[pa.RecordBatch], buckets: int, total: int, kinds: int, discount: float) -> Iterator[pa.RecordBatch]:
+    """A part's texts and answers, in order of part and kind, to the scores of its documents."""
+    for _, rows in by_key(batches, 1):
+        texts = next(r for r in rows if r["kind"] == TEXTS)
+        ids, hashes, lengths = (np.frombuffer(x, t) for x, t in zip(spread(texts["data"]), ("<i4", "<u8", "<i8")))
+        walk = Walk(ids.astype(np.int64), hashes, buckets)
+        counts, words, arcs = np.zeros(len(walk.first), np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes))
+        for r in rows:
+            k = r["bucket"]
+            if r["kind"] == PAIRS:
+                counts[walk.by_bucket[walk.pair_cuts[k] : walk.pair_cuts[k + 1]]] = np.frombuffer(spread(r["data"])[0], "<i8")
+            elif r["kind"] == WORDS:
+                mine, (n, mass) = walk.words_by_bucket[walk.word_cuts[k] : walk.word_cuts[k + 1]], spread(r["data"])
+                words[mine], arcs[mine] = np.frombuffer(n, "<i8"), np.frombuffer(mass, "<f8")
+        known, base, score = traverse(walk, counts, words, arcs, total, kinds, discount)
+        starts = np.cumsum(lengths) - lengths
+        cols = [pa.array(texts["docs"], pa.int64()), pa.array(lengths), *(pa.array(np.add.reduceat(x, starts)) for x in (known.astype(np.int64), base, score))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+
+def score_documents(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> DataFrame:
     """Scores of each row by a model of the rows for which ``train`` (over doc_id) holds.
 
     Gives doc_id, n_tokens, n_known, train_tokens, base_score and score (log10).
     A null text is empty: its end is its one token. Rows with null or repeated
-    ids stay rows of their own. Without training rows every token has
-    probability 1. Other columns are left out.
+    ids stay rows of their own; a null ``train`` is false. Without training rows
+    every token has probability 1. Other columns are left out. Pairs are told
+    apart by two 64-bit hashes of their words, words by their bytes.
     """
     spark = df.sparkSession
     small_batches(spark)
     work = Workspace(spark, "lm")
+    buckets = BUCKETS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    training = docs.where(train).select("text")
-    counts = work.put(training.mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    work.release_shuffles()
-    totals = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).first()
-    total, kinds = totals["n"] or 0, totals["kinds"]
-    # At most 1 / WORD_SHARE words, and then 1 / GRAM_SHARE pairs and triples, reach the driver.
-    top = counts.where((F.col("n") >= WORD_SHARE * total) | (F.col("word") == END)).toArrow().to_pylist()
-    top = sorted(top, key=lambda r: (r["word"] != END, -r["n"], r["word"])) or [{"word": END, "n": 0}]
-    words, n = [r["word"] for r in top], np.array([r["n"] for r in top], float)
-    n_words = max(1, int((n >= GRAM_SHARE * total).sum()) + (n[0] < GRAM_SHARE * total))
-    ids = spark.sparkContext.broadcast({w.encode(): i for i, w in enumerate(words[:n_words])})
-
-    def grams(pairs: np.ndarray | None) -> dict[int, int]:
-        found = training.mapInArrow(lambda b: count_grams(b, ids.value, pairs), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        kept = found.where(F.col("n") >= max(2.0, GRAM_SHARE * total)).toArrow()
-        return dict(zip(kept.column(0).to_pylist(), kept.column(1).to_pylist()))
-
-    pairs = grams(None)
-    work.release_shuffles()
-    triples = grams(np.array(sorted(pairs), np.int64))
-    model = spark.sparkContext.broadcast(build(words, n, pairs, triples, n_words, total, kinds))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, row = model.value.scorer(), TaskContext.get().partitionId() << 33
-        kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
-        for b in batches:
-            got = []
-            for text in b.column(1).to_pylist():
-                tokens = words_of(text)
-                total_, base, rare = score(tokens)
-                got.append((len(tokens) + 1, len(tokens) + 1 - len(rare), total_, base, [{"word": w.decode(), "times": k} for w, k in Counter(rare).items()]))
-            cols = list(zip(*got)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + b.num_rows), pa.int64()), b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], kind)],
-                ["row", "doc_id", "n_tokens", "in_model", "score", "base_score", "rare"],
-            )
-            row += b.num_rows
-
-    schema = "row long, doc_id long, n_tokens long, in_model long, score double, base_score double, rare array<struct<word:string,times:long>>"
-    part = work.put(docs.mapInArrow(run, schema), "scored")
-    rare = part.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-    log_total = math.log10(total + 0.5 * (kinds + 1))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    known = F.when(c > 0, F.col("times")).otherwise(F.lit(0))
-    sums = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * (F.log10(c + 0.5) - log_total)).alias("more"), F.sum(known).alias("known"))
-    more, in_model = F.coalesce(F.col("more"), F.lit(0.0)), F.col("in_model") if total else F.lit(0)
-    return part.drop("rare").join(sums, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        (in_model + F.coalesce(F.col("known"), F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
-    )
+    docs = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
+
+    def asked(kind: int) -> DataFrame:
+        return questions.where(F.col("kind") == kind)
+
+    def in_order(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.repartition(by[0]).sortWithinPartitions(*by)
+
+    def mapped(rows: DataFrame, f: Callable[..., Iterator[pa.RecordBatch]], *args: object, schema: str = PACKS) -> DataFrame:
+        return rows.mapInArrow(lambda b: f((x for x in b if x.num_rows), *args), schema)
+
+    questions = work.put(mapped(docs, ask, buckets), "questions", by="kind")
+    pairs = work.put(mapped(in_order(asked(PAIRS), "bucket", "part"), answer_pairs, buckets, min_count, discount), "pairs", by="kind")
+    words = work.put(mapped(in_order(asked(WORDS).unionByName(pairs.where(F.col("kind") == SUMS)), "bucket", "kind", "part"), answer_words), "words")
+    totals = words.where("part is null").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).first()
+    total, kinds = totals["n"] or 0, totals["kinds"] or 0
+    answers = pairs.where(F.col("kind") == PAIRS).unionByName(words.where("part is not null"))
+    scored = mapped(in_order(asked(TEXTS).unionByName(answers), "part", "kind", "bucket"), score_parts, buckets, total, kinds, discount, schema=SCORES)
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,5 +307,3 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 5) == 1
     scored = score_documents(documents(spark, sf_dir), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
-

@@ -298,6 +298,57 @@ def test_repeated_spans_of_small_alphabets(spark):
     assert sorted(found(spark.createDataFrame(rows, "doc_id long, text string"))) == sorted(removed(rows))
 
 
+def test_multikey_quicksort_equals_a_sort_of_bytes():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 2, (3000, 24), np.uint8) * np.uint8(255)
+    rows[:, 6:] = 0
+    last = np.arange(3000)[::-1].copy()
+    order, depth = suffixes.multikey_quicksort(rows.view(">u8"), (last,))
+    assert order.tolist() == sorted(range(3000), key=lambda i: (rows[i].tobytes(), last[i]))
+    words = [tuple(rows[i, k : k + 8].tobytes() for k in (0, 8, 16)) for i in order]
+    shared = [next((k for k in range(3) if a[k] != b[k]), 3) for a, b in zip(words, words[1:])]
+    assert [min(d, 3) for d in depth[1:].tolist()] == shared and depth[0] == 0
+
+
+def test_repeats_with_clashing_keys():
+    text = np.array([[1, 1], [2, 2], [1, 1], [2, 2], [1, 2]], np.uint8)
+    assert suffixes.repeats(np.zeros(5, np.uint64), np.array([0, 0, 0, 1, 0]), text).tolist() == [False, False, True, False, False]
+
+
+def test_ranges_cut_inside_repeated_passages(monkeypatch):
+    """Splitters after every few suffixes, equal first bytes on both sides: nothing is lost between ranges."""
+    pa = __import__("pyarrow")
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    rows = [(i, "".join(rng.choice("xyz") for _ in range(rng.randrange(40))) + base[(s := rng.randrange(300)) : s + rng.randrange(100, 300)] + "\0" * rng.randrange(3) + rng.choice("pqr") * 40) for i in range(60)]
+    rows += [(60, "w" * 700), (61, "w" * 150)]
+    monkeypatch.setattr(suffixes, "HELD", 50)
+    for flush in (1, 1 << 23):
+        monkeypatch.setattr(suffixes, "FLUSH", flush)
+        batches = [pa.RecordBatch.from_pydict({"ord": [r[0] for r in rows[k : k + 9]], "text": [r[1] for r in rows[k : k + 9]]}) for k in range(0, len(rows), 9)]
+        keys = np.sort(np.concatenate([s.leading() for s in suffixes.chunk_suffixes(iter(batches))]))
+        for step in (1, 3, 1000):
+            splitters = np.unique(keys[::step])
+            dealt = [r for b in suffixes.deal(iter(batches), splitters) for r in b.to_pylist()]
+            got, windows = [], []
+            for part in range(3):  # ranges are dealt out to tasks, each in order
+                mine = sorted((r for r in dealt if r["bucket"] % 3 == part), key=lambda r: r["bucket"])
+                if mine:
+                    for b in suffixes.solve(iter(pa.RecordBatch.from_pylist(mine, pa.schema([("bucket", pa.int32()), ("data", pa.binary()), ("ord", pa.int64()), ("lo", pa.int32()), ("end", pa.int32())])).slice(k, 7) for k in range(0, len(mine), 7)), splitters):
+                        for r in b.to_pylist():
+                            (got if r["window"] is None else windows).append(r)
+            windows.sort(key=lambda r: (r["window"], r["ord"], r["lo"]))
+            schema = pa.schema([("ord", pa.int64()), ("lo", pa.int32()), ("end", pa.int32()), ("window", pa.binary())])
+            for b in suffixes.across(pa.RecordBatch.from_pylist(windows[k : k + 5], schema) for k in range(0, len(windows), 5)):
+                got += b.to_pylist()
+            for d, spans, kept in removed(rows):
+                m = bytearray(len(rows[d][1].encode()))
+                for r in got:
+                    if r["ord"] == d:
+                        m[r["lo"] : r["end"]] = b"\1" * (r["end"] - r["lo"])
+                assert tuple((x.start(), x.end()) for x in re.finditer(b"\1+", bytes(m))) == spans, (flush, step, d)
+
+
 def test_repeated_spans_in_pieces_of_a_long_text(spark, monkeypatch):
     rng = random.Random(8)
     base = "".join(rng.choice("abcdefgh ") for _ in range(900))
@@ -483,31 +534,38 @@ def test_base_scores_equal_brute_force_and_the_model_is_better(spark, docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_the_automaton_is_a_distribution_in_every_state():
-    rng = random.Random(3)
-    words = [lm.END, "a", "b", "c", "d"]
-    seq = [0]
-    for _ in range(3000):
-        seq.append(rng.choices(range(5), [1, 4, 2, 1 + seq[-1], 2])[0])
-    n = np.bincount(seq[1:], minlength=5).astype(float)
-    pairs = {k: v for k, v in Counter(a * 5 + b for a, b in zip(seq, seq[1:])).items() if v > 60}
-    triples = {k: v for k, v in Counter((a * 5 + b) * 5 + c for a, b, c in zip(seq, seq[1:], seq[2:])).items() if v > 30 and k // 5 in pairs and k // 25 * 0 + (k // 5 % 5) * 5 + k % 5 in pairs}
-    a = lm.build(words, n, pairs, triples, 5, int(n.sum()), 5)
-    unknown = 0.5 / (n.sum() + 3)
-    for state in range(len(a.fail)):
-        total, out = 0.0, unknown
-        s = state
-        while s:
-            out *= 10 ** a.back[s]
-            s = a.fail[s]
-        for w in range(5):
-            s, lp = state, 0.0
-            while (arc := a.arcs.get(s * 5 + w)) is None:
-                lp += a.back[s]
-                s = a.fail[s]
-            total += 10 ** (lp + a.weight[arc])
-        assert abs(total + out - 1) < 1e-9
-    assert len(a.fail) > 6
+def model_scores(rows, train):
+    """The backoff model by dictionaries: words, pairs that occur twice or more, half a count off each."""
+    tok = [[*SPACE.findall(lower(t or "")), None] for _, t in rows]
+    learnt = [ws for (d, _), ws in zip(rows, tok) if train(d)]
+    c, pairs = Counter(w for ws in learnt for w in ws), Counter(p for ws in learnt for p in zip([None, *ws], ws))
+    pairs = {p: n for p, n in pairs.items() if n >= 2}
+    mass, n, v = Counter(), sum(c.values()), len(c)
+    for (h, _), k in pairs.items():
+        mass[h] += k - 0.5
+
+    def p(h, w):
+        back = (1 - mass[h] / c[h] if c[h] else 1) * (c[w] + 0.5) / (n + 0.5 * (v + 1))
+        return (pairs[h, w] - 0.5) / c[h] + back if (h, w) in pairs else back
+
+    for h in list(c)[:50]:  # every state is a distribution, with one unknown word
+        assert abs(sum(p(h, w) for w in c) + p(h, "not a word of the corpus") - 1) < 1e-9
+    return [(d, sum(math.log10(p(h, w)) for h, w in zip([None, *ws], ws))) for (d, _), ws in zip(rows, tok)]
+
+
+def test_model_scores_equal_brute_force(spark, odd):
+    rows = rows_of(odd)
+    got = lm.score_documents(odd, F.col("doc_id") % 3 != 0)
+    want = model_scores(rows, lambda d: d is not None and d % 3 != 0)
+    assert Counter((r["doc_id"], round(r["score"], 5)) for r in got.collect()) == Counter((d, round(s, 5)) for d, s in want)
+
+
+def test_counts_of_pairs_whose_hashes_clash(monkeypatch):
+    monkeypatch.setattr(lm, "pair_hash", lambda a, b: np.zeros(len(a), np.uint64))
+    a, b = np.array([5, 1, 5, 1, 5], np.uint64), np.array([2, 2, 3, 2, 2], np.uint64)
+    sums, kinds, of_kind = lm.summed(a, b, np.array([1, 10, 100, 1000, 10000]))
+    assert sums.tolist() == [10001, 1010, 100, 1010, 10001]
+    assert sorted(zip(a[kinds].tolist(), b[kinds].tolist(), of_kind.tolist())) == [(1, 2, 1010), (5, 2, 10001), (5, 3, 100)]
 
 
 def test_scores_of_odd_rows(spark, odd, empty):
