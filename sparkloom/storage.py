@@ -12,6 +12,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting that removes the shuffle files of a command when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where none is set, a temporary one on the one machine of a local master.
 
@@ -48,9 +52,17 @@ class Workspace:
         return f"{self.root}/{table}"
 
     def put(self, df: DataFrame, table: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
-        """The rows of ``df`` from a written table, in folders by the values of a column if one is named."""
+        """The rows of ``df`` from a written table, in folders by the values of a column if one is named.
+
+        Once it is written, Spark removes the shuffle files that led to it.
+        """
+        was = self.spark.conf.get(CLEAN_UP, "false")
         writer = df.write.mode("overwrite").option("compression", codec)
-        (writer.partitionBy(by) if by else writer).parquet(self.path(table))
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            (writer.partitionBy(by) if by else writer).parquet(self.path(table))
+        finally:
+            self.spark.conf.set(CLEAN_UP, was)
         return self.spark.read.schema(df.schema).parquet(self.path(table)).select(df.columns)
 
     def drop(self, *tables: str) -> None:
