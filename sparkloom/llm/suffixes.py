@@ -29,7 +29,7 @@ WINDOW, GRAM = 100, 32
 #: Bytes before a suffix that its windows may reach.
 LEFT = WINDOW - GRAM
 #: Bytes of text that are hashed at once, and whose suffixes leave a task together.
-CHUNK, FLUSH = 1 << 21, 1 << 23
+CHUNK, FLUSH = 1 << 20, 1 << 22
 #: Text of a range on average, ranges for each shuffle partition at least, and splitters (100 bytes each) at most.
 RANGE_BYTES, PER_PARTITION, MOST_SPLITTERS = 8 << 20, 4, 200_000
 #: Documents sampled for each splitter (SAMPLED at least), and suffixes of them.
@@ -134,10 +134,10 @@ def suffix_rows(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray
     padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(WINDOW, np.uint8)])
     around = np.lib.stride_tricks.sliding_window_view(padded, LEFT + WINDOW)[at]
     out = np.zeros((len(at), ROW), np.uint8)
-    right, left = np.arange(WINDOW), np.arange(LEFT)
-    out[:, RIGHT_AT : RIGHT_AT + WINDOW] = around[:, LEFT:] * (right < (hi + WINDOW - at)[:, None])
-    out[:, LEFT_AT : LEFT_AT + LEFT] = around[:, :LEFT] * (left >= (LEFT - at + lo)[:, None])
-    out[:, PLACE_AT], out[:, PLACE_AT + 1] = at - lo, at - hi
+    out[:, RIGHT_AT : RIGHT_AT + WINDOW], out[:, LEFT_AT : LEFT_AT + LEFT] = around[:, LEFT:], around[:, :LEFT]
+    place = np.stack([at - lo, at - hi], axis=1).astype(np.uint8)
+    out *= covered(place)
+    out[:, PLACE_AT : PLACE_AT + 2] = place
     return out
 
 
@@ -180,14 +180,29 @@ class Suffixes:
         return np.ascontiguousarray(self.rows[:, RIGHT_AT : RIGHT_AT + WINDOW]).view(f"S{WINDOW}").reshape(-1)
 
     def pack(self, s: int, e: int) -> bytes:
-        part = self.rows[s:e].tobytes() + self.doc[s:e].astype("<i8").tobytes() + self.at[s:e].astype("<i4").tobytes()
-        return struct.pack("<I", e - s) + zstandard.ZstdCompressor(1).compress(part)
+        """The suffixes from s to e, compressed, without the zeros of their rows."""
+        rows = self.rows[s:e]
+        place = np.ascontiguousarray(rows[:, PLACE_AT : PLACE_AT + 2])
+        parts = place.tobytes() + self.doc[s:e].astype("<i8").tobytes() + self.at[s:e].astype("<i4").tobytes() + rows[covered(place)].tobytes()
+        return struct.pack("<IQ", e - s, len(parts)) + zstandard.ZstdCompressor(1).compress(parts)
+
+
+def covered(place: np.ndarray) -> np.ndarray:
+    """Which bytes of rows a window covers, given where windows lie."""
+    out = np.zeros((len(place), ROW), bool)
+    before, less = place[:, :1].astype(int), place[:, 1:].astype(int)
+    out[:, RIGHT_AT : RIGHT_AT + WINDOW] = np.arange(WINDOW) < WINDOW - less
+    out[:, LEFT_AT : LEFT_AT + LEFT] = np.arange(LEFT) >= LEFT - before
+    return out
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    (n,) = struct.unpack_from("<I", blob)
-    data = zstandard.ZstdDecompressor().decompress(blob[4:])
-    return np.frombuffer(data, np.uint8, n * ROW).reshape(n, ROW), np.frombuffer(data, "<i8", n, n * ROW), np.frombuffer(data, "<i4", n, n * (ROW + 8)).astype(np.int64)
+    n, size = struct.unpack_from("<IQ", blob)
+    data = zstandard.ZstdDecompressor().decompress(blob[12:], max_output_size=size)
+    rows = np.zeros((n, ROW), np.uint8)
+    rows[:, PLACE_AT : PLACE_AT + 2] = place = np.frombuffer(data, np.uint8, 2 * n).reshape(n, 2)
+    rows[covered(place)] = np.frombuffer(data, np.uint8, offset=14 * n)
+    return rows, np.frombuffer(data, "<i8", n, 2 * n), np.frombuffer(data, "<i4", n, 10 * n).astype(np.int64)
 
 
 def chunk_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[Suffixes]:
