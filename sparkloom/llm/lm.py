@@ -7,10 +7,10 @@ the empty state, whose arcs are the smoothed words, and carries the backoff
 weight. One pass from left to right carries the state and adds up the weights.
 All words and pairs of the corpus are counted, so the automaton grows with it.
 
-The automaton is never in one place. Texts are taken in parts of a few megabytes;
-each part sends its different pairs and words to buckets by their hashes, with
-its counts; a bucket adds up what all parts sent and answers each part in the
-order of its question. So a part gets just the slice of the automaton that its
+The automaton is never in one place. Texts are written as numbers in parts of a
+few megabytes; each part sends its different pairs and words to buckets by their
+hashes, with its counts; a bucket adds up what all parts sent and answers each
+part in the order of its question. So a part gets just the slice of the automaton that its
 texts walk on. What is sent are packs of numbers, one for each part and bucket.
 """
 
@@ -35,8 +35,9 @@ from sparkloom.storage import Workspace
 MIN_COUNT, DISCOUNT = 2, 0.5
 #: Text of a part (a longer document is a part of its own), and buckets for each shuffle partition.
 PART_BYTES, BUCKETS_EACH = 8 << 20, 2
-#: Kinds of packs: the words of a part's texts, pairs, words, and sums over the arcs of a state.
+#: Kinds of packs: the texts of a part, pairs, words, and sums over the arcs of a state.
 TEXTS, PAIRS, WORDS, SUMS = range(4)
+PARTS = "part long, texts binary, words binary, docs array<long>"
 PACKS = "kind int, part long, bucket int, data binary, docs array<long>, n long, kinds long"
 NAMES = ["kind", "part", "bucket", "data", "docs", "n", "kinds"]
 TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
@@ -108,31 +109,19 @@ def grouped(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return o, np.searchsorted(bucket[o], np.arange(buckets + 1, dtype=np.uint64))
 
 
-def ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, train) to packs: the texts as numbers, and the pairs and words of each part for each bucket with their training counts."""
+def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, train) to parts: the texts as numbers of words, with hashes and lengths, and the words with their training counts."""
     made = 0
     docs: list[int | None] = []
     numbers, flat, lengths, learnt, size = Numbers({b"": 0}), [], [], [], 0
 
-    def close() -> Iterator[pa.RecordBatch]:
-        part = (TaskContext.get().partitionId() << 32) + made
-        ids = np.concatenate(flat)
-        words = list(numbers)
+    def close() -> pa.RecordBatch:
+        ids, words = np.concatenate(flat), list(numbers)
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-        walk = Walk(ids, hashes, buckets)
-        teaches = np.repeat(np.array(learnt, bool), lengths)
-        pair_counts = np.bincount(walk.pair[teaches], minlength=len(walk.first))
-        word_counts = np.bincount(ids[teaches], minlength=len(words))
-        yield packs([(TEXTS, part, 0, squeeze(ids.astype("<i4"), hashes, np.array(lengths, "<i8")), docs, None, None)])
-        out = []
-        for k in range(buckets):
-            p = walk.by_bucket[walk.pair_cuts[k] : walk.pair_cuts[k + 1]]
-            if len(p):
-                out.append((PAIRS, part, k, squeeze(hashes[walk.first[p]], hashes[walk.second[p]], pair_counts[p].astype("<i8")), None, None, None))
-            w = walk.words_by_bucket[walk.word_cuts[k] : walk.word_cuts[k + 1]]
-            if len(w):
-                out.append((WORDS, part, k, squeeze(b"\n".join([words[x] for x in w]), word_counts[w].astype("<i8")), None, None, None))
-        yield packs(out)
+        counts = np.bincount(ids[np.repeat(np.array(learnt, bool), lengths)], minlength=len(words))
+        texts = squeeze(ids.astype("<i4"), hashes, np.array(lengths, "<i8"), np.array(learnt, "u1"))
+        cols = [[(TaskContext.get().partitionId() << 32) + made], [texts], [squeeze(b"\n".join(words), counts.astype("<i8"))], [docs]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["part", "texts", "words", "docs"])
 
     for b in batches:
         for doc, text, train in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
@@ -143,11 +132,42 @@ def ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBa
             learnt.append(train)
             size += 1 + len(text.as_py() or "")
             if size >= PART_BYTES:
-                yield from close()
+                yield close()
                 made += 1
                 docs, numbers, flat, lengths, learnt, size = [], Numbers({b"": 0}), [], [], [], 0
     if docs:
-        yield from close()
+        yield close()
+
+
+def walk_of(texts: bytes, buckets: int) -> tuple[Walk, np.ndarray, np.ndarray]:
+    """The tokens of a part, its documents' lengths, and whether each teaches."""
+    ids, hashes, lengths, learnt = (np.frombuffer(x, t) for x, t in zip(spread(texts), ("<i4", "<u8", "<i8", "u1")))
+    return Walk(ids.astype(np.int64), hashes, buckets), lengths, learnt > 0
+
+
+def ask_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Parts (part, texts) to a pack of pairs for each bucket, with their training counts."""
+    for b in batches:
+        for part, texts in zip(b.column(0).to_pylist(), b.column(1)):
+            walk, lengths, learnt = walk_of(texts.as_py(), buckets)
+            counts = np.bincount(walk.pair[np.repeat(learnt, lengths)], minlength=len(walk.first))
+            for k in range(buckets):
+                p = walk.by_bucket[walk.pair_cuts[k] : walk.pair_cuts[k + 1]]
+                if len(p):
+                    yield packs([(PAIRS, part, k, squeeze(walk.hashes[walk.first[p]], walk.hashes[walk.second[p]], counts[p].astype("<i8")), None, None, None)])
+
+
+def ask_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Parts (part, words) to a pack of words for each bucket, with their training counts."""
+    for b in batches:
+        for part, pack in zip(b.column(0).to_pylist(), b.column(1)):
+            joined, counts = spread(pack.as_py())
+            words, counts = joined.split(b"\n"), np.frombuffer(counts, "<i8")
+            by_bucket, cuts = grouped(word_bucket(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), buckets), buckets)
+            for k in range(buckets):
+                w = by_bucket[cuts[k] : cuts[k + 1]]
+                if len(w):
+                    yield packs([(WORDS, part, k, squeeze(b"\n".join([words[x] for x in w]), counts[w]), None, None, None)])
 
 
 def by_key(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, list[dict]]]:
@@ -251,9 +271,8 @@ def score_parts(batches: Iterator[pa.RecordBatch], buckets: int, total: int, kin
     """A part's texts and answers, in order of part and kind, to the scores of its documents."""
     for _, rows in by_key(batches, 1):
         texts = next(r for r in rows if r["kind"] == TEXTS)
-        ids, hashes, lengths = (np.frombuffer(x, t) for x, t in zip(spread(texts["data"]), ("<i4", "<u8", "<i8")))
-        walk = Walk(ids.astype(np.int64), hashes, buckets)
-        counts, words, arcs = np.zeros(len(walk.first), np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes))
+        walk, lengths, _ = walk_of(texts["data"], buckets)
+        counts, words, arcs = np.zeros(len(walk.first), np.int64), np.zeros(len(walk.hashes), np.int64), np.zeros(len(walk.hashes))
         for r in rows:
             k = r["bucket"]
             if r["kind"] == PAIRS:
@@ -283,22 +302,22 @@ def score_documents(df: DataFrame, train: Column, id_col: str = "doc_id", text_c
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
 
-    def asked(kind: int) -> DataFrame:
-        return questions.where(F.col("kind") == kind)
-
     def in_order(rows: DataFrame, *by: str) -> DataFrame:
         return rows.repartition(by[0]).sortWithinPartitions(*by)
 
     def mapped(rows: DataFrame, f: Callable[..., Iterator[pa.RecordBatch]], *args: object, schema: str = PACKS) -> DataFrame:
         return rows.mapInArrow(lambda b: f((x for x in b if x.num_rows), *args), schema)
 
-    questions = work.put(mapped(docs, ask, buckets), "questions", by="kind")
-    pairs = work.put(mapped(in_order(asked(PAIRS), "bucket", "part"), answer_pairs, buckets, min_count, discount), "pairs", by="kind")
-    words = work.put(mapped(in_order(asked(WORDS).unionByName(pairs.where(F.col("kind") == SUMS)), "bucket", "kind", "part"), answer_words), "words")
+    parts = work.put(mapped(docs, number, schema=PARTS), "parts")
+    asked = mapped(parts.select("part", "texts"), ask_pairs, buckets)
+    pairs = work.put(mapped(in_order(asked, "bucket", "part"), answer_pairs, buckets, min_count, discount), "pairs", by="kind")
+    asked = mapped(parts.select("part", "words"), ask_words, buckets).unionByName(pairs.where(F.col("kind") == SUMS))
+    words = work.put(mapped(in_order(asked, "bucket", "kind", "part"), answer_words), "words")
     totals = words.where("part is null").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).first()
     total, kinds = totals["n"] or 0, totals["kinds"] or 0
     answers = pairs.where(F.col("kind") == PAIRS).unionByName(words.where("part is not null"))
-    scored = mapped(in_order(asked(TEXTS).unionByName(answers), "part", "kind", "bucket"), score_parts, buckets, total, kinds, discount, schema=SCORES)
+    texts = parts.select(F.lit(TEXTS).alias("kind"), "part", F.lit(0).alias("bucket"), F.col("texts").alias("data"), "docs", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("kinds"))
+    scored = mapped(in_order(texts.unionByName(answers), "part", "kind", "bucket"), score_parts, buckets, total, kinds, discount, schema=SCORES)
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
