@@ -1,139 +1,67 @@
 """License scan by ordered signature rules.
 
-Each rule is a regular expression with a priority, a confidence and the keywords
-without which it can't match. One automaton pass over a text finds the keywords;
-only rules whose keywords are all there run. Detections that lie inside one of
-higher priority (or of the same priority and longer) are suppressed.
+Each rule of ``license_rules`` is a regular expression with a priority and the
+keywords without which it can't match. One automaton pass over a text finds the
+keywords; only rules whose keywords are all there run. SPDX tags are read as the
+expressions that they are. Detections that lie inside one of higher priority (or
+of the same priority and longer) are suppressed.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import documents, id_text, map_batches, small_batches
+from sparkloom.llm.license_rules import TABLE
 
 #: Fixed by the contract of the query: phrases and their labels.
 BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label, name in the text, versions.
-VERSIONED = [
-    ("gpl", r"(?:gnu\s+)?general\s+public\s+licen[sc]e", "general public", ["1", "2", "3"]),
-    ("lgpl", r"(?:gnu\s+)?(?:lesser|library)\s+general\s+public\s+licen[sc]e", "general public", ["2", "2.1", "3"]),
-    ("agpl", r"(?:gnu\s+)?affero\s+general\s+public\s+licen[sc]e", "affero", ["1", "3"]),
-    ("gfdl", r"(?:gnu\s+)?free\s+documentation\s+licen[sc]e", "free documentation", ["1.1", "1.2", "1.3"]),
-    ("apache", r"apache(?:\s+software)?\s+licen[sc]e", "apache", ["1.0", "1.1", "2.0"]),
-    ("mpl", r"mozilla\s+public\s+licen[sc]e", "mozilla", ["1.0", "1.1", "2.0"]),
-    ("epl", r"eclipse\s+public\s+licen[sc]e", "eclipse", ["1.0", "2.0"]),
-    ("cpl", r"common\s+public\s+licen[sc]e", "common public", ["0.5", "1.0"]),
-    ("cddl", r"common\s+development\s+and\s+distribution\s+licen[sc]e", "common development", ["1.0", "1.1"]),
-    ("eupl", r"european\s+union\s+public\s+licen[sc]e", "european union", ["1.0", "1.1", "1.2"]),
-    ("osl", r"open\s+software\s+licen[sc]e", "open software", ["1.0", "2.0", "2.1", "3.0"]),
-    ("afl", r"academic\s+free\s+licen[sc]e", "academic free", ["1.1", "1.2", "2.0", "2.1", "3.0"]),
-    ("artistic", r"artistic\s+licen[sc]e", "artistic", ["1.0", "2.0"]),
-    ("ofl", r"(?:sil\s+)?open\s+font\s+licen[sc]e", "open font", ["1.0", "1.1"]),
-    ("bsl", r"boost\s+software\s+licen[sc]e", "boost", ["1.0"]),
-    ("lppl", r"latex\s+project\s+public\s+licen[sc]e", "latex project", ["1.0", "1.1", "1.2", "1.3"]),
-    ("odbl", r"open\s+database\s+licen[sc]e", "open database", ["1.0"]),
-    ("upl", r"universal\s+permissive\s+licen[sc]e", "universal permissive", ["1.0"]),
-    ("zpl", r"zope\s+public\s+licen[sc]e", "zope", ["1.1", "2.0", "2.1"]),
-    ("psf", r"python\s+software\s+foundation\s+licen[sc]e", "python software", ["2"]),
-]
-#: Label, pattern, keyword: licenses and notices without versions.
-NAMED = [
-    ("mit", r"\bmit\s+licen[sc]e", "mit"),
-    ("mit", r"\bexpat\s+licen[sc]e", "expat"),
-    ("mit", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge", "hereby granted"),
-    ("isc", r"\bisc\s+licen[sc]e", "isc"),
-    ("isc", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute", "permission to use"),
-    ("bsd-2-clause", r"\b(?:simplified|2[- ]clause)\s+bsd\b|\bbsd\s+2[- ]clause\b", "bsd"),
-    ("bsd-3-clause", r"\b(?:new|modified|revised|3[- ]clause)\s+bsd\b|\bbsd\s+3[- ]clause\b", "bsd"),
-    ("bsd-4-clause", r"\b(?:original|4[- ]clause)\s+bsd\b|\bbsd\s+4[- ]clause\b", "bsd"),
-    ("bsd", r"\bbsd[- ](?:style\s+)?licen[sc]e", "bsd"),
-    ("bsd", r"redistributions?\s+of\s+source\s+code\s+must\s+retain", "redistribution"),
-    ("zlib", r"\bzlib(?:/libpng)?\s+licen[sc]e", "zlib"),
-    ("unlicense", r"\bthe\s+unlicense\b|\breleased\s+into\s+the\s+public\s+domain\b", "unlicense"),
-    ("public-domain", r"\b(?:placed|released|dedicated)\s+(?:in|into|to)\s+the\s+public\s+domain\b", "public domain"),
-    ("wtfpl", r"do\s+what\s+the\s+f\w+\s+you\s+want\s+to\s+public\s+licen[sc]e", "you want to"),
-    ("cc0", r"\bcc0(?:\s+1\.0)?\b", "cc0"),
-    ("cc0", r"creative\s+commons\s+zero", "commons zero"),
-    ("openssl", r"\bopenssl\s+licen[sc]e", "openssl"),
-    ("ms-pl", r"microsoft\s+public\s+licen[sc]e", "microsoft"),
-    ("ms-rl", r"microsoft\s+reciprocal\s+licen[sc]e", "microsoft"),
-    ("beerware", r"\bbeer-?ware\s+licen[sc]e", "beer"),
-    ("ncsa", r"university\s+of\s+illinois.{0,20}open\s+source\s+licen[sc]e", "illinois"),
-    ("postgresql", r"\bpostgresql\s+licen[sc]e", "postgresql"),
-    ("php", r"\bphp\s+licen[sc]e", "php"),
-    ("ruby", r"\bruby\s+licen[sc]e", "ruby"),
-    ("vim", r"\bvim\s+licen[sc]e", "vim"),
-    ("x11", r"\bx11\s+licen[sc]e", "x11"),
-    ("curl", r"\bcurl\s+licen[sc]e", "curl"),
-    ("unicode", r"unicode(?:,?\s+inc\.?)?\s+licen[sc]e", "unicode"),
-    ("sleepycat", r"\bsleepycat\s+licen[sc]e", "sleepycat"),
-    ("proprietary", r"\ball\s+rights\s+reserved\b", "all rights reserved"),
-    ("proprietary", r"\bproprietary\s+and\s+confidential\b", "proprietary"),
-]
-CC_PARTS = ["by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd"]
-CC_WORDS = {"by": r"attribution", "nc": r"non-?\s?commercial", "sa": r"share-?\s?alike", "nd": r"no\s?-?deriv(?:ative)?s?(?:\s+works)?"}
-CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
-OR_LATER = r"(?:\s*\(?,?\s*or\s+(?:\(?at\s+your\s+option\)?\s+)?any\s+later|\s+or\s+later|\+)"
+#: Priority of the identifiers of an SPDX tag, and what follows the tag: identifiers with operators and brackets.
+TAGGED, TAG = 100, "spdx-license-identifier"
+EXPRESSION = re.compile(r"spdx-license-identifier: ?(?P<all>\(? ?[\w.+-]{1,80}(?: ?\(? ?(?:and|or|with) ?\(? ?[\w.+-]{1,80} ?\)?){0,20})", re.I)
+IDENTIFIER = re.compile(r"(?:(?P<with>with) )?\b(?!(?:and|or|with)\b)(?P<id>[\w.+-]+)", re.I)
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
     priority: int
-    confidence: float
     keywords: tuple[str, ...]
-    pattern: str
+    pattern: re.Pattern[str]
 
-
-def number(version: str) -> str:
-    """A version in a text: 2, 2.0 and v2 are one."""
-    whole, _, part = version.partition(".")
-    return whole + (r"(?:\.0)?" if part in ("", "0") else rf"\.{part}") + r"(?![\w]|\.\d)"
+    def name(self, m: re.Match[str]) -> str:
+        groups = m.groupdict()
+        v = re.sub("[_-]", ".", groups.get("v") or "")
+        v = v if "." in v or not v else f"{v[0]}.{v[1:] or 0}"
+        return self.label.replace("-{v}", f"-{v}" if v else "") + "-or-later" * bool(groups.get("later"))
 
 
 def rules() -> list[Rule]:
-    """All rules, made from the tables above; priority falls from exact tags to bare names."""
     out = []
-    for label, name, key, versions in VERSIONED:
-        tag = {"artistic": "artistic", "apache": "apache", "psf": "psf", "bsl": "bsl"}.get(label, label)
-        for v in versions:
-            at = rf"(?:,|\s)*\(?(?:the\s+)?(?:version|ver\.?|v\.?)?\s*{number(v)}"
-            out += [
-                Rule(f"{label}-{v}-or-later", 90, 0.97, (key,), rf"\b{name}{at}{OR_LATER}"),
-                Rule(f"{label}-{v}", 80, 0.95, (key,), rf"\b{name}{at}"),
-                Rule(f"{label}-{v}", 80, 0.95, (key,), rf"\b(?:version|v)\s*{number(v)}\s+of\s+the\s+{name}"),
-                Rule(f"{label}-{v}", 100, 0.99, ("spdx", tag), rf"spdx-license-identifier:\s*{tag}-?{number(v)}(?:-only)?"),
-                Rule(f"{label}-{v}-or-later", 105, 0.99, ("spdx", tag), rf"spdx-license-identifier:\s*{tag}-?{v.split('.')[0]}[\d.]*(?:-or-later|\+)"),
-                Rule(f"{label}-{v}", 60, 0.8, (tag,), rf"(?<![\w-]){tag}(?:\s+|-)?v?{number(v)}"),
-            ]
-        out.append(Rule(label, 50, 0.85, (key,), rf"\b{name}"))
-    for parts in CC_PARTS:
-        long = r"[\s-]*".join(CC_WORDS[p] for p in parts.split("-"))
-        short = r"[\s-]".join(parts.split("-"))
-        for v in CC_VERSIONS:
-            out += [
-                Rule(f"cc-{parts}-{v}", 100, 0.99, ("spdx", "cc-by"), rf"spdx-license-identifier:\s*cc-{parts}-{number(v)}"),
-                Rule(f"cc-{parts}-{v}", 80 + len(parts), 0.95, ("cc",), rf"\bcc[\s-]{short}[\s-]+v?{number(v)}"),
-                Rule(f"cc-{parts}-{v}", 80 + len(parts), 0.95, ("creative commons",), rf"\bcreative\s+commons\s+{long}\s+(?:licen[sc]e\s*)?v?{number(v)}"),
-                Rule(f"cc-{parts}-{v}", 95, 0.97, ("creativecommons.org",), rf"creativecommons\.org/licenses/{parts}/{re.escape(v)}"),
-            ]
-        out += [
-            Rule(f"cc-{parts}", 50 + len(parts), 0.85, ("cc",), rf"\bcc[\s-]{short}\b"),
-            Rule(f"cc-{parts}", 50 + len(parts), 0.85, ("creative commons",), rf"\bcreative\s+commons\s+{long}"),
-        ]
-    for label, pattern, key in NAMED:
-        out.append(Rule(label, 40 if label != "proprietary" else 10, 0.85 if label != "proprietary" else 0.4, (key,), pattern))
-        if label not in ("proprietary", "public-domain"):
-            out.append(Rule(label, 100, 0.99, ("spdx", label), rf"spdx-license-identifier:\s*{re.escape(label)}\b"))
+    for line in TABLE.strip().splitlines():
+        label, priority, keywords, pattern = re.split(r"\t| {2,}", line.strip(), maxsplit=3)
+        out.append(Rule(label, int(priority), tuple(keywords.split(";")), re.compile(pattern, re.I)))
+    return out
+
+
+def tagged(m: re.Match[str]) -> list[tuple[int, int, str]]:
+    """The identifiers of an SPDX expression, with their places; exceptions after "with" are named as such."""
+    out = []
+    for i in IDENTIFIER.finditer(m["all"]):
+        name = i["id"].lower().removesuffix("-only")
+        name = name[:-1] + "-or-later" if name.endswith("+") else name.strip(".+-")
+        if name:
+            out.append((m.start("all") + i.start("id"), m.start("all") + i.end("id"), f"exception:{name}" if i["with"] else name))
     return out
 
 
@@ -141,27 +69,42 @@ def rules() -> list[Rule]:
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+#: More than one white space character, or one that is no blank.
+WIDE = re.compile(r"\s{2,}|[^\S ]")
+
+
 class Scanner:
     def __init__(self) -> None:
-        self.rules = [(r, re.compile(r.pattern, re.I)) for r in rules()]
+        self.rules = rules()
         self.keywords = ahocorasick.Automaton()
-        for k in {k for r, _ in self.rules for k in r.keywords}:
+        for k in {TAG} | {k for r in self.rules for k in r.keywords}:
             self.keywords.add_word(k, k)
         self.keywords.make_automaton()
 
-    def detections(self, text: str) -> list[tuple[int, int, Rule]]:
-        # Runs of white space count as one for the keywords of several words.
-        there = {k for _, k in self.keywords.iter(" ".join(text.lower().split()))}
+    def detections(self, text: str) -> list[tuple[int, int, str, int]]:
+        """(start, end, label, priority) of what no other detection suppresses, by place."""
+        line, wide = text, [m.span() for m in WIDE.finditer(text)]
+        if wide:
+            line = WIDE.sub(" ", text)
+        there = {k for _, k in self.keywords.iter(line.lower())}
         if not there:
             return []
-        found = [(m.start(), m.end(), r) for r, p in self.rules if there.issuperset(r.keywords) for m in p.finditer(text)]
-        kept: list[tuple[int, int, Rule]] = []
+        found = [(m.start(), m.end(), r.name(m), r.priority) for r in self.rules if there.issuperset(r.keywords) for m in r.pattern.finditer(line)]
+        if TAG in there:
+            found += [(s, e, name, TAGGED) for m in EXPRESSION.finditer(line) for s, e, name in tagged(m)]
+        kept: list[tuple[int, int, str, int]] = []
         reach: list[tuple[int, int]] = []
-        for s, e, r in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
+        for s, e, label, priority in sorted(found, key=lambda d: (-d[3], d[0] - d[1], d[0], d[2])):
             if not contained(reach, s, e):
-                kept.append((s, e, r))
+                kept.append((s, e, label, priority))
                 add_interval(reach, s, e)
-        return sorted(kept, key=lambda d: (d[0], d[1], d[2].label))
+        if wide and kept:  # back to places in the text
+            after = np.array([e for _, e in wide])
+            lost = np.cumsum([e - s - 1 for s, e in wide])
+            at = after - lost  # the place in the line of what follows each run
+            back = lambda p: p + (int(lost[k - 1]) if (k := int(np.searchsorted(at, p, "right"))) else 0)
+            kept = [(back(s), back(e - 1) + 1, label, priority) for s, e, label, priority in kept]
+        return sorted(kept)
 
     def base(self, text: str) -> tuple[int, list[tuple[int, str]]]:
         """The number of words, and each place of a base phrase as (first word, label)."""
@@ -181,16 +124,12 @@ class Scanner:
 
 def contained(reach: list[tuple[int, int]], s: int, e: int) -> bool:
     """Whether [s, e) lies in one of the kept intervals, of which none holds another, in order of start."""
-    from bisect import bisect_right
-
     i = bisect_right(reach, (s, float("inf"))) - 1
     return i >= 0 and reach[i][1] >= e
 
 
 def add_interval(reach: list[tuple[int, int]], s: int, e: int) -> None:
     """Add an interval that none holds, and drop those that it holds."""
-    from bisect import bisect_left
-
     i = j = bisect_left(reach, (s, e))
     while j < len(reach) and reach[j][1] <= e:
         j += 1
@@ -224,7 +163,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 words, places = scanner.base(t or "")
                 n.append(words)
                 base.append([{"word": w, "label": x} for w, x in sorted(places)])
-                found.append([{"start": s, "end": e, "label": r.label, "priority": r.priority, "confidence": r.confidence} for s, e, r in scanner.detections(t or "")])
+                found.append([{"start": s, "end": e, "label": label, "priority": p, "confidence": min(0.99, p / 100)} for s, e, label, p in scanner.detections(t or "")])
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(base, pa.list_(kind)), pa.array(found, pa.list_(found_kind))], ["doc_id", "n_words", "base", "detections"]
             )
@@ -238,7 +177,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base places and labels of all documents, with the labels that the rules add."""
     found = scan_licenses(documents(spark, sf_dir))
     distinct = lambda *arrays: F.array_join(F.array_sort(F.array_distinct(F.concat(*arrays))), ",")
-    best = F.array_max(F.col("detections.confidence"))
+    best = F.array_max(F.col("detections.confidence"))  # priorities by their hundredth
     return found.select(
         "doc_id",
         "n_words",
