@@ -244,11 +244,17 @@ def sampled_splitters(texts: DataFrame, n: int, total: int) -> np.ndarray:
     wanted = max(SAMPLED, DOCS_EACH * n)
     sample = texts if total <= wanted else texts.sample(fraction=min(1.0, wanted / total), seed=7).limit(2 * wanted)
 
+    size = sample.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    keys = KEYS_EACH * n + 1000
+    step = max(1, 2 * size // (LEFT + 2) // keys)  # about every 35th byte starts a suffix
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Evenly from the ordered suffixes of each pack."""
         for s in chunk_suffixes(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(s.leading().tolist(), pa.binary())], ["key"])
+            at = np.arange(len(s.doc) % step // 2, len(s.doc), step)
+            yield pa.RecordBatch.from_arrays([pa.array(s.leading()[at].tolist(), pa.binary())], ["key"])
 
-    keys = sample.mapInArrow(run, "key binary").sample(fraction=0.2, seed=7).limit(KEYS_EACH * n + 1000).toArrow().column(0).to_pylist()
+    keys = sample.mapInArrow(run, "key binary").limit(4 * keys).toArrow().column(0).to_pylist()
     keys = np.sort(np.array(keys, f"S{WINDOW}"))
     return np.unique(keys[(np.arange(1, n + 1) * len(keys)) // (n + 1)]) if len(keys) else keys
 
