@@ -37,7 +37,7 @@ MIN_COUNT, DISCOUNT = 2, 0.5
 PART_BYTES, BUCKETS_EACH = 8 << 20, 2
 #: Kinds of packs: the texts of a part, pairs, words, and sums over the arcs of a state.
 TEXTS, PAIRS, WORDS, SUMS = range(4)
-PARTS = "part long, texts binary, words binary, docs array<long>"
+PARTS = "part long, texts binary, docs array<long>"
 PACKS = "kind int, part long, bucket int, data binary, docs array<long>, n long, kinds long"
 NAMES = ["kind", "part", "bucket", "data", "docs", "n", "kinds"]
 TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
@@ -48,10 +48,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def squeeze(*arrays: np.ndarray | bytes) -> bytes:
+def squeeze(*arrays: np.ndarray | bytes, level: int = 1) -> bytes:
     """Arrays as one compressed pack."""
     parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
-    return struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + zstandard.ZstdCompressor(1).compress(b"".join(parts))
+    return struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + zstandard.ZstdCompressor(level).compress(b"".join(parts))
 
 
 def spread(pack: bytes) -> list[bytes]:
@@ -110,18 +110,15 @@ def grouped(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, train) to parts: the texts as numbers of words, with hashes and lengths, and the words with their training counts."""
+    """Rows (doc_id, text, train) to parts: the texts as numbers of words, their lengths, whether they teach, and the words."""
     made = 0
     docs: list[int | None] = []
     numbers, flat, lengths, learnt, size = Numbers({b"": 0}), [], [], [], 0
 
     def close() -> pa.RecordBatch:
-        ids, words = np.concatenate(flat), list(numbers)
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-        counts = np.bincount(ids[np.repeat(np.array(learnt, bool), lengths)], minlength=len(words))
-        texts = squeeze(ids.astype("<i4"), hashes, np.array(lengths, "<i8"), np.array(learnt, "u1"))
-        cols = [[(TaskContext.get().partitionId() << 32) + made], [texts], [squeeze(b"\n".join(words), counts.astype("<i8"))], [docs]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["part", "texts", "words", "docs"])
+        texts = squeeze(np.concatenate(flat).astype("<i4"), np.array(lengths, "<i8"), np.array(learnt, "u1"), b"\n".join(numbers), level=3)
+        cols = [[(TaskContext.get().partitionId() << 32) + made], [texts], [docs]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["part", "texts", "docs"])
 
     for b in batches:
         for doc, text, train in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
@@ -139,18 +136,24 @@ def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def walk_of(texts: bytes, buckets: int) -> tuple[Walk, np.ndarray, np.ndarray]:
-    """The tokens of a part, its documents' lengths, and whether each teaches."""
-    ids, hashes, lengths, learnt = (np.frombuffer(x, t) for x, t in zip(spread(texts), ("<i4", "<u8", "<i8", "u1")))
-    return Walk(ids.astype(np.int64), hashes, buckets), lengths, learnt > 0
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+
+
+def read_part(texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """The tokens of a part by number, its documents' lengths, whether each token teaches, and the words."""
+    ids, lengths, learnt, words = spread(texts)
+    lengths = np.frombuffer(lengths, "<i8")
+    return np.frombuffer(ids, "<i4").astype(np.int64), lengths, np.repeat(np.frombuffer(learnt, "u1") > 0, lengths), words.split(b"\n")
 
 
 def ask_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Parts (part, texts) to a pack of pairs for each bucket, with their training counts."""
     for b in batches:
         for part, texts in zip(b.column(0).to_pylist(), b.column(1)):
-            walk, lengths, learnt = walk_of(texts.as_py(), buckets)
-            counts = np.bincount(walk.pair[np.repeat(learnt, lengths)], minlength=len(walk.first))
+            ids, _, teaches, words = read_part(texts.as_py())
+            walk = Walk(ids, hashes_of(words), buckets)
+            counts = np.bincount(walk.pair[teaches], minlength=len(walk.first))
             for k in range(buckets):
                 p = walk.by_bucket[walk.pair_cuts[k] : walk.pair_cuts[k + 1]]
                 if len(p):
@@ -158,12 +161,12 @@ def ask_pairs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
 
 
 def ask_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Parts (part, words) to a pack of words for each bucket, with their training counts."""
+    """Parts (part, texts) to a pack of words for each bucket, with their training counts."""
     for b in batches:
-        for part, pack in zip(b.column(0).to_pylist(), b.column(1)):
-            joined, counts = spread(pack.as_py())
-            words, counts = joined.split(b"\n"), np.frombuffer(counts, "<i8")
-            by_bucket, cuts = grouped(word_bucket(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), buckets), buckets)
+        for part, texts in zip(b.column(0).to_pylist(), b.column(1)):
+            ids, _, teaches, words = read_part(texts.as_py())
+            counts = np.bincount(ids[teaches], minlength=len(words)).astype("<i8")
+            by_bucket, cuts = grouped(word_bucket(hashes_of(words), buckets), buckets)
             for k in range(buckets):
                 w = by_bucket[cuts[k] : cuts[k + 1]]
                 if len(w):
@@ -242,7 +245,7 @@ def answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(total, ids, n)
         state, which = np.unique(np.concatenate(states), return_inverse=True)
         mass = np.bincount(which, np.concatenate(masses), len(state))
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in number], np.uint64)
+        hashes = hashes_of(list(number))
         at = np.minimum(np.searchsorted(state, hashes), max(0, len(state) - 1))
         arcs = np.where(state[at] == hashes, mass[at], 0.0) if len(state) else np.zeros(len(hashes))
         out = [(WORDS, part, bucket, squeeze(total[ids], arcs[ids]), None, None, None) for part, ids in asked]
@@ -271,7 +274,8 @@ def score_parts(batches: Iterator[pa.RecordBatch], buckets: int, total: int, kin
     """A part's texts and answers, in order of part and kind, to the scores of its documents."""
     for _, rows in by_key(batches, 1):
         texts = next(r for r in rows if r["kind"] == TEXTS)
-        walk, lengths, _ = walk_of(texts["data"], buckets)
+        ids, lengths, _, vocabulary = read_part(texts["data"])
+        walk = Walk(ids, hashes_of(vocabulary), buckets)
         counts, words, arcs = np.zeros(len(walk.first), np.int64), np.zeros(len(walk.hashes), np.int64), np.zeros(len(walk.hashes))
         for r in rows:
             k = r["bucket"]
@@ -311,7 +315,7 @@ def score_documents(df: DataFrame, train: Column, id_col: str = "doc_id", text_c
     parts = work.put(mapped(docs, number, schema=PARTS), "parts")
     asked = mapped(parts.select("part", "texts"), ask_pairs, buckets)
     pairs = work.put(mapped(in_order(asked, "bucket", "part"), answer_pairs, buckets, min_count, discount), "pairs", by="kind")
-    asked = mapped(parts.select("part", "words"), ask_words, buckets).unionByName(pairs.where(F.col("kind") == SUMS))
+    asked = mapped(parts.select("part", "texts"), ask_words, buckets).unionByName(pairs.where(F.col("kind") == SUMS))
     words = work.put(mapped(in_order(asked, "bucket", "kind", "part"), answer_words), "words")
     totals = words.where("part is null").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).first()
     total, kinds = totals["n"] or 0, totals["kinds"] or 0
