@@ -2,8 +2,10 @@
 
 Coarse centroids cut the vectors into lists; what is left of a vector after its
 centroid is coded by one byte for each of a few subspaces. A query looks into the
-lists of its nearest centroids, estimates distances from tables (asymmetric: the
-query itself isn't coded), and measures the best of each list exactly.
+lists of its nearest centroids and estimates distances from tables (asymmetric:
+the query itself isn't coded); the best of all its lists are measured exactly.
+How many lists that takes is measured on the sample that centroids are fitted on:
+few where vectors lie in clusters, many where they lie at random.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from sparkloom.storage import Workspace
 
 #: Vectors, chosen by a hash of their ids, that centroids and codes are fitted on at most.
 FIT_ROWS = 20_000
-#: Vectors of a list on average, lists at most, and the share of lists that a query looks into.
-LIST_ROWS, MOST_LISTS, PROBED = 256, 4096, 0.75
+#: Vectors of a list on average, vectors of the sample for each list, and lists at least (fewer vectors than that are one list).
+LIST_ROWS, FIT_EACH = 256, 40
+#: The share of true neighbours whose lists a query should look into, vectors of the sample that this is measured on, and what is added to it.
+COVERED, MEASURED, SPARE = 0.97, 400, 1.1
 SUBSPACES, CODES = 16, 256
-#: Candidates of each list (or block of a large list) that are measured exactly; ties of the last one are too.
-RERANKED = 96
-#: Vectors and queries that meet in one task's group: larger lists and query sets are dealt out in blocks.
-BLOCK_ROWS, BLOCK_QUERIES = 2048, 2048
+#: Candidates of a query that are measured exactly, and that one list (or block of a large one) may give, for each of its k neighbours; ties of the last one count too.
+RERANKED, FROM_LIST = 40, 3
+#: Vectors (as codes) and queries that meet in one task's group: larger lists and query sets are dealt out in blocks.
+BLOCK_ROWS, BLOCK_QUERIES = 65_536, 8192
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
@@ -91,53 +95,70 @@ def fit(sample: np.ndarray, lists: int) -> Index:
     return index
 
 
+def lists_needed(sample: np.ndarray, index: Index, k: int) -> int:
+    """How many lists a query must look into for COVERED of its true neighbours, by vectors of the sample."""
+    near, _ = nearest(sample, index.centroids)
+    n = len(index.centroids)
+    step = max(1, len(sample) // MEASURED)
+    queries = sample[::step]
+    found = np.zeros(n, np.int64)
+    norms = (sample * sample).sum(1)
+    for q, at in zip(queries, range(0, len(sample), step)):
+        d = norms - 2 * sample @ q
+        d[at] = np.inf
+        best = np.argpartition(d, min(k, len(d) - 1))[:k]
+        place = np.empty(n, np.int64)
+        place[np.argsort(((index.centroids - q) ** 2).sum(1), kind="stable")] = np.arange(n)
+        np.add.at(found, place[near[best]], 1)
+    enough = int(np.searchsorted(np.cumsum(found), COVERED * found.sum())) + 1
+    return min(n, int(np.ceil(SPARE * enough)))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Ids and vectors that take part, each id once (of several the least vector)."""
+    """Ids and vectors that take part."""
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0))
-    if rows.groupBy("id").count().where("count > 1").limit(1).count():
-        rows = rows.groupBy("id").agg(F.min("v").alias("v"))
     sizes = rows.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
     return rows.where(F.size("v") == (sizes[0]["dims"] if sizes else 0))
 
 
-SCHEMA = "query_id long, vec_id long, score double"
-
-
 def neighbours(df: DataFrame, is_query: Callable[[F.Column], F.Column], k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest found of each query vector among all other vectors: query_id, rank, vec_id, score.
 
     The score is the Euclidean distance in double precision; ties go to the
     smaller id. Vectors that are null, all zero, or hold a null or a non-finite
-    number take no part, nor do those of another length than most, nor null ids;
-    of rows with one id the least vector counts. Other columns are left out.
+    number take no part, nor do those of another length than most, nor null ids.
+    Rows with one id are vectors of their own: each is a query if the id is one,
+    and a candidate for all but itself. Rows of a query with one id follow each
+    other by a hash of the query's vector. Other columns are left out.
     """
     spark = df.sparkSession
     work = Workspace(spark, "ann")
-    rows = work.put(usable(df, id_col, vector_col), "vectors")
+    rows = work.put(usable(df, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n = rows.count()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
         return empty
     # A sample of at most FIT_ROWS vectors is fitted on the driver.
-    sample = matrix(rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toArrow().column(0).combine_chunks())
-    index = fit(sample, max(1, min(MOST_LISTS, n // LIST_ROWS)))
+    sample = matrix(rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("v")).limit(FIT_ROWS).select("v").toArrow().column(0).combine_chunks())
+    index = fit(sample, max(1, min(len(sample) // FIT_EACH, n // LIST_ROWS)))
     lists = len(index.centroids)
-    probed = max(1, min(lists, max(8, int(np.ceil(PROBED * lists)))))
-    shared = spark.sparkContext.broadcast(index)  # at most MOST_LISTS centroids and SUBSPACES books of CODES
+    probed = lists_needed(sample, index, k)
+    shared = spark.sparkContext.broadcast(index)  # at most FIT_ROWS / FIT_EACH centroids and SUBSPACES books of CODES
+    reranked, from_list = RERANKED * k, FROM_LIST * k
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 near, codes = shared.value.code(matrix(b.column(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "v", "list", "code"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near), pa.array([c.tobytes() for c in codes], pa.binary())], ["row", "list", "code"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value.centroids
@@ -146,39 +167,49 @@ def neighbours(df: DataFrame, is_query: Callable[[F.Column], F.Column], k: int =
                 x = matrix(b.column(1))
                 d = (c * c).sum(1) - 2 * x @ c.T
                 best = np.argsort(d, axis=1, kind="stable")[:, :probed]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best.tolist(), pa.list_(pa.int64()))], ["id", "v", "lists"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best.tolist(), pa.list_(pa.int64()))], ["row", "v", "lists"])
 
-    coded = work.put(rows.mapInArrow(code, "id long, v array<double>, list long, code binary"), "index")
+    coded = work.put(rows.select("row", "v").mapInArrow(code, "row long, list long, code binary"), "index")
     blocks = F.ceil(F.col("count") / BLOCK_ROWS).cast("int")
-    sizes = F.broadcast(coded.groupBy("list").count().select("list", blocks.alias("blocks")))  # one row for each list
+    sizes = F.broadcast(coded.groupBy("list").count().select("list", blocks.alias("blocks")))  # one row for each list, of which FIT_ROWS bounds the number
     queries = rows.where(is_query(F.col("id")))
     slices = max(1, -(-queries.count() * probed // lists // BLOCK_QUERIES))
-    asked = queries.mapInArrow(probe, "id long, v array<double>, lists array<long>").select("id", "v", F.explode("lists").alias("list")).join(sizes, "list")
-    asked = asked.select("id", "v", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"))
-    held = coded.join(sizes, "list").select("id", "v", "code", "list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    asked = queries.select("row", "v").mapInArrow(probe, "row long, v array<double>, lists array<long>").select("row", "v", F.explode("lists").alias("list")).join(sizes, "list")
+    asked = asked.select("row", "v", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int").alias("slice"))
+    # Codes alone, of some bytes each, are copied for each slice of the queries; vectors stay where they are.
+    held = coded.join(sizes, "list").select("row", "code", "list", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The rows of a list that look nearest to each query that looks into it, and estimates."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
             ix, of = shared.value, left.column("list")[0].as_py()
-            ids = right.column("id").to_numpy()
-            vectors = matrix(right.column("v").combine_chunks())
+            ids = right.column("row").to_numpy()
             codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            asked_v = matrix(left.column("v").combine_chunks())
-            for q, x in zip(left.column("id").to_pylist(), asked_v):
+            for q, x in zip(left.column("row").to_pylist(), matrix(left.column("v").combine_chunks())):
                 d = ix.estimates(x, of, codes)
-                near = np.flatnonzero(d <= np.partition(d, RERANKED)[RERANKED]) if len(d) > RERANKED + 1 else np.arange(len(d))
+                near = np.flatnonzero(d <= np.partition(d, from_list)[from_list]) if len(d) > from_list + 1 else np.arange(len(d))
                 near = near[ids[near] != q]
-                exact = np.sqrt(((vectors[near] - x) ** 2).sum(1))
-                best = np.lexsort((ids[near], exact))[:k]
-                out.append((np.full(len(best), q), ids[near][best], exact[best]))
+                out.append((np.full(len(near), q), ids[near], d[near]))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+        return pa.table({"query": pa.array(cols[0], pa.int64()), "row": pa.array(cols[1], pa.int64()), "estimate": pa.array(cols[2], pa.float64())})
 
     keys = ["list", "block", "slice"]
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, SCHEMA)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, "query long, row long, estimate double")
+    shortlist = found.withColumn("place", F.rank().over(Window.partitionBy("query").orderBy("estimate"))).where(F.col("place") <= reranked)
+    vectors = rows.select("row", "id", "v")
+    asking = queries.select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("q"))
+    pairs = shortlist.join(vectors, "row").join(asking, "query")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                exact = np.sqrt(((matrix(b.column(4)) - matrix(b.column(3))) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(exact)], ["query", "query_id", "vec_id", "score"])
+
+    pairs = pairs.select("query", "query_id", F.col("id").alias("vec_id"), "q", "v").mapInArrow(measure, "query long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
