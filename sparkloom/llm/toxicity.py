@@ -1,8 +1,8 @@
 """Toxicity of whole texts after noisy-channel restoration.
 
-Words written with look-alike signs, stretched letters or spaces between letters
-are decoded by Viterbi search over a lattice of what each sign may stand for,
-under a character language model. The restored words join those of the text,
+Words written with look-alike signs, letters three times or more in a row, or
+spaces between letters are decoded by Viterbi search over a lattice of what each
+sign may stand for, under a character language model; other words stay as they are. The restored words join those of the text,
 and a logistic regression over a few chosen words and word beginnings follows.
 """
 
@@ -90,25 +90,46 @@ def options(sign: str, n: int) -> list[tuple[str, float]]:
     return out or [("", 0.0)]
 
 
-def restore(written: str, model: CharModel) -> str:
-    """The likeliest word behind a written form (lower case, separators left out)."""
-    states: dict[str, tuple[float, str]] = {"^" * ORDER: (0.0, "")}
+def breaks(letters: str) -> list[str]:
+    """The letters with and without an end of a word before each."""
+    out = [""]
+    for x in letters:
+        out = [a + b for a in out for b in (x, " " + x)]
+    return out
+
+
+def restore(written: str, model: CharModel, words: bool = False) -> str:
+    """The likeliest word (or words, if there may be several) behind a written form (lower case, separators left out).
+
+    The lattice has a column for each run of equal signs and a state for each
+    context of the language model; back-pointers lead from the cheapest end.
+    """
+    states: dict[str, float] = {"^" * ORDER: 0.0}
+    back: list[dict[str, tuple[str, str]]] = []
     i = 0
     while i < len(written):
         j = i
         while j < len(written) and written[j] == written[i]:
             j += 1
-        after: dict[str, tuple[float, str]] = {}
-        for context, (cost, text) in states.items():
-            for letters, more in options(written[i], j - i):
-                at, c = context, cost + more
-                for x in letters:
-                    c += model.cost(at, x)
-                    at = (at + x)[-ORDER:]
-                if at not in after or (c, text + letters) < after[at]:
-                    after[at] = (c, text + letters)
+        after: dict[str, float] = {}
+        came: dict[str, tuple[str, str]] = {}
+        for context, cost in sorted(states.items()):
+            for read, more in options(written[i], j - i):
+                for letters in breaks(read) if words and i else (read,):
+                    at, c = context, cost + more
+                    for x in letters:
+                        c += model.cost(at, "$" if x == " " else x)
+                        at = "^" * ORDER if x == " " else (at + x)[-ORDER:]
+                    if at not in after or c < after[at]:
+                        after[at], came[at] = c, (context, letters)
         states, i = after, j
-    return min((cost + model.cost(context, "$"), text) for context, (cost, text) in states.items())[1]
+        back.append(came)
+    at = min((cost + model.cost(context, "$"), context) for context, cost in states.items())[1]
+    out = []
+    for came in reversed(back):
+        at, letters = came[at]
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def suspicious(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,13 +147,14 @@ def suspicious(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 TOKEN = re.compile(r"\S+")
-SPACED = re.compile(r"(?:(?<=\s)|^)\W*(?:[\w@$!|+*€][\s._\-*/]{1,2}){2,}[\w@$!|+*€](?=\W|$)")
+#: Letters and signs one by one, up to three separators between them; the two classes share no character, so matching is linear.
+SPACED = re.compile(r"(?<![\w@$!|+€])(?:[^\W_]|[@$!|+€])(?:[\s._\-*/]{1,3}(?:[^\W_]|[@$!|+€])){2,}(?![\w@$!|+€])")
 
 
-def disguised(text: str, model: CharModel, cache: dict[str, str]) -> list[str]:
-    """The restored words of a text, and of letters set apart, the letters joined."""
+def disguised(text: str, model: CharModel, cache: dict[str, str]) -> tuple[list[str], int]:
+    """The restored words of a text (of letters set apart, the letters joined to one word and to likely words), and the blanks inside these."""
     mixed, spaced = suspicious(np.frombuffer(text.encode(), np.uint8))
-    out = []
+    out, inside = [], 0
     if len(mixed):
         for m in TOKEN.finditer(text):
             t = m[0].lower().strip(".,;:?!\"'()[]{}<>")
@@ -147,7 +169,10 @@ def disguised(text: str, model: CharModel, cache: dict[str, str]) -> list[str]:
             t = "".join(c for c in m[0].lower() if c.isalpha() or c in LOOKS_LIKE)
             if len(t) > 2 and any(c.isalpha() for c in t):
                 out.append(restore(t, model))
-    return out
+                if len(parts := restore(t, model, words=True).split()) > 1:
+                    out += parts
+                inside += max(0, m[0].count(" ") - len(parts) + 1)
+    return out, inside
 
 
 def looks_disguised(t: str) -> bool:
@@ -186,13 +211,14 @@ class FeatureCounter:
 
     def vector(self, text: str) -> np.ndarray:
         """The logarithms of one more than the counts, and of their share of the words."""
-        x = np.zeros(len(self.chosen) + 1)
+        x, inside = np.zeros(len(self.chosen) + 1), 0
         if self.chosen:
             np.add.at(x, self.found(text.lower()), 1)
-            for word in disguised(text, self.model, self.cache):
-                hits = set(self.found(word)) | {i for i in self.found(word, True) if len(self.chosen[i]) > 5 and len(word) <= 64}
+            words, inside = disguised(text, self.model, self.cache)
+            for word in words:
+                hits = set(self.found(word)) | {i for i in self.found(word, True) if len(self.chosen[i]) > 5}
                 x[list(hits)] += 1
-        x[-1] = 1000 * x.sum() / (1 + text.count(" "))
+        x[-1] = 1000 * x.sum() / (1 + text.count(" ") - inside)
         return np.log1p(x)
 
 
@@ -302,7 +328,7 @@ def fit(df: DataFrame, labels: DataFrame, train: Callable[[str], object], id_col
         for b in batches:
             c: Counter[str] = Counter()
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for g in char_grams(w[:64]):
+                for g in char_grams(w):
                     c[g] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["gram", "n"])
 
