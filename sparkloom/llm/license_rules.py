@@ -1,8 +1,7 @@
 """The signature rules of the license scan, written by hand.
 
-A line is: label, priority, keywords (all must be in the text, separated by
-semicolons), regular expression, separated by tabs or runs of two blanks and
-more. Texts are matched with runs of white space joined to one blank and without
+A line is: label, priority, keywords (one of them must be in the text, separated
+by strokes), regular expression, separated by runs of two blanks and more. Texts are matched with runs of white space joined to one blank and without
 regard to case, so no pattern repeats white space and none repeats without bound.
 ``{v}`` in a label is the group v of the match with a minor version; a match of
 the group later adds "-or-later". Priorities: 95 addresses and full grants with
@@ -268,24 +267,24 @@ cc-by-nc-{v}  85  creative commons  \bcreative commons attribution[- ]non-?comme
 cc-by-sa-{v}  85  creative commons  \bcreative commons attribution[- ]share-? ?alike (?:licen[cs]e )?(?:version )?v?(?P<v>[1-4]\.[05])
 cc-by-nd-{v}  85  creative commons  \bcreative commons attribution[- ]no-? ?deriv(?:ative)?s?(?: works)? (?:licen[cs]e )?(?:version )?v?(?P<v>[1-4]\.[05])
 cc-by-{v}  85  creative commons  \bcreative commons attribution (?:licen[cs]e )?(?:version )?v?(?P<v>[1-4]\.[05])
-cc-by-nc-sa-{v}  75  nc  \bcc[- ]by[- ]nc[- ]sa[- ]v?(?P<v>[1-4]\.[05])
-cc-by-nc-nd-{v}  75  nc  \bcc[- ]by[- ]nc[- ]nd[- ]v?(?P<v>[1-4]\.[05])
-cc-by-nc-{v}  75  nc  \bcc[- ]by[- ]nc[- ]v?(?P<v>[1-4]\.[05])
-cc-by-sa-{v}  75  sa  \bcc[- ]by[- ]sa[- ]v?(?P<v>[1-4]\.[05])
-cc-by-nd-{v}  75  nd  \bcc[- ]by[- ]nd[- ]v?(?P<v>[1-4]\.[05])
-cc-by-{v}  75  by  \bcc[- ]by[- ]v?(?P<v>[1-4]\.[05])
+cc-by-nc-sa-{v}  75  cc by|cc-by  \bcc[- ]by[- ]nc[- ]sa[- ]v?(?P<v>[1-4]\.[05])
+cc-by-nc-nd-{v}  75  cc by|cc-by  \bcc[- ]by[- ]nc[- ]nd[- ]v?(?P<v>[1-4]\.[05])
+cc-by-nc-{v}  75  cc by|cc-by  \bcc[- ]by[- ]nc[- ]v?(?P<v>[1-4]\.[05])
+cc-by-sa-{v}  75  cc by|cc-by  \bcc[- ]by[- ]sa[- ]v?(?P<v>[1-4]\.[05])
+cc-by-nd-{v}  75  cc by|cc-by  \bcc[- ]by[- ]nd[- ]v?(?P<v>[1-4]\.[05])
+cc-by-{v}  75  cc by|cc-by  \bcc[- ]by[- ]v?(?P<v>[1-4]\.[05])
 cc-by-nc-sa  60  creative commons  \bcreative commons attribution[- ]non-?commercial[- ]share-? ?alike\b
 cc-by-nc-nd  60  creative commons  \bcreative commons attribution[- ]non-?commercial[- ]no-? ?deriv
 cc-by-nc  60  creative commons  \bcreative commons attribution[- ]non-?commercial\b
 cc-by-sa  60  creative commons  \bcreative commons attribution[- ]share-? ?alike\b
 cc-by-nd  60  creative commons  \bcreative commons attribution[- ]no-? ?deriv
 cc-by  60  creative commons  \bcreative commons attribution\b
-cc-by-nc-sa  40  nc  \bcc[- ]by[- ]nc[- ]sa\b
-cc-by-nc-nd  40  nc  \bcc[- ]by[- ]nc[- ]nd\b
-cc-by-nc  40  nc  \bcc[- ]by[- ]nc\b
-cc-by-sa  40  sa  \bcc[- ]by[- ]sa\b
-cc-by-nd  40  nd  \bcc[- ]by[- ]nd\b
-cc-by  40  by  \bcc[- ]by\b
+cc-by-nc-sa  40  cc by|cc-by  \bcc[- ]by[- ]nc[- ]sa\b
+cc-by-nc-nd  40  cc by|cc-by  \bcc[- ]by[- ]nc[- ]nd\b
+cc-by-nc  40  cc by|cc-by  \bcc[- ]by[- ]nc\b
+cc-by-sa  40  cc by|cc-by  \bcc[- ]by[- ]sa\b
+cc-by-nd  40  cc by|cc-by  \bcc[- ]by[- ]nd\b
+cc-by  40  cc by|cc-by  \bcc[- ]by\b
 cc-sampling  60  sampling  \bcreative commons sampling(?: plus)?\b
 proprietary  10  all rights reserved  \ball rights reserved\b
 proprietary  10  proprietary and confidential  \bproprietary and confidential\b

@@ -1,8 +1,8 @@
 """License scan by ordered signature rules.
 
 Each rule of ``license_rules`` is a regular expression with a priority and the
-keywords without which it can't match. One automaton pass over a text finds the
-keywords; only rules whose keywords are all there run. SPDX tags are read as the
+keywords without one of which it can't match. One automaton pass over a text
+finds the keywords; only rules with a keyword that is there run. SPDX tags are read as the
 expressions that they are. Detections that lie inside one of higher priority (or
 of the same priority and longer) are suppressed.
 """
@@ -36,7 +36,7 @@ IDENTIFIER = re.compile(r"(?:(?P<with>with) )?\b(?!(?:and|or|with)\b)(?P<id>[\w.
 class Rule:
     label: str
     priority: int
-    keywords: tuple[str, ...]
+    keywords: frozenset[str]
     pattern: re.Pattern[str]
 
     def name(self, m: re.Match[str]) -> str:
@@ -49,8 +49,8 @@ class Rule:
 def rules() -> list[Rule]:
     out = []
     for line in TABLE.strip().splitlines():
-        label, priority, keywords, pattern = re.split(r"\t| {2,}", line.strip(), maxsplit=3)
-        out.append(Rule(label, int(priority), tuple(keywords.split(";")), re.compile(pattern, re.I)))
+        label, priority, keywords, pattern = re.split(" {2,}", line.strip(), maxsplit=3)
+        out.append(Rule(label, int(priority), frozenset(keywords.split("|")), re.compile(pattern, re.I)))
     return out
 
 
@@ -89,7 +89,7 @@ class Scanner:
         there = {k for _, k in self.keywords.iter(line.lower())}
         if not there:
             return []
-        found = [(m.start(), m.end(), r.name(m), r.priority) for r in self.rules if there.issuperset(r.keywords) for m in r.pattern.finditer(line)]
+        found = [(m.start(), m.end(), r.name(m), r.priority) for r in self.rules if not there.isdisjoint(r.keywords) for m in r.pattern.finditer(line)]
         if TAG in there:
             found += [(s, e, name, TAGGED) for m in EXPRESSION.finditer(line) for s, e, name in tagged(m)]
         kept: list[tuple[int, int, str, int]] = []
