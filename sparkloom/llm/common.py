@@ -54,6 +54,29 @@ def annotate(df: DataFrame, name: str, kind: str, make: Callable[[], Callable[[l
     return df.mapInArrow(run, df.withColumn(name, F.lit(None).cast(kind)).schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of ``df`` has in any case."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+#: A key is hot if so many of all rows do not even hold one of its rows on average; there are no more hot keys than that.
+HOT_KEYS = 1000
+
+
+def labelled(rows: DataFrame, labels: DataFrame, key: str, members: str) -> DataFrame:
+    """``rows`` with the one row of ``labels`` (key, columns, members: how many rows have the key) of each key.
+
+    Keys with over a HOT_KEYS-th of all rows, of which there are HOT_KEYS at
+    most, are broadcast, so that no task gets them whole; others are joined by a shuffle.
+    """
+    least = (labels.agg(F.sum(members).alias("n")).first()["n"] or 0) / HOT_KEYS
+    hot, cold = labels.where(F.col(members) > least).drop(members), labels.where(F.col(members) <= least).drop(members)
+    few = rows.join(F.broadcast(hot), key)
+    return few.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def tokens_digest() -> list[Column]:
     """Digests of the columns ids and decoded."""
     return [

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import documents, id_text, map_batches, small_batches
+from sparkloom.llm.common import documents, id_text, labelled, map_batches, small_batches
 from sparkloom.operators.components import connected_components
 from sparkloom.storage import Workspace
 
@@ -247,13 +247,14 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = df.sparkSession
     work = Workspace(spark, "simhash")
     docs = work.put(fingerprints(df, id_col, text_col), "fingerprints")
-    classes = work.put(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = work.put(docs.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     parts = connected_components(links(classes.select("fp"), work), work)
     member = classes.join(parts, classes["fp"] == parts["node"], "left")
     least = member.where("component is not null").groupBy("component").agg(F.min("rep").alias("least")).withColumnRenamed("component", "root")
-    named = member.join(least, F.col("component") == F.col("root"), "left").select("fp", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
-    return docs.join(work.put(named, "named"), "fp", "left").select("doc_id", "fp", "component_id")
+    component = F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least"))
+    named = member.join(least, F.col("component") == F.col("root"), "left").select("fp", component.alias("component_id"), "members")
+    return labelled(docs, work.put(named, "named"), "fp", "members").select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

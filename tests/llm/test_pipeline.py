@@ -112,3 +112,14 @@ def test_near_copies_are_all_linked(spark):
     columns = [F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), F.length("text").alias("n_chars")]
     kept = stage(spark, rows.select("*", *columns), SF)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    names = ["score", "score_", "scores", "hits", "_score", "_cut", "_hits", "n", "record", "spans", "kept", "ids", "ord", "component_id", "fp", "node"]
+    rows = [(i, f"document {i} says " + " ".join(f"w{i}x{k}" for k in range(40)), *[f"{c}{i}" for c in names]) for i in range(20)]
+    docs_ = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs_, SF)
+        assert got.columns == docs_.columns, name
+        assert sorted(map(tuple, got.collect())) == sorted(rows), name
+    assert pipeline.STAGES[-1][1](spark, docs_, SF).count() == 20
