@@ -27,8 +27,8 @@ LIST_ROWS, FIT_EACH = 256, 40
 #: The share of true neighbours whose lists a query should look into, vectors of the sample that this is measured on, and what is added to it.
 COVERED, MEASURED, SPARE = 0.97, 400, 1.1
 SUBSPACES, CODES = 16, 256
-#: Candidates of a query that are measured exactly, and that one list (or block of a large one) may give, for each of its k neighbours; ties of the last one count too.
-RERANKED, FROM_LIST = 40, 3
+#: Candidates of a query that are measured exactly, for each of its k neighbours, and times that number that all its lists give together (each list k at least); ties of the last one count too.
+RERANKED, GIVEN = 40, 3
 #: Vectors (as codes) and queries that meet in one task's group: larger lists and query sets are dealt out in blocks.
 BLOCK_ROWS, BLOCK_QUERIES = 65_536, 8192
 
@@ -152,7 +152,8 @@ def neighbours(df: DataFrame, is_query: Callable[[F.Column], F.Column], k: int =
     lists = len(index.centroids)
     probed = lists_needed(sample, index, k)
     shared = spark.sparkContext.broadcast(index)  # at most FIT_ROWS / FIT_EACH centroids and SUBSPACES books of CODES
-    reranked, from_list = RERANKED * k, FROM_LIST * k
+    reranked = RERANKED * k
+    from_list = max(k, -(-GIVEN * reranked // probed))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
