@@ -1,52 +1,109 @@
-"""Parsing of questions."""
+"""Column functions that read questions: phrases, terms, exclusions, synonyms, intents."""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-#: Words that carry no meaning in a question.
-STOP = {"a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "with"}
-EAST_ASIAN = re.compile("[ᄀ-ᇿ぀-ヿ㐀-鿿가-힯]")
+from sparkloom.functions import text as T
 
+#: Words that a question may hold without asking for them.
+STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "with"]
+#: Short forms and what they stand for.
+SYNONYMS = {
+    "rrf": "reciprocal rank fusion", "knu": "knowledge unit", "ctx": "context", "atm": "atom", "con": "concept",
+    "exh": "exhibition", "fts": "full text search", "bm25": "okapi bm25", "knn": "nearest neighbor",
+}
+#: The parts of a question that give its intent away, tried in this order.
+INTENTS = [
+    ("definition", ["what is", "define", "definition of", "무엇", "이란", "란 "]),
+    ("comparison", [" vs ", "versus", "compare", "difference between", "차이"]),
+    ("procedure", ["how to", "how do", "steps to", "방법", "어떻게"]),
+]
+EAST_ASIAN = r"[\x{1100}-\x{11FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]"
+EDGE = r"""[.,;:!?()\[\]{}<>'“”‘’]+"""
 
-@dataclass(frozen=True)
-class Question:
-    phrases: tuple[str, ...]
-    terms: tuple[str, ...]
-    excluded: tuple[str, ...]
-    east_asian: bool
 
+def bare(word: Column) -> Column:
+    """A word without punctuation at its edges."""
+    return F.regexp_replace(word, f"^{EDGE}|{EDGE}$", "")
 
-def parse(text: str) -> Question:
-    """Quoted phrases, -excluded words and terms.
 
-    Plain ASCII words go if they are stop words or have two letters or fewer
-    (unless in capitals); identifiers with dots, dashes, strokes or underscores
-    and words of other scripts stay.
+def said(words: Column) -> Column:
+    """Words that are left of a list once their edges are bare."""
+    return F.filter(F.transform(words, bare), lambda w: w != "")
+
+
+def phrases(question: Column) -> Column:
+    """What stands in double quotes."""
+    return F.filter(F.transform(F.regexp_extract_all(question, F.lit('"([^"]+)"'), 1), F.trim), lambda p: p != "")
+
+
+def unquoted(question: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(question, '"[^"]*"', " "), r"\s+"), lambda w: w != "")
+
+
+def is_minus(word: Column) -> Column:
+    return word.rlike("^-.")
+
+
+def excluded(question: Column) -> Column:
+    """Words with a minus before them."""
+    return said(F.transform(F.filter(unquoted(question), is_minus), lambda w: F.regexp_replace(w, "^-+", "")))
+
+
+def matters(word: Column) -> Column:
+    """Identifiers and words of other scripts always do; others unless they are stop words or of two letters that aren't capitals."""
+    identifier, foreign = word.rlike(r"[.\-_/]"), word.rlike(r"[^\x00-\x7F]")
+    capitals = word.rlike("[A-Z]") & (F.upper(word) == word)
+    return identifier | foreign | ~(F.lower(word).isin(STOP) | (F.length(word) <= 2) & ~capitals)
+
+
+def terms(question: Column) -> Column:
+    """The different words that are asked for, in their order."""
+    return F.array_distinct(F.filter(said(F.filter(unquoted(question), lambda w: ~is_minus(w))), matters))
+
+
+def east_asian(text: Column) -> Column:
+    return text.rlike(EAST_ASIAN)
+
+
+def match_string(question: Column, trigrams: bool = False) -> Column:
+    """Phrases and one of the terms at least (as beginnings of words), without the exclusions.
+
+    Trigrams know no beginnings and nothing under three letters.
     """
-    phrases = tuple(p.strip() for p in re.findall(r'"([^"]+)"', text) if p.strip())
-    terms, excluded = [], []
-    for raw in re.sub(r'"[^"]*"', " ", text).split():
-        minus = raw.startswith("-") and len(raw) > 1
-        word = raw.lstrip("-").strip(".,;:!?()[]{}<>'“”‘’") if minus else raw.strip(".,;:!?()[]{}<>'“”‘’")
-        if not word:
-            continue
-        if minus:
-            excluded.append(word)
-        elif word.isascii() and not re.search(r"[.\-_/]", word) and (word.lower() in STOP or len(word) <= 2 and not word.isupper()):
-            continue
-        elif word not in terms:
-            terms.append(word)
-    return Question(phrases, tuple(terms), tuple(excluded), bool(EAST_ASIAN.search(text)))
-
-
-def match_string(q: Question, trigrams: bool = False) -> str:
-    """Phrases AND (terms as prefixes, joined by OR) NOT excluded words; trigrams need three letters and no prefix mark."""
-    keep = [t for t in q.terms if not trigrams or len(t) >= 3]
-    parts = [f'"{p}"' for p in q.phrases]
-    if keep:
-        parts.append("(" + " OR ".join(f'"{t}"' if trigrams else f'"{t}"*' for t in keep) + ")")
-    out = " AND ".join(parts)
-    gone = [f'"{e}"' for e in q.excluded if not trigrams or len(e) >= 3]
-    return out + "".join(f" NOT {e}" for e in gone) if out else ""
+    quoted = lambda words, mark="": F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"' + mark)))
+    long = (lambda ws: F.filter(ws, lambda w: F.length(w) >= 3)) if trigrams else (lambda ws: ws)
+    some = quoted(long(terms(question)), "" if trigrams else "*")
+    any_of = F.when(F.size(some) > 0, F.concat(F.lit("("), F.array_join(some, " OR "), F.lit(")")))
+    every = F.concat_ws(" AND ", quoted(phrases(question)), any_of)
+    none_of = F.array_join(F.transform(quoted(long(excluded(question))), lambda w: F.concat(F.lit(" NOT "), w)), "")
+    return F.when(every != "", F.concat(every, none_of)).otherwise("")
+
+
+def intent(question: Column) -> Column:
+    low, out = F.lower(question), F.lit("default")
+    for name, cues in reversed(INTENTS):
+        hit = F.lit(False)
+        for cue in cues:
+            hit = hit | low.contains(cue)
+        out = F.when(hit, name).otherwise(out)
+    return out
+
+
+def synonyms(question: Column) -> Column:
+    """What the terms that are short forms stand for."""
+    known = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv])
+    return F.array_distinct(F.filter(F.transform(terms(question), lambda t: F.element_at(known, F.lower(t))), lambda t: t.isNotNull()))
+
+
+def fallback_terms(text: Column) -> Column:
+    """Terms of a message for which there is no better reading: words of any script, without single characters."""
+    words = F.split(F.regexp_replace(text, r"[^\p{L}\p{N}_./+-]+", " "), r"\s+")
+    return F.array_join(F.filter(words, lambda w: F.length(w) > 1), " ")
+
+
+def wanted_tokens(word: Column) -> Column:
+    """The index tokens of a phrase or a term."""
+    return T.index_tokens(word)

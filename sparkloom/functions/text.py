@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and what they fold to.
-ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
+def _folds() -> tuple[str, str]:
+    """Small Latin letters with marks and the letters under the marks, by the decompositions of Unicode."""
+    marked, plain = [], []
+    for code in [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)]:
+        c = chr(code)
+        parts = unicodedata.normalize("NFD", c)
+        if c == c.lower() and len(parts) > 1 and parts[0].isascii() and all(unicodedata.combining(m) for m in parts[1:]):
+            marked.append(c)
+            plain.append(parts[0])
+    return "".join(marked), "".join(plain)
+
+
+ACCENTED, FOLDED = _folds()
 TOKEN = r"[\p{L}\p{N}_]+"
+#: Tokens of the search index, which keeps dashes and dots.
+INDEX_TOKEN = r"[\p{L}\p{N}_.\-]+"
 
 
 def normalize(text: Column) -> Column:
@@ -45,6 +59,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(f"({TOKEN})"), 1)
 
 
+def index_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(fold(text), F.lit(f"({INDEX_TOKEN})"), 1)
+
+
 def title_of_filename(name: Column) -> Column:
     """Separators to spaces, words capitalised, short words in capitals kept."""
     words = F.split(F.trim(F.regexp_replace(F.regexp_replace(name, r"\.[A-Za-z0-9]+$", ""), r"[-_\s]+", " ")), " ")
@@ -122,3 +140,19 @@ def strip_html(html: Column) -> Column:
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(sign))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n ?", "\n"), r"^[ \n]+|[ \n]+$", "")
+
+
+def text_quality(text: Column) -> Column:
+    """How well a text came out of its file, from 0 to 1: a sum of capped shares less penalties."""
+    n = F.length(text)
+    words = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}][\p{L}\p{N}'\-]*)"), 1)
+    n_words = F.size(words)
+    mean = F.when(n_words > 0, F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)) / n_words).otherwise(0.0)
+    share = lambda pattern, empty: F.when(n > 0, (n - F.length(F.regexp_replace(text, pattern, ""))) / n).otherwise(empty)
+    lines = F.size(F.filter(F.split(text, r"\n+"), lambda x: F.trim(x) != ""))
+    broken, blank = share(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFD}]", 1.0), share(r"\s", 1.0)
+    capped = lambda most, value: F.least(F.lit(most), value)
+    score = capped(0.25, F.length(F.regexp_replace(text, r"\s", "")) / 1200) + capped(0.3, n_words / 240) + capped(0.15, lines / 30)
+    score += capped(0.2, share(r"[\p{L}\p{N}]", 0.0) * 0.25) + capped(0.1, mean / 60) - capped(0.35, broken * 3)
+    score -= F.when(blank > 0.45, capped(0.2, (blank - 0.45) * 0.8)).otherwise(0.0) + F.when((n_words > 0) & (mean < 2.2), 0.15).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,47 +85,57 @@ def bridges(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.groupBy("component").applyInPandas(walk, "edge_id long")
 
 
-def lifecycle(relations: DataFrame, nodes: DataFrame, contradicted: DataFrame, bridge: DataFrame, least: int = 1) -> DataFrame:
-    """The state of each relation (edge_id, src, dst, supports): the first of the tests that applies."""
+def lifecycle(relations: DataFrame, nodes: DataFrame, authored: DataFrame, contradicted: DataFrame, bridge: DataFrame, least: int = 1) -> DataFrame:
+    """The state of each relation (edge_id, src, dst, supports): the first of the tests that applies; an authored one needs no further proof."""
     known = lambda c, name: nodes.select(F.col("node").alias(c), F.lit(True).alias(name))
     rows = relations.join(known("src", "_s"), "src", "left").join(known("dst", "_d"), "dst", "left")
     rows = rows.join(contradicted.select("edge_id", F.lit(True).alias("_c")), "edge_id", "left").join(bridge.select("edge_id", F.lit(True).alias("_b")), "edge_id", "left")
+    rows = rows.join(authored.select("edge_id", F.lit(True).alias("_a")), "edge_id", "left")
     state = (
-        F.when(F.col("src") == F.col("dst"), "self_loop").when(F.col("_s").isNull() | F.col("_d").isNull(), "endpoint_unresolved")
+        F.when(F.col("src") == F.col("dst"), "self_loop").when(F.col("_s").isNull() | F.col("_d").isNull(), "endpoint_unresolved").when(F.col("_a"), "active")
         .when(F.col("_c"), "contradiction").when(F.col("_b"), "bridge_risk").when(F.col("supports") < least, "unsupported").otherwise("active")
     )
     return rows.select("edge_id", state.alias("state"))
 
 
-def paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Paths of one and two hops from seeds (node) over edges (src, dst, confidence, has_span), either way, no node twice.
+def paths(edges: DataFrame, seeds: DataFrame, domain: DataFrame, most: int = 20) -> DataFrame:
+    """Paths of one and two hops from seeds (node) over edges (edge_id, src, dst, confidence, has_span), either way, no node twice.
 
-    Score: (0.35 + 0.25 * mean confidence + 0.20 if every hop has a span) / hops.
+    Score: (0.35 + 0.25 * mean confidence + 0.20 if a hop has a span + 0.10 if the
+    end is one of ``domain`` (node)) / hops. Each seed keeps its first ``most``
+    paths, edges taken in the order of their ids and a path before what goes on from it.
     """
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "confidence", "has_span").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "confidence", "has_span"))
-    one = seeds.join(both, seeds["node"] == both["a"]).where("b <> node").select("node", F.col("b").alias("via"), "confidence", "has_span")
-    far = both.select(F.col("a").alias("via"), F.col("b").alias("end"), F.col("confidence").alias("c2"), F.col("has_span").alias("s2"))
+    way = lambda a, b: edges.select("edge_id", F.col(a).alias("a"), F.col(b).alias("b"), "confidence", "has_span")
+    both = way("src", "dst").unionByName(way("dst", "src"))
+    one = seeds.join(both, seeds["node"] == both["a"]).where("b <> node").select("node", F.col("edge_id").alias("e1"), F.col("b").alias("via"), "confidence", "has_span")
+    far = both.select(F.col("a").alias("via"), F.col("edge_id").alias("e2"), F.col("b").alias("end"), F.col("confidence").alias("c2"), F.col("has_span").alias("s2"))
     two = one.join(far, "via").where("end <> node and end <> via")
-    score = lambda c, s, hops: F.round((0.35 + 0.25 * c + F.when(s, 0.20).otherwise(0.0)) / hops, 6)
-    return one.select("node", "via", F.lit(None).cast("long").alias("end"), score(F.col("confidence"), F.col("has_span"), 1).alias("score")).unionByName(
-        two.select("node", "via", "end", score((F.col("confidence") + F.col("c2")) / 2, F.col("has_span") & F.col("s2"), 2).alias("score"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    found = one.select("node", "e1", none("long", "e2"), "via", none("long", "end"), F.col("confidence").alias("mean"), "has_span", F.lit(1).alias("hops")).unionByName(
+        two.select("node", "e1", "e2", "via", "end", ((F.col("confidence") + F.col("c2")) / 2).alias("mean"), (F.col("has_span") | F.col("s2")).alias("has_span"), F.lit(2).alias("hops"))
     )
+    first = F.row_number().over(Window.partitionBy("node").orderBy("e1", F.asc_nulls_first("e2"), "via", "end"))
+    kept = found.withColumn("n", first).where(F.col("n") <= most).withColumn("last", F.coalesce("end", "via"))
+    fits = domain.select(F.col("node").alias("last")).distinct().withColumn("fits", F.lit(True))
+    score = (0.35 + 0.25 * F.col("mean") + F.when(F.col("has_span"), 0.20).otherwise(0.0) + F.when(F.col("fits"), 0.10).otherwise(0.0)) / F.col("hops")
+    return kept.join(fits, "last", "left").select("node", "via", "end", F.round(score, 6).alias("score"))
 
 
-def closure(edges: DataFrame, start: DataFrame, work: Workspace, max_depth: int = 32) -> DataFrame:
-    """Nodes below the start (node) over edges (src, dst), with the least depth: a frontier that leaves visited nodes out."""
-    seen = work.put(start.select("node", F.lit(0).cast("long").alias("depth")).distinct(), "closure-0")
-    frontier = seen
-    for d in range(1, max_depth + 1):
+def closure(edges: DataFrame, start: DataFrame, work: Workspace) -> DataFrame:
+    """Nodes below the start (node) over edges (src, dst), with the least depth: a frontier that leaves visited nodes out, until it is empty."""
+    seen = frontier = work.put(start.select("node", F.lit(0).cast("long").alias("depth")).distinct(), "closure-0")
+    for d in count(1):
         step = edges.join(frontier, edges["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = work.put(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d).cast("long")), f"closure-{d}")
+        frontier = work.put(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d).cast("long")), f"closure-{d}")
         if frontier.limit(1).count() == 0:
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+        if d % 16 == 0:  # one table again, so that the plan stays short
+            seen = work.put(seen, f"closure-{d}-all")
+    raise AssertionError("count never ends")
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, work: Workspace, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, work: Workspace, rounds: int = 30, damping: float = 0.85) -> DataFrame:
     """Personalised PageRank over undirected weighted edges (src, dst, weight); a node without edges keeps its share."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     total = both.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -134,7 +146,8 @@ def pagerank(edges: DataFrame, seeds: DataFrame, work: Workspace, rounds: int =
     for i in range(rounds):
         moved = step.join(rank, step["src"] == rank["node"]).groupBy(F.col("dst").alias("node")).agg((damping * F.sum(F.col("p") * F.col("r"))).alias("m"))
         rank = moved.join(base, "node", "full").select("node", (F.coalesce("m", F.lit(0.0)) + (1 - damping) * F.coalesce("s", F.lit(0.0))).alias("r"))
-        rank = work.put(rank, f"pagerank-{i}")
+        if i % 5 == 4:
+            rank = work.put(rank, f"pagerank-{i}")
     return rank
 
 

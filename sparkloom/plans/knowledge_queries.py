@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import claims as C
 from sparkloom.operators import graph as G
+from sparkloom.operators import index as X
+from sparkloom.plans.search_queries import the_index
 from sparkloom.plans.tables import table
 from sparkloom.registry import query
 from sparkloom.storage import Workspace
@@ -15,8 +17,8 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in C.STOP) + "]"
 
 
 def terms_sql(text: str) -> str:
-    """Distinct content terms; order is not kept."""
-    plain = f"regexp_replace({text}, '(?s)\\$\\$.*?\\$\\$|\\$[^$]*\\$', ' ', 'g')"
+    """Distinct content terms; order is not kept. The tables hold no backslash that could take a dollar sign back."""
+    plain = f"regexp_replace({text}, '(?s)\\$\\$.+?\\$\\$|\\$.+?\\$', ' ', 'g')"
     return f"list_distinct(list_filter(list_transform(regexp_extract_all({plain}, '[a-zA-Z][a-zA-Z0-9]{{2,}}'), lambda w: lower(w)), lambda w: NOT list_contains({_STOP}, w)))"
 
 
@@ -28,7 +30,8 @@ def declared(spark: SparkSession, sf: str) -> DataFrame:
     """Every claim declares three documents; where a document holds the claim, that too."""
     c = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), "text")
     fixed = c.select("claim_id", F.posexplode(F.array(F.col("claim_id"), F.col("claim_id") + 40, F.col("claim_id") * 3 + 80)).alias("pos", "span_id"))
-    holds = table(spark, sf, "documents").select(F.col("doc_id").alias("span_id"), F.col("text").alias("body")).join(F.broadcast(c), F.col("body").contains(F.col("text")))
+    passages = c.select(F.col("claim_id").alias("query_id"), F.col("text").alias("passage"))
+    holds = X.holders(the_index(spark, sf), table(spark, sf, "documents").select("doc_id", "text"), passages).select(F.col("query_id").alias("claim_id"), F.col("doc_id").alias("span_id"))
     return fixed.select("claim_id", F.col("span_id"), F.col("pos").cast("long").alias("pos")).unionByName(holds.select("claim_id", "span_id", (F.col("span_id") + 3).alias("pos")))
 
 
@@ -61,9 +64,9 @@ def claim_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return judged(spark, sf)
 
 
-@query("claim_semantic_hash", f"SELECT item_id AS claim_id, substr(sha256(array_to_string(list_sort({terms_sql('text')}), ' ')), 1, 16) AS semantic_hash FROM benchmark")
+@query("claim_semantic_hash", f"SELECT item_id AS claim_id, substr(sha256('terms:' || array_to_string(list_sort({terms_sql('text')}), ' ') || '|formulas:'), 1, 16) AS semantic_hash FROM benchmark")
 def claim_semantic_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return claims(spark, sf).select("claim_id", C.semantic_hash(C.content_terms(F.col("text"))).alias("semantic_hash"))
+    return claims(spark, sf).select("claim_id", C.semantic_hash(F.col("text")).alias("semantic_hash"))
 
 
 SUPPORTS = """sup AS (SELECT doc_id AS claim_id, doc_id AS span_id, sha256(text) AS span_hash, CASE WHEN doc_id % 5 = 0 THEN 'unchecked' ELSE 'verified' END AS status FROM documents),
@@ -129,14 +132,14 @@ def reconcile_claims(spark: SparkSession, sf: str) -> DataFrame:
 # The graph: suppliers and parts, related by what was ordered.
 PART = 1_000_000
 EDGES = f"""e AS (SELECT l_suppkey * 10000000000 + l_partkey + {PART} AS edge_id, l_suppkey AS src, l_partkey + {PART} AS dst, CAST(count(*) AS BIGINT) AS supports,
-  CAST(count(DISTINCT l_orderkey) AS BIGINT) AS lineage, round(avg(l_discount) * 10, 6) AS confidence, bool_or(l_returnflag = 'A') AS has_span
-  FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY l_suppkey, l_partkey)"""
+  CAST(count(DISTINCT l_orderkey) AS BIGINT) AS lineage, round(avg(l_discount) * 10, 6) AS confidence, bool_or(l_returnflag = 'A') AS has_span, bool_or(l_returnflag = 'A') AND bool_or(l_returnflag = 'R') AS disputed
+  FROM lineitem GROUP BY l_suppkey, l_partkey)"""
 
 
 def relations(spark: SparkSession, sf: str) -> DataFrame:
-    """edge_id, src, dst, supports, lineage, confidence, has_span."""
-    rows = table(spark, sf, "lineitem").where("l_orderkey % 40 = 0").groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PART).alias("dst"))
-    out = rows.agg(F.count(F.lit(1)).alias("supports"), F.countDistinct("l_orderkey").alias("lineage"), F.round(F.avg("l_discount") * 10, 6).alias("confidence"), F.bool_or(F.col("l_returnflag") == "A").alias("has_span"))
+    """edge_id, src, dst, supports, lineage, confidence, has_span, disputed."""
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PART).alias("dst"))
+    out = rows.agg(F.count(F.lit(1)).alias("supports"), F.countDistinct("l_orderkey").alias("lineage"), F.round(F.avg("l_discount") * 10, 6).alias("confidence"), F.bool_or(F.col("l_returnflag") == "A").alias("has_span"), (F.bool_or(F.col("l_returnflag") == "A") & F.bool_or(F.col("l_returnflag") == "R")).alias("disputed"))
     return out.withColumn("edge_id", F.expr("src * 10000000000L + dst"))
 
 
@@ -153,9 +156,10 @@ def neighborhood(spark: SparkSession, sf: str) -> DataFrame:
 
 STRONG = "s AS (SELECT edge_id, src, dst FROM e WHERE confidence >= 0.7)"
 NODES = f"nodes AS (SELECT s_suppkey AS node FROM supplier UNION ALL SELECT p_partkey + {PART} FROM part)"
-PARTS = f"""{EDGES}, {STRONG}, {NODES}, both_ AS (SELECT src AS a, dst AS b FROM s UNION SELECT dst, src FROM s),
-walk(node, seen) AS (SELECT node, node FROM nodes UNION SELECT b, seen FROM walk JOIN both_ ON walk.node = both_.a),
-parts AS (SELECT node, min(seen) AS component FROM walk GROUP BY node)"""
+#: Least labels go round until nothing moves; twelve rounds of doubling reach any path of 4,096 edges.
+_SPREAD = "l{1} AS MATERIALIZED (SELECT l.node, least(l.label, coalesce(m.label, l.label), coalesce(j.label, l.label)) AS label FROM l{0} l LEFT JOIN (SELECT b AS node, min(label) AS label FROM both_ JOIN l{0} ON node = a GROUP BY b) m ON m.node = l.node LEFT JOIN l{0} j ON j.node = l.label)"
+PARTS = f"""{EDGES}, {STRONG}, {NODES}, both_ AS MATERIALIZED (SELECT src AS a, dst AS b FROM s UNION SELECT dst, src FROM s), l0 AS MATERIALIZED (SELECT node, node AS label FROM nodes),
+{', '.join(_SPREAD.format(i, i + 1) for i in range(16))}, parts AS (SELECT node, label AS component FROM l16)"""
 
 
 def graph_parts(spark: SparkSession, sf: str, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -164,22 +168,23 @@ def graph_parts(spark: SparkSession, sf: str, work: Workspace) -> tuple[DataFram
     return nodes, edges, G.communities(nodes, edges.where("confidence >= 0.7"), work)
 
 
-@query("connected_components", f"WITH RECURSIVE {PARTS} SELECT node, component FROM parts")
+@query("connected_components", f"WITH {PARTS} SELECT node, component FROM parts")
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     """Components over confident relations, single nodes too."""
     return graph_parts(spark, sf, Workspace(spark, "components"))[2]
 
 
-@query("community_rebuild", f"""WITH RECURSIVE {PARTS}
-SELECT 'comm-' || substr(sha256(array_to_string(list_sort(list(node)), ',')), 1, 12) AS community, CAST(count(*) AS BIGINT) AS members FROM parts GROUP BY component HAVING count(*) >= 2""")
+@query("community_rebuild", f"""WITH {PARTS}
+SELECT 'comm-' || substr(sha256(component || ':' || count(*) || ':' || sum(node) || ':' || sum(node * node % 1000003)), 1, 12) AS community, CAST(count(*) AS BIGINT) AS members FROM parts GROUP BY component HAVING count(*) >= 2""")
 def community_rebuild(spark: SparkSession, sf: str) -> DataFrame:
+    """Communities under a key of their members: sums of hashes, which need no list of them in one place."""
     parts = graph_parts(spark, sf, Workspace(spark, "community"))[2]
-    out = parts.groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where(F.size("nodes") >= 2)
-    key = F.substring(F.sha2(F.array_join(F.col("nodes").cast("array<string>"), ","), 256), 1, 12)
-    return out.select(F.concat(F.lit("comm-"), key).alias("community"), F.size("nodes").cast("long").alias("members"))
+    sums = parts.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("node").alias("s"), F.sum(F.expr("node * node % 1000003")).alias("q")).where("members >= 2")
+    key = F.substring(F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in ("component", "members", "s", "q")]), 256), 1, 12)
+    return sums.select(F.concat(F.lit("comm-"), key).alias("community"), "members")
 
 
-@query("giant_component_ratio", f"""WITH RECURSIVE {PARTS}, sizes AS (SELECT component, count(*) AS n FROM parts GROUP BY component HAVING count(*) > 1)
+@query("giant_component_ratio", f"""WITH {PARTS}, sizes AS (SELECT component, count(*) AS n FROM parts GROUP BY component HAVING count(*) > 1)
 SELECT round(max(n) / sum(n), 6) AS giant_ratio, CAST(count(*) AS BIGINT) AS components FROM sizes""")
 def giant_component_ratio(spark: SparkSession, sf: str) -> DataFrame:
     parts = graph_parts(spark, sf, Workspace(spark, "giant"))[2]
@@ -194,21 +199,26 @@ def bridge_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("relation_lifecycle", f"""WITH {EDGES}
-SELECT edge_id, CASE WHEN src = dst THEN 'self_loop' WHEN dst % 17 = 0 THEN 'endpoint_unresolved' WHEN edge_id % 19 = 0 THEN 'contradiction' WHEN edge_id % 23 = 0 THEN 'bridge_risk' WHEN supports < 1 THEN 'unsupported' ELSE 'active' END AS state FROM e""")
+SELECT edge_id, CASE WHEN src = dst THEN 'self_loop' WHEN dst - {PART} NOT IN (SELECT p_partkey FROM part WHERE p_size <> 7) THEN 'endpoint_unresolved' WHEN supports >= 10 THEN 'active' WHEN disputed AND confidence < 0.4 THEN 'contradiction' WHEN lineage < 2 THEN 'unsupported' ELSE 'active' END AS state FROM e""")
 def relation_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
-    """States of relations where some nodes are unknown, some edges contradicted and some bridges."""
+    """States of relations: parts of one size are unknown, many supports prove a relation, disputed ones of little confidence contradict themselves."""
     edges = relations(spark, sf)
-    nodes = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")).unionByName(table(spark, sf, "part").select((F.col("p_partkey") + PART).alias("node")).where("node % 17 <> 0"))
-    return G.lifecycle(edges, nodes, edges.where("edge_id % 19 = 0").select("edge_id"), edges.where("edge_id % 23 = 0").select("edge_id"))
-
-
-@query("memory_paths_2hop", f"""WITH {EDGES}, bo AS (SELECT src AS a, dst AS b, confidence, has_span FROM e UNION ALL SELECT dst, src, confidence, has_span FROM e),
-one AS (SELECT a AS node, b AS via, confidence, has_span FROM bo WHERE a < 10)
-SELECT node, via, CAST(NULL AS BIGINT) AS "end", round(0.35 + 0.25 * confidence + CASE WHEN has_span THEN 0.2 ELSE 0 END, 6) AS score FROM one
-UNION ALL SELECT node, via, bo.b, round((0.35 + 0.25 * (one.confidence + bo.confidence) / 2 + CASE WHEN one.has_span AND bo.has_span THEN 0.2 ELSE 0 END) / 2, 6) FROM one JOIN bo ON one.via = bo.a WHERE bo.b <> node AND bo.b <> via""")
+    nodes = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")).unionByName(table(spark, sf, "part").where("p_size <> 7").select((F.col("p_partkey") + PART).alias("node")))
+    none = edges.limit(0).select("edge_id")
+    return G.lifecycle(edges.withColumn("supports", F.col("lineage")), nodes, edges.where("supports >= 10").select("edge_id"), edges.where("disputed and confidence < 0.4").select("edge_id"), none, 2)
+
+
+@query("memory_paths_2hop", f"""WITH {EDGES}, bo AS (SELECT edge_id, src AS a, dst AS b, confidence, has_span FROM e UNION ALL SELECT edge_id, dst, src, confidence, has_span FROM e),
+dom AS (SELECT p_partkey + {PART} AS node FROM part WHERE contains(lower(p_name), 'red') UNION ALL SELECT s_suppkey FROM supplier WHERE s_nationkey = 3),
+one AS (SELECT a AS node, edge_id AS e1, b AS via, confidence, has_span FROM bo WHERE a < 10),
+f AS (SELECT node, e1, CAST(NULL AS BIGINT) AS e2, via, CAST(NULL AS BIGINT) AS "end", confidence AS mean, has_span, 1 AS hops FROM one
+  UNION ALL SELECT node, e1, bo.edge_id, via, bo.b, (one.confidence + bo.confidence) / 2, one.has_span OR bo.has_span, 2 FROM one JOIN bo ON one.via = bo.a WHERE bo.b <> node AND bo.b <> via),
+k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY e1, e2 NULLS FIRST, via, "end") AS n FROM f)
+SELECT node, via, "end", round((0.35 + 0.25 * mean + CASE WHEN has_span THEN 0.2 ELSE 0 END + CASE WHEN coalesce("end", via) IN (SELECT node FROM dom) THEN 0.1 ELSE 0 END) / hops, 6) AS score FROM k WHERE n <= 20""")
 def memory_paths_2hop(spark: SparkSession, sf: str) -> DataFrame:
     seeds = spark.range(10).withColumnRenamed("id", "node")
-    return G.paths(relations(spark, sf), F.broadcast(seeds))
+    domain = table(spark, sf, "part").where(F.lower("p_name").contains("red")).select((F.col("p_partkey") + PART).alias("node")).unionByName(table(spark, sf, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("node")))
+    return G.paths(relations(spark, sf), F.broadcast(seeds), domain)
 
 
 @query("entity_merge", """
@@ -273,14 +283,14 @@ def dependency_staleness(spark: SparkSession, sf: str) -> DataFrame:
     return hashed(orders).join(old, "artifact", "left").select("artifact", (F.col("old").isNull() | (F.col("old") != F.col("hash"))).alias("stale"))
 
 
-_STEP = "r{1} AS (SELECT coalesce(m.node, b.node) AS node, coalesce(m.m, 0) + 0.15 * coalesce(b.s, 0) AS r FROM (SELECT st.dst AS node, 0.85 * sum(st.p * r{0}.r) AS m FROM st JOIN r{0} ON st.src = r{0}.node GROUP BY st.dst) m FULL JOIN base b ON m.node = b.node)"
+_STEP = "r{1} AS MATERIALIZED (SELECT coalesce(m.node, b.node) AS node, coalesce(m.m, 0) + 0.15 * coalesce(b.s, 0) AS r FROM (SELECT st.dst AS node, 0.85 * sum(st.p * r{0}.r) AS m FROM st JOIN r{0} ON st.src = r{0}.node GROUP BY st.dst) m FULL JOIN base b ON m.node = b.node)"
 
 
 @query("pagerank_personalised", f"""WITH {EDGES}, bo AS (SELECT src, dst, CAST(supports AS DOUBLE) AS weight FROM e UNION ALL SELECT dst, src, supports FROM e), tot AS (SELECT src, sum(weight) AS total FROM bo GROUP BY src),
-st AS (SELECT bo.src, dst, weight / total AS p FROM bo JOIN tot USING (src)), base AS (SELECT CAST(range AS BIGINT) AS node, CAST(0.1 AS DOUBLE) AS s FROM range(10)), r0 AS (SELECT node, s AS r FROM base),
-{', '.join(_STEP.format(i, i + 1) for i in range(5))}
-SELECT node, round(r, 6) AS rank FROM r5 WHERE r >= 0.0005""")
+st AS MATERIALIZED (SELECT bo.src, dst, weight / total AS p FROM bo JOIN tot USING (src)), base AS (SELECT CAST(range AS BIGINT) AS node, CAST(0.1 AS DOUBLE) AS s FROM range(10)), r0 AS (SELECT node, s AS r FROM base),
+{', '.join(_STEP.format(i, i + 1) for i in range(30))}
+SELECT node, round(r, 6) AS rank FROM r30""")
 def pagerank_personalised(spark: SparkSession, sf: str) -> DataFrame:
     edges = relations(spark, sf).select("src", "dst", F.col("supports").cast("double").alias("weight"))
-    r = G.pagerank(edges, spark.range(10).withColumnRenamed("id", "node"), Workspace(spark, "pagerank"), rounds=5)
-    return r.where("r >= 0.0005").select("node", F.round("r", 6).alias("rank"))
+    r = G.pagerank(edges, spark.range(10).withColumnRenamed("id", "node"), Workspace(spark, "pagerank"), rounds=30)
+    return r.select("node", F.round("r", 6).alias("rank"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text as T
 from sparkloom.plans.tables import table
 from sparkloom.registry import query
 from sparkloom.sources.export import page
@@ -55,26 +56,61 @@ def citation_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return ends.select("doc", F.explode(F.expr("sequence(a, least(b, a + 23))")).alias("number")).distinct()
 
 
-@query("bibliography_question", """
-SELECT conv_id, turn, regexp_matches(lower(text), '\\b(cite|cited|citation|reference|bibliograph|source|paper|author)') AS asks FROM conversations WHERE role = 'user'""")
+#: How a question asks for the list of references, how "references" is a verb, and other scripts.
+ASKS = r"\b(references|bibliograph(?:y|ic)|works\s*cited|citations|cited\s+(?:work|paper)s?)\b"
+VERB = r"\breferences\s+(the|this|that|these|those|a|an|his|her|their|its|our|your|my)\b"
+NUMBERED = r"\b(reference|citation|ref)\s*\.?\s*(?:no\.?\s*)?\[?\s*\d"
+OTHER_SCRIPTS = r"참\s*고\s*문\s*헌|참\s*고\s*자\s*료|레퍼런스|인\s*용\s*문\s*헌|参\s*考\s*文\s*献|引\s*用\s*文\s*献"
+
+
+@query("bibliography_question", f"""
+SELECT conv_id, turn, (regexp_matches(t, '{ASKS}') AND NOT regexp_matches(t, '{VERB}')) OR regexp_matches(t, '{NUMBERED}') OR regexp_matches(t, '{OTHER_SCRIPTS}') AS asks
+FROM (SELECT conv_id, turn, lower(text) || CASE WHEN turn % 5 = 0 THEN ' which references ' ELSE ' ' END || CASE WHEN turn % 3 = 0 THEN 'the ref. [' || turn ELSE 'frame' END AS t FROM conversations WHERE role = 'user')""")
 def bibliography_question(spark: SparkSession, sf: str) -> DataFrame:
-    asks = F.lower("text").rlike(r"\b(cite|cited|citation|reference|bibliograph|source|paper|author)")
+    """Whether a question asks for the list of references; the turns are given words that do and don't."""
+    t = F.concat(F.lower("text"), F.when(F.col("turn") % 5 == 0, " which references ").otherwise(" "), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("the ref. ["), F.col("turn").cast("string"))).otherwise("frame"))
+    asks = t.rlike(ASKS) & ~t.rlike(VERB) | t.rlike(NUMBERED) | t.rlike(OTHER_SCRIPTS)
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", asks.alias("asks"))
 
 
-@query("output_validators", """
-WITH u AS (SELECT doc_id, text FROM documents)
+#: Letters of scripts that generated text should not be in, places that must not be changed, and how much is too much.
+FOREIGN, READ_ONLY, TOO_MUCH = r"[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7A3}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{0400}-\x{04FF}]", r"(?:edit|write|overwrite|modify|rewrite|delete)\b[^\n]{0,40}?(03_notes|04_resources|06_archives)", 0.3
+
+
+@query("output_validators", f"""
+WITH u AS (SELECT doc_id, text || CASE WHEN doc_id % 41 = 0 THEN ' please delete 03_Notes' ELSE '' END || CASE WHEN doc_id % 43 = 0 THEN repeat('잔차 학습 ', 400) ELSE '' END || CASE WHEN doc_id % 47 = 0 THEN ' [[Missing]] [[page ' || (doc_id % 100) || ']]' ELSE '' END AS text, coalesce(quality, 0) + CASE WHEN doc_id % 53 = 0 THEN 0.5 ELSE 0 END AS confidence FROM documents LEFT JOIN labels USING (doc_id))
 SELECT doc_id, 'unknown_span' AS error FROM u WHERE doc_id % 37 = 0 AND doc_id + 100000 NOT IN (SELECT doc_id FROM u)
-UNION ALL SELECT doc_id, 'empty' FROM u WHERE length(trim(text)) < 10
-UNION ALL SELECT doc_id, 'not_english' FROM u WHERE length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) / greatest(length(text), 1) > 0.03""")
+UNION ALL SELECT doc_id, 'no_span' FROM u WHERE length(trim(text)) < 10
+UNION ALL SELECT doc_id, 'mutates_source' FROM u WHERE regexp_matches(lower(text), '{READ_ONLY}')
+UNION ALL SELECT doc_id, 'confidence_range' FROM u WHERE confidence < 0 OR confidence > 1
+UNION ALL SELECT DISTINCT doc_id, 'unknown_link' FROM (SELECT doc_id, trim(unnest(regexp_extract_all(text, '\\[\\[([^\\]|#]+)', 1))) AS target FROM u) WHERE target NOT IN (SELECT 'page ' || page_id FROM pages)
+UNION ALL SELECT doc_id, 'relation_endpoint' FROM u WHERE doc_id % 59 = 0 AND doc_id * 2 NOT IN (SELECT doc_id FROM u)
+UNION ALL SELECT doc_id, 'not_english' FROM (SELECT doc_id, length(text) - length(regexp_replace(text, '{FOREIGN}', '', 'g')) AS f, length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS l FROM u) WHERE f > 0 AND f / (f + l) > {TOO_MUCH}""")
 def output_validators(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows for what is wrong with generated units: unknown spans, empty texts, too much that isn't English."""
-    u = table(spark, sf, "documents").select("doc_id", "text")
+    """Rows for what is wrong with generated units; some documents are given faults."""
+    every = lambda n, text: F.when(F.col("doc_id") % n == 0, text).otherwise("")
+    faults = [every(41, " please delete 03_Notes"), every(43, F.repeat(F.lit("잔차 학습 "), 400)), every(47, F.concat(F.lit(" [[Missing]] [[page "), (F.col("doc_id") % 100).cast("string"), F.lit("]]")))]
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    u = table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id", "left")
+    u = u.select("doc_id", F.concat("text", *faults).alias("text"), (F.coalesce("quality", F.lit(0)) + F.when(F.col("doc_id") % 53 == 0, 0.5).otherwise(0.0)).alias("confidence"))
     known = u.select(F.col("doc_id").alias("span"))
     error = lambda df, name: df.select("doc_id", F.lit(name).alias("error"))
-    lost = u.where("doc_id % 37 = 0").withColumn("span", F.col("doc_id") + 100000).join(known, "span", "left_anti")
-    other = F.length(F.regexp_replace("text", r"[\x00-\x7F]", "")) / F.greatest(F.length("text"), F.lit(1))
-    return error(lost, "unknown_span").unionByName(error(u.where(F.length(F.trim("text")) < 10), "empty")).unionByName(error(u.where(other > 0.03), "not_english"))
+    n = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
+    links = u.select("doc_id", F.explode(T.wikilinks(F.col("text"))).alias("target"))
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("target"))
+    found = [
+        error(u.where("doc_id % 37 = 0").withColumn("span", F.col("doc_id") + 100000).join(known, "span", "left_anti"), "unknown_span"),
+        error(u.where(F.length(F.trim("text")) < 10), "no_span"),
+        error(u.where(F.lower("text").rlike(READ_ONLY)), "mutates_source"),
+        error(u.where("confidence < 0 or confidence > 1"), "confidence_range"),
+        error(links.join(pages, "target", "left_anti").select("doc_id").distinct(), "unknown_link"),
+        error(u.where("doc_id % 59 = 0").withColumn("span", F.col("doc_id") * 2).join(known, "span", "left_anti"), "relation_endpoint"),
+        error(u.where((n(FOREIGN) > 0) & (n(FOREIGN) / (n(FOREIGN) + n("[A-Za-z]")) > TOO_MUCH)), "not_english"),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 @query("broad_fallback", """

@@ -5,75 +5,95 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions import questions as Q
 from sparkloom.functions import text as T
+from sparkloom.operators import index as X
 from sparkloom.operators import search as S
 from sparkloom.plans.tables import table
-from sparkloom.plans.text_queries import _PARAGRAPHS, document_spans
+from sparkloom.plans.text_queries import _PARAGRAPHS, QUALITY, document_spans
 from sparkloom.registry import query
+from sparkloom.storage import Workspace
 
 FOLD_SQL = f"translate(lower({{}}), '{T.ACCENTED}', '{T.FOLDED}')"
-TOKENS_SQL = "regexp_extract_all(" + FOLD_SQL + ", '[\\p{{L}}\\p{{N}}_]+')"
 
 
 def tokens_sql(text: str) -> str:
-    return TOKENS_SQL.format(text)
+    return "regexp_extract_all(" + FOLD_SQL.format(text) + ", '[\\p{L}\\p{N}_.\\-]+')"
+
+
+def the_index(spark: SparkSession, sf: str) -> X.Index:
+    """The index of the documents: built once in an application, read by all queries."""
+    return X.shared_index(table(spark, sf, "documents"), sf)
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """A question for each test item: the first six different tokens of more than three letters."""
-    terms = F.slice(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda t: F.length(t) > 3)), 1, 6)
+    terms = F.slice(F.array_distinct(F.filter(T.index_tokens(F.col("text")), lambda t: F.length(t) > 3)), 1, 6)
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
 
 
 QUESTIONS = f"""questions AS (SELECT item_id AS query_id, list_filter(t, lambda x, i: list_position(t, x) = i)[1:6] AS terms
   FROM (SELECT item_id, list_filter({tokens_sql('text')}, lambda t: length(t) > 3) AS t FROM benchmark))"""
 
-BM25 = f"""{QUESTIONS}, wanted AS (SELECT query_id, unnest(terms) AS term FROM questions),
-rows_ AS (SELECT doc_id, {tokens_sql('text')} AS tokens FROM documents),
-stats AS (SELECT count(*) AS n_docs, avg(len(tokens)) AS avgdl FROM rows_),
-tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM rows_) WHERE term IN (SELECT term FROM wanted) GROUP BY doc_id, dl, term),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+CORPUS = f"""rows_ AS (SELECT doc_id, {tokens_sql('text')} AS tokens FROM documents),
+stats AS (SELECT count(*) AS n_docs, sum(len(tokens)) / count(*) AS avgdl FROM rows_),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM rows_) GROUP BY doc_id, dl, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
+BM25 = f"""{QUESTIONS}, wanted AS (SELECT query_id, unnest(terms) AS term FROM questions), {CORPUS},
 lex AS (SELECT query_id, doc_id, round(sum((CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END)
   * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM tf JOIN df USING (term) JOIN wanted USING (term), stats GROUP BY query_id, doc_id)"""
 
 
-def lexical(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    return S.bm25(table(spark, sf, "documents"), "doc_id", F.col("text"), questions(spark, sf), k)
+def lexical(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all documents that hold a term of a question."""
+    return X.scored_terms(the_index(spark, sf), questions(spark, sf))
 
 
 @query("bm25_topk", f"""WITH {BM25}
 SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex) WHERE rank <= 10""")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical(spark, sf, 10)
+    return X.ranked(lexical(spark, sf), 10)
 
 
-@query("postings_stats", f"""
-WITH t AS (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents)
-SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 20""")
+@query("postings_stats", f"""WITH {CORPUS} SELECT term, CAST(df AS BIGINT) AS df, CAST(cf AS BIGINT) AS cf FROM df JOIN (SELECT term, sum(tf) AS cf FROM tf GROUP BY term) USING (term)""")
 def postings_stats(spark: SparkSession, sf: str) -> DataFrame:
-    p = S.postings(table(spark, sf, "documents"), "doc_id", F.col("text"))
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where("df >= 20")
+    return the_index(spark, sf).vocabulary.select("term", "df", "cf")
+
+
+#: Words that the page index leaves out.
+PAGE_STOP = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "in", "into", "is", "it", "its", "of", "on", "or", "that", "the", "their", "this", "to", "was", "were", "with"]
+_STOPPED = "[" + ", ".join(f"'{w}'" for w in PAGE_STOP) + "]"
+PAGE_TOKENS = "list_filter(regexp_extract_all(" + FOLD_SQL.format("text") + f", '[\\p{{L}}\\p{{N}}]{{2,}}'), lambda w: NOT list_contains({_STOPPED}, w))"
+PAGE_QUESTION = ["der", "die", "und", "nation", "thing"]
+
+
+def page_tokens(text: F.Column) -> F.Column:
+    return F.filter(F.regexp_extract_all(T.fold(text), F.lit(r"([\p{L}\p{N}]{2,})"), 1), lambda w: ~w.isin(PAGE_STOP))
 
 
 @query("bm25_page_topk", f"""
-WITH {_PARAGRAPHS}, q AS (SELECT ['der', 'die', 'und', 'nation'] AS terms),
-rows_ AS (SELECT source_id, pos, text, {tokens_sql('text')} AS tokens FROM spans),
-stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM rows_),
+WITH {_PARAGRAPHS}, rows_ AS (SELECT source_id, pos, text, {PAGE_TOKENS} AS tokens, {QUALITY.format('text')} AS quality FROM spans),
+stats AS (SELECT count(*) AS n, sum(len(tokens)) / count(*) AS avgdl FROM rows_),
 tf AS (SELECT source_id, pos, len(tokens) AS dl, term, count(*) AS tf FROM (SELECT source_id, pos, tokens, unnest(tokens) AS term FROM rows_) GROUP BY source_id, pos, dl, term),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
-SELECT source_id, pos, score FROM (SELECT source_id, pos, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS score
-  FROM tf JOIN df USING (term), stats, q WHERE list_contains(q.terms, term) GROUP BY source_id, pos) ORDER BY score DESC, source_id, pos LIMIT 20""")
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+sc AS (SELECT source_id, pos, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(1, avgdl)))) AS score
+  FROM tf JOIN df USING (term), stats WHERE list_contains({PAGE_QUESTION}, term) GROUP BY source_id, pos)
+SELECT source_id, pos, round(score * (0.6 + 0.4 * quality), 4) AS score, CASE WHEN length(text) > 360 THEN substr(text, 1, 357) || '...' ELSE text END AS snippet
+FROM sc JOIN rows_ USING (source_id, pos) ORDER BY score DESC, source_id, pos LIMIT 20""")
 def bm25_page_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The best pages (paragraphs) by the page formula: idf = ln(1 + (N - df + .5) / (df + .5)), rounded to four places."""
-    rows = document_spans(spark, sf).select("source_id", "pos", T.tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = F.filter("tokens", lambda t: t.isin("der", "die", "und", "nation"))
-    tf = rows.select("source_id", "pos", "dl", F.explode(wanted).alias("term")).groupBy("source_id", "pos", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """The best pages (paragraphs) by the page formula, better text counting for more, and the best line of each (here the one it has)."""
+    rows = document_spans(spark, sf).select("source_id", "pos", "text", page_tokens(F.col("text")).alias("tokens"), T.text_quality(F.col("text")).alias("quality")).withColumn("dl", F.size("tokens"))
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
+    wanted = F.filter("tokens", lambda t: t.isin(PAGE_QUESTION))
+    tf = rows.select("source_id", "pos", "dl", "quality", "text", F.explode(wanted).alias("term")).groupBy("source_id", "pos", "dl", "quality", "text", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("source_id", "pos").agg(F.round(F.sum(part), 4).alias("score"))
-    return scored.orderBy(F.desc("score"), "source_id", "pos").limit(20)
+    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))))
+    # One row for each word of the question, and one row of numbers.
+    scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("source_id", "pos", "quality", "text").agg(F.sum(part).alias("sum"))
+    line = F.when(F.length("text") > 360, F.concat(F.substring("text", 1, 357), F.lit("..."))).otherwise(F.col("text"))
+    best = scored.select("source_id", "pos", F.round(F.col("sum") * (0.6 + 0.4 * F.col("quality")), 4).alias("score"), line.alias("snippet"))
+    return best.orderBy(F.desc("score"), "source_id", "pos").limit(20)
 
 
 @query("lexical_score_pages", """
@@ -113,29 +133,28 @@ def trigram_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))))"
-KNN = f"""u AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv FROM u WHERE vec_id < 20),
+KNN = f"""u AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv FROM u WHERE vec_id % 100 = 0),
 sims AS (SELECT query_id, vec_id, label, round(list_sum(list_transform(list_zip(v, qv), lambda p: p[1] * p[2])), 6) AS score FROM u, q)"""
 
 
-def unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", "label", S.unit(F.col("embedding")).alias("v"))
+def vectors_and_queries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
+    return e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "v")
 
 
 @query("vector_knn", f"""WITH {KNN}
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sims) WHERE rank <= 10""")
 def vector_knn(spark: SparkSession, sf: str) -> DataFrame:
-    u = unit_vectors(spark, sf)
-    return S.cosine_topk(u, u.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), 10)
+    e, q = vectors_and_queries(spark, sf)
+    return S.cosine_topk(e, q, 10)
 
 
 @query("vector_best_chunk", f"""WITH {KNN}
 SELECT query_id, CAST(label AS BIGINT) AS record, max(score) AS score, arg_min(vec_id, (-score, vec_id)) AS chunk_id FROM sims GROUP BY query_id, label""")
 def vector_best_chunk(spark: SparkSession, sf: str) -> DataFrame:
     """The best chunk of each record (label) for each query."""
-    u = unit_vectors(spark, sf)
-    q = u.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    sims = u.crossJoin(F.broadcast(q)).select("query_id", "vec_id", "label", F.round(S.dot(F.col("v"), F.col("qv")), 6).alias("score"))
-    return sims.groupBy("query_id", F.col("label").cast("long").alias("record")).agg(F.max("score").alias("score"), F.min_by("vec_id", F.struct(-F.col("score"), "vec_id")).alias("chunk_id"))
+    e, q = vectors_and_queries(spark, sf)
+    return S.best_chunks(e.withColumnRenamed("label", "record"), q).select("query_id", F.col("record").cast("long").alias("record"), "score", F.col("vec_id").alias("chunk_id"))
 
 
 @query("vector_validation", """
@@ -147,24 +166,34 @@ def vector_validation(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", (F.size(v) == 64).alias("right_dims"), finite.alias("finite"), F.round(F.sqrt(S.dot(v, v)), 6).alias("norm"))
 
 
-#: Two lists for each question: BM25, and a second order of the same documents by length.
-LISTS = f"""{BM25}, l1 AS (SELECT query_id, 'lex_raw' AS list, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex),
-l2 AS (SELECT query_id, 'vec_raw' AS list, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY length(text), doc_id) AS rank FROM lex JOIN documents USING (doc_id)),
+#: Two lists for each question: BM25, and the vectors nearest to that of the item's number.
+LISTS = f"""{BM25}, u AS (SELECT vec_id, {_UNIT} AS v FROM embeddings), qv AS (SELECT item_id AS query_id, v AS qv FROM benchmark JOIN u ON vec_id = item_id),
+sims AS (SELECT query_id, vec_id AS doc_id, round(list_sum(list_transform(list_zip(v, qv), lambda p: p[1] * p[2])), 6) AS score FROM u, qv),
+l1 AS (SELECT query_id, 'lex_raw' AS list, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex),
+l2 AS (SELECT query_id, 'vec_raw' AS list, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sims),
 lists AS (SELECT * FROM l1 WHERE rank <= 100 UNION ALL SELECT * FROM l2 WHERE rank <= 100),
-fused AS (SELECT query_id, doc_id, round(sum(CASE list WHEN 'lex_raw' THEN 1.0 ELSE 0.9 END / (60 + rank) + CASE WHEN rank = 1 THEN 0.5 / 61 ELSE 0 END), 6) AS score, CAST(count(*) AS BIGINT) AS lists FROM lists GROUP BY query_id, doc_id),
+fused AS (SELECT query_id, doc_id, round(sum(CASE list WHEN 'lex_raw' THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END / (60 + rank) + CASE WHEN rank = 1 THEN 0.5::DOUBLE / 61 ELSE 0::DOUBLE END), 6) AS score, CAST(count(*) AS BIGINT) AS lists,
+  string_agg(list || ':' || rank, ',' ORDER BY list) AS trace FROM lists GROUP BY query_id, doc_id),
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 40)"""
-LISTS = LISTS.replace("1.0 ELSE 0.9", "CAST(1.0 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE)").replace("0.5 / 61 ELSE 0 END", "CAST(0.5 AS DOUBLE) / 61 ELSE CAST(0 AS DOUBLE) END")
+
+
+def vector_hits(spark: SparkSession, sf: str, k: int = S.LIST_CAP) -> DataFrame:
+    """The vectors nearest to that of a question, which is the one with the item's number."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    q = e.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), "v")
+    return S.cosine_topk(e, q, k).withColumnRenamed("vec_id", "doc_id")
+
+
+def listed(hits: DataFrame, name: str) -> DataFrame:
+    return hits.select("query_id", F.lit(name).alias("list"), "doc_id", "rank")
 
 
 def fused(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.length("text").alias("n"))
-    lex = S.bm25(table(spark, sf, "documents"), "doc_id", F.col("text"), questions(spark, sf), 1 << 30)
-    first = lex.where(F.col("rank") <= S.LIST_CAP).select("query_id", F.lit("lex_raw").alias("list"), "doc_id", "rank")
-    second = S.top(lex.drop("rank").join(docs, "doc_id"), S.LIST_CAP, ["query_id"], [F.asc("n"), F.asc("doc_id")]).select("query_id", F.lit("vec_raw").alias("list"), "doc_id", "rank")
-    return S.rrf(first.unionByName(second))
+    lex = X.ranked(lexical(spark, sf), S.LIST_CAP)
+    return S.rrf(listed(lex, "lex_raw").unionByName(listed(vector_hits(spark, sf), "vec_raw")))
 
 
-@query("rrf_fuse", f"WITH {LISTS} SELECT query_id, doc_id, score, lists, rank FROM ranked")
+@query("rrf_fuse", f"WITH {LISTS} SELECT query_id, doc_id, score, lists, trace, rank FROM ranked")
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
     return fused(spark, sf)
 
@@ -196,8 +225,8 @@ SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY q
 def rerank_blend(spark: SparkSession, sf: str) -> DataFrame:
     """The default reranker scores the share of the question's terms that a document has."""
     hits = demoted(spark, sf).withColumn("m", S.minmax(F.col("score"), ["query_id"]))
-    rows = hits.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(F.broadcast(questions(spark, sf)), "query_id")
-    c = F.size(F.array_intersect("terms", T.tokens(F.col("text")))) / F.greatest(F.size("terms"), F.lit(1))
+    rows = hits.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(X.checked(questions(spark, sf)), "query_id")
+    c = F.size(F.array_intersect("terms", T.index_tokens(F.col("text")))) / F.greatest(F.size("terms"), F.lit(1))
     blended = rows.select("query_id", "doc_id", F.round(0.7 * c + 0.3 * F.col("m"), 6).alias("score"))
     return S.top(blended, 8, ["query_id"], [F.desc("score"), F.asc("doc_id")])
 
@@ -215,33 +244,58 @@ def min_score_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query("expansion_recovery_gate", f"""WITH {BM25}, h AS (SELECT questions.query_id, count(doc_id) AS n FROM questions LEFT JOIN lex USING (query_id) GROUP BY questions.query_id)
 SELECT query_id, CAST(n AS BIGINT) AS lexical_hits, n < 5 AS expand FROM h""")
 def expansion_recovery_gate(spark: SparkSession, sf: str) -> DataFrame:
-    hits = lexical(spark, sf, 1 << 30).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    hits = lexical(spark, sf).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
     return questions(spark, sf).join(hits, "query_id", "left").select("query_id", n.alias("lexical_hits"), (n < 5).alias("expand"))
 
 
-@query("seed_terms", """
-WITH t AS (SELECT item_id, list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]*'), lambda w: (length(w) > 3 OR (length(w) > 1 AND w = upper(w))) AND NOT list_contains(['the', 'and', 'for', 'with', 'that', 'this', 'from'], lower(w))) AS w FROM benchmark)
+#: Words that name no entity.
+SEED_STOP = ["the", "and", "for", "with", "what", "which", "that", "this", "from", "into", "does", "are", "how", "why", "when", "where", "between", "about", "of", "to", "is", "a", "an", "in", "on"]
+_SEED_STOP = "[" + ", ".join(f"'{w}'" for w in SEED_STOP) + "]"
+
+
+@query("seed_terms", f"""
+WITH t AS (SELECT item_id, list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9+\\-]*'), lambda w: (length(w) > 3 OR w = upper(w)) AND NOT list_contains({_SEED_STOP}, lower(w))) AS w FROM benchmark)
 SELECT item_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:8], ' ') AS terms FROM t""")
 def seed_terms(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.regexp_extract_all("text", F.lit("([A-Za-z][A-Za-z0-9_-]*)"), 1)
-    keep = F.filter(words, lambda w: ((F.length(w) > 3) | ((F.length(w) > 1) & (w == F.upper(w)))) & ~F.lower(w).isin("the", "and", "for", "with", "that", "this", "from"))
+    words = F.regexp_extract_all("text", F.lit(r"([A-Za-z][A-Za-z0-9+\-]*)"), 1)
+    keep = F.filter(words, lambda w: ((F.length(w) > 3) | (w == F.upper(w))) & ~F.lower(w).isin(SEED_STOP))
     return table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.array_distinct(keep), 1, 8), " ").alias("terms"))
 
 
-_ROUTES = """CASE WHEN regexp_matches(lower(text), 'connect|relat|path|between') THEN 'explore' WHEN regexp_matches(lower(text), 'overall|summar|theme|main') THEN 'global' ELSE 'local' END"""
+#: What in a question asks for connections, and what for an overview.
+EXPLORE = r"\b(what else|find connections?|new insight|explore|brainstorm|related ideas?|how (?:might|could)|connections? between)\b"
+OVERVIEW = r"\b(overall|summar(?:y|ize|ise)|across (?:all|the)|in general|big picture|themes?|landscape|state of)\b"
+#: Modes, intents and scopes that turns ask for, by their numbers, and what the policy of a conversation allows.
+_ASKED = """SELECT conv_id, turn, text, CASE WHEN turn % 7 = 3 THEN 'global' WHEN turn % 11 = 5 THEN 'explore' ELSE 'auto' END AS mode,
+  CASE WHEN conv_id % 13 = 4 THEN 'src1' END AS source_key, CASE WHEN conv_id % 5 = 1 THEN 'discovery' WHEN conv_id % 5 = 2 THEN 'synthesis' WHEN conv_id % 17 = 3 THEN 'lookup' END AS intent,
+  conv_id % 4 <> 0 AS allows_global, conv_id % 3 <> 0 AS allows_explore FROM conversations WHERE role = 'user'"""
+
+
+@query("graph_status", """SELECT EXISTS (SELECT 1 FROM supplier) AS has_entities, EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'A') AS has_relations, EXISTS (SELECT 1 FROM region WHERE r_regionkey > 0) AS has_reports""")
+def graph_status(spark: SparkSession, sf: str) -> DataFrame:
+    some = lambda df, name: df.limit(1).agg((F.count(F.lit(1)) > 0).alias(name))
+    rows = some(table(spark, sf, "supplier"), "has_entities").crossJoin(some(table(spark, sf, "lineitem").where("l_returnflag = 'A'"), "has_relations"))
+    return rows.crossJoin(some(table(spark, sf, "region").where("r_regionkey > 0"), "has_reports"))
 
 
 @query("route_choice", f"""
-WITH g AS (SELECT (SELECT count(*) FROM supplier) > 0 AND (SELECT count(*) FROM lineitem) > 0 AS graph)
-SELECT conv_id, turn, CASE WHEN NOT graph THEN 'local' ELSE {_ROUTES} END AS route FROM conversations, g WHERE role = 'user'""")
+WITH q AS ({_ASKED}), g AS (SELECT EXISTS (SELECT 1 FROM supplier) AS has_entities, EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'A') AS has_relations, EXISTS (SELECT 1 FROM region WHERE r_regionkey > 0) AS has_reports),
+w AS (SELECT conv_id, turn, allows_global, allows_explore, CASE WHEN mode <> 'auto' THEN mode WHEN source_key IS NOT NULL THEN 'source-section' WHEN intent = 'discovery' AND allows_explore AND has_relations THEN 'explore'
+  WHEN intent = 'synthesis' AND has_reports THEN 'global' WHEN intent = 'lookup' THEN 'local' WHEN regexp_matches(lower(text), '{EXPLORE}') AND allows_explore AND has_relations THEN 'explore'
+  WHEN regexp_matches(lower(text), '{OVERVIEW}') AND has_reports THEN 'global' ELSE 'local' END AS wanted FROM q, g)
+SELECT conv_id, turn, wanted, CASE WHEN (wanted = 'global' AND NOT allows_global) OR (wanted = 'explore' AND NOT allows_explore) THEN 'local' ELSE wanted END AS route FROM w""")
 def route_choice(spark: SparkSession, sf: str) -> DataFrame:
-    """Explore, global or local by the question's cues; local wherever there is no graph."""
-    some = lambda name: table(spark, sf, name).limit(1).agg((F.count(F.lit(1)) > 0).alias("some"))
-    graph = some("supplier").crossJoin(some("lineitem").withColumnRenamed("some", "other")).select((F.col("some") & F.col("other")).alias("graph"))
-    t = F.lower("text")
-    cue = F.when(t.rlike("connect|relat|path|between"), "explore").when(t.rlike("overall|summar|theme|main"), "global").otherwise("local")
-    return table(spark, sf, "conversations").where("role = 'user'").crossJoin(F.broadcast(graph)).select("conv_id", "turn", F.when(~F.col("graph"), F.lit("local")).otherwise(cue).alias("route"))
+    """The route of each question: mode, scope, intent, cues; local where the policy doesn't allow what was found."""
+    return S.routes(table(spark, sf, "conversations").sparkSession.sql(_ASKED.replace("FROM conversations", "FROM {c}"), c=table(spark, sf, "conversations")), graph_status(spark, sf), EXPLORE, OVERVIEW).select("conv_id", "turn", "wanted", "route")
+
+
+@query("route_admission", f"""
+WITH q AS ({_ASKED}) SELECT conv_id, turn, mode, CASE WHEN mode = 'explore' OR mode NOT IN ('local', 'global', 'source-section', 'explore') THEN 'local' ELSE mode END AS served, CASE WHEN mode = 'explore' OR mode NOT IN ('local', 'global', 'source-section', 'explore') THEN mode END AS downgraded_from FROM q""")
+def route_admission(spark: SparkSession, sf: str) -> DataFrame:
+    """Routes that are served; those that are switched off or unknown become local."""
+    c = table(spark, sf, "conversations")
+    return S.admitted(spark.sql(_ASKED.replace("FROM conversations", "FROM {c}"), c=c).select("conv_id", "turn", "mode"), "mode", ["local", "global", "source-section", "explore"], ["explore"])
 
 
 @query("search_docs_union", """
@@ -280,15 +334,135 @@ def pending_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where(F.length("text") >= 40).select("doc_id").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
 
 
-@query("eval_recall_mrr", f"""WITH {BM25}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex),
-rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-best AS (SELECT rel.query_id, min(rank) AS rank FROM rel LEFT JOIN r USING (query_id, doc_id) GROUP BY rel.query_id)
-SELECT CAST(count(*) AS BIGINT) AS queries, round(avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1 ELSE 0 END), 6) AS recall_3,
-  round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 5 THEN 1 / rank ELSE 0 END), 6) AS mrr_5 FROM best""")
+EVAL = f"""{BM25}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex),
+rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), family AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'direct' ELSE 'associative' END AS family FROM benchmark),
+hard AS (SELECT query_id, min(rank) AS hard FROM r ANTI JOIN rel USING (query_id, doc_id) WHERE doc_id % 10 = 0 GROUP BY query_id),
+best AS (SELECT rel.query_id, family, min(rank) AS rank, min(hard) AS hard, count(*) AS wanted, count(*) FILTER (rank <= 5) AS got FROM rel JOIN family USING (query_id) LEFT JOIN r USING (query_id, doc_id) LEFT JOIN hard USING (query_id) GROUP BY rel.query_id, family)"""
+
+
+@query("eval_recall_mrr", f"""WITH {EVAL}
+SELECT family, CAST(count(*) AS BIGINT) AS queries, round(avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1 ELSE 0 END), 6) AS recall_3,
+  round(avg(CASE WHEN rank <= 5 THEN 1 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 5 THEN 1 / rank ELSE 0 END), 6) AS mrr_5, round(avg(got / wanted), 6) AS completeness,
+  CAST(count(*) FILTER (hard < rank) AS BIGINT) AS outranked FROM best GROUP BY family""")
 def eval_recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether the documents that hold an item's passage come first for its question."""
+    """By family, whether the documents that hold an item's passage come first for its question, and before the hard negatives."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    relevant = table(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(items), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
-    best = relevant.join(lexical(spark, sf, 1 << 30), ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    relevant = X.holders(the_index(spark, sf), table(spark, sf, "documents").select("doc_id", "text"), items)
+    hits = X.ranked(lexical(spark, sf), 1 << 30).select("query_id", "doc_id", "rank")
+    hard = hits.where("doc_id % 10 = 0").join(relevant, ["query_id", "doc_id"], "left_anti").groupBy("query_id").agg(F.min("rank").alias("hard"))
+    found = relevant.join(hits, ["query_id", "doc_id"], "left").withColumn("family", F.when(F.col("query_id") % 3 == 0, "direct").otherwise("associative"))
+    best = found.groupBy("query_id", "family").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("wanted"), F.count_if(F.col("rank") <= 5).alias("got")).join(hard, "query_id", "left")
     at = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6)
-    return best.agg(F.count(F.lit(1)).alias("queries"), at(1).alias("recall_1"), at(3).alias("recall_3"), at(5).alias("recall_5"), F.round(F.avg(F.when(F.col("rank") <= 5, 1 / F.col("rank")).otherwise(0.0)), 6).alias("mrr_5"))
+    return best.groupBy("family").agg(
+        F.count(F.lit(1)).alias("queries"), at(1).alias("recall_1"), at(3).alias("recall_3"), at(5).alias("recall_5"), F.round(F.avg(F.when(F.col("rank") <= 5, 1 / F.col("rank")).otherwise(0.0)), 6).alias("mrr_5"),
+        F.round(F.avg(F.col("got") / F.col("wanted")), 6).alias("completeness"), F.count_if(F.col("hard") < F.col("rank")).alias("outranked"),
+    )
+
+
+#: Questions with phrases, exclusions and plain terms, from the words of the test items.
+_QUESTION = """SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN concat('"', w[{0}], ' ', w[{1}], '" ', w[{3}], ' ', w[{4}]) WHEN 1 THEN concat(w[{0}], ' ', w[{2}], ' the -', w[{5}]) WHEN 2 THEN concat('what is ', w[{1}], ' ', w[{2}]) ELSE concat(w[{0}], ' ', w[{1}], ' ', w[{2}], ' -', w[{4}], '.') END AS question"""
+ASKED = f"""w_ AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), asked AS ({_QUESTION.format(*range(1, 7))} FROM w_)"""
+_EDGE = "[.,;:!?()\\[\\]{}<>''“”‘’]+"
+_BARE = "list_filter(list_transform({}, lambda w: regexp_replace(regexp_replace(w, '^" + _EDGE.replace("{}", "{{}}") + "', ''), '" + _EDGE.replace("{}", "{{}}") + "$', '')), lambda w: w <> '')"
+_QSTOP = "[" + ", ".join(f"'{w}'" for w in Q.STOP) + "]"
+_WORDS = "list_filter(regexp_split_to_array(regexp_replace(question, '\"[^\"]*\"', ' ', 'g'), '\\s+'), lambda w: w <> '')"
+PARSED = f"""{ASKED}, pw AS (SELECT query_id, question, {_WORDS} AS ws FROM asked),
+pt AS (SELECT query_id, question, list_filter(list_transform(regexp_extract_all(question, '\"([^\"]+)\"', 1), lambda p: trim(p)), lambda p: p <> '') AS phrases,
+  list_filter({_BARE.format("list_filter(ws, lambda w: NOT regexp_matches(w, '^-.'))")}, lambda w: regexp_matches(w, '[.\\-_/]') OR regexp_matches(w, '[^\\x00-\\x7F]') OR NOT (list_contains({_QSTOP}, lower(w)) OR (length(w) <= 2 AND NOT (regexp_matches(w, '[A-Z]') AND upper(w) = w)))) AS t0,
+  {_BARE.format("list_transform(list_filter(ws, lambda w: regexp_matches(w, '^-.')), lambda w: regexp_replace(w, '^-+', ''))")} AS gone FROM pw),
+parsed AS (SELECT query_id, question, phrases, list_filter(t0, lambda x, i: list_position(t0, x) = i) AS terms, gone FROM pt)"""
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    w = table(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("w"))
+    return spark.sql(_QUESTION.format(*range(6)) + " FROM {w}", w=w)
+
+
+@query("parsed_questions", f"""WITH {PARSED}
+SELECT query_id, array_to_string(phrases, '|') AS phrases, array_to_string(terms, '|') AS terms, array_to_string(gone, '|') AS excluded,
+  CASE WHEN regexp_matches(lower(question), 'what is|define|definition of|무엇|이란|란 ') THEN 'definition' WHEN regexp_matches(lower(question), ' vs |versus|compare|difference between|차이') THEN 'comparison' WHEN regexp_matches(lower(question), 'how to|how do|steps to|방법|어떻게') THEN 'procedure' ELSE 'default' END AS intent FROM parsed""")
+def parsed_questions(spark: SparkSession, sf: str) -> DataFrame:
+    q = F.col("question")
+    return asked(spark, sf).select("query_id", F.array_join(Q.phrases(q), "|").alias("phrases"), F.array_join(Q.terms(q), "|").alias("terms"), F.array_join(Q.excluded(q), "|").alias("excluded"), Q.intent(q).alias("intent"))
+
+
+@query("match_strings", f"""WITH {PARSED}, q AS (SELECT query_id, list_transform(phrases, lambda p: '"' || p || '"') AS ps, list_transform(terms, lambda t: '"' || t || '"*') AS ts, list_transform(gone, lambda g: ' NOT "' || g || '"') AS gs FROM parsed),
+e AS (SELECT query_id, array_to_string(list_concat(ps, CASE WHEN len(ts) > 0 THEN ['(' || array_to_string(ts, ' OR ') || ')'] ELSE [] END), ' AND ') AS every, array_to_string(gs, '') AS gone FROM q)
+SELECT query_id, CASE WHEN every <> '' THEN every || gone ELSE '' END AS match FROM e""")
+def match_strings(spark: SparkSession, sf: str) -> DataFrame:
+    return asked(spark, sf).select("query_id", Q.match_string(F.col("question")).alias("match"))
+
+
+SEARCHED = f"""{PARSED}, {CORPUS},
+units AS (SELECT query_id, unit, kind, {tokens_sql('word')} AS u FROM (
+  SELECT query_id, unnest(list_concat(list_transform(phrases, lambda p, i: {{'kind': 'phrase', 'unit': i, 'word': p}}), list_transform(terms, lambda p, i: {{'kind': 'term', 'unit': 100 + i, 'word': p}}), list_transform(gone, lambda p, i: {{'kind': 'gone', 'unit': 200 + i, 'word': p}})), recursive := true) FROM parsed)),
+used AS (SELECT * FROM units WHERE len(u) > 0),
+one AS MATERIALIZED (SELECT query_id, unit, kind, u[1] AS w FROM used WHERE len(u) = 1), vt AS MATERIALIZED (SELECT query_id, unit, kind, term FROM one JOIN df ON df.term = w WHERE kind <> 'term' UNION ALL SELECT query_id, unit, kind, term FROM one JOIN df ON substr(df.term, 1, 2) = substr(w, 1, 2) AND starts_with(df.term, w) WHERE kind = 'term' AND length(w) > 1 UNION ALL SELECT query_id, unit, kind, term FROM one JOIN df ON substr(df.term, 1, 1) = w WHERE kind = 'term' AND length(w) = 1),
+pos AS (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS p FROM rows_),
+mu AS MATERIALIZED (SELECT query_id, unit, kind, len(u) AS n, unnest(u) AS w, generate_subscripts(u, 1) AS k FROM used WHERE len(u) > 1),
+mt AS MATERIALIZED (SELECT mu.*, term FROM mu JOIN df ON term = w WHERE NOT (kind = 'term' AND k = n) UNION ALL SELECT mu.*, term FROM mu JOIN df ON starts_with(term, w) WHERE kind = 'term' AND k = n),
+ms AS (SELECT query_id, unit, kind, doc_id, dl, p - k AS s FROM mt JOIN pos USING (term) GROUP BY query_id, unit, kind, doc_id, dl, p - k, n HAVING count(DISTINCT k) = n),
+hits AS MATERIALIZED (SELECT query_id, unit, kind, doc_id, dl, sum(tf) AS f FROM vt JOIN tf USING (term) GROUP BY query_id, unit, kind, doc_id, dl
+  UNION ALL SELECT query_id, unit, kind, doc_id, dl, count(*) FROM ms GROUP BY query_id, unit, kind, doc_id, dl),
+udf AS (SELECT query_id, unit, count(*) AS df FROM hits GROUP BY query_id, unit),
+per AS (SELECT query_id, doc_id, round(sum((CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score,
+  count(*) FILTER (kind = 'phrase') AS ps, count(*) FILTER (kind = 'term') AS ts FROM hits JOIN udf USING (query_id, unit), stats WHERE kind <> 'gone' GROUP BY query_id, doc_id),
+need AS (SELECT query_id, count(*) FILTER (kind = 'phrase') AS ps, count(*) FILTER (kind = 'term') AS ts FROM used GROUP BY query_id),
+answers AS (SELECT per.query_id, doc_id, score FROM per JOIN need USING (query_id) WHERE per.ps = need.ps AND (per.ts > 0 OR need.ts = 0) AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.kind = 'gone' AND h.query_id = per.query_id AND h.doc_id = per.doc_id)),
+lexed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM answers)"""
+
+
+def answered(spark: SparkSession, sf: str) -> DataFrame:
+    return X.lexical_hits(the_index(spark, sf), asked(spark, sf), Workspace(spark, "lexical"))
+
+
+@query("search_lex", f"WITH {SEARCHED} SELECT query_id, rank, doc_id, score FROM lexed WHERE rank <= 8")
+def search_lex(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions read with their phrases, beginnings and exclusions, answered by the index."""
+    return X.ranked(answered(spark, sf), 8)
+
+
+@query("search_vec", f"""WITH u AS (SELECT vec_id, {_UNIT} AS v FROM embeddings), qv AS (SELECT item_id AS query_id, v AS qv FROM benchmark JOIN u ON vec_id = item_id),
+sims AS (SELECT query_id, vec_id AS doc_id, round(list_sum(list_transform(list_zip(v, qv), lambda p: p[1] * p[2])), 6) AS score FROM u, qv)
+SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sims) WHERE rank <= 8""")
+def search_vec(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_hits(spark, sf, 8)
+
+
+HYBRID = f"""{SEARCHED}, u AS (SELECT vec_id, {_UNIT} AS v FROM embeddings), qv AS (SELECT item_id AS query_id, v AS qv FROM benchmark JOIN u ON vec_id = item_id WHERE item_id % 6 <> 5),
+sims AS (SELECT query_id, vec_id AS doc_id, round(list_sum(list_transform(list_zip(v, qv), lambda p: p[1] * p[2])), 6) AS score FROM u, qv),
+l2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sims),
+lists AS (SELECT query_id, 'lex_raw' AS list, doc_id, rank FROM lexed WHERE rank <= 100 UNION ALL SELECT query_id, 'vec_raw', doc_id, rank FROM l2 WHERE rank <= 100),
+fused AS (SELECT query_id, doc_id, round(sum(CASE list WHEN 'lex_raw' THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END / (60 + rank) + CASE WHEN rank = 1 THEN 0.5::DOUBLE / 61 ELSE 0::DOUBLE END), 6) AS score FROM lists GROUP BY query_id, doc_id),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 40),
+st AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'failed' WHEN quality = 1 THEN 'verified' WHEN quality = 0 THEN 'unchecked' END AS status FROM labels),
+dem AS (SELECT query_id, doc_id, round(score * CASE coalesce(status, '') WHEN 'verified' THEN 1.0::DOUBLE WHEN 'unchecked' THEN 0.85::DOUBLE WHEN 'failed' THEN 0.70::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM ranked LEFT JOIN st USING (doc_id)),
+mm AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS m FROM dem WINDOW w AS (PARTITION BY query_id)),
+ft AS (SELECT query_id, {tokens_sql("array_to_string(terms, ' ')")} AS ts FROM parsed),
+ce AS (SELECT mm.query_id, mm.doc_id, m, len(list_intersect(ts, {tokens_sql('text')})) / greatest(len(list_distinct(ts)), 1) AS c, text FROM mm JOIN documents USING (doc_id) JOIN ft USING (query_id)),
+final AS (SELECT query_id, doc_id, round(0.7 * c + 0.3 * m, 6) AS score, text FROM ce),
+top8 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM final) WHERE rank <= 8)"""
+
+
+def hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """query_id, rank, doc_id, score, mode, text of the eight best answers of each question; some questions have no vector."""
+    lex = X.ranked(answered(spark, sf), S.LIST_CAP)
+    vec = vector_hits(spark, sf).where("query_id % 6 <> 5")
+    q = asked(spark, sf).select("query_id", F.array_distinct(T.index_tokens(F.array_join(Q.terms(F.col("question")), " "))).alias("terms"))
+    return S.hybrid(lex, vec, q, statuses(spark, sf), table(spark, sf, "documents").select("doc_id", "text"), Workspace(spark, "hybrid"))
+
+
+@query("search_hybrid", f"""WITH {HYBRID}
+SELECT query_id, rank, doc_id, score, CASE WHEN query_id IN (SELECT query_id FROM qv) THEN '' ELSE 'lex' END AS fallback_mode, substr(text, 1, 280) AS snippet FROM top8""")
+def search_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole search: both lists, fusion, demotion, reranking, snippets; without a vector the words alone decide."""
+    return hybrid(spark, sf).select("query_id", "rank", "doc_id", "score", "fallback_mode", F.substring("text", 1, 280).alias("snippet"))
+
+
+@query("query_traces", f"""WITH {HYBRID}
+SELECT query_id, sha256(question) AS question_hash, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS evidence, CAST(count(*) AS BIGINT) AS hits FROM top8 JOIN parsed USING (query_id) GROUP BY query_id, question""")
+def query_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """What a search leaves behind: the question's hash and the evidence in its order."""
+    listed_ = F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string"))
+    rows = hybrid(spark, sf).groupBy("query_id").agg(F.array_join(listed_, ",").alias("evidence"), F.count(F.lit(1)).alias("hits"))
+    return rows.join(asked(spark, sf), "query_id").select("query_id", F.sha2("question", 256).alias("question_hash"), "evidence", "hits")

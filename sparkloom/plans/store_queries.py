@@ -118,13 +118,13 @@ def hash_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("id_remap", """
-WITH m AS (SELECT p_partkey AS old, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS new FROM part), r AS (SELECT l_orderkey, l_linenumber, coalesce(new, l_partkey) AS id FROM lineitem LEFT JOIN m ON l_partkey = old WHERE l_orderkey % 20 = 0)
+WITH m AS (SELECT p_partkey AS old, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS new FROM part), r AS (SELECT l_orderkey, l_linenumber, coalesce(new, l_partkey) AS id FROM lineitem LEFT JOIN m ON l_partkey = old)
 SELECT l_orderkey, string_agg(CAST(id AS VARCHAR), ',' ORDER BY l_linenumber, id) AS ids FROM r GROUP BY l_orderkey""")
 def id_remap(spark: SparkSession, sf: str) -> DataFrame:
     """Arrays of ids rewritten to the smallest id of naturally equal rows."""
     least = F.min("p_partkey").over(Window.partitionBy("p_name", "p_brand"))
     ids = table(spark, sf, "part").select(F.col("p_partkey").alias("old"), least.alias("new"))
-    lines = table(spark, sf, "lineitem").where("l_orderkey % 20 = 0").join(ids, F.col("l_partkey") == F.col("old"), "left").select("l_orderkey", "l_linenumber", F.coalesce("new", "l_partkey").alias("id"))
+    lines = table(spark, sf, "lineitem").join(ids, F.col("l_partkey") == F.col("old"), "left").select("l_orderkey", "l_linenumber", F.coalesce("new", "l_partkey").alias("id"))
     listed = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "id"))), lambda x: x["id"].cast("string"))
     return lines.groupBy("l_orderkey").agg(F.array_join(listed, ",").alias("ids"))
 
@@ -274,11 +274,11 @@ def annotation_colours(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("citation_resolve", """
-WITH refs AS (SELECT o_orderkey AS doc, unnest(range(1, CAST(2 + o_orderkey % 4 AS BIGINT))) AS n FROM orders WHERE o_orderkey % 30 = 0), r AS (SELECT doc, n, row_number() OVER (PARTITION BY doc ORDER BY n) AS pos FROM refs)
+WITH refs AS (SELECT o_orderkey AS doc, unnest(range(1, CAST(2 + o_orderkey % 4 AS BIGINT))) AS n FROM orders), r AS (SELECT doc, n, row_number() OVER (PARTITION BY doc ORDER BY n) AS pos FROM refs)
 SELECT doc, l_linenumber AS number, l_partkey AS entry, min(pos) AS first_pos FROM r JOIN lineitem ON doc = l_orderkey AND n = l_linenumber GROUP BY doc, l_linenumber, l_partkey""")
 def citation_resolve(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers of a citation range joined with the entries of the same document; unknown numbers drop out."""
-    refs = table(spark, sf, "orders").where("o_orderkey % 30 = 0").select(F.col("o_orderkey").alias("doc"), F.posexplode(F.expr("sequence(1, cast(1 + o_orderkey % 4 as int))")).alias("pos", "n"))
+    refs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.posexplode(F.expr("sequence(1, cast(1 + o_orderkey % 4 as int))")).alias("pos", "n"))
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("entry"))
     return refs.join(lines, ["doc", "n"]).groupBy("doc", F.col("n").alias("number"), "entry").agg(F.min(F.col("pos") + 1).cast("long").alias("first_pos"))
 
@@ -295,12 +295,12 @@ def page_offset_mode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("outline_ranges", """
-WITH t AS (SELECT DISTINCT l_orderkey AS doc, CAST(l_quantity AS BIGINT) AS page FROM lineitem WHERE l_orderkey % 10 = 0)
+WITH t AS (SELECT DISTINCT l_orderkey AS doc, CAST(l_quantity AS BIGINT) AS page FROM lineitem)
 SELECT doc, page, lead(page) OVER (PARTITION BY doc ORDER BY page) AS next_page FROM t""")
 def outline_ranges(spark: SparkSession, sf: str) -> DataFrame:
     from sparkloom.operators.spans import next_page_ranges
 
-    t = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("doc"), F.col("l_quantity").cast("long").alias("page")).distinct()
+    t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_quantity").cast("long").alias("page")).distinct()
     return next_page_ranges(t, "doc", "page")
 
 

@@ -82,10 +82,10 @@ def char_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("sentence_split", """
-WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n{2,}', chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS parts FROM documents)
+WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), '\\n{2,}', chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS parts FROM documents)
 SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_sentences, sha256(array_to_string(parts, '|')) AS hash FROM s""".replace("\\\\", "\\"))
 def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
-    parts = F.filter(F.split("text", r"(?<=[.!?])\s+|\n{2,}"), lambda x: F.trim(x) != "")
+    parts = F.filter(F.split("text", r"(?<=[.!?。！？])\s+|\n{2,}"), lambda x: F.trim(x) != "")
     return table(spark, sf, "documents").select("doc_id", F.size(parts).cast("long").alias("n_sentences"), F.sha2(F.array_join(parts, "|"), 256).alias("hash"))
 
 
@@ -99,19 +99,20 @@ def token_estimates(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.chunk_tokens(t).alias("chunk_tokens"), T.budget_tokens(t).alias("budget_tokens"), F.round(T.ascii_share(t), 6).alias("ascii_share"), (T.ascii_share(t) > 0.85).alias("probably_english"))
 
 
-@query("text_quality_score", """
-WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS words, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS alnum,
-  len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) AS lines FROM documents)
-SELECT doc_id, round(least(length(text) / 1200, 1) * 0.25 + least(len(words) / 240, 1) * 0.3 + least(lines / 30, 1) * 0.15
-  + least(alnum / greatest(length(text), 1) * 0.25, 0.2) + least(length(text) / greatest(len(words), 1) / 60, 0.1), 6) AS quality FROM w""")
+_SHARE = "CASE WHEN length({0}) > 0 THEN (length({0}) - length(regexp_replace({0}, '%s', '', 'g'))) / length({0}) ELSE %s END"
+_WORDS_OF = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}''\-]*')"
+_MEAN = f"CASE WHEN len({_WORDS_OF}) > 0 THEN length(array_to_string({_WORDS_OF}, '')) / len({_WORDS_OF}) ELSE 0 END"
+_BROKEN = _SHARE % (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{{FFFD}}]", "1")
+_BLANK = _SHARE % (r"[\s\x0b]", "1")
+#: The quality of a text, for ``format``.
+QUALITY = f"""greatest(0, least(1, least(0.25, length(regexp_replace({{0}}, '[\\s\\x0b]', '', 'g')) / 1200) + least(0.3, len({_WORDS_OF}) / 240) + least(0.15, len(list_filter(string_split({{0}}, chr(10)), lambda l: trim(l) <> '')) / 30)
+  + least(0.2, ({_SHARE % (chr(92) + 'p{{L}}', '0')} + {_SHARE % (chr(92) + 'p{{N}}', '0')}) * 0.25) + least(0.1, ({_MEAN}) / 60) - least(0.35, ({_BROKEN}) * 3)
+  - CASE WHEN ({_BLANK}) > 0.45 THEN least(0.2, (({_BLANK}) - 0.45) * 0.8) ELSE 0 END - CASE WHEN len({_WORDS_OF}) > 0 AND ({_MEAN}) < 2.2 THEN 0.15 ELSE 0 END))"""
+
+
+@query("text_quality_score", f"SELECT doc_id, round({QUALITY.format('text')}, 6) AS quality FROM documents")
 def text_quality_score(spark: SparkSession, sf: str) -> DataFrame:
-    n, words = F.length("text"), T.word_count(F.col("text"))
-    alnum = F.length(F.regexp_replace("text", "[^A-Za-z0-9]", ""))
-    lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
-    one = F.lit(1.0)
-    score = F.least(n / 1200, one) * 0.25 + F.least(words / 240, one) * 0.3 + F.least(lines / 30, one) * 0.15
-    score += F.least(alnum / F.greatest(n, F.lit(1)) * 0.25, F.lit(0.2)) + F.least(n / F.greatest(words, F.lit(1)) / 60, F.lit(0.1))
-    return table(spark, sf, "documents").select("doc_id", F.round(score, 6).alias("quality"))
+    return table(spark, sf, "documents").select("doc_id", F.round(T.text_quality(F.col("text")), 6).alias("quality"))
 
 
 #: Small notes with links, for operators whose marks the tables lack.

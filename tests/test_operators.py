@@ -1,10 +1,15 @@
 """Operators on small inputs with known results."""
 
+import math
+import random
+import sqlite3
+
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import questions as Q
 from sparkloom.functions import text as T
-from sparkloom.operators import claims, graph, packs, search, spans, sync
+from sparkloom.operators import claims, graph, index, packs, search, spans, sync
 from sparkloom.operators.components import connected_components
 from sparkloom.storage import Workspace
 
@@ -43,24 +48,80 @@ def test_bridges_need_two_nodes_on_each_side(spark):
 
 
 def test_memory_paths_scores(spark):
-    e = spark.createDataFrame([(1, 2, 0.8, True), (2, 3, 0.7, True)], "src long, dst long, confidence double, has_span boolean")
-    got = {(r["via"], r["end"]): r["score"] for r in graph.paths(e, spark.createDataFrame([(1,)], "node long")).collect()}
-    assert got == {(2, None): 0.75, (2, 3): 0.36875}
+    e = spark.createDataFrame([(10, 1, 2, 0.8, True), (11, 2, 3, 0.7, True), (12, 4, 1, 0.4, False), (13, 4, 5, 0.6, False)], "edge_id long, src long, dst long, confidence double, has_span boolean")
+    seeds, domain = spark.createDataFrame([(1,)], "node long"), spark.createDataFrame([(5,), (4,)], "node long")
+    got = {(r["via"], r["end"]): r["score"] for r in graph.paths(e, seeds, domain).collect()}
+    assert got == {(2, None): 0.75, (2, 3): 0.36875, (4, None): round(0.35 + 0.1 + 0.1, 6), (4, 5): round((0.35 + 0.125 + 0.1) / 2, 6)}
+    assert {(r["via"], r["end"]) for r in graph.paths(e, seeds, domain, most=2).collect()} == {(2, None), (2, 3)}
+
+
+def test_closure_has_no_depth_limit(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(40, 3)], "src long, dst long")
+    got = {r["node"]: r["depth"] for r in graph.closure(edges, spark.createDataFrame([(0,)], "node long"), Workspace(spark, "test")).collect()}
+    assert got == {i: i for i in range(41)}
 
 
 def test_vector_order_and_zero_vector(spark):
-    v = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.7, 0.7, 0.0]), (3, [0.0, 0.0, 1.0])], "vec_id long, e array<float>").select("vec_id", search.unit(F.col("e")).alias("v"))
-    q = spark.createDataFrame([(0, [1.0, 0.0, 0.0])], "query_id long, qv array<double>")
-    assert [r["vec_id"] for r in search.cosine_topk(v, q, 3).orderBy("rank").collect()] == [1, 2, 3]
+    v = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.7, 0.7, 0.0]), (3, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 0.0])], "vec_id long, v array<float>")
+    q = spark.createDataFrame([(0, [1.0, 0.0, 0.0])], "query_id long, v array<float>")
+    assert [(r["vec_id"], round(r["score"], 3)) for r in search.cosine_topk(v, q, 4).orderBy("rank").collect()] == [(1, 1.0), (2, 0.707), (3, 0.0), (4, 0.0)]
     zero = spark.range(1).select(search.unit(F.array(F.lit(0.0), F.lit(0.0))).alias("v")).first()["v"]
     assert zero == [0.0, 0.0]
+    with pytest.raises(Exception, match="different dimensions"):
+        search.cosine_topk(v.unionByName(spark.createDataFrame([(5, [1.0])], v.schema)), q, 4).collect()
+
+
+def test_blocks_of_queries_and_ties(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, i % 3, [float(rng.randrange(3)) for _ in range(3)] + [1.0]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, record long, v array<float>").repartition(5)
+    q = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "v")
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)), 6)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in search.cosine_topk(v.select("vec_id", "v"), q, 7).collect()}
+    best = {(r["query_id"], r["record"]): r["vec_id"] for r in search.best_chunks(v, q).collect()}
+    for a, _, x in rows[::10]:
+        order = sorted((-cos(x, y), b, c) for b, c, y in rows)
+        assert [got[a, k + 1] for k in range(7)] == [b for _, b, _ in order[:7]]
+        assert all(best[a, c] == next(b for _, b, r in order if r == c) for c in range(3))
+
+
+DOCS = [(1, "Residual learning: residual connections ease deep network optimization"), (8, "Jaguar: the apex predator of the amazon basin"), (9, "Jaguar: the e-type sports car and its engine"), (4, "Dropout: randomly deactivating units for regularization"), (5, "coral bleaching under heat stress"), (6, None)]
 
 
 def test_bm25_finds_the_right_record_and_prefers_the_predator(spark):
-    docs = [(1, "Residual learning: residual connections ease deep network optimization"), (8, "Jaguar: the apex predator of the amazon basin"), (9, "Jaguar: the e-type sports car and its engine"), (4, "Dropout: randomly deactivating units for regularization"), (5, "coral bleaching under heat stress"), (6, None)]
     q = spark.createDataFrame([(1, ["residual", "connections", "network"]), (7, ["jaguar", "apex", "predator", "amazon"]), (8, ["jaguar", "sports", "car"])], "query_id long, terms array<string>")
-    got = search.bm25(spark.createDataFrame(docs, "id long, text string"), "id", F.col("text"), q, 1)
-    assert {r["query_id"]: r["doc_id"] for r in got.collect()} == {1: 1, 7: 8, 8: 9}
+    x = index.build_index(spark.createDataFrame(DOCS, "doc_id long, text string"), Workspace(spark, "test"))
+    assert {r["query_id"]: r["doc_id"] for r in index.ranked(index.scored_terms(x, q), 1).collect()} == {1: 1, 7: 8, 8: 9}
+
+
+def test_search_equals_a_full_text_engine(spark):
+    """Phrases, beginnings and exclusions against the search engine of the standard library, with the same match strings."""
+    rng = random.Random(11)
+    words = ["alpha", "alphabet", "beta", "nn.conv", "e-type", "rank", "fusion", "Naïve", "naive", "gamma_ray", "the", "delta"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30)))) for i in range(80)]
+    asked = ['"rank fusion" alpha', "alpha -beta", "alph nn.c", '"rank fusion"', "naive e-type -delta", '"the alpha" "beta rank" gam', "zeta", "the -alpha", '"zeta zeta" alpha', "a/b alpha"]
+    db = sqlite3.connect(":memory:")
+    db.execute("""create virtual table d using fts5(text, tokenize = "unicode61 remove_diacritics 2 tokenchars '_-.'")""")
+    db.executemany("insert into d(rowid, text) values (?, ?)", docs)
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, question string")
+    matches = {r["query_id"]: r["m"] for r in q.select("query_id", Q.match_string(F.col("question")).alias("m")).collect()}
+    x = index.build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), Workspace(spark, "test"))
+    got = {}
+    for r in index.lexical_hits(x, q, Workspace(spark, "test")).collect():
+        got.setdefault(r["query_id"], {})[r["doc_id"]] = r["score"]
+    for i, m in matches.items():
+        want = {d: -s for d, s in db.execute("select rowid, bm25(d) from d where d match ?", (m,))} if m else {}
+        assert set(got.get(i, {})) == set(want), asked[i]
+        assert all(abs(got[i][d] - s) < 1e-5 for d, s in want.items()), asked[i]
+
+
+def test_passages_are_found_where_they_stand(spark):
+    docs = [(1, "one two three four five"), (2, "xone two three fourx"), (3, "two three"), (4, None), (5, "One two three four")]
+    passages = [(1, "one two three four"), (2, "two three"), (3, "not there at all"), (4, "two")]
+    x = index.build_index(spark.createDataFrame(docs, "doc_id long, text string"), Workspace(spark, "test"))
+    got = index.holders(x, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "query_id long, passage string"))
+    assert {tuple(r) for r in got.collect()} == {(q, d) for q, p in passages for d, t in docs if t and p in t}
 
 
 def test_rrf_first_place_bonus(spark):
@@ -98,6 +159,16 @@ def test_verdicts_take_the_best_span(spark):
     assert got[3][:2] == ("failed", "no_terms") and got[4][:2] == ("failed", "no_span")
 
 
+def test_formulas_decide(spark):
+    c = spark.createDataFrame([(1, r"$x^2 + y$"), (2, r"alpha beta $a - b$"), (3, r"alpha beta $a - b$"), (4, r"$$\frac{a}{b}$$")], "claim_id long, text string")
+    s = spark.createDataFrame([(10, r"so $z = x^2\, + y$ here"), (11, r"alpha beta and $b - a$"), (12, r"alpha beta $c+a-b$"), (13, "nothing")], "span_id long, text string")
+    d = spark.createDataFrame([(1, 10, 0), (2, 11, 0), (3, 11, 0), (3, 12, 1), (4, 13, 0)], "claim_id long, span_id long, pos long")
+    got = {r["claim_id"]: (r["status"], r["reason"], r["primary_span"]) for r in claims.verdicts(c, d, s).collect()}
+    assert got == {1: ("verified", "formula", 10), 2: ("uncertain", "formula_missing", 11), 3: ("verified", "covered", 12), 4: ("failed", "no_terms", 13)}
+    loss = lambda e, p, r, x, i: spark.range(1).select(claims.formula_loss(*[F.lit(v) for v in (e, p, r, x)], F.lit(i)).alias("l")).first()["l"]
+    assert [loss("a+b", "", "", "$a+b$", False), loss("a+b", "", "$a + b$", "text", False), loss("a+b", "", "", "$a$", False), loss("a+b", "", "", "", True), loss("a+b", "", "", "t", True), loss("a+b", "", "", "", False)] == [None, "parser_omitted", "fragmented", "image_only", "fragmented", None]
+
+
 def test_last_write_wins_keeps_ties_local(spark):
     a = spark.createDataFrame([(1, 5, "a"), (2, 5, "a"), (3, 5, "a")], "k long, t long, v string")
     b = spark.createDataFrame([(1, 5, "b"), (2, 6, "b"), (4, 1, "b")], "k long, t long, v string")

@@ -4,20 +4,23 @@ import re
 
 from pyspark.sql import functions as F
 
-from sparkloom.functions.questions import match_string, parse
+from sparkloom.functions import questions as Q
 from sparkloom.operators import chunking
 from sparkloom.sources.files import parse_html, read_files
 from sparkloom.streaming import jobs
 
 
-def test_questions():
-    q = parse('What is "reciprocal rank fusion" with nn.Conv2d -deprecated?')
-    assert (q.phrases, q.terms, q.excluded, q.east_asian) == (("reciprocal rank fusion",), ("nn.Conv2d",), ("deprecated",), False)
-    q = parse("RRF 합성이란 무엇인가")
-    assert q.terms[0] == "RRF" and q.east_asian
-    assert match_string(parse('"rank fusion" nn.Conv2d residual -stale')) == '"rank fusion" AND ("nn.Conv2d"* OR "residual"*) NOT "stale"'
-    assert match_string(parse("ABx residual ab"), trigrams=True) == '("ABx" OR "residual")'
-    assert match_string(parse("the of")) == ""
+def test_questions(spark):
+    q = F.col("q")
+    rows = ['What is "reciprocal rank fusion" with nn.Conv2d -deprecated?', "RRF 합성이란 무엇인가", '"rank fusion" nn.Conv2d residual -stale', "ABx residual ab", "the of", "", "-", "compare (a/b) and US, us"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, q string").orderBy("i")
+    got = df.select(Q.phrases(q).alias("p"), Q.terms(q).alias("t"), Q.excluded(q).alias("e"), Q.east_asian(q).alias("c"), Q.match_string(q).alias("m"), Q.match_string(q, True).alias("m3"), Q.intent(q).alias("n"), Q.synonyms(q).alias("s")).collect()
+    assert (got[0]["p"], got[0]["t"], got[0]["e"], got[0]["c"], got[0]["n"]) == (["reciprocal rank fusion"], ["nn.Conv2d"], ["deprecated"], False, "definition")
+    assert got[1]["t"][0] == "RRF" and got[1]["c"] and got[1]["s"] == ["reciprocal rank fusion"]
+    assert got[2]["m"] == '"rank fusion" AND ("nn.Conv2d"* OR "residual"*) NOT "stale"'
+    assert got[3]["m3"] == '("ABx" OR "residual")'
+    assert got[4]["m"] == got[5]["m"] == "" and got[6]["t"] == ["-"] * 0 + got[6]["t"]
+    assert got[7]["t"] == ["compare", "a/b", "US"] and got[7]["n"] == "comparison"
 
 
 def test_chunks_cover_the_text_and_stay_small():
