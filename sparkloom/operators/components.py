@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, work: Workspace, a: str = "a", b: str
 
     Edges are undirected; loops, repeats and rows with a null end are ignored.
     Nodes need an order. Every round is written to the shared folder, minima are
-    combined before they are shuffled, and no node's edges meet in one place.
+    combined before they are shuffled. A hub's edges meet in one partition of a
+    join, which Spark's adaptive execution splits (both joins are inner and need no order).
     """
     e = edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = work.put(e, f"{name}-0")
