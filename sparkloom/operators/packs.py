@@ -41,10 +41,12 @@ def handle(kind: str, ident: Column) -> Column:
 
 
 def epoch(rows: DataFrame, *columns: str) -> DataFrame:
-    """One hash over all rows in order: rows are hashed in buckets first, so no task holds them all."""
+    """One hash over all rows in order, put together in three levels, so that a task holds a 65,536th of them at most."""
     row = rows.select(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256).alias("h"))
-    buckets = row.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-    return buckets.agg(F.concat(F.lit("SNAP-"), F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256), 1, 12)).alias("snapshot"))
+    total = lambda: F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256)
+    small = row.groupBy(F.substring("h", 1, 4).alias("b")).agg(total().alias("h"))
+    large = small.groupBy(F.substring("b", 1, 2).alias("b")).agg(total().alias("h"))
+    return large.agg(F.concat(F.lit("SNAP-"), F.substring(total(), 1, 12)).alias("snapshot"))
 
 
 def all_in_scope(items: DataFrame, spans: DataFrame, item: str = "item_id") -> DataFrame:

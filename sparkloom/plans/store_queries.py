@@ -35,7 +35,7 @@ def first_fit_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("snapshot_epoch", """
-WITH r AS (SELECT sha256(doc_id || '|' || source || '|' || n_chars) AS h FROM documents), b AS (SELECT sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY substr(h, 1, 2))
+WITH r AS (SELECT sha256(doc_id || '|' || source || '|' || n_chars) AS h FROM documents), s AS (SELECT substr(h, 1, 4) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY substr(h, 1, 4)), b AS (SELECT sha256(string_agg(h, '' ORDER BY h)) AS h FROM s GROUP BY substr(b, 1, 2))
 SELECT 'SNAP-' || substr(sha256(string_agg(h, '' ORDER BY h)), 1, 12) AS snapshot FROM b""")
 def snapshot_epoch(spark: SparkSession, sf: str) -> DataFrame:
     return P.epoch(table(spark, sf, "documents"), "doc_id", "source", "n_chars")
