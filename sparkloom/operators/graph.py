@@ -34,55 +34,51 @@ def communities(nodes: DataFrame, edges: DataFrame, work: Workspace) -> DataFram
     return nodes.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def bridges(edges: DataFrame, parts: DataFrame) -> DataFrame:
+def bridges(edges: DataFrame, parts: DataFrame, work: Workspace) -> DataFrame:
     """Edges whose loss would cut a component in two parts of two nodes or more; parallel edges and loops never do.
 
-    A component is walked in one group, so callers bound components first
-    (edges below a confidence are left out, as for communities).
+    A breadth-first tree grows from the root of each component, all of them level
+    by level. Each edge outside the tree puts one random number on both its ends;
+    the numbers of a subtree, combined by exclusive or, cancel out exactly when no
+    such edge leaves it, and then the edge above the subtree is a bridge (a chance
+    of 2**-64 aside). No component is ever in one place.
     """
     pair = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("edge_id").alias("edge_id"))
-    rows = pair.join(parts.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "n", "edge_id")
-
-    def walk(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        around: dict[int, list[tuple[int, int]]] = {}
-        for i, (a, b) in enumerate(zip(pdf["a"], pdf["b"])):
-            around.setdefault(a, []).append((b, i))
-            around.setdefault(b, []).append((a, i))
-        seen: dict[int, int] = {}
-        low: dict[int, int] = {}
-        size: dict[int, int] = {}
-        found = []
-        for root in around:
-            if root in seen:
-                continue
-            seen[root] = low[root] = len(seen)
-            size[root] = 1
-            stack = [(root, -1, iter(around[root]))]
-            while stack:
-                node, via, more = stack[-1]
-                for other, i in more:
-                    if other not in seen:
-                        seen[other] = low[other] = len(seen)
-                        size[other] = 1
-                        stack.append((other, i, iter(around[other])))
-                        break
-                    if i != via:
-                        low[node] = min(low[node], seen[other])
-                else:
-                    stack.pop()
-                    if stack:
-                        up = stack[-1][0]
-                        low[up] = min(low[up], low[node])
-                        size[up] += size[node]
-                        if low[node] > seen[up] and pdf["n"].iloc[via] == 1:
-                            found.append((via, size[node]))
-        total = len(around)
-        keep = [i for i, n in found if n >= 2 and total - n >= 2]
-        return pd.DataFrame({"edge_id": pdf["edge_id"].iloc[keep].astype("int64")})
-
-    return rows.groupBy("component").applyInPandas(walk, "edge_id long")
+    pair = work.put(pair, "bridge-pairs")
+    both = pair.select(F.col("a").alias("x"), F.col("b").alias("y"), "edge_id").unionByName(pair.select(F.col("b").alias("x"), F.col("a").alias("y"), "edge_id"))
+    none = F.lit(None).cast(dict(pair.dtypes)["edge_id"]).alias("via")
+    roots = parts.select("component").distinct().select(F.col("component").alias("node"), none, F.lit(None).cast(dict(pair.dtypes)["a"]).alias("up"), F.lit(0).alias("depth"))
+    levels = [work.put(roots, "bridge-level-0")]
+    seen = levels[0].select("node")
+    while True:
+        step = both.join(levels[-1].select(F.col("node").alias("x")), "x").join(seen.select(F.col("node").alias("y")), "y", "left_anti")
+        first = step.groupBy(F.col("y").alias("node")).agg(F.min(F.struct("x", "edge_id")).alias("t"))
+        level = work.put(first.select("node", F.col("t.edge_id").alias("via"), F.col("t.x").alias("up"), F.lit(len(levels)).alias("depth")), f"bridge-level-{len(levels)}")
+        if level.limit(1).count() == 0:
+            break
+        levels.append(level)
+        # A node's neighbours are on its own level and the two beside it.
+        seen = level.select("node").unionByName(levels[-2].select("node"))
+    tree = levels[0].limit(0)
+    for level in levels[1:]:
+        tree = tree.unionByName(level)
+    tree = work.put(tree, "bridge-tree")
+    back = both.join(tree.select(F.col("via").alias("edge_id")), "edge_id", "left_anti").groupBy(F.col("x").alias("node")).agg(F.bit_xor(F.xxhash64(F.lit("bridge"), "edge_id")).alias("mark"))
+    own = work.put(tree.join(back, "node", "left").select("node", "via", "up", "depth", F.coalesce("mark", F.lit(0).cast("long")).alias("mark"), F.lit(1).cast("long").alias("size")), "bridge-marks")
+    below: DataFrame | None = None
+    whole: DataFrame | None = None
+    for d in range(len(levels) - 1, 0, -1):
+        rows = own.where(F.col("depth") == d)
+        if below is not None:
+            rows = rows.join(below, "node", "left").select("node", "via", "up", "depth", F.col("mark").bitwiseXOR(F.coalesce("more", F.lit(0).cast("long"))).alias("mark"), (F.col("size") + F.coalesce("held", F.lit(0).cast("long"))).alias("size"))
+        rows = work.put(rows, f"bridge-up-{d}")
+        below = rows.groupBy(F.col("up").alias("node")).agg(F.bit_xor("mark").alias("more"), F.sum("size").alias("held"))
+        whole = rows if whole is None else whole.unionByName(rows)
+    if whole is None:
+        return pair.limit(0).select("edge_id")
+    totals = parts.groupBy("component").agg(F.count(F.lit(1)).alias("total"))
+    cut = whole.where("mark = 0 and size >= 2").join(parts, "node").join(totals, "component").where("total - size >= 2")
+    return cut.select(F.col("via").alias("edge_id")).join(pair.where("n = 1"), "edge_id", "left_semi")
 
 
 def lifecycle(relations: DataFrame, nodes: DataFrame, authored: DataFrame, contradicted: DataFrame, bridge: DataFrame, least: int = 1) -> DataFrame:

@@ -194,8 +194,9 @@ def giant_component_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bridge_edges")
 def bridge_edges(spark: SparkSession, sf: str) -> DataFrame:
-    _, edges, parts = graph_parts(spark, sf, Workspace(spark, "bridges"))
-    return G.bridges(edges.where("confidence >= 0.7").select("edge_id", "src", "dst"), parts)
+    work = Workspace(spark, "bridges")
+    _, edges, parts = graph_parts(spark, sf, work)
+    return G.bridges(edges.where("confidence >= 0.7").select("edge_id", "src", "dst"), work.put(parts, "parts"), work)
 
 
 @query("relation_lifecycle", f"""WITH {EDGES}

@@ -44,7 +44,34 @@ def test_bridges_need_two_nodes_on_each_side(spark):
     edges = spark.createDataFrame(e, "edge_id long, src long, dst long")
     nodes = spark.createDataFrame([(i,) for i in range(1, 10)], "node long")
     parts = graph.communities(nodes, edges, Workspace(spark, "t"))
-    assert [r["edge_id"] for r in graph.bridges(edges, parts).collect()] == [4]
+    assert [r["edge_id"] for r in graph.bridges(edges, parts, Workspace(spark, "test")).collect()] == [4]
+
+
+def test_bridges_equal_the_loss_of_each_edge(spark):
+    rng = random.Random(3)
+    edges = [(i, a, b) for i, (a, b) in enumerate((rng.randrange(60), rng.randrange(60)) for _ in range(62))] + [(900, 200, 201), (901, 201, 202), (902, 202, 203), (903, 300, 301), (904, 301, 300)]
+
+    def component(node, left):
+        seen, todo = {node}, [node]
+        while todo:
+            x = todo.pop()
+            for _, a, b in left:
+                for y in (b,) * (a == x) + (a,) * (b == x):
+                    if y not in seen:
+                        seen.add(y)
+                        todo.append(y)
+        return seen
+
+    want = set()
+    for e in edges:
+        if e[1] != e[2]:
+            left = [x for x in edges if x != e]
+            a, b = component(e[1], left), component(e[2], left)
+            if e[2] not in a and len(a) >= 2 and len(b) >= 2:
+                want.add(e[0])
+    parts = [(n, min(component(n, edges))) for n in {x for e in edges if e[1] != e[2] for x in e[1:]}]
+    got = graph.bridges(spark.createDataFrame(edges, "edge_id long, src long, dst long"), spark.createDataFrame(parts, "node long, component long"), Workspace(spark, "test"))
+    assert {r["edge_id"] for r in got.collect()} == want and len(want) > 3
 
 
 def test_memory_paths_scores(spark):
