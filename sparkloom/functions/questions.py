@@ -36,7 +36,7 @@ def said(words: Column) -> Column:
 
 def phrases(question: Column) -> Column:
     """What stands in double quotes."""
-    return F.filter(F.transform(F.regexp_extract_all(question, F.lit('"([^"]+)"'), 1), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.regexp_extract_all(question, F.lit('"([^"]+)"'), 1), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def unquoted(question: Column) -> Column:

@@ -78,7 +78,7 @@ def image_links(text: Column) -> Column:
 
 def wikilinks(text: Column) -> Column:
     """Targets of [[x]], [[x#h]] and [[x|alias]], each once, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)"), 1), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)"), 1), lambda x: F.trim(x)))
 
 
 def plain_links(text: Column) -> Column:

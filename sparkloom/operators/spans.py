@@ -24,7 +24,7 @@ def sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def prose_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Paragraphs (cut at blank lines) with their hash, once for each source: the first place counts."""
-    parts = F.filter(F.transform(F.split(F.col(text_col), r"\n\s*\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.col(text_col), r"\n\s*\n"), lambda x: F.trim(x)), lambda p: p != "")
     rows = df.select(F.col(id_col).alias("source_id"), F.posexplode(parts).alias("pos", "text"))
     first = rows.groupBy("source_id", T.short_hash(F.col("text")).alias("span_hash")).agg(F.min(F.struct("pos", "text")).alias("first"))
     return first.select("source_id", "span_hash", (F.col("first.pos") + 1).cast("long").alias("pos"), F.col("first.text").alias("text"))

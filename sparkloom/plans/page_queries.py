@@ -38,22 +38,26 @@ def source_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Small texts with citations, which the tables lack.
-CITED = [(1, "As shown [1, 3-5] and again [3]."), (2, "A footnote [^2] and an index a[0] but a real one [12]."), (3, "No citation at all."), (4, "Ranges [2–4] and [7; 9].")]
-_CITED = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in CITED) + ") AS cited(doc, text)"
+#: Documents with citations, ranges, footnotes, code and indexed names after their words.
+_CITED = "SELECT doc_id AS doc, concat(text, ' As shown [', doc_id % 40 + 1, ', 3-', doc_id % 50, '] and `x [4]` or a[0], [^2] (b)[5], [', doc_id % 900, '], [7–12,1—30, 2]') AS text FROM {}"
 
 
 @query("citation_numbers", f"""
-WITH g AS (SELECT doc, unnest(regexp_extract_all(regexp_replace(text, '[A-Za-z0-9_]\\[[^\\]]*\\]', '', 'g'), '\\[(\\d+(?:\\s*[,;–-]\\s*\\d+)*)\\]', 1)) AS grp FROM {_CITED}),
-p AS (SELECT doc, unnest(string_split_regex(grp, '\\s*[,;]\\s*')) AS part FROM g),
-r AS (SELECT doc, CAST(regexp_extract(part, '^(\\d+)', 1) AS BIGINT) AS a, CAST(regexp_extract(part, '(\\d+)$', 1) AS BIGINT) AS b FROM p)
-SELECT DISTINCT CAST(doc AS BIGINT) AS doc, unnest(range(a, least(b, a + 23) + 1)) AS number FROM r WHERE b >= a""")
+WITH c AS ({_CITED.format('documents')}), g AS (SELECT doc, unnest(gs) AS grp, generate_subscripts(gs, 1) AS gi FROM (SELECT doc, regexp_extract_all(regexp_replace(regexp_replace(text, '(?s)```.*?```|`[^`]*`', ' ', 'g'), '[A-Za-z0-9_)\\]^]\\[[^\\]]*\\]', '', 'g'), '\\[(\\d{{1,3}}(?:\\s*[,–—-]\\s*\\d{{1,3}})*)\\]', 1) AS gs FROM c)),
+p AS (SELECT doc, gi, unnest(ps) AS part, generate_subscripts(ps, 1) AS pi FROM (SELECT doc, gi, string_split(grp, ',') AS ps FROM g)),
+r AS (SELECT doc, gi, pi, CAST(regexp_extract(trim(part), '^(\\d+)', 1) AS BIGINT) AS a, CAST(regexp_extract(trim(part), '(\\d+)$', 1) AS BIGINT) AS b FROM p),
+n AS (SELECT doc, gi, pi, unnest(range(a, b + 1)) AS number FROM r WHERE b >= a), k AS (SELECT *, row_number() OVER (PARTITION BY doc, gi ORDER BY pi, number) AS place FROM n)
+SELECT DISTINCT doc, number FROM k WHERE place <= 24""")
 def citation_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbers in square brackets, ranges expanded (24 at most); footnotes and indexed names are none."""
-    text = F.regexp_replace("text", r"[A-Za-z0-9_]\[[^\]]*\]", "")
-    groups = F.regexp_extract_all(text, F.lit(r"\[(\d+(?:\s*[,;–-]\s*\d+)*)\]"), 1)
-    parts = spark.createDataFrame(CITED, "doc long, text string").select("doc", F.explode(groups).alias("g")).select("doc", F.explode(F.split("g", r"\s*[,;]\s*")).alias("p"))
-    ends = parts.select("doc", F.regexp_extract("p", r"^(\d+)", 1).cast("long").alias("a"), F.regexp_extract("p", r"(\d+)$", 1).cast("long").alias("b")).where("b >= a")
-    return ends.select("doc", F.explode(F.expr("sequence(a, least(b, a + 23))")).alias("number")).distinct()
+    """Numbers in square brackets, ranges expanded, 24 for each pair of brackets at most; code, footnotes and indexed names are none."""
+    docs = spark.sql(_CITED.format("{d}"), d=table(spark, sf, "documents"))
+    plain = F.regexp_replace(F.regexp_replace("text", r"(?s)```.*?```|`[^`]*`", " "), r"[A-Za-z0-9_)\]^]\[[^\]]*\]", "")
+    groups = docs.select("doc", F.posexplode(F.regexp_extract_all(plain, F.lit(r"\[(\d{1,3}(?:\s*[,–—-]\s*\d{1,3})*)\]"), 1)).alias("gi", "g"))
+    parts = groups.select("doc", "gi", F.posexplode(F.split("g", ",")).alias("pi", "part"))
+    ends = parts.select("doc", "gi", "pi", F.regexp_extract(F.trim("part"), r"^(\d+)", 1).cast("long").alias("a"), F.regexp_extract(F.trim("part"), r"(\d+)$", 1).cast("long").alias("b")).where("b >= a")
+    numbers = ends.select("doc", "gi", "pi", F.explode(F.sequence("a", "b")).alias("number"))
+    place = F.row_number().over(Window.partitionBy("doc", "gi").orderBy("pi", "number"))
+    return numbers.withColumn("place", place).where("place <= 24").select("doc", "number").distinct()
 
 
 #: How a question asks for the list of references, how "references" is a verb, and other scripts.

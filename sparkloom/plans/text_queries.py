@@ -115,17 +115,14 @@ def text_quality_score(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.round(T.text_quality(F.col("text")), 6).alias("quality"))
 
 
-#: Small notes with links, for operators whose marks the tables lack.
-NOTES = [
-    (1, "notes/RRF-rank_fusion.md", "# Rank fusion\nSee ![[plot.png]] and ![a](img/b.svg) and [[Home#Top|top]].\n%%hidden%%\n## Details\n[[#Rank fusion|above]] [[Vector search]]"),
-    (2, "notes/home page.md", "No heading here. ==> picture [640 x 480] intentionally omitted <== [[RRF-rank_fusion]] [[Missing]]"),
-    (3, "Vector search.md", "Intro\n# Vector search\n![x](img/b.svg) ![[plot.png|200]] [[home page]] [[home page|again]]"),
-]
-_NOTES_SQL = "(VALUES " + ", ".join("({}, '{}', '{}')".format(i, p, t.replace("\n", "' || chr(10) || '")) for i, p, t in NOTES) + ") AS notes(note_id, path, text)"
+#: Documents with the links and marks of notes after their words.
+_NOTES = """SELECT doc_id AS note_id, concat(text, ' See ![[plot', doc_id % 7, '.png', CASE WHEN doc_id % 2 = 0 THEN '|200' ELSE '' END, ']] and ![a](img/', doc_id % 3, '.svg) ![x](img/1.svg) [[Home#Top|top]] [[#Rank fusion|above]] [[#Below]] [[', source, ']] [[Home]]',
+  CASE WHEN doc_id % 5 = 0 THEN concat(' picture [', doc_id, ' x 480] intentionally omitted') WHEN doc_id % 7 = 0 THEN ' Picture intentionally omitted' ELSE '' END) AS text FROM {}"""
+_NOTES_SQL = "(" + _NOTES.format("documents") + ")"
 
 
-def notes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NOTES, "note_id int, path string, text string")
+def notes(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(_NOTES.format("{d}"), d=table(spark, sf, "documents"))
 
 
 @query("note_links", f"""
@@ -138,7 +135,7 @@ FROM (SELECT note_id, text, list_concat(regexp_extract_all(text, '!\\[\\[([^\\]|
   list_transform(regexp_extract_all(text, '\\[\\[([^\\]|#]+)', 1), lambda x: trim(x)) AS wl FROM {_NOTES_SQL}))""")
 def note_links(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return notes(spark).select("note_id", F.array_join(T.image_links(t), ",").alias("images"), T.plain_links(t).alias("plain"), F.array_join(T.wikilinks(t), ",").alias("links"))
+    return notes(spark, sf).select("note_id", F.array_join(T.image_links(t), ",").alias("images"), T.plain_links(t).alias("plain"), F.array_join(T.wikilinks(t), ",").alias("links"))
 
 
 @query("lost_pictures", f"""
@@ -147,7 +144,7 @@ SELECT note_id, regexp_extract(text, '(?i)picture(?: \\[(\\d+) ?x ?(\\d+)\\])? i
   TRY_CAST(regexp_extract(text, '(?i)picture(?: \\[(\\d+) ?x ?(\\d+)\\])? intentionally omitted', 2) AS INT) AS height FROM {_NOTES_SQL}""")
 def lost_pictures(spark: SparkSession, sf: str) -> DataFrame:
     found = T.lost_picture(F.col("text"))
-    return notes(spark).select("note_id", found.isNotNull().alias("lost"), found["width"].alias("width"), found["height"].alias("height"))
+    return notes(spark, sf).select("note_id", found.isNotNull().alias("lost"), found["width"].alias("width"), found["height"].alias("height"))
 
 
 @query("span_hydration", f"""
