@@ -27,7 +27,7 @@ LIST_ROWS, FIT_EACH = 256, 40
 #: The share of true neighbours whose lists a query should look into, vectors of the sample that this is measured on, and what is added to it.
 COVERED, MEASURED, SPARE = 0.97, 400, 1.1
 SUBSPACES, CODES = 16, 256
-#: Candidates of a query that are measured exactly, for each of its k neighbours, and times that number that all its lists give together (each list k at least); ties of the last one count too.
+#: Candidates of a query that are measured exactly, for each of its k neighbours, and times that number that all its lists give together (each list k at least). Equal estimates go by the smaller id, so copies of one vector, however many, give the few that can be among the nearest.
 RERANKED, GIVEN = 40, 3
 #: Vectors (as codes) and queries that meet in one task's group: larger lists and query sets are dealt out in blocks.
 BLOCK_ROWS, BLOCK_QUERIES = 65_536, 8192
@@ -158,8 +158,8 @@ def neighbours(df: DataFrame, is_query: Callable[[F.Column], F.Column], k: int =
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                near, codes = shared.value.code(matrix(b.column(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near), pa.array([c.tobytes() for c in codes], pa.binary())], ["row", "list", "code"])
+                near, codes = shared.value.code(matrix(b.column(2)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near), pa.array([c.tobytes() for c in codes], pa.binary())], ["row", "id", "list", "code"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value.centroids
@@ -170,7 +170,7 @@ def neighbours(df: DataFrame, is_query: Callable[[F.Column], F.Column], k: int =
                 best = np.argsort(d, axis=1, kind="stable")[:, :probed]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best.tolist(), pa.list_(pa.int64()))], ["row", "v", "lists"])
 
-    coded = work.put(rows.select("row", "v").mapInArrow(code, "row long, list long, code binary"), "index")
+    coded = work.put(rows.select("row", "id", "v").mapInArrow(code, "row long, id long, list long, code binary"), "index")
     blocks = F.ceil(F.col("count") / BLOCK_ROWS).cast("int")
     sizes = F.broadcast(coded.groupBy("list").count().select("list", blocks.alias("blocks")))  # one row for each list, of which FIT_ROWS bounds the number
     queries = rows.where(is_query(F.col("id")))
@@ -178,26 +178,28 @@ def neighbours(df: DataFrame, is_query: Callable[[F.Column], F.Column], k: int =
     asked = queries.select("row", "v").mapInArrow(probe, "row long, v array<double>, lists array<long>").select("row", "v", F.explode("lists").alias("list")).join(sizes, "list")
     asked = asked.select("row", "v", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int").alias("slice"))
     # Codes alone, of some bytes each, are copied for each slice of the queries; vectors stay where they are.
-    held = coded.join(sizes, "list").select("row", "code", "list", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    held = coded.join(sizes, "list").select("row", "id", "code", "list", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         """The rows of a list that look nearest to each query that looks into it, and estimates."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
             ix, of = shared.value, left.column("list")[0].as_py()
-            ids = right.column("row").to_numpy()
+            rows_, ids = right.column("row").to_numpy(), right.column("id").to_numpy()
             codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
             for q, x in zip(left.column("row").to_pylist(), matrix(left.column("v").combine_chunks())):
                 d = ix.estimates(x, of, codes)
                 near = np.flatnonzero(d <= np.partition(d, from_list)[from_list]) if len(d) > from_list + 1 else np.arange(len(d))
-                near = near[ids[near] != q]
-                out.append((np.full(len(near), q), ids[near], d[near]))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query": pa.array(cols[0], pa.int64()), "row": pa.array(cols[1], pa.int64()), "estimate": pa.array(cols[2], pa.float64())})
+                near = near[rows_[near] != q]
+                near = near[np.lexsort((rows_[near], ids[near], d[near]))[:from_list]]
+                out.append((np.full(len(near), q), rows_[near], ids[near], d[near]))
+        none = np.zeros(0, np.int64)
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [none, none, none, np.zeros(0)]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query", "row", "id", "estimate"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))})
 
     keys = ["list", "block", "slice"]
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, "query long, row long, estimate double")
-    shortlist = found.withColumn("place", F.rank().over(Window.partitionBy("query").orderBy("estimate"))).where(F.col("place") <= reranked)
+    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, "query long, row long, id long, estimate double")
+    shortlist = found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("estimate", "id", "row"))).where(F.col("place") <= reranked).select("query", "row")
     vectors = rows.select("row", "id", "v")
     asking = queries.select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("q"))
     pairs = shortlist.join(vectors, "row").join(asking, "query")

@@ -333,6 +333,16 @@ def test_lists_needed_are_few_where_vectors_lie_in_clusters():
     assert ann.lists_needed(sample, index, 10) <= 6
 
 
+def test_many_copies_of_a_vector(spark):
+    rng = np.random.default_rng(2)
+    x = np.where(np.arange(900)[:, None] % 3 > 0, rng.normal(size=(900, 8)), np.ones(8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.neighbours(df, lambda c: c % 100 == 0).toPandas()
+    for q in range(0, 900, 300):  # copies: the smallest other ids, all at distance 0
+        g = got[got["query_id"] == q].sort_values("rank")
+        assert g["vec_id"].tolist() == [i for i in range(0, 36, 3) if i != q][:10] and (g["score"] == 0).all()
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (200, [0.0, 0.0]), (1, [0.0, 1.0]), (9, [])]
