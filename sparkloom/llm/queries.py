@@ -11,6 +11,7 @@ from sparkloom.llm.bpe import op3_bpe
 from sparkloom.llm.decontaminate import op2_decontamination
 from sparkloom.llm.licenses import op10_licenses
 from sparkloom.llm.lm import op9_lm_scores
+from sparkloom.llm.ranked import RANKED_SQL, op11_ranked
 from sparkloom.llm.rolling import ROLLING_SQL, op12_rolling
 from sparkloom.llm.sharding import op1_sharding
 from sparkloom.llm.simhash import op8_simhash
@@ -29,7 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_lm_scores": op9_lm_scores,
     "op10_licenses": op10_licenses,
+    "op11_ranked": op11_ranked,
     "op12_rolling": op12_rolling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op12_rolling": ROLLING_SQL.strip()}
+ORACLE_SQL: dict[str, str] = {"op11_ranked": RANKED_SQL.strip(), "op12_rolling": ROLLING_SQL.strip()}
