@@ -18,6 +18,7 @@ from sparkloom.llm.simhash import op8_simhash
 from sparkloom.llm.suffixes import op6_suffixes
 from sparkloom.llm.tokens import op4_token_output
 from sparkloom.llm.toxicity import op7_toxicity
+from sparkloom.llm.urls import URLS_SQL, op13_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
     "op11_ranked": op11_ranked,
     "op12_rolling": op12_rolling,
+    "op13_urls": op13_urls,
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_ranked": RANKED_SQL.strip(), "op12_rolling": ROLLING_SQL.strip()}
+ORACLE_SQL: dict[str, str] = {"op11_ranked": RANKED_SQL.strip(), "op12_rolling": ROLLING_SQL.strip(), "op13_urls": URLS_SQL.strip()}
