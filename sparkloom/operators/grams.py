@@ -1,9 +1,11 @@
-"""Substring search in any script: postings of three-character grams with their places.
+"""Substring search in any script: segments of three-character grams with their places.
 
 A gram is three code points in one number, the text's end padded, so that every
-character starts a gram. A phrase is found from its rarest gram; grams that cover
-all its characters, at the same distance from the start, make it exact. Texts are
-not read again.
+character starts a gram. Texts are cut into segments as they are read; a segment
+keeps for each gram its places in all its texts, which are laid end to end. A
+phrase is found from the gram that is rarest in the segment; grams that cover all
+its characters, at the same distance from the start, make it exact. Texts are not
+read again, and nothing is shuffled to build the index.
 """
 
 from __future__ import annotations
@@ -13,22 +15,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.index import checked
 from sparkloom.storage import Workspace
 
 #: Bits of a code point, and what stands after the end: no character.
 BITS, END = 21, 0x110000
+#: Characters and texts of a segment (one text is never cut), and characters of phrases that are asked for together.
+SEGMENT_CHARS, SEGMENT_DOCS, BLOCK_CHARS = 1 << 22, 1 << 16, 2_000_000
+SCHEMA = "segment string, gram long, steps array<int>, ids array<long>, starts array<long>"
+#: The gram of the row that holds a segment's ids and starts.
+DOCS = -1
 
 
 @dataclass
 class Grams:
-    """postings (gram, doc_id, places), in order of the gram in each file, and counts (gram, n: its places in all texts)."""
+    """segment, gram and the steps from place to place; one row of each segment has the ids and starts of its texts."""
 
-    postings: DataFrame
-    counts: DataFrame
+    segments: DataFrame
     fold: bool
 
 
@@ -43,73 +49,122 @@ def grams_of(c: np.ndarray) -> np.ndarray:
     return c[:-2] << 2 * BITS | c[1:-1] << BITS | c[2:]
 
 
+def segment_rows(name: str, ids: list[int], grams: list[np.ndarray]) -> pa.RecordBatch:
+    starts = np.cumsum([0] + [len(g) for g in grams])
+    g = np.concatenate(grams)
+    place = np.argsort(g, kind="stable")
+    g = g[place]
+    first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    steps = np.diff(place, prepend=0)
+    steps[first] = place[first]
+    ends = np.append(first, len(g))
+    n = len(first)
+    rows = pa.ListArray.from_arrays(pa.array(np.append(ends, len(g)).astype(np.int32)), pa.array(steps.astype(np.int32)))
+    only_last = lambda values: pa.array([None] * n + [values], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([name] * (n + 1)), pa.array(np.append(g[first], DOCS)), rows, only_last(ids), only_last(starts)], ["segment", "gram", "steps", "ids", "starts"])
+
+
 def build_grams(docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text: str = "text", fold: bool = True) -> Grams:
     """Write the index of ``docs``; with ``fold``, case doesn't count. Null and empty texts hold nothing, rows without an id are left out."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        grams: list[np.ndarray] = []
+        size = n = 0
         for b in batches:
             for doc, t in zip(b.column(0), b.column(1)):
                 g = grams_of(codes(t.as_py(), fold))
-                if len(g):
-                    o = np.argsort(g, kind="stable")
-                    first = np.flatnonzero(np.append(True, g[o][1:] != g[o][:-1]))
-                    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(g)).astype(np.int32)), pa.array(o.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array(g[o][first]), pa.array(np.full(len(first), doc.as_py())), places], ["gram", "doc_id", "places"])
+                if ids and (size + len(g) > SEGMENT_CHARS or len(ids) == SEGMENT_DOCS):
+                    yield segment_rows(f"{TaskContext.get().partitionId()}-{n}", ids, grams)
+                    ids, grams, size, n = [], [], 0, n + 1
+                ids.append(doc.as_py())
+                grams.append(g)
+                size += len(g)
+        if ids:
+            yield segment_rows(f"{TaskContext.get().partitionId()}-{n}", ids, grams)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text <> ''")
-    found = rows.mapInArrow(read, "gram long, doc_id long, places array<int>")
-    # By gram and a part of the document, so that a frequent gram fills no partition alone.
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(16))
-    postings = work.put(found.repartition("gram", part).sortWithinPartitions("gram", "doc_id"), "grams")
-    return Grams(postings, work.put(postings.groupBy("gram").agg(F.sum(F.size("places")).alias("n")), "gram-counts"), fold)
-
+    return Grams(work.put(rows.mapInArrow(read, SCHEMA), "grams"), fold)
 
-def asked_grams(phrases: DataFrame, fold: bool) -> DataFrame:
-    """query_id, gram, offset, cover (whether it is one of those that cover the phrase), size of every gram in phrases (query_id, phrase).
 
-    Phrases under three characters have one row, with their characters in place of a gram.
-    """
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for query, phrase in zip(b.column(0), b.column(1)):
-                c = codes(phrase.as_py(), fold)
-                n = len(c)
-                if n >= 3:
-                    g, offset = grams_of(c)[: n - 2], np.arange(n - 2)
-                    cover = (offset % 3 == 0) | (offset == n - 3)
-                else:
-                    g, offset, cover = np.array([c[0] if n == 1 else c[0] << BITS | c[1]]), np.array([0]), np.array([True])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), query.as_py())), pa.array(g), pa.array(offset.astype(np.int32)), pa.array(cover), pa.array(np.full(len(g), n, np.int32))], ["query_id", "gram", "offset", "cover", "size"])
-
-    rows = phrases.select(F.col("query_id").cast("long").alias("query_id"), F.col("phrase").cast("string").alias("phrase")).where("query_id is not null and phrase <> ''")
-    return rows.mapInArrow(read, "query_id long, gram long, offset int, cover boolean, size int")
-
-
-def holding(index: Grams, phrases: DataFrame, work: Workspace) -> DataFrame:
+@dataclass
+class Phrase:
+    query: int
+    size: int
+    grams: list[int]
+    offsets: list[int]
+
+    @classmethod
+    def of(cls, query: int, phrase: str, fold: bool) -> Phrase:
+        """All the grams that cover the phrase; of one under three characters, its characters."""
+        c = codes(phrase, fold)
+        n = len(c)
+        if n < 3:
+            return cls(query, n, [int(c[0] if n == 1 else c[0] << BITS | c[1])], [0])
+        at = [*range(0, n - 3, 3), n - 3]
+        return cls(query, n, grams_of(c)[at].tolist(), at)
+
+    def starts(self, places: dict[int, np.ndarray]) -> np.ndarray:
+        """Where the phrase begins, among the places of a segment's grams."""
+        if self.size < 3:
+            some = [p for g, p in places.items() if g >> BITS * (3 - self.size) == self.grams[0]]
+            return np.sort(np.concatenate(some)) if some else np.zeros(0, np.int64)
+        if any(g not in places for g in self.grams):
+            return np.zeros(0, np.int64)
+        rarest, *rest = sorted(zip(self.grams, self.offsets), key=lambda x: len(places[x[0]]))
+        start = places[rarest[0]] - rarest[1]
+        for g, offset in rest:
+            p = places[g]
+            k = np.minimum(np.searchsorted(p, start + offset), len(p) - 1)
+            start = start[p[k] == start + offset]
+            if not len(start):
+                break
+        return start
+
+
+def holding(index: Grams, phrases: DataFrame) -> DataFrame:
     """query_id, doc_id, places (how often, overlaps too) and first (the first place, from 0) of documents that hold a phrase (query_id, phrase).
 
-    Each query_id has one phrase; an empty or null one is held by nothing.
+    An empty or null phrase is held by nothing. Rows of one doc_id count
+    together. Phrases go in blocks of about BLOCK_CHARS characters, each a pass
+    over the index.
     """
-    asked = work.put(asked_grams(phrases, index.fold), "asked-grams")
-    # Shorter phrases are the beginning of a gram.
-    short = None
-    for size in (1, 2):
-        key = F.shiftright("gram", BITS * (3 - size))
-        some = asked.where(F.col("size") == size).select("query_id", F.col("gram").alias("start"))
-        hits = index.postings.withColumn("start", key).join(checked(some), "start").select("query_id", "doc_id", F.explode("places").alias("start"))
-        short = hits if short is None else short.unionByName(hits)
-    known = asked.where("size > 2").join(index.counts, "gram", "left")
-    # A query with a gram that no text has is held by nothing.
-    whole = known.groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "gram")).alias("r")).where("r.n > 0")
-    needed = known.join(checked(whole.select("query_id", F.col("r.offset").alias("rarest"))), "query_id").where("cover or offset = rarest")
-    needed = work.put(needed.select("query_id", "gram", "offset", F.expr("offset = rarest").alias("rarest")), "needed-grams")
-    near = index.postings.join(checked(needed.where("rarest")), "gram").select("query_id", "doc_id", "offset", F.explode("places").alias("place"))
-    near = work.put(near.select("query_id", "doc_id", (F.col("place") - F.col("offset")).alias("start")), "near")
-    # The other grams are asked for only where the rarest stands.
-    tests = near.join(checked(needed.where("not rarest").select("query_id", "gram", "offset")), "query_id")
-    held = index.postings.join(checked(tests), ["gram", "doc_id"]).where(F.array_contains("places", F.col("start") + F.col("offset")))
-    found = near.select("query_id", "doc_id", "start").unionByName(held.select("query_id", "doc_id", "start")).groupBy("query_id", "doc_id", "start").agg(F.count(F.lit(1)).alias("n"))
-    sizes = needed.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    exact = found.join(checked(sizes), ["query_id", "n"]).select("query_id", "doc_id", "start").unionByName(short)
-    return exact.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("places"), F.min("start").cast("long").alias("first"))
+    spark = phrases.sparkSession
+    asked = phrases.select(F.col("query_id").cast("long").alias("query_id"), F.col("phrase").cast("string").alias("phrase")).where("query_id is not null and phrase <> ''").distinct()
+    blocks = max(1, -(-(asked.agg(F.sum(F.length("phrase")).alias("n")).first()["n"] or 0) // BLOCK_CHARS))
+    out = spark.createDataFrame([], "query_id long, doc_id long, places long, first long")
+    for b in range(blocks):
+        block = [Phrase.of(r["query_id"], r["phrase"], index.fold) for r in asked.where(F.pmod(F.xxhash64("query_id", "phrase"), F.lit(blocks)) == b).collect()]
+        out = out.unionByName(held_block(index, block))
+    return out.groupBy("query_id", "doc_id").agg(F.sum("places").alias("places"), F.min("first").alias("first"))
+
+
+def held_block(index: Grams, block: list[Phrase]) -> DataFrame:
+    spark = index.segments.sparkSession
+    shared = spark.sparkContext.broadcast(block)
+    # A block is bounded, and so are its grams.
+    rows = None
+    for size in (3, 1, 2):
+        wanted = {g for p in block if min(p.size, 3) == size for g in p.grams} | ({DOCS} if size == 3 else set())
+        if not wanted:
+            continue
+        keys = spark.createDataFrame([(g,) for g in sorted(wanted)], "key long")
+        some = index.segments.withColumn("key", F.shiftright("gram", BITS * (3 - size))).join(F.broadcast(keys), "key").drop("key")
+        rows = some if rows is None else rows.unionByName(some)
+
+    def search(group: pa.Table) -> pa.Table:
+        grams, steps = group.column("gram").to_numpy(), group.column("steps").combine_chunks()
+        places = {int(g): np.cumsum(steps[i].values.to_numpy()) for i, g in enumerate(grams) if g != DOCS}
+        row = int(np.flatnonzero(grams == DOCS)[0])
+        ids, starts = (np.asarray(group.column(c)[row].as_py()) for c in ("ids", "starts"))
+        found: list[np.ndarray] = []
+        for p in shared.value:
+            start = p.starts(places)
+            if len(start):
+                doc = np.searchsorted(starts, start, "right") - 1
+                of, first, n = np.unique(doc, return_index=True, return_counts=True)
+                found.append(np.stack([np.full(len(of), p.query), ids[of], n, start[first] - starts[of]]))
+        cols = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        return pa.table([pa.array(c.astype(np.int64)) for c in cols], names=["query_id", "doc_id", "places", "first"])
+
+    return rows.groupBy("segment").applyInArrow(search, "query_id long, doc_id long, places long, first long")

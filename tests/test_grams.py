@@ -22,7 +22,7 @@ def test_phrases_are_found_as_python_finds_them(spark):
     q = spark.createDataFrame([(*r, 1) for r in phrases], "query_id long, phrase string, size int")
     for fold in (True, False):
         same = str.lower if fold else str
-        got = {(r["query_id"], r["doc_id"]): (r["places"], r["first"]) for r in grams.holding(grams.build_grams(d, Workspace(spark, "g"), fold=fold), q, Workspace(spark, "q")).collect()}
+        got = {(r["query_id"], r["doc_id"]): (r["places"], r["first"]) for r in grams.holding(grams.build_grams(d, Workspace(spark, "g"), fold=fold), q).collect()}
         want = {(i, j): (len(p), p[0]) for i, phrase in phrases if phrase for j, t in docs if t for p in [places(same(t), same(phrase))] if p}
         assert got == want
 
@@ -31,6 +31,6 @@ def test_grams_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     q = spark.createDataFrame([(1, "abc"), (2, "a")], "query_id long, phrase string")
     work = Workspace(spark, "g")
-    assert grams.holding(grams.build_grams(none, work), q, work).count() == 0
+    assert grams.holding(grams.build_grams(none, work), q).count() == 0
     some = grams.build_grams(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), work)
-    assert grams.holding(some, q.limit(0), work).count() == 0
+    assert grams.holding(some, q.limit(0)).count() == 0
