@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import vault
 from sparkloom.operators import grams
 from sparkloom.operators.changes import LiveGraph
+from sparkloom.operators.peers import Replica, Table
 from sparkloom.operators.publishing import Publisher
 from sparkloom.operators.segments import SegmentedIndex
 from sparkloom.plans.knowledge_queries import PART
@@ -56,7 +57,7 @@ def gram_search(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold a piece of a test item, cut without regard to words, and its first place there."""
     work = Workspace(spark, "grams")
     phrases = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.expr("substring(text, 4, 12 + int(item_id % 12))").alias("phrase"))
-    return grams.holding(grams.build_grams(table(spark, sf, "documents"), work), phrases, work).select("query_id", "doc_id", "first")
+    return grams.holding(grams.build_grams(table(spark, sf, "documents"), work), phrases).select("query_id", "doc_id", "first")
 
 
 _SPREAD = "{0}{2} AS MATERIALIZED (SELECT l.node, least(l.label, coalesce(m.label, l.label), coalesce(j.label, l.label)) AS label FROM {0}{1} l LEFT JOIN (SELECT b AS node, min(label) AS label FROM {0}_both JOIN {0}{1} ON node = a GROUP BY b) m ON m.node = l.node LEFT JOIN {0}{1} j ON j.node = l.label)"
@@ -141,3 +142,42 @@ def authored_links(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").where("source is not null and lang is not null")
     note = F.expr(_NOTE.format(id="cast(doc_id as string)"))
     return vault.authored_links(d.select("doc_id", note.alias("note")), "doc_id", "note").select("doc_id", "kind", "target")
+
+
+PEERS = ["crm", "partner", "store", "web"]
+PEER_TABLES = [
+    Table("clients", "client_id long, master_id long, source string, updated_at timestamp_ntz", "client_id", ["master_id"], "updated_at"),
+    Table("sales", "sale_id long, client_id long, sold_at timestamp_ntz", "sale_id", ["sale_id"], "sold_at", {"client_id": "clients"}),
+    Table("lines", "line string, sale_id long, line_no long, shipped_at timestamp_ntz", "line", ["sale_id", "line_no"], "shipped_at", {"sale_id": "sales"}),
+]
+
+
+@query("peer_import", """WITH winner AS (SELECT * FROM clients WHERE master_id IS NOT NULL AND client_id IS NOT NULL AND source IN ('crm', 'partner', 'store', 'web') QUALIFY row_number() OVER (PARTITION BY master_id ORDER BY updated_at DESC NULLS LAST, source DESC, CAST(client_id AS VARCHAR) DESC) = 1),
+own AS (SELECT client_id, source, min(master_id) AS master_id FROM clients WHERE master_id IS NOT NULL AND source IN ('crm', 'partner', 'store', 'web') GROUP BY client_id, source),
+gone AS (SELECT master_id, max(valid_at) AS deleted_at FROM client_changes x JOIN own USING (client_id, source) WHERE op = 'D' AND valid_at IS NOT NULL GROUP BY master_id),
+live AS (SELECT w.master_id, w.source FROM winner w LEFT JOIN gone g ON g.master_id = w.master_id WHERE g.master_id IS NULL OR w.updated_at > g.deleted_at),
+s AS (SELECT sale_id, arg_max(master_id, (sold_at, source)) AS master_id FROM sales JOIN own USING (client_id) WHERE sale_id IS NOT NULL GROUP BY sale_id),
+l AS (SELECT DISTINCT sale_id, line_no FROM sale_lines WHERE sale_id IN (SELECT sale_id FROM s) AND line_no IS NOT NULL)
+SELECT live.master_id, live.source, CAST(count(DISTINCT s.sale_id) AS BIGINT) AS sales, CAST(count(l.line_no) AS BIGINT) AS lines FROM live LEFT JOIN s ON s.master_id = live.master_id LEFT JOIN l ON l.sale_id = s.sale_id GROUP BY live.master_id, live.source""")
+def peer_import(spark: SparkSession, sf: str) -> DataFrame:
+    """What a replica holds after the exports of four sources, one of them twice, children before parents: living clients with their sales and lines."""
+    clients, sales, lines = (table(spark, sf, t) for t in ("clients", "sales", "sale_lines"))
+    owner = clients.select("client_id", F.col("source").alias("peer"))
+    sold = sales.join(owner, "client_id").select("peer", "sale_id", "client_id", "sold_at")
+    shipped = lines.join(sold.select("peer", "sale_id"), "sale_id").select("peer", F.concat_ws("-", "sale_id", "line_no", "item_id", "vendor_id").alias("line"), "sale_id", F.col("line_no").cast("long").alias("line_no"), "shipped_at")
+    gone = table(spark, sf, "client_changes").where("op = 'D'").select(F.col("source").alias("peer"), F.col("client_id").alias("local"), F.col("valid_at").alias("deleted_at"))
+    replica = Replica(spark, folder(spark, "replica"), PEER_TABLES)
+    own = lambda df, peer: df.where(F.col("peer") == peer).drop("peer")
+    for peer in PEERS:
+        children, parents = {"sales": own(sold, peer), "lines": own(shipped, peer)}, {"clients": clients.where(F.col("source") == peer)}
+        if peer == PEERS[0]:
+            replica.pull(peer, "children", children, {})
+            replica.pull(peer, "parents", parents, {"clients": own(gone, peer)})
+            replica.pull(peer, "children", children, {})
+        else:
+            replica.pull(peer, "all", children | parents, {"clients": own(gone, peer)})
+    held = replica.table("sales").select(F.col("client_id").alias("id"), F.col("id").alias("sale"))
+    of_sale = replica.table("lines").groupBy(F.col("sale_id").alias("sale")).agg(F.count(F.lit(1)).alias("lines"))
+    sums = held.join(of_sale, "sale", "left").groupBy("id").agg(F.count(F.lit(1)).alias("sales"), F.sum("lines").alias("lines"))
+    zero = F.lit(0).cast("long")
+    return replica.table("clients").join(sums, "id", "left").select("master_id", "source", F.coalesce("sales", zero).alias("sales"), F.coalesce("lines", zero).alias("lines"))
