@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import vault
+from sparkloom.functions.json_text import tolerant_json
 from sparkloom.operators import grams
 from sparkloom.operators.changes import LiveGraph
+from sparkloom.operators.expansion import expanded
 from sparkloom.operators.peers import Replica, Table
 from sparkloom.operators.publishing import Publisher
 from sparkloom.operators.segments import SegmentedIndex
-from sparkloom.plans.knowledge_queries import PART
+from sparkloom.plans.knowledge_queries import EDGES, PART, relations
 from sparkloom.plans.tables import table
 from sparkloom.registry import query
 from sparkloom.storage import Workspace
@@ -181,3 +183,34 @@ def peer_import(spark: SparkSession, sf: str) -> DataFrame:
     sums = held.join(of_sale, "sale", "left").groupBy("id").agg(F.count(F.lit(1)).alias("sales"), F.sum("lines").alias("lines"))
     zero = F.lit(0).cast("long")
     return replica.table("clients").join(sums, "id", "left").select("master_id", "source", F.coalesce("sales", zero).alias("sales"), F.coalesce("lines", zero).alias("lines"))
+
+
+BUDGET = 8
+_LEVEL = """looks{1} AS MATERIALIZED (SELECT query, "to", kind, path, t FROM (SELECT f.query, w."to", w.kind, f.path, row_number() OVER (PARTITION BY f.query ORDER BY f.step, w.way) + u.used AS t FROM level{0} f JOIN ways w ON w.node = f.node JOIN used{0} u ON u.query = f.query) WHERE t <= {2}),
+level{1} AS MATERIALIZED (SELECT query, "to" AS node, min(t) AS step, arg_min(path, t) || ',' || "to" AS path FROM looks{1} WHERE (query, "to") NOT IN (SELECT (query, node) FROM seen{0}) GROUP BY query, "to"),
+seen{1} AS MATERIALIZED (SELECT query, node FROM seen{0} UNION ALL SELECT query, node FROM level{1}), used{1} AS MATERIALIZED (SELECT query, max(t) AS used FROM looks{1} GROUP BY query)"""
+
+
+@query("bounded_expansion", f"""WITH {EDGES}, b AS (SELECT src AS node, dst AS "to", edge_id AS kind, confidence FROM e WHERE confidence >= 0.7 UNION ALL SELECT dst, src, edge_id, confidence FROM e WHERE confidence >= 0.7),
+ways AS MATERIALIZED (SELECT node, "to", kind, row_number() OVER (PARTITION BY node ORDER BY confidence DESC, "to", kind) AS way FROM b QUALIFY way <= {BUDGET}),
+level0 AS MATERIALIZED (SELECT s_nationkey AS query, s_suppkey AS node, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS step, CAST(s_suppkey AS VARCHAR) AS path FROM supplier UNION ALL SELECT 1000 + s_suppkey, s_suppkey, 1, CAST(s_suppkey AS VARCHAR) FROM supplier),
+seen0 AS (SELECT query, node FROM level0), used0 AS (SELECT DISTINCT query, 0 AS used FROM level0), {', '.join(_LEVEL.format(i, i + 1, BUDGET) for i in range(BUDGET))}
+{' UNION ALL '.join(f'SELECT query, node, CAST(step AS BIGINT) AS step, path FROM level{i + 1}' for i in range(BUDGET))}""")
+def bounded_expansion(spark: SparkSession, sf: str) -> DataFrame:
+    """What each nation's suppliers together, and each supplier alone, lead to over eight confident relations, with the path."""
+    edges = relations(spark, sf).select("src", "dst", F.col("edge_id").alias("kind"), "confidence")
+    s = table(spark, sf, "supplier")
+    seeds = s.select(F.col("s_nationkey").cast("long").alias("query"), F.col("s_suppkey").alias("node")).unionByName(s.select((1000 + F.col("s_suppkey")).alias("query"), F.col("s_suppkey").alias("node")))
+    return expanded(edges, seeds, Workspace(spark, "expansion"), BUDGET, 0.7).select("query", "node", "step", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
+@query("tolerant_json", """WITH p AS (SELECT click_id, CASE WHEN json_valid(props) THEN props ELSE props || '}' END AS j FROM clicks WHERE props IS NOT NULL)
+SELECT click_id, CAST(j ->> '$.k' AS BIGINT) AS k, j ->> '$.device.os' AS os, CAST(json_array_length(j, '$.items') AS BIGINT) AS items FROM p""")
+def tolerant_json_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Properties of clicks, some cut off, in turn as they are, fenced in prose, and with commas too many and a comment."""
+    c = table(spark, sf, "clicks").where("props is not null")
+    raw = F.when(F.col("click_id") % 3 == 0, F.col("props")).when(F.col("click_id") % 3 == 1, F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n``` and that is all")))
+    raw = raw.otherwise(F.concat(F.regexp_replace("props", r"([}\]])", ",$1"), F.lit(" // the end")))
+    v = c.select("click_id", tolerant_json(raw).alias("v"))
+    get = lambda path, kind: F.expr(f"try_variant_get(v, '$.{path}', '{kind}')")
+    return v.select("click_id", get("k", "long").alias("k"), get("device.os", "string").alias("os"), F.size(get("items", "array<variant>")).cast("long").alias("items"))
