@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom import registry
-from sparkloom.plans import index_queries, knowledge_queries, lifecycle_queries, page_queries, search_queries, store_queries, text_queries  # noqa: F401  they register their queries
+from sparkloom.plans import index_queries, knowledge_queries, lifecycle_queries, note_queries, page_queries, search_queries, store_queries, text_queries  # noqa: F401  they register their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

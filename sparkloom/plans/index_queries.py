@@ -135,7 +135,7 @@ _NOTE = """concat('---\ntags: [', lang, ', 2024]\nup: "[[', source, '#top|up]]"\
 _LAST = r"regexp_replace(concat(coalesce(text, ''), chr(10), '[[', source, '-end]]'), '(?s)%%.*?(%%|\z)', '', 'g')"
 
 
-@query("authored_links", f"""WITH d AS (SELECT * FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL), tags AS (SELECT doc_id, unnest(regexp_extract_all({_LAST}, '(?:^|[^\p{{L}}\p{{N}}_/#&])#([\p{{L}}\p{{N}}_/-]+)', 1)) AS tag FROM d)
+@query("authored_links", f"""WITH d AS (SELECT * FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL), tags AS (SELECT doc_id, unnest(regexp_extract_all({_LAST}, '(?:^|[^\\p{{L}}\\p{{N}}_/#&])#([\\p{{L}}\\p{{N}}_/-]+)', 1)) AS tag FROM d)
 SELECT doc_id, 'tag' AS kind, lang AS target FROM d UNION ALL SELECT doc_id, 'property', source FROM d UNION ALL SELECT doc_id, 'wikilink', source FROM d UNION ALL SELECT doc_id, 'embed', lang || '.png' FROM d
 UNION ALL SELECT doc_id, 'link', source || '/' || doc_id || '.md' FROM d UNION ALL SELECT doc_id, 'external', 'https://example.org/' || doc_id FROM d UNION ALL SELECT doc_id, 'tag', lang || '/a' FROM d
 UNION ALL SELECT doc_id, 'wikilink', source || '-end' FROM d WHERE contains({_LAST}, '-end]]') UNION ALL SELECT doc_id, 'tag', lower(tag) FROM tags WHERE regexp_matches(replace(tag, '/', ''), '[^0-9]')""")
