@@ -206,7 +206,7 @@ def listed_order(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("search_doc_fields", """
-SELECT doc_id, CASE WHEN regexp_matches(text, '[\\x{1100}-\\x{11FF}\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]') THEN 'ko' ELSE '' END AS language,
+SELECT doc_id, CASE WHEN regexp_matches(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]') THEN 'ko' ELSE '' END AS language,
   CASE WHEN doc_id % 3 = 0 THEN '01_Contexts/' || source || '.md' WHEN doc_id % 3 = 1 THEN '02_Atoms/ATM-' || doc_id || '.md' ELSE '' END AS projection,
   'CHK-' || doc_id || '-0-' || substr(sha256(sha256(text)), 1, 8) AS chunk_id, sha256(text) AS input_hash FROM documents""")
 def search_doc_fields(spark: SparkSession, sf: str) -> DataFrame:

@@ -362,14 +362,14 @@ def eval_recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
 #: Questions with phrases, exclusions and plain terms, from the words of the test items.
 _QUESTION = """SELECT item_id AS query_id, CASE item_id % 4 WHEN 0 THEN concat('"', w[{0}], ' ', w[{1}], '" ', w[{3}], ' ', w[{4}]) WHEN 1 THEN concat(w[{0}], ' ', w[{2}], ' the -', w[{5}]) WHEN 2 THEN concat('what is ', w[{1}], ' ', w[{2}]) ELSE concat(w[{0}], ' ', w[{1}], ' ', w[{2}], ' -', w[{4}], '.') END AS question"""
 ASKED = f"""w_ AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), asked AS ({_QUESTION.format(*range(1, 7))} FROM w_)"""
-_EDGE = "[.,;:!?()\\[\\]{}<>''“”‘’]+"
+_EDGE = "[.,;:!?''\"()\\[\\]{}]+"
 _BARE = "list_filter(list_transform({}, lambda w: regexp_replace(regexp_replace(w, '^" + _EDGE.replace("{}", "{{}}") + "', ''), '" + _EDGE.replace("{}", "{{}}") + "$', '')), lambda w: w <> '')"
 _QSTOP = "[" + ", ".join(f"'{w}'" for w in Q.STOP) + "]"
-_WORDS = "list_filter(regexp_split_to_array(regexp_replace(question, '\"[^\"]*\"', ' ', 'g'), '\\s+'), lambda w: w <> '')"
+_WORDS = "list_filter(regexp_split_to_array(regexp_replace(question, '\"[^\"]+\"', ' ', 'g'), '\\s+'), lambda w: w <> '')"
 PARSED = f"""{ASKED}, pw AS (SELECT query_id, question, {_WORDS} AS ws FROM asked),
 pt AS (SELECT query_id, question, list_filter(list_transform(regexp_extract_all(question, '\"([^\"]+)\"', 1), lambda p: trim(p)), lambda p: p <> '') AS phrases,
   list_filter({_BARE.format("list_filter(ws, lambda w: NOT regexp_matches(w, '^-.'))")}, lambda w: regexp_matches(w, '[.\\-_/]') OR regexp_matches(w, '[^\\x00-\\x7F]') OR NOT (list_contains({_QSTOP}, lower(w)) OR (length(w) <= 2 AND NOT (regexp_matches(w, '[A-Z]') AND upper(w) = w)))) AS t0,
-  {_BARE.format("list_transform(list_filter(ws, lambda w: regexp_matches(w, '^-.')), lambda w: regexp_replace(w, '^-+', ''))")} AS gone FROM pw),
+  {_BARE.format("list_transform(list_filter(ws, lambda w: regexp_matches(w, '^-.')), lambda w: regexp_replace(w, '^-', ''))")} AS gone FROM pw),
 parsed AS (SELECT query_id, question, phrases, list_filter(t0, lambda x, i: list_position(t0, x) = i) AS terms, gone FROM pt)"""
 
 
@@ -386,9 +386,9 @@ def parsed_questions(spark: SparkSession, sf: str) -> DataFrame:
     return asked(spark, sf).select("query_id", F.array_join(Q.phrases(q), "|").alias("phrases"), F.array_join(Q.terms(q), "|").alias("terms"), F.array_join(Q.excluded(q), "|").alias("excluded"), Q.intent(q).alias("intent"))
 
 
-@query("match_strings", f"""WITH {PARSED}, q AS (SELECT query_id, list_transform(phrases, lambda p: '"' || p || '"') AS ps, list_transform(terms, lambda t: '"' || t || '"*') AS ts, list_transform(gone, lambda g: ' NOT "' || g || '"') AS gs FROM parsed),
-e AS (SELECT query_id, array_to_string(list_concat(ps, CASE WHEN len(ts) > 0 THEN ['(' || array_to_string(ts, ' OR ') || ')'] ELSE [] END), ' AND ') AS every, array_to_string(gs, '') AS gone FROM q)
-SELECT query_id, CASE WHEN every <> '' THEN every || gone ELSE '' END AS match FROM e""")
+@query("match_strings", f"""WITH {PARSED}, c AS (SELECT query_id, list_transform(phrases, lambda p: trim(regexp_replace(p, '[":()*^]', ' ', 'g'))) AS ps, list_transform(terms, lambda t: trim(regexp_replace(t, '[":()*^]', ' ', 'g'))) AS ts, list_transform(gone, lambda g: trim(regexp_replace(g, '[":()*^]', ' ', 'g'))) AS gs FROM parsed),
+q AS (SELECT query_id, list_transform(list_filter(ps, lambda p: p <> ''), lambda p: '"' || p || '"') AS ps, list_transform(list_filter(ts, lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '[.\\-_/]') THEN '"' || t || '"*' ELSE t || '*' END) AS ts, list_transform(list_filter(gs, lambda g: g <> ''), lambda g: ' NOT "' || g || '"') AS gs FROM c)
+SELECT query_id, trim(array_to_string(list_concat(ps, CASE WHEN len(ts) > 0 THEN ['(' || array_to_string(ts, ' OR ') || ')'] ELSE [] END), ' ') || array_to_string(gs, '')) AS match FROM q""")
 def match_strings(spark: SparkSession, sf: str) -> DataFrame:
     return asked(spark, sf).select("query_id", Q.match_string(F.col("question")).alias("match"))
 

@@ -17,7 +17,7 @@ def test_questions(spark):
     got = df.select(Q.phrases(q).alias("p"), Q.terms(q).alias("t"), Q.excluded(q).alias("e"), Q.east_asian(q).alias("c"), Q.match_string(q).alias("m"), Q.match_string(q, True).alias("m3"), Q.intent(q).alias("n"), Q.synonyms(q).alias("s")).collect()
     assert (got[0]["p"], got[0]["t"], got[0]["e"], got[0]["c"], got[0]["n"]) == (["reciprocal rank fusion"], ["nn.Conv2d"], ["deprecated"], False, "definition")
     assert got[1]["t"][0] == "RRF" and got[1]["c"] and got[1]["s"] == ["reciprocal rank fusion"]
-    assert got[2]["m"] == '"rank fusion" AND ("nn.Conv2d"* OR "residual"*) NOT "stale"'
+    assert got[2]["m"] == '"rank fusion" ("nn.Conv2d"* OR residual*) NOT "stale"'
     assert got[3]["m3"] == '("ABx" OR "residual")'
     assert got[4]["m"] == got[5]["m"] == "" and got[6]["t"] == ["-"] * 0 + got[6]["t"]
     assert got[7]["t"] == ["compare", "a/b", "US"] and got[7]["n"] == "comparison"
