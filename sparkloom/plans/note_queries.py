@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import captions as C
 from sparkloom.operators import edits as E
+from sparkloom.operators import evidence as V
 from sparkloom.plans.tables import table
 from sparkloom.registry import query
 
@@ -64,3 +65,47 @@ def caption_lookup(spark: SparkSession, sf: str) -> DataFrame:
     found = C.resolved(mentions, figures)
     around = C.enclosing(lines).select("doc_id", F.col("page").alias("found_page"), F.col("line").alias("found_line"), F.array_join("sections", "/").alias("sections"))
     return found.join(around, ["doc_id", "found_page", "found_line"], "left").select(F.col("mention_id").alias("item_id"), "number", "found_page", "sections")
+
+
+_ROUTE = "CASE c_custkey % 4 WHEN 0 THEN 'source-section' WHEN 1 THEN 'global' WHEN 2 THEN 'explore' ELSE 'local' END"
+_EXPECTED = "CASE WHEN c_custkey % 9 = 4 THEN 'S0' WHEN c_custkey % 2 = 0 THEN 'S1' END"
+
+
+def _plan_sql() -> str:
+    rows = [(route, kind, i, most, instead) for plan, instead in ((V.ROUTES, "false"), (V.INSTEAD, "true")) for route, kinds in plan.items() for i, (kind, most) in enumerate(kinds)]
+    return ", ".join(f"('{r}', '{k}', {i}, {m or 'NULL'}, {x})" for r, k, i, m, x in rows)
+
+
+@query("context_packs", f"""WITH RECURSIVE req AS (SELECT c_custkey AS query_id, c_nationkey, {_ROUTE} AS route, {_EXPECTED} AS expected FROM customer), plan(route, kind, step, most, instead) AS (VALUES {_plan_sql()}),
+cand AS (SELECT o_custkey AS query_id, 'span' AS kind, o_orderkey AS item_id, 0.0::DOUBLE AS rank, [o_orderkey] AS spans, CAST(ceil(o_totalprice / 1000) AS BIGINT) AS cost FROM orders
+  UNION ALL SELECT o_custkey, 'hit', o_orderkey, -o_totalprice, [o_orderkey], 5 + o_orderkey % 20 FROM orders
+  UNION ALL SELECT o_custkey, 'entity', l_partkey, 0.0, [min(l_orderkey)], 10 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 45 GROUP BY o_custkey, l_partkey
+  UNION ALL SELECT query_id, 'synthesis', s_suppkey, -s_acctbal, [], 20 FROM req JOIN supplier ON s_nationkey = c_nationkey WHERE c_nationkey % 5 <> 0),
+r0 AS (SELECT req.query_id, req.route, cand.kind, step, most, instead, rank, item_id, spans, cost, row_number() OVER (PARTITION BY req.query_id, cand.kind, instead ORDER BY rank, item_id) AS n FROM req JOIN plan USING (route) JOIN cand ON cand.query_id = req.query_id AND cand.kind = plan.kind WHERE coalesce(expected, 'S1') = 'S1'),
+r1 AS (SELECT *, bool_or(NOT instead) OVER (PARTITION BY query_id) AS own FROM r0 WHERE most IS NULL OR n <= most),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY step, rank, item_id) AS place, kind || ':' || item_id AS item FROM r1 WHERE NOT instead OR NOT own),
+bad AS (SELECT DISTINCT query_id, place, TRUE AS bad FROM (SELECT query_id, place, unnest(spans) AS s FROM r2) JOIN orders ON o_orderkey = s AND o_orderstatus = 'F'), r3 AS (SELECT r2.*, bad IS NULL AS ok FROM r2 LEFT JOIN bad USING (query_id, place)),
+fits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS k FROM r3 WHERE ok),
+f AS (SELECT query_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST([] AS BIGINT[]) AS kept FROM fits WHERE k = 1
+  UNION ALL SELECT f.query_id, fits.k, CASE WHEN used + cost <= 100 THEN used + cost ELSE used END, CASE WHEN used + cost <= 100 THEN list_append(kept, fits.k) ELSE kept END FROM f JOIN fits ON fits.query_id = f.query_id AND fits.k = f.k + 1),
+e AS (SELECT query_id, arg_max(used, k) AS used, arg_max(kept, k) AS kept FROM f GROUP BY query_id),
+held AS (SELECT fits.query_id, string_agg(item, ',' ORDER BY fits.k) AS items, count(*) AS n, array_to_string(list_sort(list_distinct(flatten(list(spans)))), ',') AS span_ids FROM fits JOIN e ON e.query_id = fits.query_id AND list_contains(e.kept, fits.k) GROUP BY fits.query_id),
+c AS (SELECT query_id, count(*) FILTER (ok) AS fit, count(*) FILTER (NOT ok) AS excluded, bool_or(instead) AS instead FROM r3 GROUP BY query_id)
+SELECT req.query_id, req.route, CASE WHEN expected = 'S0' THEN 'conflict' WHEN held.n > 0 THEN 'ok' ELSE 'empty' END AS status, coalesce(items, '') AS kept, CAST(coalesce(used, 0) AS BIGINT) AS used, CAST(coalesce(fit, 0) - coalesce(held.n, 0) AS BIGINT) AS omitted,
+  CAST(coalesce(excluded, 0) AS BIGINT) AS excluded, coalesce(span_ids, '') AS span_ids, CASE WHEN instead THEN 'no synthesis or report' END AS warning FROM req LEFT JOIN c USING (query_id) LEFT JOIN e USING (query_id) LEFT JOIN held USING (query_id)""")
+def context_packs(spark: SparkSession, sf: str) -> DataFrame:
+    """Packs for customers by four routes: orders as spans and hits, large lines as entities, suppliers as syntheses; finished orders are out of scope."""
+    t = lambda name: table(spark, sf, name)
+    requests = t("customer").select(F.col("c_custkey").alias("query_id"), "c_nationkey", F.expr(_ROUTE).alias("route"), F.expr(_EXPECTED).alias("expected"))
+    orders = t("orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("item_id"), F.array("o_orderkey").alias("spans"), "o_totalprice", "o_orderkey")
+    lines = t("lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    pieces = {
+        "span": orders.select("query_id", "item_id", F.lit(0.0).alias("rank"), "spans", F.ceil(F.col("o_totalprice") / 1000).alias("cost")),
+        "hit": orders.select("query_id", "item_id", (-F.col("o_totalprice")).alias("rank"), "spans", (5 + F.col("item_id") % 20).alias("cost")),
+        "entity": orders.join(lines, "o_orderkey").groupBy("query_id", F.col("l_partkey").alias("item_id")).agg(F.array(F.min("o_orderkey")).alias("spans")).select("query_id", "item_id", F.lit(0.0).alias("rank"), "spans", F.lit(10).alias("cost")),
+        "synthesis": requests.where("c_nationkey % 5 <> 0").join(t("supplier"), F.col("c_nationkey") == F.col("s_nationkey")).select("query_id", F.col("s_suppkey").alias("item_id"), (-F.col("s_acctbal")).alias("rank"), F.array().cast("array<long>").alias("spans"), F.lit(20).alias("cost")),
+    }
+    allowed = t("orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("span_id"))
+    out = V.context_packs(requests.drop("c_nationkey"), V.assembled(pieces), allowed, "S1", 100)
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return out.select("query_id", "route", "status", listed("kept"), "used", F.col("omitted").cast("long").alias("omitted"), "excluded", listed("span_ids"), "warning")
