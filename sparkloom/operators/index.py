@@ -68,18 +68,6 @@ def build_index(docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text:
     return Index(postings, vocabulary, n, max(1e-9, total / max(1, n)))
 
 
-_open: dict[tuple[str, str], Index] = {}
-
-
-def shared_index(docs: DataFrame, name: str) -> Index:
-    """The index under this name of the running application, built when it is first asked for."""
-    spark = docs.sparkSession
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _open:
-        _open[key] = build_index(docs, Workspace(spark, "index"))
-    return _open[key]
-
-
 def weight(n_docs: int, df: Column) -> Column:
     raw = F.log((n_docs - df + 0.5) / (df + 0.5))
     return F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)

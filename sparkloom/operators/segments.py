@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators.index import Index, checked, post
+from sparkloom.storage import Workspace
 from sparkloom.versions import Versions
 
 POSTINGS, DOCS, DEAD, WORDS = "term string, doc_id long, dl long, tf long, places array<int>", "doc_id long, hash string, dl long", "segment string, doc_id long", "term string, df long, cf long"
 #: Segments of similar size that are kept side by side, and how many times larger the next size is.
 SIDE_BY_SIDE, TIMES = 4, 4
+#: Bytes of a table for each core under which its rows are dealt out by a shuffle.
+SMALL = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -97,7 +100,11 @@ class SegmentedIndex:
             dead = self._dead(state).unionByName(gone)
             words = self.versions.read(state["words"], WORDS) if state.get("words") else self.spark.createDataFrame([], WORDS)
             if new := done["inserted"] + done["updated"]:
-                fresh = now.join(plan_rows.where("step in ('inserted', 'updated')").select("doc_id"), "doc_id", "left_semi")
+                fresh = now if new == done["inserted"] and not state.get("segments") else now.join(plan_rows.where("step in ('inserted', 'updated')").select("doc_id"), "doc_id", "left_semi")
+                # A small table may be a single split, and is dealt out before it is tokenised; a large one has splits for all cores.
+                cores = self.spark.sparkContext.defaultParallelism
+                if int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SMALL:
+                    fresh = fresh.repartition(2 * cores, "doc_id")
                 tokens = fresh.select("doc_id", F.coalesce(T.index_tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
                 rows = tokens.mapInArrow(post, POSTINGS)
                 segment = {"postings": self.versions.write(rows, "postings")}
@@ -140,8 +147,24 @@ class SegmentedIndex:
         return self.versions.latest()[1]
 
     def open(self) -> Index:
-        """The newest version, for ``operators.index``."""
+        """The newest version, for ``operators.index``: it stays as it is while later ones are published."""
         state = self.state()
         words = self.versions.read(state["words"], WORDS) if state.get("words") else self.spark.createDataFrame([], WORDS)
         n = state.get("n_docs", 0)
         return Index(self._live(state, "postings", POSTINGS).drop("segment"), words, n, max(1e-9, state.get("length", 0) / max(1, n)))
+
+
+#: Indexes of the running application: by name the index, the mark of the table that it was last refreshed from, and what is open.
+_shared: dict[tuple[str, str], tuple[SegmentedIndex, tuple, Index]] = {}
+
+
+def shared_index(docs: DataFrame, name: str) -> Index:
+    """The index under this name of the running application, built when it is first asked for and refreshed when ``docs`` (doc_id, text) has changed."""
+    spark = docs.sparkSession
+    key = (spark.sparkContext.applicationId, name)
+    mark = tuple(docs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)"))).first())
+    index = _shared[key][0] if key in _shared else SegmentedIndex(spark, Workspace(spark, "index").root)
+    if key not in _shared or _shared[key][1] != mark:
+        index.refresh(docs)
+        _shared[key] = (index, mark, index.open())
+    return _shared[key][2]

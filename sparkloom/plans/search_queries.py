@@ -9,6 +9,7 @@ from sparkloom.functions import questions as Q
 from sparkloom.functions import text as T
 from sparkloom.operators import index as X
 from sparkloom.operators import search as S
+from sparkloom.operators.segments import shared_index
 from sparkloom.plans.tables import table
 from sparkloom.plans.text_queries import _PARAGRAPHS, QUALITY, document_spans
 from sparkloom.registry import query
@@ -22,8 +23,8 @@ def tokens_sql(text: str) -> str:
 
 
 def the_index(spark: SparkSession, sf: str) -> X.Index:
-    """The index of the documents: built once in an application, read by all queries."""
-    return X.shared_index(table(spark, sf, "documents"), sf)
+    """The index of the documents: built once in an application, read by all queries, refreshed when the table has changed."""
+    return shared_index(table(spark, sf, "documents"), sf)
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:

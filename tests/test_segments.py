@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import index as X
-from sparkloom.operators.segments import SIDE_BY_SIDE, SegmentedIndex
+from sparkloom.operators.segments import SIDE_BY_SIDE, SegmentedIndex, shared_index
 from sparkloom.storage import Workspace
 from sparkloom.versions import Conflict, Versions
 
@@ -85,3 +85,14 @@ def test_versions_are_compared_and_set(spark, tmp_path):
         v.publish(2, {"a": 4})
     v.repair()
     assert v.publish(2, {"a": 4}) == 3 and w.latest() == (3, {"a": 4})
+
+
+def test_the_shared_index_follows_its_table(spark):
+    one = spark.createDataFrame([(1, "red"), (2, "blue")], "doc_id long, text string")
+    two = spark.createDataFrame([(1, "red"), (2, "green"), (3, None)], "doc_id long, text string")
+    first = shared_index(one, "follows")
+    assert shared_index(one, "follows") is first
+    later = shared_index(two, "follows")
+    assert {r["term"] for r in later.postings.collect()} == {"red", "green"} and later.n_docs == 3
+    # What was opened before stays readable.
+    assert {r["term"] for r in first.postings.collect()} == {"red", "blue"}
