@@ -25,7 +25,7 @@ from sparkloom.storage import Workspace
 BITS, END = 21, 0x110000
 #: Characters and texts of a segment (one text is never cut), and characters of phrases that are asked for together.
 SEGMENT_CHARS, SEGMENT_DOCS, BLOCK_CHARS = 1 << 22, 1 << 16, 2_000_000
-SCHEMA = "segment string, gram long, steps array<int>, ids array<long>, starts array<long>"
+SCHEMA = "segment string, gram long, steps binary, ids array<long>, starts array<long>"
 #: The gram of the row that holds a segment's ids and starts.
 DOCS = -1
 
@@ -49,6 +49,25 @@ def grams_of(c: np.ndarray) -> np.ndarray:
     return c[:-2] << 2 * BITS | c[1:-1] << BITS | c[2:]
 
 
+def packed(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in one to four bytes of seven bits each, the eighth set where another follows, and where each number ends."""
+    n = 1 + sum((steps >= 1 << 7 * k).astype(np.int64) for k in (1, 2, 3))
+    ends = np.cumsum(n)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    for k in range(4):
+        m = n > k
+        out[ends[m] - n[m] + k] = steps[m] >> 7 * k & 127 | (n[m] > k + 1) << 7
+    return out, ends
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8).astype(np.int64)
+    ends = np.flatnonzero(b < 128) + 1
+    starts = np.append(0, ends[:-1])
+    place = np.arange(len(b)) - np.repeat(starts, ends - starts)
+    return np.add.reduceat((b & 127) << 7 * place, starts)
+
+
 def segment_rows(name: str, ids: list[int], grams: list[np.ndarray]) -> pa.RecordBatch:
     starts = np.cumsum([0] + [len(g) for g in grams])
     g = np.concatenate(grams)
@@ -57,9 +76,11 @@ def segment_rows(name: str, ids: list[int], grams: list[np.ndarray]) -> pa.Recor
     first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
     steps = np.diff(place, prepend=0)
     steps[first] = place[first]
-    ends = np.append(first, len(g))
     n = len(first)
-    rows = pa.ListArray.from_arrays(pa.array(np.append(ends, len(g)).astype(np.int32)), pa.array(steps.astype(np.int32)))
+    data, ends = packed(steps)
+    # The last row, that of the ids, has no bytes.
+    cuts = np.append(np.append(0, ends)[first], [len(data)] * 2).astype(np.int32)
+    rows = pa.Array.from_buffers(pa.binary(), n + 1, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())])
     only_last = lambda values: pa.array([None] * n + [values], pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([pa.array([name] * (n + 1)), pa.array(np.append(g[first], DOCS)), rows, only_last(ids), only_last(starts)], ["segment", "gram", "steps", "ids", "starts"])
 
@@ -153,8 +174,8 @@ def held_block(index: Grams, block: list[Phrase]) -> DataFrame:
         rows = some if rows is None else rows.unionByName(some)
 
     def search(group: pa.Table) -> pa.Table:
-        grams, steps = group.column("gram").to_numpy(), group.column("steps").combine_chunks()
-        places = {int(g): np.cumsum(steps[i].values.to_numpy()) for i, g in enumerate(grams) if g != DOCS}
+        grams, steps = group.column("gram").to_numpy(), group.column("steps").to_pylist()
+        places = {int(g): np.cumsum(unpacked(steps[i])) for i, g in enumerate(grams) if g != DOCS}
         row = int(np.flatnonzero(grams == DOCS)[0])
         ids, starts = (np.asarray(group.column(c)[row].as_py()) for c in ("ids", "starts"))
         found: list[np.ndarray] = []
