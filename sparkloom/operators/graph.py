@@ -7,6 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.names import free
 from sparkloom.operators.components import connected_components
 from sparkloom.storage import Workspace
 
@@ -148,6 +149,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame, work: Workspace, rounds: int =
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by the order."""
+    """The last row of each key by the order. Columns of any name stay."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    (n,) = free(rows, "_n")
+    return rows.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)

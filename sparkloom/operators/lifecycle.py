@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.names import free
+
 
 def snapshot_replace(stored: DataFrame, wanted: DataFrame, key: str, value: str) -> DataFrame:
     """What replacing ``stored`` by ``wanted`` does with each key: inserted, updated, kept or deleted."""
@@ -38,9 +40,10 @@ def newest(rows: DataFrame, keys: list[str], clock: str, keep: list[str]) -> Dat
 def redirect(edges: DataFrame, merges: DataFrame, work_columns: tuple[str, str] = ("src", "dst")) -> DataFrame:
     """Edges with their ends led to the survivors of accepted merges (origin, survivor), and what they were, so that a merge can be taken back."""
     src, dst = work_columns
-    a, b = merges.select(F.col("origin").alias(src), F.col("survivor").alias("_s")), merges.select(F.col("origin").alias(dst), F.col("survivor").alias("_d"))
+    left, right = free(edges, "_s", "_d")
+    a, b = merges.select(F.col("origin").alias(src), F.col("survivor").alias(left)), merges.select(F.col("origin").alias(dst), F.col("survivor").alias(right))
     out = edges.join(a, src, "left").join(b, dst, "left").withColumn("was", F.struct(F.col(src).alias("src"), F.col(dst).alias("dst")))
-    return out.withColumn(src, F.coalesce("_s", src)).withColumn(dst, F.coalesce("_d", dst)).drop("_s", "_d")
+    return out.withColumn(src, F.coalesce(left, src)).withColumn(dst, F.coalesce(right, dst)).drop(left, right)
 
 
 def restore(edges: DataFrame) -> DataFrame:
@@ -85,9 +88,10 @@ def portable(files: DataFrame, path: str, roots: DataFrame) -> DataFrame:
 def collisions(files: DataFrame, path: Column, file_id: str, content: str) -> DataFrame:
     """Files of one path: the smallest id survives, the others merge into it if their contents are equal and are refused if not."""
     w = Window.partitionBy("path")
-    rows = files.withColumn("path", path).withColumn("survivor", F.min(file_id).over(w)).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_same", F.min(content).over(w) == F.max(content).over(w))
-    state = F.when(F.col(file_id) == F.col("survivor"), "survivor").when(F.col("_same"), "merged").otherwise("refused")
-    return rows.where("_n > 1").select(file_id, "survivor", state.alias("state"))
+    rows = files.select(F.col(file_id).alias("id"), path.alias("path"), F.col(content).alias("content"))
+    rows = rows.select("id", F.min("id").over(w).alias("survivor"), F.count(F.lit(1)).over(w).alias("n"), (F.min("content").over(w) == F.max("content").over(w)).alias("same"))
+    state = F.when(F.col("id") == F.col("survivor"), "survivor").when(F.col("same"), "merged").otherwise("refused")
+    return rows.where("n > 1").select(F.col("id").alias(file_id), "survivor", state.alias("state"))
 
 
 def locator(relpath: Column, file_type: Column, is_reference: Column, heading: Column, page: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.names import free
+
 
 def last_write_wins(local: DataFrame, peer: DataFrame, key: str, clock: str, payload: str) -> DataFrame:
     """key, clock, payload and outcome of a merge: a strictly newer peer row wins, ties keep the local one."""
@@ -30,18 +32,21 @@ def hash_diff(a: DataFrame, b: DataFrame, key: str, digest: str = "hash") -> Dat
 
 
 def remap(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """An array of ids rewritten by a map (old, new): unknown ids stay, order too."""
-    each = rows.withColumn("_row", F.monotonically_increasing_id()).select("*", F.posexplode_outer(column).alias("_pos", "_old"))
-    named = each.join(ids, F.col("_old") == F.col("old"), "left").withColumn("_new", F.coalesce("new", "_old"))
+    """An array of ids rewritten by a map (old, new): unknown ids stay, order too. Columns of any name stay."""
+    row, pos, was, old, new = free(rows, "_row", "_pos", "_old", "old", "new")
+    each = rows.withColumn(row, F.monotonically_increasing_id()).select("*", F.posexplode_outer(column).alias(pos, was))
+    known = ids.select(F.col("old").alias(old), F.col("new").alias(new))
+    named = each.join(known, F.col(was) == F.col(old), "left").withColumn(new, F.coalesce(new, was))
     keep = [c for c in rows.columns if c != column]
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_new"))), lambda x: x["_new"])
-    return named.groupBy("_row", *keep).agg(listed.alias(column)).select(rows.columns)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(pos, new))), lambda x: x[new])
+    return named.groupBy(row, *keep).agg(listed.alias(column)).select(rows.columns)
 
 
 def retained(rows: DataFrame, key: str, order: list[Column], keep: int, referenced: DataFrame, ident: str) -> DataFrame:
-    """Rows that may go: not referenced, and older than the newest ``keep`` such rows of their key."""
-    free = rows.join(referenced.select(ident).distinct(), ident, "left_anti")
-    return free.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") > keep).drop("_n")
+    """Rows that may go: not referenced, and older than the newest ``keep`` such rows of their key. Columns of any name stay."""
+    (n,) = free(rows, "_n")
+    there = rows.join(referenced.select(ident).distinct(), ident, "left_anti")
+    return there.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(n) > keep).drop(n)
 
 
 def health_score(errors: Column, warnings: Column, infos: Column, pages: Column) -> Column:
