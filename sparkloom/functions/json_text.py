@@ -40,6 +40,13 @@ def word_token(word: str, last: bool) -> str:
     return json.dumps(word)
 
 
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
+_PLAIN = json.JSONDecoder(parse_constant=_no_constant)
+
+
 def tolerant(text: str | None) -> str | None:
     """The first object in a text (the first array where there is none) as JSON; null if there is neither."""
     at = -1 if text is None else text.find("{")
@@ -47,6 +54,10 @@ def tolerant(text: str | None) -> str | None:
         at = -1 if text is None else text.find("[")
     if at < 0:
         return None
+    try:  # most texts hold JSON that needs no repair
+        return text[at : _PLAIN.raw_decode(text, at)[1]]
+    except (ValueError, RecursionError):
+        pass
     out: list[str] = []
     # Of each open bracket: its sign, what it waits for (key, colon, value or comma), whether it has an element, and a key without a value so far.
     stack: list[list] = []
