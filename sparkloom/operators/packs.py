@@ -73,3 +73,60 @@ def in_globs(path: Column, include: list[str], exclude: list[str]) -> Column:
     """Excludes come first; no include takes everything else."""
     hit = lambda gs: F.lit(False) if not gs else F.greatest(*[path.rlike(glob_pattern(g)) for g in gs]) if len(gs) > 1 else path.rlike(glob_pattern(gs[0]))
     return ~hit(exclude) & (hit(include) if include else F.lit(True))
+
+
+def batched(items: DataFrame, keys: list[str], order: list[str], cost: str, limit: int) -> DataFrame:
+    """``items`` of each key in batches of at most ``limit``, in order: column batch, from 0.
+
+    A batch is closed before an item that would take it over the limit; an item
+    over the limit is a batch of its own. The items of one key meet in one row.
+    """
+    row = F.struct(*order, F.col(cost).cast("long").alias("_cost"), F.struct(*[F.col(f"`{c}`") for c in items.columns]).alias("_row"))
+    listed = items.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_items"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("batch"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        over = (a["size"] > 0) & (a["used"] + F.coalesce(x["_cost"], F.lit(0)) > limit)
+        batch = F.when(over, a["batch"] + 1).otherwise(a["batch"])
+        used = F.when(over, F.lit(0).cast("long")).otherwise(a["used"]) + F.coalesce(x["_cost"], F.lit(0).cast("long"))
+        return F.struct(used.alias("used"), F.when(over, 1).otherwise(a["size"] + 1).alias("size"), batch.alias("batch"), F.concat(a["out"], F.array(batch)).alias("out"))
+
+    both = listed.select(F.explode(F.arrays_zip(F.transform("_items", lambda x: x["_row"]).alias("row"), F.aggregate("_items", start, step)["out"].alias("batch"))).alias("z"))
+    return both.select("z.row.*", F.col("z.batch").alias("batch"))
+
+
+#: The least room for a piece of a block, and what stands for what was cut or left out.
+WORTH_CUTTING, CUT_HERE = 600, " truncated to fit this turn]"
+LEFT_OUT = ("[Omitted to fit this turn, in order of least relevance to the selection: ", ". Answer from what is present; do not assume the omitted material contradicts it.]")
+
+
+def fitted_turns(blocks: DataFrame, key: str, budget: int) -> DataFrame:
+    """The key and parts, an array of what a turn carries of its blocks (key, place, label, text, priority, pinned) within ``budget`` characters.
+
+    Blank blocks don't count. If all fit, all stay. Pinned blocks always stay;
+    others by priority and place while they fit. The first that doesn't is cut if
+    there is room of over WORTH_CUTTING, and fills it; the rest is left out and
+    named at the end. Parts come in the blocks' order.
+    """
+    said = blocks.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    block = F.struct("place", "label", "text", F.coalesce("priority", F.lit(0)).alias("priority"), F.coalesce("pinned", F.lit(False)).alias("pinned"))
+    rows = said.groupBy(key).agg(F.sort_array(F.collect_list(block)).alias("all"), F.sum(F.length("text")).alias("total"), F.sum(F.when(F.col("pinned"), F.length("text")).otherwise(0)).alias("fixed"))
+    optional = F.array_sort(F.transform(F.filter("all", lambda b: ~b["pinned"]), lambda b: F.struct(b["priority"].alias("priority"), b["place"].alias("place"), b["label"].alias("label"), b["text"].alias("text"))))
+    piece = lambda place, text: F.array(F.struct(place.alias("place"), text.alias("text")))
+    pinned = F.transform(F.filter("all", lambda b: b["pinned"]), lambda b: F.struct(b["place"].alias("place"), b["text"].alias("text")))
+    start = F.struct((F.lit(budget).cast("long") - F.col("fixed")).alias("room"), pinned.alias("kept"), F.array().cast("array<string>").alias("dropped"))
+
+    def step(a: Column, b: Column) -> Column:
+        fits, cut = F.length(b["text"]) <= a["room"], a["room"] > WORTH_CUTTING
+        part = F.concat(b["text"].substr(F.lit(1), a["room"].cast("int")), F.lit("\n["), b["label"], F.lit(CUT_HERE))
+        return F.struct(
+            F.when(fits, a["room"] - F.length(b["text"])).when(cut, F.lit(0).cast("long")).otherwise(a["room"]).alias("room"),
+            F.when(fits, F.concat(a["kept"], piece(b["place"], b["text"]))).when(cut, F.concat(a["kept"], piece(b["place"], part))).otherwise(a["kept"]).alias("kept"),
+            F.when(fits | cut, a["dropped"]).otherwise(F.concat(a["dropped"], F.array(b["label"]))).alias("dropped"),
+        )
+
+    folded = F.aggregate(optional, start, step)
+    parts = F.transform(F.array_sort(folded["kept"]), lambda x: x["text"])
+    note = F.when(F.size(folded["dropped"]) > 0, F.array(F.concat(F.lit(LEFT_OUT[0]), F.array_join(folded["dropped"], ", "), F.lit(LEFT_OUT[1])))).otherwise(F.array().cast("array<string>"))
+    whole = F.transform("all", lambda b: b["text"])
+    return rows.select(key, F.when(F.col("total") <= budget, whole).otherwise(F.concat(parts, note)).alias("parts"))

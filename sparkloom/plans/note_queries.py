@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import captions as C
 from sparkloom.operators import edits as E
 from sparkloom.operators import evidence as V
+from sparkloom.operators import packs as P
 from sparkloom.plans.tables import table
 from sparkloom.registry import query
 
@@ -109,3 +110,29 @@ def context_packs(spark: SparkSession, sf: str) -> DataFrame:
     out = V.context_packs(requests.drop("c_nationkey"), V.assembled(pieces), allowed, "S1", 100)
     listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return out.select("query_id", "route", "status", listed("kept"), "used", F.col("omitted").cast("long").alias("omitted"), "excluded", listed("span_ids"), "warning")
+
+
+@query("span_batches", """WITH RECURSIVE o AS (SELECT conv_id, turn, length(coalesce(text, '')) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+f AS (SELECT conv_id, n, turn, cost AS used, 0 AS batch FROM o WHERE n = 1 UNION ALL SELECT o.conv_id, o.n, o.turn, CASE WHEN used + cost > 1000 THEN cost ELSE used + cost END, CASE WHEN used + cost > 1000 THEN batch + 1 ELSE batch END FROM f JOIN o ON o.conv_id = f.conv_id AND o.n = f.n + 1)
+SELECT conv_id, turn, CAST(batch AS BIGINT) AS batch FROM f""")
+def span_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The turns of each conversation in batches of a thousand characters."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("cost"))
+    return P.batched(turns, ["conv_id"], ["turn"], "cost", 1000).select("conv_id", "turn", "batch")
+
+
+@query("turn_parts", f"""WITH RECURSIVE b AS (SELECT conv_id, turn, role || turn AS label, text, length(text) % 5 AS priority, turn = 0 AS pinned FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
+t AS (SELECT conv_id, sum(length(text)) AS total, coalesce(sum(length(text)) FILTER (pinned), 0) AS fixed, list(text ORDER BY turn) AS whole, list({{'place': turn, 'text': text}} ORDER BY turn) FILTER (pinned) AS pinned FROM b GROUP BY conv_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY priority, turn) AS n FROM b WHERE NOT pinned),
+f AS (SELECT conv_id, CAST(0 AS BIGINT) AS n, CAST(1500 - fixed AS BIGINT) AS room, coalesce(pinned, []) AS kept, CAST([] AS VARCHAR[]) AS dropped FROM t WHERE total > 1500
+  UNION ALL SELECT f.conv_id, o.n, CASE WHEN length(text) <= room THEN room - length(text) WHEN room > 600 THEN 0 ELSE room END,
+    CASE WHEN length(text) <= room THEN list_append(kept, {{'place': turn, 'text': text}}) WHEN room > 600 THEN list_append(kept, {{'place': turn, 'text': substr(text, 1, room) || chr(10) || '[' || label || '{P.CUT_HERE}'}}) ELSE kept END,
+    CASE WHEN length(text) <= room OR room > 600 THEN dropped ELSE list_append(dropped, label) END FROM f JOIN o ON o.conv_id = f.conv_id AND o.n = f.n + 1),
+e AS (SELECT conv_id, arg_max(kept, n) AS kept, arg_max(dropped, n) AS dropped FROM f GROUP BY conv_id)
+SELECT t.conv_id, sha256(array_to_string(CASE WHEN e.conv_id IS NULL THEN whole ELSE list_concat(list_transform(list_sort(kept), lambda x: x.text), CASE WHEN len(dropped) > 0 THEN ['{P.LEFT_OUT[0]}' || array_to_string(dropped, ', ') || '{P.LEFT_OUT[1]}'] ELSE [] END) END, chr(10))) AS parts_sha256, e.conv_id IS NOT NULL AS cut FROM t LEFT JOIN e USING (conv_id)""")
+def turn_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """What fits 1,500 characters of each conversation's turns: the first always, others by a priority."""
+    c = table(spark, sf, "conversations").where("text is not null")
+    blocks = c.select("conv_id", F.col("turn").alias("place"), F.concat("role", F.col("turn").cast("string")).alias("label"), "text", (F.length("text") % 5).alias("priority"), (F.col("turn") == 0).alias("pinned"))
+    total = blocks.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").groupBy("conv_id").agg((F.sum(F.length("text")) > 1500).alias("cut"))
+    return P.fitted_turns(blocks, "conv_id", 1500).join(total, "conv_id").select("conv_id", F.sha2(F.array_join("parts", "\n"), 256).alias("parts_sha256"), "cut")
