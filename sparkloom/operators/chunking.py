@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,41 +36,31 @@ def sentence_windows(text: str) -> list[tuple[int, int]]:
     """Start and end of each chunk.
 
     A chunk is closed before a sentence that would take it over MOST, and once
-    it has TARGET tokens. The next one repeats the last sentences of up to
-    OVERLAP tokens, the very last in any case. What is left at the end joins the
-    chunk before if it has fewer than LEAST tokens of its own.
+    it has TARGET tokens. The next one begins with the last sentences of up to
+    OVERLAP tokens, the very last in any case. What is left at the end, if only
+    that, is a chunk too, unless it has fewer than LEAST tokens: then it joins the
+    chunk before.
     """
-    done: list[list[tuple[int, int]]] = []
-    now: list[tuple[int, int]] = []
-    fresh = 0  # sentences of now that no chunk has yet
-    cost = lambda ss: sum(estimate(text[a:b]) for a, b in ss)
-
-    def close() -> None:
-        nonlocal now, fresh
-        done.append(now)
-        tail: list[tuple[int, int]] = []
-        for s in reversed(now):
-            if tail and cost([*tail, s]) > OVERLAP:
-                break
-            tail.insert(0, s)
-        now, fresh = ([] if len(tail) == len(now) else tail), 0
-
-    for s in sentences(text):
-        if fresh and cost([*now, s]) > MOST:
-            close()
-        if not fresh and now and cost([*now, s]) > MOST:
-            now = []
-        now.append(s)
-        fresh += 1
-        if cost(now) >= TARGET:
-            close()
-    if fresh:
-        own = now[len(now) - fresh :]
-        if done and cost(own) < LEAST:
-            done[-1] = [*done[-1], *own]
+    found = sentences(text)
+    total = list(accumulate((estimate(text[a:b]) for a, b in found), initial=0))
+    out: list[tuple[int, int]] = []  # first and last sentence
+    first = 0
+
+    def close(last: int) -> int:
+        out.append((first, last))
+        return min(last, max(first, bisect_left(total, total[last + 1] - OVERLAP)))
+
+    for i in range(len(found)):
+        if i > first and total[i + 1] - total[first] > MOST:
+            first = close(i - 1)
+        if total[i + 1] - total[first] >= TARGET:
+            first = close(i)
+    if found:
+        if out and total[-1] - total[first] < LEAST:
+            out[-1] = (out[-1][0], len(found) - 1)
         else:
-            done.append(now)
-    return [(c[0][0], c[-1][1]) for c in done]
+            out.append((first, len(found) - 1))
+    return [(found[a][0], found[b][1]) for a, b in out]
 
 
 def block_windows(text: str, size: int = 30_000, overlap: int = 2_500) -> list[tuple[int, int]]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.operators import chunking
 from sparkloom.operators import spans as S
 from sparkloom.plans.tables import table
 from sparkloom.registry import query
@@ -89,6 +90,24 @@ def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(parts).cast("long").alias("n_sentences"), F.sha2(F.array_join(parts, "|"), 256).alias("hash"))
 
 
+@query("search_chunks", """
+WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), '\\n{2,}', chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS parts FROM documents),
+t AS (SELECT doc_id, parts, len(parts) AS n, list_transform(parts, lambda x: greatest(1, length(x) // 4)) AS sizes FROM s WHERE len(parts) > 0),
+c AS (SELECT doc_id, parts, n, list_concat([0], list_transform(range(1, n + 1), lambda i: CAST(list_sum(sizes[1:i]) AS BIGINT))) AS total FROM t),
+f AS (SELECT doc_id, n, total, 0 AS i, 0 AS first, 0 AS chunk, CAST(NULL AS INTEGER) AS a1, CAST(NULL AS INTEGER) AS b1, CAST(NULL AS INTEGER) AS a2, CAST(NULL AS INTEGER) AS b2 FROM c
+  UNION ALL SELECT doc_id, n, total, i + 1, CASE WHEN full2 THEN least(i, greatest(f1, len(list_filter(total, lambda x: x < total[i + 2] - 48)))) ELSE f1 END, chunk + full1::INT + full2::INT, CASE WHEN full1 THEN first END, CASE WHEN full1 THEN i - 1 END, CASE WHEN full2 THEN f1 END, CASE WHEN full2 THEN i END FROM (
+    SELECT *, total[i + 2] - total[f1 + 1] >= 256 AS full2 FROM (SELECT *, i > first AND total[i + 2] - total[first + 1] > 384 AS full1, CASE WHEN i > first AND total[i + 2] - total[first + 1] > 384 THEN least(i - 1, greatest(first, len(list_filter(total, lambda x: x < total[i + 1] - 48)))) ELSE first END AS f1 FROM f WHERE i < n))),
+k AS (SELECT doc_id, chunk - (a2 IS NOT NULL)::INT - 1 AS chunk, a1 AS a, b1 AS b FROM f WHERE a1 IS NOT NULL UNION ALL SELECT doc_id, chunk - 1, a2, b2 FROM f WHERE a2 IS NOT NULL),
+l AS (SELECT doc_id, n, chunk, first, total[n + 1] - total[first + 1] AS own FROM f WHERE i = n),
+r AS (SELECT k.doc_id, k.chunk, a, CASE WHEN l.own < 32 AND k.chunk = l.chunk - 1 THEN l.n - 1 ELSE b END AS b FROM k JOIN l USING (doc_id) UNION ALL SELECT doc_id, chunk, first, n - 1 FROM l WHERE NOT (chunk > 0 AND own < 32))
+SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, CAST(b - a + 1 AS BIGINT) AS sentences, sha256(array_to_string(parts[a + 1:b + 1], '|')) AS hash FROM r JOIN c USING (doc_id)""".replace("\\\\", "\\"))
+def search_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows of sentences that a search index takes from each document."""
+    parts = F.filter(F.split("text", r"(?<=[.!?。！？])\s+|\n{2,}"), lambda x: F.trim(x) != "")
+    rows = chunking.chunks(table(spark, sf, "documents"), "doc_id", "text")
+    return rows.select("doc_id", "chunk", F.size(parts).cast("long").alias("sentences"), F.sha2(F.array_join(parts, "|"), 256).alias("hash"))
+
+
 @query("token_estimates", """
 SELECT doc_id, CAST(greatest(1, length(text) // 4) AS BIGINT) AS chunk_tokens,
   CAST(greatest(1, ceil(length(text) / 4), ceil(strlen(text) / 3)) AS BIGINT) AS budget_tokens,
