@@ -10,6 +10,7 @@ from sparkloom.functions.json_text import tolerant_json
 from sparkloom.operators import grams
 from sparkloom.operators.changes import LiveGraph
 from sparkloom.operators.expansion import expanded
+from sparkloom.operators.merges import merged
 from sparkloom.operators.peers import Replica, Table
 from sparkloom.operators.publishing import Publisher
 from sparkloom.operators.segments import SegmentedIndex
@@ -214,3 +215,15 @@ def tolerant_json_query(spark: SparkSession, sf: str) -> DataFrame:
     v = c.select("click_id", tolerant_json(raw).alias("v"))
     get = lambda path, kind: F.expr(f"try_variant_get(v, '$.{path}', '{kind}')")
     return v.select("click_id", get("k", "long").alias("k"), get("device.os", "string").alias("os"), F.size(get("items", "array<variant>")).cast("long").alias("items"))
+
+
+@query("merge_decisions", f"""WITH {EDGES} SELECT edge_id, CASE WHEN src % 20 = 3 THEN src WHEN src % 10 = 3 THEN src + 2 WHEN src % 10 = 4 THEN src + 1 ELSE src END AS src, dst,
+  CAST(CASE WHEN src % 10 = 3 THEN 2 WHEN src % 10 = 4 THEN 1 ELSE 0 END AS BIGINT) AS moves FROM e""")
+def merge_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations after merges of suppliers, in two steps, of which every second story is taken back at its first step; and how often each end was moved."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("s")).where("s % 10 in (3, 4)")
+    event = lambda df, action, place: df.select(F.col("s").alias("decision"), place.cast("long").alias("place"), F.lit(action).alias("action"), F.col("s").alias("origin"), (F.col("s") + 1).alias("survivor"))
+    events = event(s, "propose", F.lit(-1)).unionByName(event(s, "accept", F.col("s"))).unionByName(event(s.where("s % 20 = 3"), "reverse", F.col("s") + 1_000_000_000))
+    edges, lineage = merged(relations(spark, sf).select("edge_id", "src", "dst"), events, Workspace(spark, "merge-decisions"))
+    moves = lineage.groupBy("edge_id").agg(F.count(F.lit(1)).alias("moves"))
+    return edges.join(moves, "edge_id", "left").select("edge_id", "src", "dst", F.coalesce("moves", F.lit(0).cast("long")).alias("moves"))
