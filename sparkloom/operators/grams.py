@@ -25,14 +25,14 @@ from sparkloom.storage import Workspace
 BITS, END = 21, 0x110000
 #: Characters and texts of a segment (one text is never cut), and characters of phrases that are asked for together.
 SEGMENT_CHARS, SEGMENT_DOCS, BLOCK_CHARS = 1 << 22, 1 << 16, 2_000_000
-SCHEMA = "segment string, gram long, steps binary, ids array<long>, starts array<long>"
+SCHEMA = "segment string, gram long, n long, steps binary, ids array<long>, starts array<long>"
 #: The gram of the row that holds a segment's ids and starts.
 DOCS = -1
 
 
 @dataclass
 class Grams:
-    """segment, gram and the steps from place to place; one row of each segment has the ids and starts of its texts."""
+    """segment, gram, n places and the steps from one to the next; one row of each segment has the ids and starts of its texts."""
 
     segments: DataFrame
     fold: bool
@@ -82,7 +82,8 @@ def segment_rows(name: str, ids: list[int], grams: list[np.ndarray]) -> pa.Recor
     cuts = np.append(np.append(0, ends)[first], [len(data)] * 2).astype(np.int32)
     rows = pa.Array.from_buffers(pa.binary(), n + 1, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())])
     only_last = lambda values: pa.array([None] * n + [values], pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array([name] * (n + 1)), pa.array(np.append(g[first], DOCS)), rows, only_last(ids), only_last(starts)], ["segment", "gram", "steps", "ids", "starts"])
+    sizes = np.append(np.diff(np.append(first, len(g))), len(ids))
+    return pa.RecordBatch.from_arrays([pa.array([name] * (n + 1)), pa.array(np.append(g[first], DOCS)), pa.array(sizes), rows, only_last(ids), only_last(starts)], ["segment", "gram", "n", "steps", "ids", "starts"])
 
 
 def build_grams(docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text: str = "text", fold: bool = True) -> Grams:
@@ -116,14 +117,22 @@ class Phrase:
     offsets: list[int]
 
     @classmethod
-    def of(cls, query: int, phrase: str, fold: bool) -> Phrase:
-        """All the grams that cover the phrase; of one under three characters, its characters."""
-        c = codes(phrase, fold)
+    def of(cls, query: int, c: np.ndarray, often: dict[int, int]) -> Phrase:
+        """The grams that cover the phrase and have the fewest places together; of one under three characters, its characters."""
         n = len(c)
         if n < 3:
             return cls(query, n, [int(c[0] if n == 1 else c[0] << BITS | c[1])], [0])
-        at = [*range(0, n - 3, 3), n - 3]
-        return cls(query, n, grams_of(c)[at].tolist(), at)
+        g = grams_of(c)[: n - 2].tolist()
+        # From the first gram to the last, no step over three characters.
+        cost, before = [often.get(g[0], 0)], [-1]
+        for k in range(1, n - 2):
+            j = min(range(max(0, k - 3), k), key=cost.__getitem__)
+            cost.append(cost[j] + often.get(g[k], 0))
+            before.append(j)
+        at = [n - 3]
+        while before[at[-1]] >= 0:
+            at.append(before[at[-1]])
+        return cls(query, n, [g[k] for k in at], at)
 
     def starts(self, places: dict[int, np.ndarray]) -> np.ndarray:
         """Where the phrase begins, among the places of a segment's grams."""
@@ -155,8 +164,11 @@ def holding(index: Grams, phrases: DataFrame) -> DataFrame:
     blocks = max(1, -(-(asked.agg(F.sum(F.length("phrase")).alias("n")).first()["n"] or 0) // BLOCK_CHARS))
     out = spark.createDataFrame([], "query_id long, doc_id long, places long, first long")
     for b in range(blocks):
-        block = [Phrase.of(r["query_id"], r["phrase"], index.fold) for r in asked.where(F.pmod(F.xxhash64("query_id", "phrase"), F.lit(blocks)) == b).collect()]
-        out = out.unionByName(held_block(index, block))
+        block = [(r["query_id"], codes(r["phrase"], index.fold)) for r in asked.where(F.pmod(F.xxhash64("query_id", "phrase"), F.lit(blocks)) == b).collect()]
+        all_ = {g for _, c in block if len(c) > 2 for g in grams_of(c)[:-2].tolist()}
+        named = F.broadcast(spark.createDataFrame([(g,) for g in sorted(all_)], "gram long"))
+        often = dict(index.segments.select("gram", "n").join(named, "gram").groupBy("gram").agg(F.sum("n")).collect()) if all_ else {}
+        out = out.unionByName(held_block(index, [Phrase.of(q, c, often) for q, c in block]))
     return out.groupBy("query_id", "doc_id").agg(F.sum("places").alias("places"), F.min("first").alias("first"))
 
 
@@ -165,12 +177,13 @@ def held_block(index: Grams, block: list[Phrase]) -> DataFrame:
     shared = spark.sparkContext.broadcast(block)
     # A block is bounded, and so are its grams.
     rows = None
+    segments = index.segments.drop("n")
     for size in (3, 1, 2):
         wanted = {g for p in block if min(p.size, 3) == size for g in p.grams} | ({DOCS} if size == 3 else set())
         if not wanted:
             continue
         keys = spark.createDataFrame([(g,) for g in sorted(wanted)], "key long")
-        some = index.segments.withColumn("key", F.shiftright("gram", BITS * (3 - size))).join(F.broadcast(keys), "key").drop("key")
+        some = segments.withColumn("key", F.shiftright("gram", BITS * (3 - size))).join(F.broadcast(keys), "key").drop("key")
         rows = some if rows is None else rows.unionByName(some)
 
     def search(group: pa.Table) -> pa.Table:
