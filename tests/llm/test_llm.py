@@ -333,6 +333,24 @@ def test_lists_needed_are_few_where_vectors_lie_in_clusters():
     assert ann.lists_needed(sample, index, 10) <= 6
 
 
+@pytest.mark.parametrize("kind", ["lengths", "dimensions", "queries apart"])
+def test_recall_on_other_vectors(spark, kind):
+    """Lengths of many sizes, many dimensions at random, and queries that lie where few other vectors do."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 256)) if kind == "dimensions" else rng.normal(size=(8000, 64))
+    if kind == "lengths":
+        x *= np.exp(2 * rng.normal(size=(len(x), 1)))
+    if kind == "queries apart":
+        x[::100] = 3 + 0.1 * rng.normal(size=(len(x[::100]), 64))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}))
+    got = ann.neighbours(df, lambda c: c % 100 == 0).toPandas().groupby("query_id")["vec_id"].agg(set)
+    hits = 0
+    for q in range(0, len(x), 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        hits += len(set(np.argsort(d)[1:11]) & got[q])
+    assert hits / (10 * len(got)) >= 0.9
+
+
 def test_many_copies_of_a_vector(spark):
     rng = np.random.default_rng(2)
     x = np.where(np.arange(900)[:, None] % 3 > 0, rng.normal(size=(900, 8)), np.ones(8))
