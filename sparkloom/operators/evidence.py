@@ -19,6 +19,15 @@ ROUTES: dict[str, list[tuple[str, int | None]]] = {
 INSTEAD = {"global": [("hit", 8)]}
 
 
+def shared_first(items: DataFrame, group: str, kind: str) -> DataFrame:
+    """Of candidates that all requests of a group share (group, item_id, rank), those that a route can take: no route takes more than its first few of a kind, by rank and id."""
+    most = [m for plan in (ROUTES, INSTEAD) for kinds in plan.values() for name, m in kinds if name == kind]
+    if None in most:
+        return items
+    n = F.row_number().over(Window.partitionBy(group).orderBy("rank", "item_id"))
+    return items.withColumn("n", n).where(F.col("n") <= max(most, default=0)).drop("n")
+
+
 def taken(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     """query_id, route, kind, place, item_id, spans, cost, instead of what routes take from candidates (query_id, kind, item_id, rank, spans, cost).
 

@@ -100,11 +100,13 @@ def context_packs(spark: SparkSession, sf: str) -> DataFrame:
     requests = t("customer").select(F.col("c_custkey").alias("query_id"), "c_nationkey", F.expr(_ROUTE).alias("route"), F.expr(_EXPECTED).alias("expected"))
     orders = t("orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("item_id"), F.array("o_orderkey").alias("spans"), "o_totalprice", "o_orderkey")
     lines = t("lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    # Requests of a nation have the same suppliers: each nation's are cut to what a route can take before they meet its requests.
+    suppliers = V.shared_first(t("supplier").select("s_nationkey", F.col("s_suppkey").alias("item_id"), (-F.col("s_acctbal")).alias("rank")), "s_nationkey", "synthesis")
     pieces = {
         "span": orders.select("query_id", "item_id", F.lit(0.0).alias("rank"), "spans", F.ceil(F.col("o_totalprice") / 1000).alias("cost")),
         "hit": orders.select("query_id", "item_id", (-F.col("o_totalprice")).alias("rank"), "spans", (5 + F.col("item_id") % 20).alias("cost")),
         "entity": orders.join(lines, "o_orderkey").groupBy("query_id", F.col("l_partkey").alias("item_id")).agg(F.array(F.min("o_orderkey")).alias("spans")).select("query_id", "item_id", F.lit(0.0).alias("rank"), "spans", F.lit(10).alias("cost")),
-        "synthesis": requests.where("c_nationkey % 5 <> 0").join(t("supplier"), F.col("c_nationkey") == F.col("s_nationkey")).select("query_id", F.col("s_suppkey").alias("item_id"), (-F.col("s_acctbal")).alias("rank"), F.array().cast("array<long>").alias("spans"), F.lit(20).alias("cost")),
+        "synthesis": requests.where("c_nationkey % 5 <> 0").join(suppliers, F.col("c_nationkey") == F.col("s_nationkey")).select("query_id", "item_id", "rank", F.array().cast("array<long>").alias("spans"), F.lit(20).alias("cost")),
     }
     allowed = t("orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("span_id"))
     out = V.context_packs(requests.drop("c_nationkey"), V.assembled(pieces), allowed, "S1", 100)

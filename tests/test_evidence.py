@@ -34,3 +34,10 @@ def test_packs_equal_a_plain_program(spark):
         assert (r["omitted"], r["excluded"]) == (len(fit) - len(kept), len(items) - len(fit))
         assert r["span_ids"] == sorted({s for f in kept for s in f[4]})
         assert r["warning"] == ("no synthesis or report" if instead else "unknown route" if route == "odd" else None)
+
+
+def test_what_requests_share_is_cut_to_what_a_route_takes(spark):
+    rows = spark.createDataFrame([(g, i, float(i % 7)) for g in (1, 2) for i in range(50)], "nation long, item_id long, rank double")
+    got = sorted((r["nation"], r["item_id"]) for r in E.shared_first(rows, "nation", "synthesis").collect())
+    assert got == [(g, i) for g in (1, 2) for i in sorted(sorted(range(50), key=lambda i: (i % 7, i))[:6])]
+    assert E.shared_first(rows, "nation", "span").count() == 100
