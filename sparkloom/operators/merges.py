@@ -1,9 +1,11 @@
 """Merges of entities: proposed, accepted, reversed, with the lineage by which a merge is taken back.
 
-Events are applied in the order of their places, to all ends of relations at once:
-in each round every end takes the next event that concerns it, be it the
-acceptance of a merge of the entity that it names now or the reversal of a merge
-that has moved it. Rounds are as many as the longest story of one end.
+What becomes of an end of a relation depends only on the entity that it named at
+first, so events are applied to these entities, in the order of places and to all
+at once: in each round every entity takes the next event that concerns it, be it
+the acceptance of a merge of the entity that stands for it now or the reversal of
+a merge that has moved it. Rounds are as many as the longest story of one entity.
+Relations meet the stories once, at the end.
 """
 
 from __future__ import annotations
@@ -42,27 +44,28 @@ def merged(edges: DataFrame, events: DataFrame, work: Workspace) -> tuple[DataFr
     decisions = work.put(rows, "decisions")
     accepts = work.put(accepts, "accepts")
     reversals = work.put(reversals, "reversals")
-    end = lambda c: edges.select("edge_id", F.lit(c).alias("field"), F.col(c).alias("was"))
-    touched = end("src").unionByName(end("dst")).join(checked(decisions.select(F.col("origin").alias("was")).distinct()), "was", "left_semi")
-    ends = touched.select("edge_id", "field", "was", F.col("was").alias("now"), F.lit(None).cast("long").alias("at"), F.array().cast("array<struct<decision:bigint,origin:bigint>>").alias("moved"))
-    ends = work.put(ends, "ends-0")
+    ends = decisions.select(F.col("origin").alias("was")).distinct()
+    ends = work.put(ends.select("was", F.col("was").alias("now"), F.lit(None).cast("long").alias("at"), F.array().cast("array<struct<decision:bigint,origin:bigint>>").alias("moved")), "ends-0")
     turn = 0
     while True:
         later = F.col("at").isNull() | (F.col("place") > F.col("at"))
-        to = ends.select("edge_id", "field", "now", "at").join(checked(accepts), F.col("now") == F.col("origin")).where(later).select("edge_id", "field", "place", F.col("survivor").alias("next"), F.struct(F.col("decision").cast("long").alias("decision"), F.col("origin").cast("long").alias("origin")).alias("by"))
-        back = ends.select("edge_id", "field", "at", F.explode("moved").alias("m")).select("edge_id", "field", "at", F.col("m.decision").alias("decision")).distinct().join(checked(reversals), "decision").where(later)
-        back = back.select("edge_id", "field", "place", F.col("origin").alias("next"), F.lit(None).cast("struct<decision:bigint,origin:bigint>").alias("by"))
-        step = work.put(to.unionByName(back).groupBy("edge_id", "field").agg(F.min_by(F.struct("place", "next", "by"), "place").alias("e")), f"step-{turn}")
+        to = ends.select("was", "now", "at").join(accepts, F.col("now") == F.col("origin")).where(later).select("was", "place", F.col("survivor").alias("next"), F.struct(F.col("decision").cast("long").alias("decision"), F.col("origin").cast("long").alias("origin")).alias("by"))
+        back = ends.select("was", "at", F.explode("moved").alias("m")).select("was", "at", F.col("m.decision").alias("decision")).distinct().join(reversals, "decision").where(later)
+        back = back.select("was", "place", F.col("origin").alias("next"), F.lit(None).cast("struct<decision:bigint,origin:bigint>").alias("by"))
+        step = work.put(to.unionByName(back).groupBy("was").agg(F.min_by(F.struct("place", "next", "by"), "place").alias("e")), f"step-{turn}")
         if step.limit(1).count() == 0:
             break
         turn += 1
         moved = F.when(F.col("e.by").isNotNull(), F.concat("moved", F.array("e.by"))).otherwise(F.col("moved"))
         hit = F.col("e").isNotNull()
-        ends = ends.join(step, ["edge_id", "field"], "left").select("edge_id", "field", "was", F.when(hit, F.col("e.next")).otherwise(F.col("now")).alias("now"), F.when(hit, F.col("e.place").cast("long")).otherwise(F.col("at")).alias("at"), F.when(hit, moved).otherwise(F.col("moved")).alias("moved"))
+        ends = ends.join(step, "was", "left").select("was", F.when(hit, F.col("e.next")).otherwise(F.col("now")).alias("now"), F.when(hit, F.col("e.place").cast("long")).otherwise(F.col("at")).alias("at"), F.when(hit, moved).otherwise(F.col("moved")).alias("moved"))
         ends = work.put(ends, f"ends-{turn}")
-    new = lambda c: ends.where(F.col("field") == c).select("edge_id", F.col("now").alias(f"_{c}"))
-    out = edges.select("edge_id", "src", "dst").join(new("src"), "edge_id", "left").join(new("dst"), "edge_id", "left")
-    lineage = ends.select("edge_id", "field", F.explode("moved").alias("m")).select("m.decision", "edge_id", "field", "m.origin").distinct()
+    story = checked(ends.where("at is not null").select("was", "now", "moved"))
+    new = lambda c: story.select(F.col("was").alias(c), F.col("now").alias(f"_{c}"))
+    out = edges.select("edge_id", "src", "dst").join(new("src"), "src", "left").join(new("dst"), "dst", "left")
+    told = lambda c: edges.select("edge_id", F.lit(c).alias("field"), F.col(c).alias("was")).join(story, "was").select(F.explode("moved").alias("m"), "edge_id", "field").select("m.decision", "edge_id", "field", "m.origin")
+    # Relations of one id are told of once.
+    lineage = told("src").unionByName(told("dst")).distinct()
     return out.select("edge_id", F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst")), lineage
 
 

@@ -48,3 +48,11 @@ def test_a_reversed_merge_leaves_no_trace_in_the_graph(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 5, 6), (2, 6, 5)] and lineage.count() == 2
     assert M.redirects(v).count() == 0
     assert M.merged(e, v.limit(0), Workspace(spark, "merges"))[1].count() == 0
+
+
+def test_stories_are_as_many_as_entities_not_relations(spark):
+    e = spark.range(500).selectExpr("id as edge_id", "id % 2 as src", "id + 10 as dst")
+    v = spark.createDataFrame([(1, 0, "propose", 1, 7), (1, 1, "accept", None, None)], "decision long, place long, action string, origin long, survivor long")
+    work = Workspace(spark, "merges")
+    out, lineage = M.merged(e, v, work)
+    assert out.where("src = 7").count() == 250 == lineage.count() and spark.read.parquet(work.path("ends-1")).count() == 1
