@@ -236,14 +236,14 @@ o AS (SELECT DISTINCT a, b FROM c JOIN s x ON x.p = c.a JOIN s y ON y.p = c.b AN
 SELECT c.a, c.b, CASE WHEN NOT same_type THEN 'rejected' WHEN o.a IS NOT NULL THEN 'accept' ELSE 'ambiguous_candidate' END AS decision FROM c LEFT JOIN o ON c.a = o.a AND c.b = o.b""")
 def merge_guards(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates of one name and brand: accepted if the types match and a supplier is shared."""
-    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    q = p.select(F.col("p_partkey").alias("b"), "p_name", "p_brand", F.col("p_type").alias("type_b"))
-    c = p.withColumnRenamed("p_partkey", "a").join(q, ["p_name", "p_brand"]).where("a < b").select("a", "b", (F.col("p_type") == F.col("type_b")).alias("same_type"))
-    s = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    x, y = s.select(F.col("l_partkey").alias("a"), "l_suppkey"), s.select(F.col("l_partkey").alias("b"), "l_suppkey")
-    shared = c.select("a", "b").join(x, "a").join(y, ["b", "l_suppkey"]).select("a", "b", F.lit(True).alias("shared")).distinct()
-    decision = F.when(~F.col("same_type"), "rejected").when(F.col("shared"), "accept").otherwise("ambiguous_candidate")
-    return c.join(shared, ["a", "b"], "left").select("a", "b", decision.alias("decision"))
+    # A part's suppliers stand in its row, so that pairs are decided where they are made and are never shuffled.
+    suppliers = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_set("l_suppkey").alias("suppliers"))
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type").join(suppliers, "p_partkey", "left")
+    a = p.select(F.col("p_partkey").alias("a"), "p_name", "p_brand", F.col("p_type").alias("type_a"), F.col("suppliers").alias("of_a"))
+    b = p.select(F.col("p_partkey").alias("b"), "p_name", "p_brand", F.col("p_type").alias("type_b"), F.col("suppliers").alias("of_b"))
+    # Null types are not different ones.
+    decision = F.when(F.col("type_a") != F.col("type_b"), "rejected").when(F.coalesce(F.arrays_overlap("of_a", "of_b"), F.lit(False)), "accept").otherwise("ambiguous_candidate")
+    return a.join(b, ["p_name", "p_brand"]).where("a < b").select("a", "b", decision.alias("decision"))
 
 
 @query("graph_audit", f"""WITH {EDGES}, f AS (

@@ -240,3 +240,11 @@ def test_normalised_text(spark):
 def test_titles_of_filenames(spark):
     names = spark.createDataFrame([("notes-on_RRF.md",)], "t string").select(T.title_of_filename(F.col("t"))).first()[0]
     assert names == "Notes On RRF"
+
+
+def test_pairs_of_merge_guards_are_not_shuffled(spark):
+    from sparkloom.plans.knowledge_queries import merge_guards
+
+    plan = merge_guards(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.splitlines()
+    assert top[0].startswith("Project") and top[1].lstrip("+- ").startswith("Join Inner") and "Aggregate" not in "".join(top[:3])
