@@ -21,10 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import annotate, documents, id_text, small_batches
+from sparkloom.operators.index import checked
 from sparkloom.storage import Workspace
 
-#: Labelled rows of each class that the classifier is fitted on at most.
-FIT_TOXIC, FIT_CLEAN = 8_000, 20_000
 #: A feature needs so many toxic rows and this share of them among its rows.
 LEAST_TOXIC, PRECISION = 5, 0.6
 THRESHOLD = 0.7
@@ -239,15 +238,28 @@ class Classifier:
         return score
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> list[float]:
-    """Ridge logistic regression by Newton steps: the weights, then the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
+def logistic(rows: DataFrame, size: int, penalty: float = 0.1) -> list[float]:
+    """Ridge logistic regression of rows (toxic, x) by Newton steps, each summed over all of them: the weights, then the bias."""
+    w, ridge = np.zeros(size + 1), np.full(size + 1, penalty)
     ridge[-1] = 1e-3
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
-        w += step
+
+        def sums(batches: Iterator[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(w) + 1, len(w)))
+            for b in batches:
+                if b.num_rows:
+                    x = np.hstack([b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), np.ones((b.num_rows, 1))])
+                    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                    total[:-1] += (x * (p * (1 - p))[:, None]).T @ x
+                    total[-1] += x.T @ (b.column(0).to_numpy() - p)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["place", "value"])
+
+        found = rows.select("toxic", "x").mapInArrow(sums, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+        total = np.zeros(len(w) * (len(w) + 1))
+        total[found.column(0).to_numpy()] = found.column(1).to_numpy()
+        total = total.reshape(-1, len(w))
+        step = np.linalg.solve(total[:-1] + np.diag(ridge), total[-1] - ridge * w)
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w.tolist()
@@ -280,30 +292,27 @@ def words_of(df: DataFrame) -> DataFrame:
     return df.select("toxic", "text").mapInArrow(run, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def choose(candidates: dict[str, tuple[int, int]], rows: list[list[str]], times: int = 4) -> list[str]:
-    """Features that together cover each toxic row ``times`` times if they can: always the one that adds most, until little is added."""
-    holds: dict[str, set[int]] = defaultdict(set)
-    for i, fs in enumerate(rows):
-        for f in fs:
-            holds[f].add(i)
-    left, wanted, chosen, least = set(range(len(rows))), Counter(dict.fromkeys(range(len(rows)), times)), [], max(3, len(rows) // 100)
-    while left:
-        worth = lambda f: (len(holds[f] & left) * (candidates[f][0] / sum(candidates[f])) ** 4, -len(f), f)
-        best = max(holds, key=worth, default=None)
-        if best is None or len(holds[best] & left) < least:
+def choose(candidates: dict[str, tuple[int, int]], patterns: DataFrame, least: int, times: int = 4) -> list[str]:
+    """Features that together cover each toxic row ``times`` times if they can: always the one that adds most, until little is added.
+
+    ``patterns`` has the features of toxic rows and n, how many have just these; each choice is a count over all of them.
+    """
+    alive, chosen = set(candidates), []
+    while alive:
+        left = patterns.where(F.size(F.array_intersect("features", F.array(*[F.lit(c) for c in chosen]).cast("array<string>"))) < times)
+        counts = left.select(F.explode("features").alias("f"), "n").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+        holds = {r["f"]: r["n"] for r in counts if r["f"] in alive}
+        if not holds:
             break
+        best = max(holds, key=lambda f: (holds[f] * (candidates[f][0] / sum(candidates[f])) ** 4, -len(f), f))
         chosen.append(best)
-        for i in holds.pop(best):
-            wanted[i] -= 1
         # Of a word and its beginnings that stand in the same rows one is enough.
-        for f in [f for f in holds if f[1:].startswith(best[1:]) or best[1:].startswith(f[1:])]:
-            del holds[f]
-        left = {i for i in left if wanted[i] > 0}
+        alive -= {f for f in alive if f[1:].startswith(best[1:]) or best[1:].startswith(f[1:])}
     return chosen
 
 
 def fit(df: DataFrame, labels: DataFrame, train: Callable[[str], object], id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Learn from labelled rows that ``train`` (a Column of the id) admits; at most FIT_TOXIC and FIT_CLEAN rows, by a hash of the id.
+    """Learn from all labelled rows that ``train`` (a Column of the id) admits.
 
     Of repeated labels the highest counts; null labels and texts teach nothing;
     equal texts of one class teach once. Without toxic or clean rows the score
@@ -313,10 +322,7 @@ def fit(df: DataFrame, labels: DataFrame, train: Callable[[str], object], id_col
     small_batches(spark)
     work = Workspace(spark, "toxicity")
     known = labels.where("doc_id is not null and toxic is not null").where(train(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    order = F.xxhash64(F.col("doc_id"), F.lit(7))
-    picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(FIT_TOXIC).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(FIT_CLEAN))
-    # At most FIT_TOXIC + FIT_CLEAN pairs of an id and a label are broadcast.
-    texts = id_text(df, id_col, text_col).where("text is not null").join(F.broadcast(picked), "doc_id").select("toxic", "text").dropDuplicates(["toxic", "text"])
+    texts = id_text(df, id_col, text_col).where("text is not null").join(checked(known), "doc_id").select("toxic", "text").dropDuplicates(["toxic", "text"])
     texts = work.put(texts, "texts")
     size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
@@ -346,7 +352,9 @@ def fit(df: DataFrame, labels: DataFrame, train: Callable[[str], object], id_col
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([e[0] for e in c.values()], pa.int64()), pa.array([e[1] for e in c.values()], pa.int64())], ["feature", "toxic", "clean"])
 
     by_feature = vocabulary.mapInArrow(stats, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    good = by_feature.where(f"toxic >= {LEAST_TOXIC} and toxic >= {PRECISION} * (toxic + clean)").collect()
+    # What stands in fewer rows is never chosen, so those that may be are bounded by the words of a hundred rows.
+    least = max(3, n_toxic // 100)
+    good = by_feature.where(f"toxic >= {max(LEAST_TOXIC, least)} and toxic >= {PRECISION} * (toxic + clean)").collect()
     candidates = {r["feature"]: (r["toxic"], r["clean"]) for r in good}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,8 +362,8 @@ def fit(df: DataFrame, labels: DataFrame, train: Callable[[str], object], id_col
             rows = [sorted({f for w in set(WORD.findall(t.lower())) for f in features(w) if f in candidates}) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["features"])
 
-    rows = [r["features"] for r in texts.where("toxic = 1").select("text").mapInArrow(held, "features array<string>").collect()]
-    chosen = choose(candidates, sorted(rows))
+    rows = texts.where("toxic = 1").select("text").mapInArrow(held, "features array<string>").where(F.size("features") > 0)
+    chosen = choose(candidates, work.put(rows.groupBy("features").agg(F.count(F.lit(1)).alias("n")), "patterns"), least)
     grams_known = dict(zip(chars.column(0).to_pylist(), chars.column(1).to_pylist()))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,16 +372,15 @@ def fit(df: DataFrame, labels: DataFrame, train: Callable[[str], object], id_col
             x = [count.vector(t).tolist() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    # At most FIT_TOXIC + FIT_CLEAN short rows reach the driver.
-    sample = sorted((r["toxic"], r["x"]) for r in texts.select("toxic", "text").mapInArrow(counted, "toxic int, x array<double>").collect())
+    weights = logistic(work.put(texts.select("toxic", "text").mapInArrow(counted, "toxic int, x array<double>"), "vectors"), len(chosen) + 1)
     work.drop()
-    return Classifier(chosen, logistic(np.array([x for _, x in sample]), np.array([y for y, _ in sample], float)), grams_known)
+    return Classifier(chosen, weights, grams_known)
 
 
 def with_score(df: DataFrame, model: Classifier, name: str = "score", text_col: str = "text") -> DataFrame:
     """``df`` with the score (0 to 1) of each row's text under ``name``; a null text is an empty one. All rows and columns stay."""
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the rows that it was fitted on
+    shared = df.sparkSession.sparkContext.broadcast(model)  # a few features, and sequences of four letters
 
     def make() -> Callable[[list[str | None]], pa.Array]:
         score = shared.value.scorer()

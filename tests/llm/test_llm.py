@@ -561,6 +561,17 @@ def test_long_runs_of_letters_and_signs(spark):
     assert time.process_time() - began < 60
 
 
+def test_every_labelled_row_teaches(spark, monkeypatch):
+    """Limits on the rows of a class, if there were any, change nothing: all are counted."""
+    monkeypatch.setattr(toxicity, "FIT_TOXIC", 20, raising=False)
+    monkeypatch.setattr(toxicity, "FIT_CLEAN", 20, raising=False)
+    _, df, labels, _ = lexicon(spark)
+    seen, words = [], toxicity.words_of
+    monkeypatch.setattr(toxicity, "words_of", lambda rows: seen.append(rows.count()) or words(rows))
+    model = toxicity.fit(df, labels, lambda c: F.lit(True))
+    assert seen == [400] and {f[1:4] for f in model.chosen} >= {"gru", "sna", "vod"}
+
+
 def test_toxicity_of_odd_rows_and_labels(spark, odd, empty):
     _, df, labels, _ = lexicon(spark, 100)
     model = toxicity.fit(df, labels.unionByName(spark.createDataFrame([(None, 1), (1, None), (2, 0), (2, 0), (99999, 1)], "doc_id long, toxic int")), lambda c: F.lit(True))
