@@ -34,11 +34,22 @@ class Index:
     avgdl: float
 
 
+#: Documents in a batch that is tokenised, its bytes, and tokens (a longer document is alone) that are sorted at once.
+POST_ROWS, POST_BYTES, POST_TOKENS = 1024, "8mb", 1 << 18
+
+
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch (doc_id, tokens) in runs of documents with POST_TOKENS tokens at most."""
+    ends, start = b.column(1).offsets.to_numpy(), 0
+    while start < b.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + POST_TOKENS, "right")) - 1)
+        yield b.slice(start, stop - start)
+        start = stop
+
+
 def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (doc_id, tokens) to postings: all of a document's tokens are in its row, so nothing is shuffled to count them."""
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in (part for whole in batches for part in slices(whole)):
         tokens = b.column(1)
         sizes = np.diff(tokens.offsets.to_numpy())
         words = tokens.flatten().dictionary_encode()

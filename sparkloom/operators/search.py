@@ -37,6 +37,8 @@ def unit(v: Column) -> Column:
 
 #: Queries that one pass over the vectors answers: they are broadcast, a larger set is taken in blocks.
 QUERY_BLOCK = 8192
+#: Cosines that a task holds at once: a batch of vectors meets so many queries at a time as give no more.
+CELLS = 1 << 20
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -65,10 +67,12 @@ def similarities(vectors: DataFrame, queries: DataFrame, keep: Callable[[np.ndar
                     x = unit_rows(b.column("v"))
                     if x.shape[1] != q.shape[1]:
                         raise ValueError("vectors of different dimensions")
-                    s = np.round(q @ x.T, 6) + 0.0
-                    i, j = keep(s, b)
-                    others = [b.column(k).take(pa.array(j)) for k, n in enumerate(b.schema.names) if n != "v"]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), *others, pa.array(s[i, j])], [f.name for f in shape])
+                    some = max(1, CELLS // len(x))
+                    for at in range(0, len(q), some):
+                        s = np.round(q[at : at + some] @ x.T, 6) + 0.0
+                        i, j = keep(s, b)
+                        others = [b.column(k).take(pa.array(j)) for k, n in enumerate(b.schema.names) if n != "v"]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[at + i]), *others, pa.array(s[i, j])], [f.name for f in shape])
 
         shape = T_StructType.fromDDL(schema).fields
         found = vectors.mapInArrow(run, schema)

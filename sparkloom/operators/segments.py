@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators.index import Index, checked, post
+from sparkloom.operators.index import POST_BYTES, POST_ROWS, Index, checked, post
 from sparkloom.storage import Workspace
 from sparkloom.versions import Versions
 
@@ -107,7 +107,15 @@ class SegmentedIndex:
                     fresh = fresh.repartition(2 * cores, "doc_id")
                 tokens = fresh.select("doc_id", F.coalesce(T.index_tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
                 rows = tokens.mapInArrow(post, POSTINGS)
-                segment = {"postings": self.versions.write(rows, "postings")}
+                bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(POST_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": POST_BYTES}
+                before = {k: self.spark.conf.get(k) for k in bounds}
+                try:
+                    for k, v in bounds.items():
+                        self.spark.conf.set(k, v)
+                    segment = {"postings": self.versions.write(rows, "postings")}
+                finally:
+                    for k, v in before.items():
+                        self.spark.conf.set(k, v)
                 written.append(segment["postings"])
                 added = self.versions.read(segment["postings"], POSTINGS)
                 sizes = added.groupBy("doc_id").agg(F.first("dl").alias("dl"))

@@ -255,3 +255,24 @@ def test_formulas_end_where_the_pattern_of_the_sql_ends(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", claims.content_terms(F.col("t")).alias("w"), F.size(claims.formulas(F.col("t"))).alias("n"))
     got = {r["i"]: (sorted(r["w"]), r["n"]) for r in df.collect()}
     assert got == {0: (["alpha", "delta"], 1), 1: (["alpha", "gamma"], 1), 2: (["alpha", "beta", "gamma"], 0), 3: (["alpha", "beta"], 1), 4: (["alpha", "gamma"], 2), 5: (["alpha", "beta", "delta"], 1)}
+
+
+def test_cosines_and_postings_are_made_in_bounded_pieces(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from sparkloom.operators import index, search
+
+    monkeypatch.setattr(index, "POST_TOKENS", 5)
+    docs = [["a", "b"], [], ["a", "a", "c"], list("defghij"), ["a"], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(docs, pa.list_(pa.string()))], ["doc_id", "tokens"])
+    assert [p.num_rows for p in index.slices(batch)] == [3, 1, 2]
+    got = {(t, d): (n, p) for b in index.post(iter([batch.slice(1), batch.slice(0, 0)])) for t, d, n, p in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4)))}
+    assert got == {(t, d): (docs[d].count(t), [i for i, x in enumerate(docs[d]) if x == t]) for d in range(1, 6) for t in docs[d]}
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 3))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, v array<double>")
+    q = v.withColumnRenamed("vec_id", "query_id").where("query_id < 11").select("query_id", "v")
+    whole = sorted(map(tuple, search.cosine_topk(v, q, 3).collect()))
+    monkeypatch.setattr(search, "CELLS", 7)
+    assert sorted(map(tuple, search.cosine_topk(v, q, 3).collect())) == whole and len(whole) == 33
