@@ -46,8 +46,15 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, similarity 0.8 or more."""
-    return first_of_each(docs, near_copy_groups)
+    """One document of each group that SimHash (op8's rule) and exact similarity (five words, 0.8 or more) link together."""
+
+    def groups(once: DataFrame) -> DataFrame:
+        work, kept = Workspace(spark, "fingerprints"), Workspace(spark, "simhash-groups")
+        by_bits = kept.put(simhash_groups(once, work=work).select("doc_id", "component_id"), "groups")
+        work.drop()
+        return near_copy_groups(once, known=by_bits)
+
+    return first_of_each(docs, groups)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,10 @@ those that are left when a set may miss a fifth of its members (prefix filter).
 So only these are indexed, rarest first by counts of a sample; the order decides
 how many candidates there are, never which pairs are found. Candidates are
 verified on their whole sets. In buckets over SMALL members all are first judged
-against one of them, then only what is in different components so far.
+against one of them, then only what is in different components so far. Pairs are
+let go before their sets are read where sketches show that too much differs: of
+two sets' counts in CELLS cells, the differences add up to no more than the
+shingles that only one of the sets has.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ NUM, DEN = 4, 5
 SLOTS, SAMPLE = 1 << 20, 200_000
 #: Members up to which all pairs of a bucket are candidates at once.
 SMALL = 32
+#: Cells of a sketch, and the cells of it that are compared at once.
+CELLS, AT_ONCE = 64, 1 << 22
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -38,6 +43,21 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], np.uint64))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles of a set are in each cell, 255 at most."""
+    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def cells(sketches: pa.Array | list[bytes]) -> np.ndarray:
+    rows = sketches.to_pylist() if isinstance(sketches, pa.Array) else sketches
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, CELLS).astype(np.int16)
+
+
+def may_be_near(x: np.ndarray, y: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether sets with these cells, which hold ``both`` shingles together, can be similar enough."""
+    return (NUM + DEN) * np.abs(x - y).sum(axis=-1, dtype=np.int64) <= (DEN - NUM) * both
+
+
 def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(SLOTS, np.int64)
     for b in batches:
@@ -50,28 +70,29 @@ def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, node (a hash of the set), n (its size) and prefix (the shingles to index)."""
+    """doc_id, node (a hash of the set), n (its size), sketch and prefix (the shingles to index)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # SLOTS numbers at any size
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         often = shared.value
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, sketches, prefixes = [], [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingles(t)
                 order = np.lexsort((s, often[(s & np.uint64(SLOTS - 1)).astype(np.int64)]))
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(len(s))
+                sketches.append(sketch(s))
                 prefixes.append(s[order[: len(s) - -(-NUM * len(s) // DEN) + 1]].view(np.int64))
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "node", "n", "prefix"],
+                [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "node", "n", "sketch", "prefix"],
             )
 
         return run
 
-    return map_batches(docs, "doc_id long, node long, n long, prefix array<long>", make)
+    return map_batches(docs, "doc_id long, node long, n long, sketch binary, prefix array<long>", make)
 
 
 def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -101,30 +122,70 @@ def pairs_out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of buckets (shingle, node, n): all pairs of small ones, one member with all others of large ones."""
-    for _, node, n in buckets(batches):
+    """Candidates of buckets (shingle, node, part, n) in different parts: all pairs of small buckets, one member with all others of large ones."""
+    for _, node, part, n in buckets(batches):
+        if (part == part[0]).all():
+            continue
         for i in range(len(node) - 1 if len(node) <= SMALL else 1):
-            near = near_size(n[i + 1 :], n[i])
+            near = near_size(n[i + 1 :], n[i]) & (part[i + 1 :] != part[i])
             if near.any():
                 yield pairs_out(np.full(int(near.sum()), node[i]), node[i + 1 :][near])
 
 
 def other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of large buckets (shingle, node, n, part) whose members are in different parts so far."""
-    for _, node, n, part in buckets(batches):
+    """Candidates of large buckets (shingle, node, n, part, sketch) whose members are in different parts so far.
+
+    Members are taken by size: only the next ones, up to a quarter larger, can be near.
+    """
+    for _, node, n, part, sketches in buckets(batches):
         if len(node) <= SMALL or (part == part[0]).all():
             continue
+        order = np.argsort(n, kind="stable")
+        node, n, part, grid = node[order], n[order], part[order], cells([sketches[i] for i in order])
+        ends = np.searchsorted(n, n * DEN // NUM, "right")
         for i in range(len(node) - 1):
-            near = near_size(n[i + 1 :], n[i]) & (part[i + 1 :] != part[i])
-            if near.any():
-                yield pairs_out(np.full(int(near.sum()), node[i]), node[i + 1 :][near])
+            for j in range(i + 1, int(ends[i]), AT_ONCE // CELLS):
+                k = slice(j, min(int(ends[i]), j + AT_ONCE // CELLS))
+                near = np.flatnonzero(part[k] != part[i])
+                near = near[may_be_near(grid[k][near], grid[i], n[k][near] + n[i])]
+                if len(near):
+                    yield pairs_out(np.full(len(near), node[i]), node[k][near])
+
+
+def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that can be near by their sizes and sketches (n, m, x, y)."""
+    for b in batches:
+        if b.num_rows:
+            ok = may_be_near(cells(b.column(4)), cells(b.column(5)), b.column(2).to_numpy() + b.column(3).to_numpy())
+            yield b.select(["a", "b"]).filter(pa.array(ok))
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the links (a, b) in each batch as many as its components need."""
+    for batch in batches:
+        root: dict[int, int] = {}
+        kept = []
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:  # noqa: B023
+                root[x] = x = root.setdefault(up, up)  # noqa: B023
+            return x
+
+        for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                kept.append(i)
+        yield batch.take(pa.array(kept, pa.int64()))
 
 
-def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
     """doc_id and component_id (the smallest doc_id linked to it, directly or not) for each row.
 
     Rows are linked when the Jaccard similarity of their sets of shingles is 0.8
     or more; null and empty texts are equal. Ids must be unique and not null.
+    ``known`` (doc_id, component_id: one of the group's ids) names groups that are
+    linked as well, whatever their similarity; no pair within one is looked at.
     """
     spark: SparkSession = df.sparkSession
     small_batches(spark)
@@ -138,13 +199,30 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     member = work.put(sets(docs, counts), "sets")
     named_by = work.put(member.select("doc_id", "node"), "members")
-    classes = work.put(member.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("members")), "classes")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    postings = classes.select(F.explode("prefix").alias("shingle"), "node", "n")
+    links = named_by.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    if known is not None:
+        root = named_by.select(F.col("doc_id").alias("component_id"), F.col("node").alias("a"))
+        others = known.where("doc_id <> component_id").join(named_by, "doc_id").select("component_id", F.col("node").alias("b"))
+        links = work.put(others.join(root, "component_id").where("a <> b").select("a", "b").distinct(), "links-known")
+    grouped = member.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "prefix")], F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
+
+    def parted(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """``nodes`` with the component that the links put each in."""
+        parts = connected_components(links.mapInArrow(forest, "a long, b long"), work, name=name).withColumnRenamed("node", "of")
+        return nodes.join(parts, F.col("node") == F.col("of"), "left").select(*nodes.columns, F.coalesce("component", "node").alias("part"))
+
+    classes = work.put(parted(grouped, links, "known"), "classes")
+    work.drop("sets")
+    postings = classes.select(F.explode("prefix").alias("shingle"), "node", "part", "n")
 
     def verified(found: DataFrame, name: str) -> DataFrame:
         """The candidates whose similarity is enough."""
         pairs = work.put(found.distinct(), f"candidates-{name}")
+        end = lambda c, n, x: classes.select(F.col("node").alias(c), F.col("n").alias(n), F.col("sketch").alias(x))
+        both = pairs.join(end("a", "n", "x"), "a").join(end("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+        pairs = work.put(both.mapInArrow(sketched, "a long, b long"), f"likely-{name}")
+        work.drop(f"candidates-{name}")
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = classes.select("node", "rep").join(nodes, "node", "left_semi")
         small_batches(spark)
@@ -160,20 +238,18 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         both = pairs.join(whole.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         links = work.put(both.where((NUM + DEN) * common >= NUM * (F.size("x") + F.size("y"))).select("a", "b"), f"links-{name}")
-        work.drop(f"candidates-{name}", f"whole-{name}")
+        work.drop(f"likely-{name}", f"whole-{name}")
         return links
 
     first = postings.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(first_pairs, "a long, b long")
-    links = verified(first, "first")
-    parts = connected_components(links, work, name="parts")
+    links = links.unionByName(verified(first, "first"))
     large = postings.groupBy("shingle").count().where(F.col("count") > SMALL).select("shingle")
-    rest = postings.join(large, "shingle").join(parts.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-    rest = rest.select("shingle", "node", "n", F.coalesce("component", "node").alias("part"))
+    of = parted(classes.select("node", "sketch"), links, "parts")
+    rest = postings.select("shingle", "node", "n").join(large, "shingle").join(of, "node").select("shingle", "node", "n", "part", "sketch")
     second = rest.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(other_pairs, "a long, b long")
     links = links.unionByName(verified(second, "second"))
-    parts = connected_components(links, work).withColumnRenamed("node", "of")
-    named = classes.join(parts, F.col("node") == F.col("of"), "left").select("node", "rep", "members", F.coalesce("component", "node").alias("part"))
+    named = parted(classes.select("node", "rep", "members"), links, "components")
     least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
     named = work.put(named.join(least, "part").select("node", "component_id", "members"), "named")
-    work.drop("sets", "classes", "links-first", "links-second")
+    work.drop("classes", "links-known", "links-first", "links-second")
     return labelled(named_by, named, "node", "members").select("doc_id", "component_id")

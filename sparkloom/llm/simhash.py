@@ -236,7 +236,7 @@ def links(fps: DataFrame, work: Workspace) -> DataFrame:
     return first.where("not again").select("a", "b").unionByName(second.select("a", "b"))
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id linked to it, directly or not) for each row.
 
     Fingerprints are linked when they differ in three bits or fewer. Null and
@@ -245,7 +245,7 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Repeated rows stay and share a component. Other columns are left out.
     """
     spark = df.sparkSession
-    work = Workspace(spark, "simhash")
+    work = work or Workspace(spark, "simhash")
     docs = work.put(fingerprints(df, id_col, text_col), "fingerprints")
     classes = work.put(docs.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")

@@ -2,12 +2,14 @@
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from sparkloom.llm import decontaminate, toxicity
+from sparkloom.llm import decontaminate, nearcopies, toxicity
 from sparkloom.llm.nearcopies import near_copy_groups
 from tests.llm.test_llm import fingerprint, linked, removed
 
@@ -114,6 +116,39 @@ def test_near_copies_are_all_linked(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_simhash_is_a_step_of_its_stage(spark):
+    # Every fifth word of a long text of one repeated line differs: the bits are those of the line, the sets are not alike.
+    words = [f"w{i}" for i in range(20)]
+    texts = [" ".join(words * 100), " ".join(words * 100) + " " + " ".join(f"y{i}" for i in range(30)), "something else altogether stands here"]
+    assert (fingerprint(texts[0]) ^ fingerprint(texts[1])).bit_count() <= 3
+    df = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len({r["component_id"] for r in near_copy_groups(df).collect()}) == 3
+    assert sorted(r["doc_id"] for r in dict(pipeline.STAGES)["simhash"](spark, df, SF).collect()) == [0, 2]
+
+
+def test_members_that_differ_are_no_candidates():
+    # A bucket of 400 sets of 100 shingles that share one shingle, and two that are near.
+    rng = np.random.default_rng(5)
+    held = [np.append(rng.integers(0, 1 << 64, 99, np.uint64), np.uint64(7)) for _ in range(400)]
+    held.append(np.append(held[0][:-2], rng.integers(0, 1 << 64, 2, np.uint64)))
+    n = len(held)
+    rows = [np.full(n, 7), np.arange(n), np.full(n, 100), np.arange(n), [nearcopies.sketch(np.unique(s)) for s in held]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["shingle", "node", "n", "part", "sketch"])
+    pairs = [(r["a"], r["b"]) for b in nearcopies.other_pairs(iter([batch])) for r in b.to_pylist()]
+    assert (0, n - 1) in pairs and len(pairs) < n
+
+
+def test_links_are_thinned_to_what_connects():
+    ends = [(a, b) for a in range(50) for b in range(a + 1, 50)] + [(70, 71), (72, 71)]
+    batch = pa.RecordBatch.from_arrays([pa.array([a for a, _ in ends]), pa.array([b for _, b in ends])], ["a", "b"])
+    (kept,) = nearcopies.forest(iter([batch]))
+    root = {x: x for e in ends for x in e}
+    for r in kept.to_pylist():
+        old, new = root[r["b"]], root[r["a"]]
+        root = {x: new if y == old else y for x, y in root.items()}
+    assert kept.num_rows == 51 and len(set(root.values())) == 2
+
+
 def test_stages_keep_columns_with_clashing_names(spark):
     names = ["score", "score_", "scores", "hits", "_score", "_cut", "_hits", "n", "record", "spans", "kept", "ids", "ord", "component_id", "fp", "node"]
     rows = [(i, f"document {i} says " + " ".join(f"w{i}x{k}" for k in range(40)), *[f"{c}{i}" for c in names]) for i in range(20)]
