@@ -6,6 +6,8 @@ a row: a place counts only if it is the only one of its kind.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def fingerprints(lines: Column) -> Column:
     return F.transform(bare(lines), lambda x: F.xxhash64(x))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named: a column named twice is worked out twice within a row's lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def upto(n: Column) -> Column:
     """0 to n - 1; none for n under 1."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -87,12 +94,16 @@ def note_sections(text: Column) -> Column:
 def piece_around(section: Column, selection: Column, terms: Column, room: Column) -> Column:
     """A slice of a long section around the selection, or else the first term in it; empty if neither is there."""
     picked = F.when(F.length(selection) > 0, F.call_function("position", F.substring(selection, 1, SELECTED), section)).otherwise(0)
-    hit = F.filter(F.transform(terms, lambda w: F.call_function("position", w, F.lower(section))), lambda p: p > 0)
-    at = F.when(picked > 0, picked - 1).otherwise(F.coalesce(F.try_element_at(hit, F.lit(1)), F.lit(0)) - 1)
+    hit = once(F.lower(section), lambda low: F.filter(F.transform(terms, lambda w: F.call_function("position", w, low)), lambda p: p > 0))
+    first = F.when(picked > 0, picked - 1).otherwise(F.coalesce(F.try_element_at(hit, F.lit(1)), F.lit(0)) - 1)
     half = F.floor(room / 2).cast("int")
-    start, end = F.greatest(F.lit(0), at - half), F.least(F.length(section), at + half)
-    inner = F.trim(section.substr(start + 1, end - start))
-    return F.when(at >= 0, F.concat(F.when(start > 0, EARLIER).otherwise(""), inner, F.when(end < F.length(section), REST).otherwise(""))).otherwise("")
+
+    def slice_at(at: Column) -> Column:
+        start, end = F.greatest(F.lit(0), at - half), F.least(F.length(section), at + half)
+        inner = F.trim(section.substr(start + 1, end - start))
+        return F.when(at >= 0, F.concat(F.when(start > 0, EARLIER).otherwise(""), inner, F.when(end < F.length(section), REST).otherwise(""))).otherwise("")
+
+    return once(first, slice_at)
 
 
 def note_window(text: Column, question: Column, selection: Column, budget: int) -> Column:
@@ -104,34 +115,51 @@ def note_window(text: Column, question: Column, selection: Column, budget: int)
     They come in the note's order with marks where text was left out. With no
     section, or nothing shared, the note's beginning stays. A null note is empty.
     """
-    note, asked, picked = F.coalesce(text, F.lit("")), note_terms(question), note_terms(selection)
-    chosen = F.coalesce(selection, F.lit(""))
+    given = F.struct(F.coalesce(text, F.lit("")).alias("note"), F.coalesce(selection, F.lit("")).alias("chosen"), note_terms(question).alias("asked"), note_terms(selection).alias("picked"))
+    return once(given, lambda g: given_window(g["note"], g["chosen"], g, budget))
 
-    def scored(s: Column, i: Column) -> Column:
-        t = note_terms(s)
-        literal = F.when((F.length(chosen) > 0) & F.contains(s, F.substring(chosen, 1, SELECTED)), 50).otherwise(0)
-        score = F.size(F.array_intersect(asked, t)) + 2 * F.size(F.array_intersect(picked, t)) + literal
-        return F.struct((-score).alias("rank"), i.alias("i"), s.alias("s"))
 
-    ranked = F.filter(F.array_sort(F.transform(note_sections(note), scored)), lambda x: x["rank"] < 0)
+def given_window(note: Column, chosen: Column, terms: Column, budget: int) -> Column:
+    """The window of a note and a selection that are there, with the terms (asked, picked)."""
     kept_type = "array<struct<i:int,s:string>>"
-    start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("cut"), F.array().cast(kept_type).alias("kept"))
-
-    def take(state: Column, x: Column) -> Column:
-        room = F.lit(budget) - state["used"]
-        fits = F.length(x["s"]) <= room
-        piece = F.when(fits, x["s"]).when((room >= LEAST_ROOM) & ~state["cut"], piece_around(x["s"], chosen, F.concat(picked, asked), room)).otherwise("")
-        taken = F.length(piece) > 0
-        return F.struct(
-            (state["used"] + F.length(piece)).alias("used"), (state["cut"] | (taken & ~fits)).alias("cut"),
-            F.when(taken, F.concat(state["kept"], F.array(F.struct(x["i"].alias("i"), piece.alias("s"))))).otherwise(state["kept"]).alias("kept"),
-        )
-
-    kept = F.array_sort(F.aggregate(ranked, start, take)["kept"])
-    # What is before a section and was not kept leaves one mark.
-    join0 = F.struct(F.lit(-1).alias("last"), F.array().cast("array<string>").alias("parts"))
-    joined = F.aggregate(kept, join0, lambda a, x: F.struct(x["i"].alias("last"), F.concat(a["parts"], F.when(x["i"] > a["last"] + 1, F.array(F.lit(BETWEEN))).otherwise(F.array().cast("array<string>")), F.array(x["s"])).alias("parts")))
-    n = F.size(note_sections(note))
-    whole = F.array_join(F.concat(joined["parts"], F.when(joined["last"] < n - 1, F.array(F.lit(LATER))).otherwise(F.array().cast("array<string>"))), "\n")
+
+    def ranked(sections: Column, given: Column) -> Column:
+        def scored(s: Column, i: Column) -> Column:
+            literal = F.when((F.length(chosen) > 0) & F.contains(s, F.substring(chosen, 1, SELECTED)), 50).otherwise(0)
+            score = once(note_terms(s), lambda t: F.size(F.array_intersect(given["asked"], t)) + 2 * F.size(F.array_intersect(given["picked"], t)) + literal)
+            return F.struct((-score).alias("rank"), i.alias("i"), s.alias("s"))
+
+        return F.filter(F.array_sort(F.transform(sections, scored)), lambda x: x["rank"] < 0)
+
+    def kept(rows: Column, given: Column) -> Column:
+        start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("cut"), F.array().cast(kept_type).alias("kept"))
+
+        def take(state: Column, x: Column) -> Column:
+            room = F.lit(budget) - state["used"]
+            fits = F.length(x["s"]) <= room
+            piece = F.when(fits, x["s"]).when((room >= LEAST_ROOM) & ~state["cut"], piece_around(x["s"], chosen, F.concat(given["picked"], given["asked"]), room)).otherwise("")
+
+            def taken(p: Column) -> Column:
+                return F.struct(
+                    (state["used"] + F.length(p)).alias("used"), (state["cut"] | ((F.length(p) > 0) & ~fits)).alias("cut"),
+                    F.when(F.length(p) > 0, F.concat(state["kept"], F.array(F.struct(x["i"].alias("i"), p.alias("s"))))).otherwise(state["kept"]).alias("kept"),
+                )
+
+            return once(piece, taken)
+
+        return F.array_sort(F.aggregate(rows, start, take)["kept"])
+
+    def put_together(rows: Column, n: Column) -> Column:
+        # What is before a section and was not kept leaves one mark.
+        join0 = F.struct(F.lit(-1).alias("last"), F.array().cast("array<string>").alias("parts"))
+        joined = F.aggregate(rows, join0, lambda a, x: F.struct(x["i"].alias("last"), F.concat(a["parts"], F.when(x["i"] > a["last"] + 1, F.array(F.lit(BETWEEN))).otherwise(F.array().cast("array<string>")), F.array(x["s"])).alias("parts")))
+        whole = once(joined, lambda j: F.array_join(F.concat(j["parts"], F.when(j["last"] < n - 1, F.array(F.lit(LATER))).otherwise(F.array().cast("array<string>"))), "\n"))
+        return F.regexp_replace(whole, r"^\s+|\s+$", "")
+
     head = F.concat(F.substring(note, 1, budget), F.lit(CUT))
-    return F.when(F.length(note) <= budget, note).when((n <= 1) | (F.size(kept) == 0), head).otherwise(F.regexp_replace(whole, r"^\s+|\s+$", ""))
+
+    def window_of(sections: Column) -> Column:
+        rows = kept(ranked(sections, terms), terms)
+        return F.when(F.size(sections) <= 1, head).otherwise(once(rows, lambda r: F.when(F.size(r) == 0, head).otherwise(put_together(r, F.size(sections)))))
+
+    return F.when(F.length(note) <= budget, note).otherwise(once(note_sections(note), window_of))

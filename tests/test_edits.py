@@ -102,3 +102,9 @@ def test_windows_equal_a_plain_program(spark):
         got = {r["id"]: r["w"] for r in df.select("id", E.note_window(F.col("note"), F.col("question"), F.col("selection"), budget).alias("w")).collect()}
         for i, r in enumerate(rows):
             assert got[i] == window(*r, budget), (budget, r)
+
+
+def test_a_window_works_its_parts_out_once(spark):
+    df = spark.createDataFrame([("a", "b", "c")], "note string, question string, selection string")
+    plan = df.select(E.note_window(F.regexp_replace("note", "x", "mark of the note"), F.col("question"), F.concat("selection", F.lit("mark of the selection")), 300).alias("w"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("mark of the note") == 1 and plan.count("(?=#{1,6}") == 1 and plan.count("mark of the selection") <= 2
