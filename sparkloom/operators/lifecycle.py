@@ -37,6 +37,15 @@ def newest(rows: DataFrame, keys: list[str], clock: str, keep: list[str]) -> Dat
     return rows.groupBy(*by).agg(*[F.max_by(c, clock).alias(c) for c in others], *[F.min_by(c, clock).alias(c) for c in keep])
 
 
+def rewritten(rows: DataFrame) -> DataFrame:
+    """src, dst and state (retired or new) of relations that only ``old`` or only ``now`` rows hold; null ends are equal.
+
+    One aggregation finds both: its flags are combined before they are shuffled, and no set of relations is built for a join.
+    """
+    seen = rows.where("old or now").groupBy("src", "dst").agg(F.bool_or("old").alias("old"), F.bool_or("now").alias("now"))
+    return seen.where("old <> now").select("src", "dst", F.when(F.col("old"), "retired").otherwise("new").alias("state"))
+
+
 def redirect(edges: DataFrame, merges: DataFrame, work_columns: tuple[str, str] = ("src", "dst")) -> DataFrame:
     """Edges with their ends led to the survivors of accepted merges (origin, survivor), and what they were, so that a merge can be taken back."""
     src, dst = work_columns

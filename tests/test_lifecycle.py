@@ -66,3 +66,11 @@ def test_headings(spark):
     lines = ["1. Introduction", "2.1. Methods here", "RESULTS AND MORE", "Future work:", "plain text", "", "x" * 90, "1.2 lower", "Abstract."]
     got = {r["title"]: r["level"] for r in headings(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, line string")).collect()}
     assert got == {"1. Introduction": 1, "2.1. Methods here": 2, "RESULTS AND MORE": 1, "Future work:": 1, "Abstract.": 1}
+
+
+def test_rewritten_relations_need_one_shuffle_and_null_ends_are_equal(spark):
+    rows = [(1, 2, True, False), (1, 2, False, True), (1, 3, True, False), (1, 3, True, False), (2, 2, False, True), (None, 5, True, False), (None, 5, False, True), (None, 6, False, True), (9, 9, False, False)]
+    got = L.rewritten(spark.createDataFrame(rows, "src long, dst long, old boolean, now boolean"))
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, 3, "retired"), (2, 2, "new"), (None, 6, "new")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
