@@ -84,14 +84,22 @@ SELECT source_id, pos, round(score * (0.6 + 0.4 * quality), 4) AS score, CASE WH
 FROM sc JOIN rows_ USING (source_id, pos) ORDER BY score DESC, source_id, pos LIMIT 20""")
 def bm25_page_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The best pages (paragraphs) by the page formula, better text counting for more, and the best line of each (here the one it has)."""
-    rows = document_spans(spark, sf).select("source_id", "pos", "text", page_tokens(F.col("text")).alias("tokens"), T.text_quality(F.col("text")).alias("quality")).withColumn("dl", F.size("tokens"))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
-    wanted = F.filter("tokens", lambda t: t.isin(PAGE_QUESTION))
-    tf = rows.select("source_id", "pos", "dl", "quality", "text", F.explode(wanted).alias("term")).groupBy("source_id", "pos", "dl", "quality", "text", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))))
-    # One row for each word of the question, and one row of numbers.
-    scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("source_id", "pos", "quality", "text").agg(F.sum(part).alias("sum"))
+    tokens = document_spans(spark, sf).select("source_id", "pos", "text", page_tokens(F.col("text")).alias("tokens"))
+    rows = tokens.select("source_id", "pos", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(PAGE_QUESTION)).alias("wanted"), "text")
+    # Pages are made and read once; only those that hold a word of the question keep their text.
+    pages = Workspace(spark, "pages").put(rows.withColumn("text", F.when(F.size("wanted") > 0, F.col("text"))), "pages")
+    stats = pages.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
+    found = pages.where(F.size("wanted") > 0)
+    df = found.select(F.explode(F.array_distinct("wanted")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # One row of numbers, with one entry for each word of the question.
+    numbers = stats.crossJoin(df.agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("dfs")))
+
+    def part(t: F.Column) -> F.Column:
+        tf, df = F.size(F.filter("wanted", lambda x: x == t)), F.element_at("dfs", t)
+        return F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))))
+
+    total = F.aggregate(F.transform(F.array_distinct("wanted"), part), F.lit(0.0), lambda a, x: a + x)
+    scored = found.crossJoin(F.broadcast(numbers)).select("source_id", "pos", "text", total.alias("sum"), T.text_quality(F.col("text")).alias("quality"))
     line = F.when(F.length("text") > 360, F.concat(F.substring("text", 1, 357), F.lit("..."))).otherwise(F.col("text"))
     best = scored.select("source_id", "pos", F.round(F.col("sum") * (0.6 + 0.4 * F.col("quality")), 4).alias("score"), line.alias("snippet"))
     return best.orderBy(F.desc("score"), "source_id", "pos").limit(20)
