@@ -5,10 +5,13 @@ those that are left when a set may miss a fifth of its members (prefix filter).
 So only these are indexed, rarest first by counts of a sample; the order decides
 how many candidates there are, never which pairs are found. Candidates are
 verified on their whole sets. In buckets over SMALL members all are first judged
-against one of them, then only what is in different components so far. Pairs are
-let go before their sets are read where sketches show that too much differs: of
-two sets' counts in CELLS cells, the differences add up to no more than the
-shingles that only one of the sets has.
+against one of them, then each against the one whose sketch is nearest, then only
+what is in different components so far; of buckets with the same members one is
+read. Pairs are let go before their sets are read
+where sketches show that too much differs: a sketch holds, for each of its cells,
+whether the set has an odd number of shingles there, and two sketches differ in no
+more cells than there are shingles in only one of the sets. Cells grow with the
+set, so that at any size up to MOST_CELLS most of what differs shows.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ NUM, DEN = 4, 5
 SLOTS, SAMPLE = 1 << 20, 200_000
 #: Members up to which all pairs of a bucket are candidates at once.
 SMALL = 32
-#: Cells of a sketch, and the cells of it that are compared at once.
-CELLS, AT_ONCE = 64, 1 << 22
+#: Cells of a sketch (a power of two, two for each shingle), and the words of 64 cells that are compared at once.
+LEAST_CELLS, MOST_CELLS, AT_ONCE = 512, 8192, 1 << 20
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -44,18 +47,33 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """How many shingles of a set are in each cell, 255 at most."""
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+    """Whether the number of a set's shingles in each cell is odd, a bit for each."""
+    m = min(MOST_CELLS, max(LEAST_CELLS, 1 << (2 * len(s) - 1).bit_length()))
+    odd = np.bincount((s >> np.uint64(32) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def cells(sketches: pa.Array | list[bytes]) -> np.ndarray:
-    rows = sketches.to_pylist() if isinstance(sketches, pa.Array) else sketches
-    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, CELLS).astype(np.int16)
+def folded(grid: np.ndarray, words: int) -> np.ndarray:
+    """Sketches with so many words of 64 cells: halves are added, since a cell's number loses its highest bit."""
+    while grid.shape[1] > words:
+        half = grid.shape[1] // 2
+        grid = grid[:, :half] ^ grid[:, half:]
+    return grid
 
 
-def may_be_near(x: np.ndarray, y: np.ndarray, both: np.ndarray) -> np.ndarray:
-    """Whether sets with these cells, which hold ``both`` shingles together, can be similar enough."""
-    return (NUM + DEN) * np.abs(x - y).sum(axis=-1, dtype=np.int64) <= (DEN - NUM) * both
+def cells(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one length as rows of words."""
+    return np.frombuffer(b"".join(sketches), "<u8").reshape(len(sketches), -1)
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many cells these sketches differ."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def may_be_near(cells_apart: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether sets whose sketches differ in so many cells, which hold ``both`` shingles together, can be similar enough."""
+    return (NUM + DEN) * cells_apart <= (DEN - NUM) * both
 
 
 def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,41 +140,80 @@ def pairs_out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of buckets (shingle, node, part, n) in different parts: all pairs of small buckets, one member with all others of large ones."""
-    for _, node, part, n in buckets(batches):
+    """Candidates of buckets (shingle, node, part, n) in different parts: all pairs of small buckets, one member with all others of large ones.
+
+    Each large bucket is named as well: its shingle and a hash of its members, with their number as ``large`` (0: a pair).
+    """
+    for shingle, node, part, n in buckets(batches):
         if (part == part[0]).all():
             continue
         for i in range(len(node) - 1 if len(node) <= SMALL else 1):
             near = near_size(n[i + 1 :], n[i]) & (part[i + 1 :] != part[i])
             if near.any():
-                yield pairs_out(np.full(int(near.sum()), node[i]), node[i + 1 :][near])
+                out = pairs_out(np.full(int(near.sum()), node[i]), node[i + 1 :][near])
+                yield out.append_column("large", pa.array(np.zeros(out.num_rows, np.int64)))
+        if len(node) > SMALL:
+            name = np.array([xxhash.xxh64_intdigest(np.sort(node).tobytes(), SEED)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[:1]), pa.array(name), pa.array([len(node)], pa.int64())], ["a", "b", "large"])
+
+
+def nearest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the candidates that each member of a large bucket has, the one with the nearest sketch."""
+    return other_pairs(batches, nearest=True)
 
 
-def other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def other_pairs(batches: Iterator[pa.RecordBatch], nearest: bool = False) -> Iterator[pa.RecordBatch]:
     """Candidates of large buckets (shingle, node, n, part, sketch) whose members are in different parts so far.
 
     Members are taken by size: only the next ones, up to a quarter larger, can be near.
+    With ``nearest`` each member has the likeliest of them only.
     """
     for _, node, n, part, sketches in buckets(batches):
         if len(node) <= SMALL or (part == part[0]).all():
             continue
         order = np.argsort(n, kind="stable")
-        node, n, part, grid = node[order], n[order], part[order], cells([sketches[i] for i in order])
+        node, n, part, sketches = node[order], n[order], part[order], [sketches[i] for i in order]
         ends = np.searchsorted(n, n * DEN // NUM, "right")
-        for i in range(len(node) - 1):
-            for j in range(i + 1, int(ends[i]), AT_ONCE // CELLS):
-                k = slice(j, min(int(ends[i]), j + AT_ONCE // CELLS))
-                near = np.flatnonzero(part[k] != part[i])
-                near = near[may_be_near(grid[k][near], grid[i], n[k][near] + n[i])]
-                if len(near):
-                    yield pairs_out(np.full(len(near), node[i]), node[k][near])
+        # Longer sketches belong to larger sets, so sketches of one length stand together.
+        words = np.array([len(s) // 8 for s in sketches])
+        starts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+        levels = [(int(at), int(end), cells(sketches[at:end])) for at, end in zip(starts, np.append(starts[1:], len(node)))]
+        of = np.searchsorted(starts, np.arange(len(node)), "right") - 1
+        for at, end, own in levels:
+            first = int(of[at])
+            grids = {first: own}
+            for i in range(at, end):
+                best = (MOST_CELLS + 1, -1)
+                for level in range(first, int(of[ends[i] - 1]) + 1):
+                    begin, stop, grid = levels[level]
+                    if level not in grids:
+                        grids[level] = folded(grid, own.shape[1])
+                    stop, step = min(stop, int(ends[i])), AT_ONCE // own.shape[1]
+                    for j in range(max(begin, i + 1), stop, step):
+                        k = slice(j, min(stop, j + step))
+                        near = np.flatnonzero(part[k] != part[i])
+                        apart = differing(grids[level][j - begin + near], own[i - at])
+                        ok = may_be_near(apart, n[k][near] + n[i])
+                        near, apart = near[ok], apart[ok]
+                        if nearest and len(near):
+                            best = min(best, (int(apart.min()), j + int(near[apart.argmin()])))
+                        elif len(near):
+                            yield pairs_out(np.full(len(near), node[i]), node[k][near])
+                if best[1] >= 0:
+                    yield pairs_out(node[i : i + 1], node[best[1] : best[1] + 1])
 
 
 def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) that can be near by their sizes and sketches (n, m, x, y)."""
     for b in batches:
+        x, y, both = b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(2).to_numpy() + b.column(3).to_numpy()
+        sizes = np.array([[len(s) for s in x], [len(s) for s in y]]).reshape(2, -1)
+        ok = np.zeros(b.num_rows, bool)
+        for size in np.unique(sizes, axis=1).T:
+            at = np.flatnonzero((sizes == size[:, None]).all(axis=0))
+            words = int(size.min()) // 8
+            ok[at] = may_be_near(differing(folded(cells([x[i] for i in at]), words), folded(cells([y[i] for i in at]), words)), both[at])
         if b.num_rows:
-            ok = may_be_near(cells(b.column(4)), cells(b.column(5)), b.column(2).to_numpy() + b.column(3).to_numpy())
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
 
@@ -241,15 +298,19 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         work.drop(f"likely-{name}", f"whole-{name}")
         return links
 
-    first = postings.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(first_pairs, "a long, b long")
-    links = links.unionByName(verified(first, "first"))
-    large = postings.groupBy("shingle").count().where(F.col("count") > SMALL).select("shingle")
-    of = parted(classes.select("node", "sketch"), links, "parts")
-    rest = postings.select("shingle", "node", "n").join(large, "shingle").join(of, "node").select("shingle", "node", "n", "part", "sketch")
-    second = rest.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(other_pairs, "a long, b long")
-    links = links.unionByName(verified(second, "second"))
+    first = postings.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(first_pairs, "a long, b long, large long")
+    first = work.put(first, "first")
+    links = links.unionByName(verified(first.where("large = 0").select("a", "b"), "first"))
+    # Of buckets with the same members one will do.
+    large = first.where("large > 0").groupBy("large", "b").agg(F.min("a").alias("shingle")).select("shingle")
+    members = work.put(postings.select("shingle", "node", "n").join(large, "shingle"), "large")
+    for name, pairs in ("second", nearest_pairs), ("third", other_pairs):
+        of = parted(classes.select("node", "sketch"), links, f"parts-{name}")
+        rest = members.join(of, "node").select("shingle", "node", "n", "part", "sketch")
+        found = rest.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(pairs, "a long, b long")
+        links = links.unionByName(verified(found, name))
     named = parted(classes.select("node", "rep", "members"), links, "components")
     least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
     named = work.put(named.join(least, "part").select("node", "component_id", "members"), "named")
-    work.drop("classes", "links-known", "links-first", "links-second")
+    work.drop("first", "large", "classes", "links-known", "links-first", "links-second", "links-third")
     return labelled(named_by, named, "node", "members").select("doc_id", "component_id")

@@ -138,6 +138,41 @@ def test_members_that_differ_are_no_candidates():
     assert (0, n - 1) in pairs and len(pairs) < n
 
 
+def test_sketches_of_long_sets_tell_them_apart():
+    # Sets of 150 and of 3,000 shingles with as many in common as makes them 0.6, 0.75 and 0.8 alike.
+    rng = np.random.default_rng(6)
+    for n in (150, 3000):
+        own = rng.integers(0, 1 << 64, 2 * n, np.uint64)
+        held = [np.unique(np.append(own[:same], rng.integers(0, 1 << 64, n - same, np.uint64))) for same in (n, 3 * n // 4, 6 * n // 7, -(-8 * n // 9))]
+        held += [np.unique(rng.integers(0, 1 << 64, n - 3 * k, np.uint64)) for k in range(40)]
+        m = len(held)
+        rows = [np.full(m, 7), np.arange(m), np.array([len(s) for s in held]), np.arange(m), [nearcopies.sketch(s) for s in held]]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["shingle", "node", "n", "part", "sketch"])
+        pairs = {(r["a"], r["b"]) for b in nearcopies.other_pairs(iter([batch])) for r in b.to_pylist()}
+        assert (0, 3) in pairs and (0, 1) not in pairs and not any(b > 3 for _, b in pairs)
+
+
+def test_near_copies_give_a_pair_a_member_at_first():
+    # A bucket of 100 near copies: each is tried against one other, not against all.
+    rng = np.random.default_rng(7)
+    own = rng.integers(0, 1 << 64, 400, np.uint64)
+    held = [np.unique(np.append(own[:390], rng.integers(0, 1 << 64, 10 + k % 7, np.uint64))) for k in range(100)]
+    rows = [np.full(100, 7), np.arange(100), np.array([len(s) for s in held]), np.arange(100), [nearcopies.sketch(s) for s in held]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["shingle", "node", "n", "part", "sketch"])
+    assert sum(b.num_rows for b in nearcopies.other_pairs(iter([batch]))) == 4950
+    assert sum(b.num_rows for b in nearcopies.nearest_pairs(iter([batch]))) == 99
+
+
+def test_large_buckets_of_the_same_members_are_told():
+    node = np.tile(np.arange(40), 3)
+    node[80:] += 1
+    rows = [np.repeat([5, 6, 7], 40), node, node, np.full(120, 50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["shingle", "node", "part", "n"])
+    found = [r for b in nearcopies.first_pairs(iter([batch])) for r in b.to_pylist()]
+    names = {r["a"]: (r["large"], r["b"]) for r in found if r["large"]}
+    assert len([r for r in found if not r["large"]]) == 3 * 39 and names[5] == names[6] != names[7]
+
+
 def test_links_are_thinned_to_what_connects():
     ends = [(a, b) for a in range(50) for b in range(a + 1, 50)] + [(70, 71), (72, 71)]
     batch = pa.RecordBatch.from_arrays([pa.array([a for a, _ in ends]), pa.array([b for _, b in ends])], ["a", "b"])
