@@ -86,9 +86,10 @@ class Replica:
                 raw, settled = self._schemas(t)
                 columns = self.spark.createDataFrame([], t.schema).columns
                 new = self.spark.createDataFrame([], raw)
-                if t.name in rows:
+                if t.name in rows:  # written once: what is read here may be costly to make, and it is counted too
                     new = rows[t.name].select(F.lit(peer).alias("peer"), text(t.id).alias("local"), F.col(t.clock).cast("timestamp_ntz").alias("clock"), *[F.col(f"`{c}`") for c in columns])
                     new = new.where(" and ".join(["local is not null", *(f"`{k}` is not null" for k in t.key)])).distinct()
+                    new = work.put(new, f"{t.name}-new")
                 told = new.unionByName(self._part(state, f"{t.name}/waiting", raw))
                 for c, parent in t.refs.items():
                     name = ids[parent].select("peer", F.col("local").alias(f"_l_{c}"), F.col("id").alias(f"_r_{c}"))

@@ -165,9 +165,12 @@ SELECT live.master_id, live.source, CAST(count(DISTINCT s.sale_id) AS BIGINT) AS
 def peer_import(spark: SparkSession, sf: str) -> DataFrame:
     """What a replica holds after the exports of four sources, one of them twice, children before parents: living clients with their sales and lines."""
     clients, sales, lines = (table(spark, sf, t) for t in ("clients", "sales", "sale_lines"))
-    owner = clients.select("client_id", F.col("source").alias("peer"))
-    sold = sales.join(owner, "client_id").select("peer", "sale_id", "client_id", "sold_at")
+    # Joined and dealt to their peers once; each pull reads its own folders.
+    work = Workspace(spark, "exports")
+    owner = clients.select("client_id", F.col("source").alias("peer")).where(F.col("peer").isin(PEERS))
+    sold = work.put(sales.join(owner, "client_id").select("peer", "sale_id", "client_id", "sold_at"), "sold", by="peer")
     shipped = lines.join(sold.select("peer", "sale_id"), "sale_id").select("peer", F.concat_ws("-", "sale_id", "line_no", "item_id", "vendor_id").alias("line"), "sale_id", F.col("line_no").cast("long").alias("line_no"), "shipped_at")
+    shipped = work.put(shipped, "shipped", by="peer")
     gone = table(spark, sf, "client_changes").where("op = 'D'").select(F.col("source").alias("peer"), F.col("client_id").alias("local"), F.col("valid_at").alias("deleted_at"))
     replica = Replica(spark, folder(spark, "replica"), PEER_TABLES)
     own = lambda df, peer: df.where(F.col("peer") == peer).drop("peer")

@@ -67,3 +67,16 @@ def test_replays_are_not_read(spark, tmp_path):
 def test_tables_come_after_their_parents(spark, tmp_path):
     with pytest.raises(ValueError):
         Replica(spark, f"file://{tmp_path}/x", TABLES[::-1])
+
+
+def test_an_export_is_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(1, "x", day(1)), (2, "y", day(2))], TABLES[0].schema).mapInArrow(counted, TABLES[0].schema)
+    done = Replica(spark, f"file://{tmp_path}/o", TABLES[:1]).pull("a", "1", {"sources": rows}, {})
+    assert (done["read"], done["rows"], made.value) == (2, 2, 2)
