@@ -178,6 +178,7 @@ def hybrid(lex: DataFrame, vec: DataFrame, terms: DataFrame, status: DataFrame,
     fallback_mode is "lex" for a question without vectors. Gives query_id, rank, doc_id, score, fallback_mode, text.
     """
     name = lambda df, n: df.select("query_id", F.lit(n).alias("list"), "doc_id", "rank")
+    vec = work.put(vec.select("query_id", "doc_id", "rank"), "vectors")  # read twice, made once
     hits = work.put(demote(rrf(name(lex, "lex_raw").unionByName(name(vec, "vec_raw"))).join(status, "doc_id", "left")).select("query_id", "doc_id", "score", "rank"), "fused")
     rows = hits.withColumn("m", minmax(F.col("score"), ["query_id"])).join(docs, "doc_id").join(terms, "query_id")
     c = F.size(F.array_intersect("terms", T.index_tokens(F.col("text")))) / F.greatest(F.size("terms"), F.lit(1))

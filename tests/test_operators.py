@@ -276,3 +276,19 @@ def test_cosines_and_postings_are_made_in_bounded_pieces(spark, monkeypatch):
     whole = sorted(map(tuple, search.cosine_topk(v, q, 3).collect()))
     monkeypatch.setattr(search, "CELLS", 7)
     assert sorted(map(tuple, search.cosine_topk(v, q, 3).collect())) == whole and len(whole) == 33
+
+
+def test_hybrid_search_makes_its_vectors_once(spark, tmp_path):
+    from sparkloom.operators.search import hybrid
+    from sparkloom.storage import Workspace
+
+    vec = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, doc_id long, rank int")
+    vec.write.parquet(f"file://{tmp_path}/vec")
+    vec = spark.read.parquet(f"file://{tmp_path}/vec")
+    lex = spark.createDataFrame([(1, 10, 1), (2, 11, 1)], "query_id long, doc_id long, rank int")
+    terms = spark.createDataFrame([(1, ["a"]), (2, ["b"])], "query_id long, terms array<string>")
+    status = spark.createDataFrame([(10, "verified")], "doc_id long, status string")
+    docs = spark.createDataFrame([(10, "a b"), (11, "b c")], "doc_id long, text string")
+    got = hybrid(lex, vec, terms, status, docs, Workspace(spark, "once"))
+    assert not [f for f in got.inputFiles() if "/vec/" in f and str(tmp_path) in f]
+    assert sorted((r["query_id"], r["doc_id"], r["fallback_mode"]) for r in got.collect()) == [(1, 10, ""), (1, 11, ""), (2, 11, "lex")]
