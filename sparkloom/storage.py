@@ -40,6 +40,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.named: dict[str, str] = {}
         root, files = self._open(self.root)
         files.mkdirs(root)
         files.deleteOnExit(root)
@@ -65,8 +66,26 @@ class Workspace:
             self.spark.conf.set(CLEAN_UP, was)
         return self.spark.read.schema(df.schema).parquet(self.path(table)).select(df.columns)
 
+    def partitions(self, df: DataFrame, rows_each: int) -> int:
+        """How many partitions hold the rows of ``df`` by so many each, so that a task's memory does not grow with the table."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-df.count() // rows_each))
+
+    def bucket(self, df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
+        """The rows of ``df`` from a table in buckets of a column: a join by it with ``shuffle_hash`` on the other side neither shuffles nor sorts them."""
+        name = self.named[table] = f"{table}_{uuid.uuid4().hex}".replace("-", "_")
+        was = self.spark.conf.get(CLEAN_UP, "false")
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", self.path(table)).option("compression", "zstd").saveAsTable(name)
+        finally:
+            self.spark.conf.set(CLEAN_UP, was)
+        return self.spark.table(name)
+
     def drop(self, *tables: str) -> None:
         """Delete these tables (all of the run's if none is named)."""
+        for t in tables or tuple(self.named):
+            if t in self.named:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.named.pop(t)}")
         for t in tables or ("",):
             p, files = self._open(self.path(t) if t else self.root)
             files.delete(p, True)

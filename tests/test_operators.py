@@ -74,6 +74,27 @@ def test_bridges_equal_the_loss_of_each_edge(spark):
     assert {r["edge_id"] for r in got.collect()} == want and len(want) > 3
 
 
+def test_pagerank_equals_its_rounds_and_leaves_out_what_the_walk_cannot_reach(spark):
+    # 1-2-3-4 with a heavy edge and a loop, a seed 9 without edges, and a far part that is larger than the rest
+    edges = [(1, 2, 1.0), (2, 3, 3.0), (3, 4, 1.0), (1, 3, 2.0), (4, 4, 1.0)] + [(i, i + 1, 1.0) for i in range(100, 130)]
+    both = edges + [(b, a, w) for a, b, w in edges]
+    total = {a: sum(w for x, _, w in both if x == a) for a, _, _ in both}
+    df, seeds = spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame([(1,), (9,)], "node long")
+    for rounds in (0, 1, 2, 7, 30):
+        rank = {1: 0.5, 9: 0.5}
+        for _ in range(rounds):
+            moved = {1: 0.15 * 0.5, 9: 0.15 * 0.5}
+            for a, b, w in both:
+                if a in rank:
+                    moved[b] = moved.get(b, 0.0) + 0.85 * w / total[a] * rank[a]
+            rank = moved
+        work = Workspace(spark, "test")
+        got = {r["node"]: r["r"] for r in graph.pagerank(df, seeds, work, rounds).collect()}
+        assert got == pytest.approx(rank, abs=1e-12)
+    assert {r["src"] for r in spark.read.parquet(work.path("pagerank-reached")).collect()} == {1, 2, 3, 4}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("pagerank")]
+
+
 def test_memory_paths_scores(spark):
     e = spark.createDataFrame([(10, 1, 2, 0.8, True), (11, 2, 3, 0.7, True), (12, 4, 1, 0.4, False), (13, 4, 5, 0.6, False)], "edge_id long, src long, dst long, confidence double, has_span boolean")
     seeds, domain = spark.createDataFrame([(1,)], "node long"), spark.createDataFrame([(5,), (4,)], "node long")
