@@ -15,19 +15,35 @@ def snapshot_replace(stored: DataFrame, wanted: DataFrame, key: str, value: str)
     return a.join(b, key, "full").select(key, action.alias("action"))
 
 
-def scrub(rows: DataFrame, key: str, ids: str, gone: DataFrame, gone_id: str) -> DataFrame:
+def dealt(rows: DataFrame, key: str, parts: int | None) -> DataFrame:
+    """Rows in so many partitions by their key, which adaptive execution leaves alone; as they are if no number is given."""
+    return rows if parts is None else rows.repartition(parts, key)
+
+
+def scrub(rows: DataFrame, key: str, ids: str, gone: DataFrame, gone_id: str, parts: int | None = None) -> DataFrame:
     """``rows`` (key, array of ids) without the ids that are gone, in their order; a row may be left with none."""
     each = rows.select(key, F.posexplode_outer(ids).alias("at", "id"))
     left = each.join(gone.select(F.col(gone_id).alias("id")).distinct(), "id", "left_anti").where("id is not null")
-    kept = left.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias(ids))
+    kept = dealt(left, key, parts).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias(ids))
     return rows.select(key).join(kept, key, "left").select(key, F.coalesce(ids, F.array().cast(rows.schema[ids].dataType)).alias(ids))
 
 
 def first_seen(rows: DataFrame, key: str, ids: str, of: DataFrame, of_id: str, value: str) -> DataFrame:
     """key and the different values that the ids of each row lead to, in the order in which they come first."""
-    each = rows.select(key, F.posexplode(ids).alias("at", of_id)).join(of.select(of_id, value), of_id)
-    first = each.groupBy(key, value).agg(F.min("at").alias("at"))
-    return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", value))), lambda x: x[value]).alias(value))
+    return first_values(rows.select(key, F.posexplode(ids).alias("at", of_id)), key, ["at"], of, of_id, value)
+
+
+def first_values(rows: DataFrame, key: str, order: list[str], of: DataFrame, of_id: str, value: str, parts: int | None = None) -> DataFrame:
+    """``first_seen`` for ids that stand in rows of their own, ordered by some columns (nulls last): no list of a key's ids is made.
+
+    ``parts`` partitions bound what a task sorts; by itself adaptive execution
+    makes them as large as 64 MB of compressed rows, many times that in memory.
+    """
+    each = dealt(rows.join(of.select(of_id, value).hint("shuffle_hash"), of_id).select(*dict.fromkeys([key, *order, value])), key, parts)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*[F.asc_nulls_last(c) for c in order], value))
+    (at,) = free(each, "_at")
+    first = each.select(key, value, place.alias(at)).groupBy(key, value).agg(F.min(at).alias(at))
+    return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(at, value))), lambda x: x[value]).alias(value))
 
 
 def newest(rows: DataFrame, keys: list[str], clock: str, keep: list[str]) -> DataFrame:

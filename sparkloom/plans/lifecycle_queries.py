@@ -12,17 +12,20 @@ from sparkloom.plans.knowledge_queries import EDGES, PART, relations
 from sparkloom.plans.store_queries import ITEMS, items
 from sparkloom.plans.tables import table
 from sparkloom.registry import query
+from sparkloom.storage import partitions
 
 
 def joined(column: str | Column) -> Column:
     return F.array_join(F.col(column).cast("array<string>") if isinstance(column, str) else column, ",")
 
 
+#: Lines of a partition: what a task sorts and groups stays in some tens of MB.
+LINES_EACH = 500_000
 ORDER_PARTS = "rows_ AS (SELECT l_orderkey AS k, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ids FROM lineitem GROUP BY l_orderkey)"
 
 
-def order_parts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k"))
+def order_parts(lines: DataFrame, parts: int) -> DataFrame:
+    rows = L.dealt(lines.select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey"), "k", parts).groupBy("k")
     return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("ids"))
 
 
@@ -31,15 +34,19 @@ SELECT k, array_to_string(list_filter(ids, lambda i: NOT list_contains(g, i)), '
 def span_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """Orders' arrays of parts without the parts of one size, which are deleted."""
     gone = table(spark, sf, "part").where("p_size = 9")
-    return L.scrub(order_parts(spark, sf), "k", "ids", gone, "p_partkey").select("k", joined("ids").alias("ids"))
+    lines = table(spark, sf, "lineitem")
+    parts = partitions(lines, LINES_EACH)
+    return L.scrub(order_parts(lines, parts), "k", "ids", gone, "p_partkey", parts).select("k", joined("ids").alias("ids"))
 
 
 @query("first_seen_sources", f"""WITH {ORDER_PARTS}, e AS (SELECT k, unnest(ids) AS p, generate_subscripts(ids, 1) AS pos FROM rows_), f AS (SELECT k, p_brand, min(pos) AS pos FROM e JOIN part ON p = p_partkey GROUP BY k, p_brand)
 SELECT k, string_agg(p_brand, ',' ORDER BY pos) AS brands FROM f GROUP BY k""")
 def first_seen_sources(spark: SparkSession, sf: str) -> DataFrame:
     """The sources (brands) of an order's spans (parts) in the order in which they come first."""
-    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand")
-    return L.first_seen(order_parts(spark, sf), "k", "ids", parts, "id", "p_brand").select("k", F.array_join("p_brand", ",").alias("brands"))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey")
+    out = L.first_values(lines, "k", ["l_linenumber", "l_partkey"], parts, "l_partkey", "p_brand", partitions(lines, LINES_EACH))
+    return out.select("k", F.when(F.size(F.array_compact("p_brand")) > 0, F.array_join("p_brand", ",")).alias("brands"))
 
 
 @query("snapshot_replace", """

@@ -34,6 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def partitions(df: DataFrame, rows_each: int) -> int:
+    """How many partitions hold the rows of ``df`` by so many each, so that a task's memory does not grow with the table."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_each))
+
+
 class Workspace:
     """Scratch tables of one run: ``put`` writes and rereads, ``drop`` deletes. What is left goes when the driver ends."""
 
@@ -66,10 +71,6 @@ class Workspace:
             self.spark.conf.set(CLEAN_UP, was)
         return self.spark.read.schema(df.schema).parquet(self.path(table)).select(df.columns)
 
-    def partitions(self, df: DataFrame, rows_each: int) -> int:
-        """How many partitions hold the rows of ``df`` by so many each, so that a task's memory does not grow with the table."""
-        return max(self.spark.sparkContext.defaultParallelism, -(-df.count() // rows_each))
-
     def bucket(self, df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
         """The rows of ``df`` from a table in buckets of a column: a join by it with ``shuffle_hash`` on the other side neither shuffles nor sorts them."""
         name = self.named[table] = f"{table}_{uuid.uuid4().hex}".replace("-", "_")

@@ -1,8 +1,11 @@
 """Records as they change, on small inputs with known results."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+from sparkloom import catalog
 from sparkloom.operators import lifecycle as L
+from sparkloom.plans import lifecycle_queries
 from sparkloom.plans.lifecycle_queries import headings
 
 
@@ -22,6 +25,19 @@ def test_first_seen(spark):
     assert rows(L.first_seen(df, "k", "ids", of, "id", "v")) == [(1, ["a", "b"])]
 
 
+def test_first_seen_sources_of_odd_lines_equal_sql_and_keep_their_partitions(spark, tmp_path, monkeypatch):
+    lines = [(1, 10, 1), (1, 11, None), (1, 12, 2), (1, 10, 1), (2, 13, 1), (3, 99, 1), (3, None, 2), (None, 12, 1), (4, 13, 1), (4, 12, None)] + [(5, 10 + i % 3, i) for i in range(40)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(10, "x"), (11, "y"), (12, "z"), (13, None)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(lifecycle_queries, "LINES_EACH", 5)
+    df = lifecycle_queries.first_seen_sources(spark, str(tmp_path))
+    duck = duckdb.connect()
+    for t in ("lineitem", "part"):
+        duck.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(duck.execute(catalog.oracles()["first_seen_sources"]).fetchall(), key=str)
+    assert df.rdd.getNumPartitions() == 10  # 50 lines by 5: small partitions are not put together again
+
+
 def test_a_merge_can_be_taken_back(spark):
     edges = spark.createDataFrame([(1, 10, 20), (2, 20, 30), (3, 30, 10)], "edge_id long, src long, dst long")
     merges = spark.createDataFrame([(20, 10)], "origin long, survivor long")
